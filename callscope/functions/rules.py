@@ -51,13 +51,9 @@ def map_reason(reason: Column, pack: ReasonPack = TELECOM_REASONS) -> Column:
 def normalize_score(score: Column) -> Column:
     """Model score in [-1, 1] to a negativity in [0, 1]; 0 for anything that is no number."""
     number = score.try_cast("double")
-    return F.coalesce(
-        F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.lit(1.0) - number) / 2)), 2), F.lit(0.0)
-    )
-
-
-def normalized_or_null(score: Column) -> Column:
-    return F.when(score.try_cast("double").isNotNull(), normalize_score(score))
+    # greatest and least skip nulls, so a missing number has to be set aside first.
+    clipped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.lit(1.0) - number) / 2))
+    return F.when(number.isNull(), F.lit(0.0)).otherwise(F.bround(clipped, 2))
 
 
 def map_emotion(sentiment: Column, pack: ReasonPack = TELECOM_REASONS) -> Column:

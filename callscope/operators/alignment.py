@@ -15,13 +15,15 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.base import strip
+from ..schemas import struct
 
 # Executors get these functions with the task; the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-ALIGNMENT = T.StructType.fromDDL(
-    "diff_segments array<struct<type:string,original:string,transcribed:string>>, "
-    "match_count bigint, sub_count bigint, ins_count bigint, del_count bigint"
+SEGMENT = struct("type string, original string, transcribed string")
+ALIGNMENT = T.StructType(
+    [T.StructField("diff_segments", T.ArrayType(SEGMENT))]
+    + struct("match_count bigint, sub_count bigint, ins_count bigint, del_count bigint").fields
 )
 
 

@@ -18,10 +18,11 @@ from ..functions import rules as R
 from ..functions.jsontext import rescue_json
 from ..functions.text import redact
 from ..packs import TELECOM_REASONS, TELECOM_RULES, ReasonPack, RulePack
+from ..schemas import struct
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CALL_ANSWER = T.StructType.fromDDL(
+CALL_ANSWER = struct(
     "caller_intent string, switch_reason string, sentiment string, sentiment_score string, summary string, "
     "risk_level string, suggested_action string"
 )

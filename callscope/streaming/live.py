@@ -75,7 +75,9 @@ def daily_counts(
     calls: DataFrame, ts: str = "ts", watermark: str = "1 day", window: str = "1 day", churn: Column | None = None
 ) -> DataFrame:
     """Counts per day as a windowed aggregation, for a stream or a batch."""
-    counted = calls.withWatermark(ts, watermark) if calls.isStreaming else calls
+    # Watermarks need a time with a zone; the session's zone is used on the way in and out.
+    timed = calls.withColumn(ts, F.col(ts).cast("timestamp"))
+    counted = timed.withWatermark(ts, watermark) if timed.isStreaming else timed
     grouped = counted.groupBy(F.window(ts, window).alias("_w")).agg(
         F.count("*").alias("total_calls"),
         F.count_if(churn_exact() if churn is None else churn).alias("churn_intent_count"),
