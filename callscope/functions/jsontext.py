@@ -24,7 +24,7 @@ def unfence(text: Column) -> Column:
 
 def _valid(json: Column) -> Column:
     """The text itself when it is JSON, else null."""
-    return F.when(F.try_parse_json(json).isNotNull(), json)
+    return let(json, lambda t: F.when(F.try_parse_json(t).isNotNull(), t))
 
 
 def rescue_json(text: Column) -> Column:
@@ -85,49 +85,49 @@ def validate_response(text: Column, contract: ResponseContract = AVATAR_CONTRACT
         + [T.StructField(n, T.DoubleType()) for n in contract.unit_numbers]
         + [T.StructField(contract.reason, T.StringType())]
     )
+    expected = F.array(*[F.lit(n) for n in sorted(contract.fields)])
 
-    def check(json: Column) -> Column:
-        variant = F.try_parse_json(json)
-        kind = lambda name: F.schema_of_variant(F.try_variant_get(variant, f"$.{name}", "variant"))
-        flag = lambda name: F.coalesce(F.try_variant_get(variant, f"$.{name}", "boolean"), F.lit(False))
-        number = lambda name: F.try_variant_get(variant, f"$.{name}", "double")
-        text_of = F.try_variant_get(variant, f"$.{contract.reason}", "string")
-        keys = F.array_sort(F.json_object_keys(json))
-        expected = F.array(*[F.lit(n) for n in sorted(contract.fields)])
-
-        not_object = ~F.coalesce(F.schema_of_variant(variant).startswith("OBJECT"), F.lit(False))
-        wrong_keys = ~F.coalesce(keys == expected, F.lit(False))
-        wrong_bool = F.lit(False)
+    def findings(json: Column, variant: Column) -> Column:
+        kind = lambda name: F.coalesce(
+            F.schema_of_variant(F.try_variant_get(variant, f"$.{name}", "variant")), F.lit("VOID")
+        )
+        get = lambda name, to: F.try_variant_get(variant, f"$.{name}", to)
+        return F.struct(
+            F.coalesce(F.schema_of_variant(variant).startswith("OBJECT"), F.lit(False)).alias("is_object"),
+            F.coalesce(F.array_sort(F.json_object_keys(json)) == expected, F.lit(False)).alias("keys_fit"),
+            *[(kind(n) == "BOOLEAN").alias(f"t_{n}") for n in contract.booleans],
+            *[kind(n).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)").alias(f"t_{n}") for n in contract.unit_numbers],
+            (kind(contract.reason) == "STRING").alias(f"t_{contract.reason}"),
+            *[F.coalesce(get(n, "boolean"), F.lit(False)).alias(n) for n in contract.booleans],
+            *[get(n, "double").alias(n) for n in contract.unit_numbers],
+            strip(F.coalesce(get(contract.reason, "string"), F.lit(""))).alias(contract.reason),
+        )
+
+    def judge(f: Column) -> Column:
+        wrong_bool, wrong_number, contradiction = F.lit(False), F.lit(False), F.lit(False)
         for name in contract.booleans:
-            wrong_bool = wrong_bool | ~F.coalesce(kind(name) == "BOOLEAN", F.lit(False))
-        wrong_number = F.lit(False)
+            wrong_bool = wrong_bool | ~f[f"t_{name}"]
         for name in contract.unit_numbers:
-            numeric = F.coalesce(kind(name).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.lit(False))
-            wrong_number = wrong_number | ~numeric | ~F.coalesce(number(name).between(0, 1), F.lit(False))
-        contradiction = F.lit(False)
+            wrong_number = wrong_number | ~f[f"t_{name}"] | ~F.coalesce(f[name].between(0, 1), F.lit(False))
         for claim, needs, excludes in contract.implications:
             broken = F.lit(False)
             for name in needs:
-                broken = broken | ~flag(name)
+                broken = broken | ~f[name]
             for name in excludes:
-                broken = broken | flag(name)
-            contradiction = contradiction | (flag(claim) & broken)
-        wrong_reason = ~F.coalesce(kind(contract.reason) == "STRING", F.lit(False)) | (
-            F.length(strip(F.coalesce(text_of, F.lit("")))) == 0
-        )
+                broken = broken | f[name]
+            contradiction = contradiction | (f[claim] & broken)
         error = (
-            F.when(not_object, "not_object")
-            .when(wrong_keys, "fields")
+            F.when(~f["is_object"], "not_object")
+            .when(~f["keys_fit"], "fields")
             .when(wrong_bool, "boolean")
             .when(wrong_number, "number")
             .when(contradiction, "contradiction")
-            .when(wrong_reason, "reason")
+            .when(~f[f"t_{contract.reason}"] | (F.length(f[contract.reason]) == 0), "reason")
         )
-        value = F.struct(
-            *[flag(n).alias(n) for n in contract.booleans],
-            *[number(n).alias(n) for n in contract.unit_numbers],
-            strip(text_of).alias(contract.reason),
-        ).cast(value_type)
-        return F.struct(error.alias("error"), F.when(error.isNull(), value).alias("value"))
+        value = F.struct(*[f[n].alias(n) for n in contract.fields]).cast(value_type)
+        return let(error, lambda e: F.struct(e.alias("error"), F.when(e.isNull(), value).alias("value")))
+
+    def check(json: Column) -> Column:
+        return let(let(F.try_parse_json(json), lambda variant: findings(json, variant)), judge)
 
     return let(unfence(text), check)

@@ -87,7 +87,11 @@ class KeywordIndex:
 def keyword_scores(text: Column, dictionary: Mapping[str, Sequence[str]]) -> Column:
     """Category scores of a lower-cased text: distinct keywords present, best first."""
     index = KeywordIndex(dictionary)
-    return index.ranked(index.masks(F.lower(text)))
+    return let(F.array(*index.masks(F.lower(text))), lambda m: index.ranked(unpack(m, index.words)))
+
+
+def unpack(masks: Column, words: int) -> list[Column]:
+    return [masks[n] for n in range(words)]
 
 
 def top_category(ranked: Column, default: str) -> Column:

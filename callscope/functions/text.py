@@ -22,7 +22,7 @@ from ..packs import (
     EntityRules,
 )
 from .base import blank_to_null, contains_any, first_contained, let, lookup, strip
-from .keywords import KeywordIndex, joined_categories, keyword_scores, top_category
+from .keywords import KeywordIndex, joined_categories, keyword_scores, top_category, unpack
 
 
 def intent(text: Column, pack: CallPack = TELECOM) -> Column:
@@ -58,8 +58,13 @@ def mood_from_counts(negative: Column, positive: Column) -> Column:
 def sentiment(text: Column, pack: CallPack = TELECOM) -> Column:
     """Label and score; unlike intent and reasons the text is not lower-cased."""
     index = mood_index(pack)
-    masks = index.masks(text)
-    return mood_from_counts(index.count(masks, "negative"), index.count(masks, "positive"))
+
+    def mood(masks: Column) -> Column:
+        words = unpack(masks, index.words)
+        counts = F.struct(index.count(words, "negative").alias("n"), index.count(words, "positive").alias("p"))
+        return let(counts, lambda c: mood_from_counts(c["n"], c["p"]))
+
+    return let(F.array(*index.masks(text)), mood)
 
 
 def entity_fields(text: Column, rules: EntityRules = TELECOM_ENTITIES) -> dict[str, Column]:

@@ -50,81 +50,57 @@ def buckets(tokens: Column, dim: int) -> Column:
     return F.transform(tokens, lambda token: F.pmod(F.xxhash64(token), F.lit(dim)).cast("int"))
 
 
-def hashed_bag(tokens: Column, dim: int) -> Column:
-    """Unit vector of token counts per hash bucket.
+def _runs(sorted_buckets: Column) -> Column:
+    """``array<struct<bucket, n>>`` of a sorted bucket array: one entry per bucket in use.
 
-    The bucket numbers are sorted once; the count of a bucket is then the length of its run.
+    Only the positions where a run begins are looked for, so the one pass over all tokens
+    allocates nothing; what follows is as short as the number of buckets.
     """
+    first = lambda s: F.filter(
+        F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1))
+    )
+    lengths = lambda s, starts: F.transform(
+        starts,
+        lambda p, j: F.struct(
+            F.get(s, p).alias("bucket"), (F.coalesce(F.get(starts, j + 1), F.size(s)) - p).alias("n")
+        ),
+    )
+    return let(
+        sorted_buckets,
+        lambda s: F.when(F.size(s) > 0, let(first(s), lambda starts: lengths(s, starts))).otherwise(
+            F.array().cast("array<struct<bucket:int,n:int>>")
+        ),
+    )
 
-    def counts(sorted_buckets: Column) -> Column:
-        runs = F.aggregate(
-            sorted_buckets,
-            F.struct(
-                F.lit(-1).alias("last"),
-                F.lit(0).alias("n"),
-                F.array().cast("array<struct<bucket:int,n:int>>").alias("done"),
-            ),
-            lambda acc, b: F.struct(
-                b.alias("last"),
-                F.when(b == acc["last"], acc["n"] + 1).otherwise(F.lit(1)).alias("n"),
-                F.when(
-                    (b != acc["last"]) & (acc["n"] > 0),
-                    F.array_append(acc["done"], F.struct(acc["last"].alias("bucket"), acc["n"].alias("n"))),
-                )
-                .otherwise(acc["done"])
-                .alias("done"),
-            ),
-            lambda acc: F.map_from_entries(
-                F.when(
-                    acc["n"] > 0,
-                    F.array_append(acc["done"], F.struct(acc["last"].alias("bucket"), acc["n"].alias("n"))),
-                ).otherwise(acc["done"])
-            ),
-        )
+
+def hashed_bag(tokens: Column, dim: int) -> Column:
+    """Unit vector of token counts per hash bucket."""
+
+    def counts(runs: Column) -> Column:
         return let(
-            runs,
+            F.map_from_entries(runs),
             lambda m: F.transform(
                 F.sequence(F.lit(0), F.lit(dim - 1)),
                 lambda b: F.coalesce(F.try_element_at(m, b), F.lit(0)).cast("double"),
             ),
         )
 
-    return l2_normalize(counts(F.array_sort(buckets(tokens, dim))))
+    return l2_normalize(counts(_runs(F.sort_array(buckets(tokens, dim)))))
 
 
 def bag_cosine(tokens: Column, query_counts: Sequence[float], dim: int) -> Column:
-    """Cosine between the hashed bag of a token array and a query bag given by its counts.
-
-    Linear in the number of tokens: the dot product looks the query count of each token's
-    bucket up, and the squared norm adds 2k-1 for the k-th token of a bucket's sorted run.
-    """
+    """Cosine between the hashed bag of a token array and a query bag given by its counts."""
     query = literal_array([float(c) for c in query_counts])
     query_norm = sum(c * c for c in query_counts) ** 0.5
     if query_norm == 0:
         return F.lit(0.0)
 
-    def cosine(sorted_buckets: Column) -> Column:
-        stats = F.aggregate(
-            sorted_buckets,
-            F.struct(
-                F.lit(-1).alias("last"), F.lit(0).alias("k"), F.lit(_ZERO).alias("sq"), F.lit(_ZERO).alias("dot")
-            ),
-            lambda acc, b: let(
-                F.when(b == acc["last"], acc["k"] + 1).otherwise(F.lit(1)),
-                lambda k: F.struct(
-                    b.alias("last"),
-                    k.alias("k"),
-                    (acc["sq"] + (2 * k - 1).cast("double")).alias("sq"),
-                    (acc["dot"] + F.element_at(query, b + 1)).alias("dot"),
-                ),
-            ),
-        )
-        return let(
-            stats,
-            lambda s: F.when(s["sq"] > 0, s["dot"] / (F.sqrt(s["sq"]) * F.lit(query_norm))).otherwise(F.lit(0.0)),
-        )
+    def cosine(runs: Column) -> Column:
+        square = F.aggregate(runs, F.lit(_ZERO), lambda acc, r: acc + r["n"].cast("double") * r["n"])
+        dot = F.aggregate(runs, F.lit(_ZERO), lambda acc, r: acc + r["n"] * F.element_at(query, r["bucket"] + 1))
+        return F.when(F.size(runs) > 0, dot / (F.sqrt(square) * F.lit(query_norm))).otherwise(F.lit(0.0))
 
-    return let(F.array_sort(buckets(tokens, dim)), cosine)
+    return let(_runs(F.sort_array(buckets(tokens, dim))), cosine)
 
 
 def hash_embedding(text: Column, dim: int = 128) -> Column:

@@ -9,7 +9,7 @@ from ..operators.models import enrich, map_model, map_with_errors
 from ..session import scratch_dir
 from ..sources import tables as K
 from . import fixtures as fx
-from .registry import query, table
+from .registry import query, scan, table
 from .texts import RULE_SQL, ruled
 
 DAY_COUNTS = """count(*) AS total_calls,
@@ -102,7 +102,7 @@ def emotion_histogram(spark, d):
 
     heard = acoustic_emotion(F.col("text"), None, fx.ACOUSTIC)
     # A neutral call has no tag in the stored column; the histogram puts it back.
-    rows = table(spark, d, "documents").select(F.nullif(heard, F.lit("NEUTRAL")).alias("acoustic_emotion"))
+    rows = scan(spark, d, "documents", "doc_id", "text").select(F.nullif(heard, F.lit("NEUTRAL")).alias("acoustic_emotion"))
     return A.distribution(rows, "acoustic_emotion", missing="NEUTRAL")
 
 
@@ -145,7 +145,7 @@ scored AS (SELECT *, {" + ".join(f"{f}_same::INT" for f in C.AGREEMENT_FIELDS)}
 
 
 def _agreement(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = scan(spark, d, "documents", "doc_id", "text")
     ours = C.analyze_calls(docs, "doc_id", "text", fx.PACK, rules=None)
     model = C.analyze_calls(docs, "doc_id", "text", fx.OTHER_PACK, rules=None)
     return C.agreement(ours, model, "doc_id")
@@ -171,13 +171,13 @@ def _checked_length(text: str) -> str:
 @query("batch_outcome", """SELECT count(*) AS total, count(*) FILTER (WHERE NOT contains(text, 'hatt')) AS completed,
 count(*) FILTER (WHERE contains(text, 'hatt')) AS failed FROM documents""")
 def batch_outcome(spark, d):
-    return A.batch_outcome(map_with_errors(table(spark, d, "documents"), ["text"], _checked_length))
+    return A.batch_outcome(map_with_errors(scan(spark, d, "documents", "doc_id", "text"), ["text"], _checked_length))
 
 
 @query("map_with_errors", """SELECT doc_id, CASE WHEN NOT contains(text, 'hatt') THEN length(text)::VARCHAR END AS result,
 CASE WHEN contains(text, 'hatt') THEN 'ValueError: unreadable' END AS error FROM documents""")
 def error_rows(spark, d):
-    return map_with_errors(table(spark, d, "documents").select("doc_id", "text"), ["text"], _checked_length).drop("text")
+    return map_with_errors(scan(spark, d, "documents", "doc_id", "text"), ["text"], _checked_length).drop("text")
 
 
 def _answering():
@@ -211,7 +211,7 @@ CASE WHEN m.used THEN (CASE WHEN m.bad THEN 'upset' ELSE 'calm' END) ELSE r.text
 CASE WHEN m.used THEN 0.75::DOUBLE ELSE r.emotion_score END AS emotion_score
 FROM m JOIN ruled r ON m.doc_id = r.doc_id""".replace("{text}", "text"))
 def model_enrich(spark, d):
-    out = enrich(table(spark, d, "documents"), "doc_id", "text", _answering, fx.REASONS, fx.RULES)
+    out = enrich(scan(spark, d, "documents", "doc_id", "text"), "doc_id", "text", _answering, fx.REASONS, fx.RULES)
     return out.select(
         "doc_id", "model_used", "model_error", "downgrade_related", "primary_reason", "confidence", "text_emotion", "emotion_score"
     )
@@ -229,7 +229,7 @@ def _counter():
 
 @query("map_model", """SELECT conv_id, turn, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS words FROM conversations""")
 def batch_model(spark, d):
-    turns = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    turns = scan(spark, d, "conversations", "conv_id", "turn", "text")
     return map_model(turns, _counter, "conv_id bigint, turn bigint, words bigint")
 
 

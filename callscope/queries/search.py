@@ -9,7 +9,7 @@ from ..operators import browse as B, similarity as N
 from ..session import scratch_dir
 from ..sources.files import attach_blobs
 from ..sources import tables as K
-from .registry import query, table
+from .registry import query, scan, table
 from .texts import RULE_SQL, ruled
 
 # ---- browse ------------------------------------------------------------------------------
@@ -148,7 +148,7 @@ BIGRAMS = """CASE WHEN length(c) >= 2 THEN list_transform(range(1, length(c)), l
 @query("bigrams", f"""WITH t AS (SELECT conv_id, turn, {CLEAN} AS c FROM conversations), g AS (SELECT conv_id, turn, {BIGRAMS} AS b FROM t)
 SELECT conv_id, turn, len(b) AS n, len(list_distinct(b)) AS distinct_n, md5(array_to_string(b, '|')) AS bigrams FROM g""")
 def bigram_rows(spark, d):
-    df = table(spark, d, "conversations").select("conv_id", "turn", X.bigrams(F.col("text")).alias("b"))
+    df = scan(spark, d, "conversations", "conv_id", "turn", "text").select("conv_id", "turn", X.bigrams(F.col("text")).alias("b"))
     return df.select(
         "conv_id", "turn", F.size("b").cast("bigint").alias("n"), F.size(F.array_distinct("b")).cast("bigint").alias("distinct_n"),
         F.md5(F.array_join("b", "|")).alias("bigrams"),
@@ -162,27 +162,27 @@ SEARCH_FOR = "the quement station thinks about schlich"
 asked AS (SELECT {CLEAN.replace('text', "'" + SEARCH_FOR + "'", 1)} AS c), q AS (SELECT list_distinct({BIGRAMS}) AS q FROM asked)
 SELECT doc_id, round(len(list_intersect(b, q)) / (len(b) + len(q) - len(list_intersect(b, q))), 6) AS jaccard FROM g, q""")
 def bigram_jaccard(spark, d):
-    scored = N.bigram_scores(table(spark, d, "documents"), SEARCH_FOR, F.col("text"))
+    scored = N.bigram_scores(scan(spark, d, "documents", "doc_id", "text"), SEARCH_FOR, F.col("text"))
     return scored.select("doc_id", F.round("_jaccard", 6).alias("jaccard"))
 
 
 @query("bigram_search")
 def bigram_search(spark, d):
-    found = N.bigram_search(table(spark, d, "documents"), SEARCH_FOR, "doc_id", F.col("text"), k=10)
+    found = N.bigram_search(scan(spark, d, "documents", "doc_id", "text"), SEARCH_FOR, "doc_id", F.col("text"), k=10)
     return found.select("doc_id", F.round("_similarity", 6).alias("similarity"))
 
 
 @query("hashed_bag")
 def hashed_bag(spark, d):
     bag = V.hashed_bag(X.bigrams(F.col("text")), 16)
-    return table(spark, d, "conversations").select("conv_id", "turn", F.transform(bag, lambda x: x.cast("float")).alias("embedding"))
+    return scan(spark, d, "conversations", "conv_id", "turn", "text").select("conv_id", "turn", F.transform(bag, lambda x: x.cast("float")).alias("embedding"))
 
 
 @query("hash_embedding", """WITH h AS (SELECT doc_id, list_transform(range(32), lambda i: ('0x' || substr(sha256(text), 2 * i + 1, 2))::INT / 255.0::DOUBLE) AS v FROM documents),
 n AS (SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM h)
 SELECT doc_id, unnest(range(1, 33)) AS position, round(unnest(v) / norm, 5) AS value FROM n""")
 def hash_embedding(spark, d):
-    df = table(spark, d, "documents").select("doc_id", F.posexplode(F.slice(V.hash_embedding(F.col("text")), 1, 32)).alias("p", "x"))
+    df = scan(spark, d, "documents", "doc_id", "text").select("doc_id", F.posexplode(F.slice(V.hash_embedding(F.col("text")), 1, 32)).alias("p", "x"))
     return df.select("doc_id", (F.col("p") + 1).cast("bigint").alias("position"), F.round("x", 5).alias("value"))
 
 

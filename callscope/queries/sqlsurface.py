@@ -11,7 +11,7 @@ from ..session import scratch_dir
 from ..sources import archive as Z, tables as K
 from ..streaming import live as R
 from . import fixtures as fx
-from .registry import query, table
+from .registry import query, scan, table
 from .reports import EXACT
 from .texts import DOCS
 
@@ -117,7 +117,7 @@ def archive_roundtrip(spark, d):
 @query("stored_analysis", f"""WITH {DOCS} SELECT doc_id::VARCHAR AS call_id, caller_intent, switch_reason, risk_level, '{{}}' AS key_entities, duration_seconds, 16 AS dim FROM analysed""")
 def stored_analysis(spark, d):
     path = scratch_dir(spark, "analysis")
-    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("call_id"), F.col("text").alias("transcript"))
+    docs = scan(spark, d, "documents", "doc_id", "text").select(F.col("doc_id").cast("string").alias("call_id"), F.col("text").alias("transcript"))
     K.append_analysis(C.analyze_calls(docs, pack=fx.PACK, rules=None), path)
     stored = spark.read.parquet(path)
     return stored.select(
@@ -144,7 +144,7 @@ SELECT doc_id, round_even(length(replace(text, chr(10), '')) / 4.0::DOUBLE, 1) A
 CASE WHEN {fx.any_of('text', fx.ACOUSTIC.angry)} THEN 'ANGRY' WHEN {fx.any_of('text', fx.ACOUSTIC.sad)} THEN 'SAD' ELSE 'NEUTRAL' END AS acoustic_emotion,
 down AS downgrade_related, bad AS bad_tone, 128 AS dim FROM r""")
 def call_batch_job(spark, d):
-    calls = table(spark, d, "documents").select("doc_id", F.lit(None).cast("string").alias("transcript"), F.col("text").cast("binary").alias("audio_blob"))
+    calls = scan(spark, d, "documents", "doc_id", "text", "n_chars").select("doc_id", F.lit(None).cast("string").alias("transcript"), F.col("text").cast("binary").alias("audio_blob"))
     out = call_batch(calls, acoustic=fx.ACOUSTIC, reasons=fx.REASONS, rules=fx.RULES)
     return out.select("doc_id", "duration_s", "acoustic_emotion", "downgrade_related", "bad_tone", F.size("audio_embedding").alias("dim"))
 
@@ -160,7 +160,7 @@ def _quality_model():
 CASE WHEN contains(text, 'hatt') THEN '价格敏感' ELSE '其他' END AS primary_reason, CASE WHEN contains(text, 'hatt') THEN 0.7::DOUBLE ELSE 0.0::DOUBLE END AS confidence,
 '未知' AS text_emotion, '' AS secondary_reason FROM documents WHERE n_chars BETWEEN 40 AND 7200""")
 def quality(spark, d):
-    calls = table(spark, d, "documents").select(
+    calls = scan(spark, d, "documents", "doc_id", "text", "n_chars").select(
         "doc_id", F.col("text").cast("binary").alias("audio_blob"), (F.col("n_chars") / 4.0).alias("duration_s"),
         F.col("text").alias("transcript"), F.lit("NEUTRAL").alias("acoustic_emotion"),
     )

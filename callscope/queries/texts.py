@@ -13,7 +13,7 @@ from ..operators.browse import duration_gate
 from ..packs import ANALYSIS_DEFAULTS
 from . import fixtures as fx
 from .fixtures import PACK
-from .registry import query, table
+from .registry import query, scan, table
 
 DOCS = fx.analysis_sql("documents", "doc_id", "text")
 
@@ -23,36 +23,36 @@ DOCS = fx.analysis_sql("documents", "doc_id", "text")
     f"WHERE {fx.any_of('lower(text)', w)}" for c, w in PACK.intents.items()))
 def keyword_hits(spark, d):
     scores = keyword_scores(F.col("text"), PACK.intents)
-    return table(spark, d, "documents").select("doc_id", F.inline(scores))
+    return scan(spark, d, "documents", "doc_id", "text").select("doc_id", F.inline(scores))
 
 
 @query("keyword_intent", f"WITH {DOCS} SELECT doc_id, caller_intent, risk_level FROM analysed")
 def keyword_intent(spark, d):
-    df = table(spark, d, "documents").select("doc_id", X.intent(F.col("text"), PACK).alias("caller_intent"))
+    df = scan(spark, d, "documents", "doc_id", "text").select("doc_id", X.intent(F.col("text"), PACK).alias("caller_intent"))
     return df.withColumn("risk_level", X.risk(F.col("caller_intent"), PACK))
 
 
 @query("keyword_reasons", f"WITH {DOCS} SELECT doc_id, switch_reason FROM analysed")
 def keyword_reasons(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.reasons(F.col("text"), PACK).alias("switch_reason"))
+    return scan(spark, d, "documents", "doc_id", "text").select("doc_id", X.reasons(F.col("text"), PACK).alias("switch_reason"))
 
 
 @query("sentiment_rule", f"WITH {DOCS} SELECT doc_id, sentiment, round(sentiment_score, 4) AS sentiment_score FROM analysed")
 def sentiment_rule(spark, d):
-    df = table(spark, d, "documents").select("doc_id", X.sentiment(F.col("text"), PACK).alias("m"))
+    df = scan(spark, d, "documents", "doc_id", "text").select("doc_id", X.sentiment(F.col("text"), PACK).alias("m"))
     return df.select("doc_id", "m.sentiment", F.round("m.sentiment_score", 4).alias("sentiment_score"))
 
 
 @query("retention_action", f"WITH {DOCS} SELECT doc_id, switch_reason, suggested_action FROM analysed")
 def retention_action(spark, d):
-    df = table(spark, d, "documents").select("doc_id", X.reasons(F.col("text"), PACK).alias("switch_reason"))
+    df = scan(spark, d, "documents", "doc_id", "text").select("doc_id", X.reasons(F.col("text"), PACK).alias("switch_reason"))
     return df.withColumn("suggested_action", X.retention_action(F.col("switch_reason"), PACK))
 
 
 @query("call_analysis_full", f"""WITH {DOCS} SELECT doc_id, caller_intent, switch_reason, sentiment,
 round(sentiment_score, 4) AS sentiment_score, risk_level, suggested_action, summary, duration_seconds FROM analysed""")
 def call_analysis_full(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = scan(spark, d, "documents", "doc_id", "text")
     out = C.analyze_calls(docs, "doc_id", "text", PACK, rules=None)
     return out.drop("text").withColumn("sentiment_score", F.round("sentiment_score", 4))
 
@@ -66,7 +66,7 @@ CALLS = f"WITH {LINES}, {fx.analysis_sql('lines', 'conv_id, turns', 'transcript'
 @query("call_analysis_turns", f"""{CALLS} SELECT conv_id, turns, caller_intent, switch_reason, sentiment,
 round(sentiment_score, 4) AS sentiment_score, risk_level, suggested_action, summary, duration_seconds FROM analysed""")
 def call_analysis_turns(spark, d):
-    out = C.analyze_turns(table(spark, d, "conversations"), "conv_id", "role", "text", PACK)
+    out = C.analyze_turns(scan(spark, d, "conversations", "conv_id", "turn", "role", "text"), "conv_id", "role", "text", PACK)
     return out.withColumn("sentiment_score", F.round("sentiment_score", 4))
 
 
@@ -74,7 +74,7 @@ def call_analysis_turns(spark, d):
 FROM conversations WHERE role = 'user' GROUP BY conv_id), {fx.analysis_sql('said', 'conv_id', 'transcript')}
 SELECT conv_id, caller_intent, switch_reason, sentiment FROM analysed""")
 def customer_turns_only(spark, d):
-    turns = table(spark, d, "conversations")
+    turns = scan(spark, d, "conversations", "conv_id", "turn", "role", "text")
     out = C.analyze_turns(turns, "conv_id", "role", "text", PACK, speaker="user")
     return out.select("conv_id", "caller_intent", "switch_reason", "sentiment")
 
@@ -84,7 +84,7 @@ round(avg(sentiment_score), 6) AS avg_score, count(*) FILTER (WHERE sentiment =
 sum(duration_seconds)::BIGINT AS seconds FROM analysed GROUP BY 1, 2 ORDER BY calls DESC, caller_intent""")
 def call_risk_report(spark, d):
     """Flagship: turns to calls to a risk report, two shuffles of small rows."""
-    calls = C.analyze_turns(table(spark, d, "conversations"), "conv_id", "role", "text", PACK)
+    calls = C.analyze_turns(scan(spark, d, "conversations", "conv_id", "turn", "role", "text"), "conv_id", "role", "text", PACK)
     return (
         calls.groupBy("caller_intent", "risk_level")
         .agg(
@@ -110,7 +110,7 @@ RIVALS = "list_filter([" + ", ".join(
 nullif(array_to_string({RIVALS}, ','), '') AS competitors,
 nullif(regexp_extract(text, '{"|".join(fx.ENTITIES.places)}'), '') AS location FROM documents""")
 def entities_extract(spark, d):
-    df = table(spark, d, "documents").select("doc_id", X.entities(F.col("text"), fx.ENTITIES).alias("e"))
+    df = scan(spark, d, "documents", "doc_id", "text").select("doc_id", X.entities(F.col("text"), fx.ENTITIES).alias("e"))
     return df.select("doc_id", "e.*").withColumn("competitors", F.array_join("competitors", ","))
 
 
@@ -118,7 +118,7 @@ def entities_extract(spark, d):
 FROM conversations""")
 def analysis_prompt(spark, d):
     template = 'ask\n{transcript}\n{{"a": 1}}'
-    return table(spark, d, "conversations").select("conv_id", "turn", F.md5(X.call_prompt(F.col("text"), template)).alias("prompt"))
+    return scan(spark, d, "conversations", "conv_id", "turn", "role", "text").select("conv_id", "turn", F.md5(X.call_prompt(F.col("text"), template)).alias("prompt"))
 
 
 @query("quality_prompt", """SELECT conv_id, turn, md5('r=价格敏感、套餐不匹配、服务体验差、竞品影响、账户或设备变化、非本人办理、其他'
@@ -126,7 +126,7 @@ def analysis_prompt(spark, d):
 def quality_prompt(spark, d):
     emotion = F.when(F.col("role") == "user", "SAD").otherwise("")
     prompt = X.quality_prompt(F.col("text"), emotion, "r={reasons}\ne={emotion}\n{transcript}")
-    return table(spark, d, "conversations").select("conv_id", "turn", F.md5(prompt).alias("prompt"))
+    return scan(spark, d, "conversations", "conv_id", "turn", "role", "text").select("conv_id", "turn", F.md5(prompt).alias("prompt"))
 
 
 def _plain(sql: str) -> str:
@@ -146,13 +146,13 @@ def _bounded(sql: str) -> str:
 
 @query("pii_redact_plain", f"SELECT doc_id, md5({_plain('text')}) AS redacted, length({_plain('text')}) AS n FROM documents")
 def pii_redact_plain(spark, d):
-    df = table(spark, d, "documents").select("doc_id", X.redact(F.col("text"), fx.PII, boundaries=False).alias("t"))
+    df = scan(spark, d, "documents", "doc_id", "text").select("doc_id", X.redact(F.col("text"), fx.PII, boundaries=False).alias("t"))
     return df.select("doc_id", F.md5("t").alias("redacted"), F.length("t").cast("bigint").alias("n"))
 
 
 @query("pii_redact_bounded", f"SELECT doc_id, md5({_bounded('text')}) AS redacted, length({_bounded('text')}) AS n FROM documents")
 def pii_redact_bounded(spark, d):
-    df = table(spark, d, "documents").select("doc_id", X.redact(F.col("text"), fx.PII).alias("t"))
+    df = scan(spark, d, "documents", "doc_id", "text").select("doc_id", X.redact(F.col("text"), fx.PII).alias("t"))
     return df.select("doc_id", F.md5("t").alias("redacted"), F.length("t").cast("bigint").alias("n"))
 
 
@@ -174,7 +174,7 @@ def rule_analysis(spark, d):
 
 
 def ruled(spark, d):
-    return table(spark, d, "documents").select(
+    return scan(spark, d, "documents", "doc_id", "text").select(
         "doc_id", *[c.alias(n) for n, c in R.rule_analysis(F.col("text"), fx.RULES).items()]
     )
 
@@ -189,7 +189,7 @@ CASE {" ".join(f"WHEN contains(string_split(switch_reason, ',')[{i}], '{k}') THE
 sentiment = 'negative' AND contains(text, 'hatt') AS bad_tone,
 round(greatest(0, least(1, (1 - sentiment_score::DOUBLE) / 2)), 2) AS emotion_score FROM answers""")
 def model_output_map(spark, d):
-    docs = C.analyze_calls(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", PACK, rules=None)
+    docs = C.analyze_calls(scan(spark, d, "documents", "doc_id", "text"), "doc_id", "text", PACK, rules=None)
     answer = F.struct(
         "caller_intent", F.translate("switch_reason", "、", ",").alias("switch_reason"), "sentiment",
         F.col("sentiment_score").cast("string").alias("sentiment_score"), "summary",
@@ -204,14 +204,14 @@ def model_output_map(spark, d):
 {" ".join(f"WHEN contains(string_split(switch_reason, '、')[{i}], '{k}') THEN '{v}'" for i in (1, 2) for k, v in fx.REASONS.mapping.items())}
 ELSE 'other' END AS primary_reason FROM analysed""")
 def reason_map(spark, d):
-    df = table(spark, d, "documents").select("doc_id", X.reasons(F.col("text"), PACK).alias("r"))
+    df = scan(spark, d, "documents", "doc_id", "text").select("doc_id", X.reasons(F.col("text"), PACK).alias("r"))
     return df.select("doc_id", R.map_reason(F.col("r"), fx.REASONS).alias("primary_reason"))
 
 
 @query("reason_explode", f"""WITH {DOCS} SELECT doc_id, trim(tag) AS reason_tag FROM (SELECT doc_id, unnest(string_split(
 CASE WHEN switch_reason = 'not said' THEN caller_intent ELSE switch_reason END, '、')) AS tag FROM analysed)""")
 def reason_explode(spark, d):
-    docs = C.analyze_calls(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", PACK, rules=None)
+    docs = C.analyze_calls(scan(spark, d, "documents", "doc_id", "text"), "doc_id", "text", PACK, rules=None)
     return C.explode_reasons(docs, unknown="not said", other="other").select("doc_id", "reason_tag")
 
 
@@ -225,7 +225,7 @@ def score_normalize(spark, d):
 
 @query("emotion_map", f"WITH {DOCS} SELECT doc_id, {fx.exact('sentiment', fx.REASONS.emotions, 'unknown')} AS text_emotion FROM analysed")
 def emotion_map(spark, d):
-    df = table(spark, d, "documents").select("doc_id", X.sentiment(F.col("text"), PACK).alias("m"))
+    df = scan(spark, d, "documents", "doc_id", "text").select("doc_id", X.sentiment(F.col("text"), PACK).alias("m"))
     return df.select("doc_id", R.map_emotion(F.col("m.sentiment"), fx.REASONS).alias("text_emotion"))
 
 
@@ -234,7 +234,7 @@ WHEN {fx.any_of('d.text', fx.ACOUSTIC.angry)} THEN 'ANGRY' WHEN {fx.any_of('d.te
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
 def acoustic_emotion(spark, d):
     labels = table(spark, d, "labels").withColumn("rms", (F.col("quality") + F.col("toxic")) * 0.2)
-    joined = table(spark, d, "documents").join(labels, "doc_id", "left")
+    joined = scan(spark, d, "documents", "doc_id", "text").join(labels, "doc_id", "left")
     return joined.select("doc_id", R.acoustic_emotion(F.col("text"), F.col("rms"), fx.ACOUSTIC).alias("acoustic_emotion"))
 
 
@@ -255,14 +255,14 @@ def turns_split(spark, d):
     from dataclasses import replace
 
     pack = replace(PACK, speakers={"The": "user"})
-    turns = C.split_turns(table(spark, d, "documents"), "doc_id", "text", pack)
+    turns = C.split_turns(scan(spark, d, "documents", "doc_id", "text"), "doc_id", "text", pack)
     return turns.select("doc_id", F.col("turn").cast("bigint").alias("turn"), "role", F.md5("text").alias("text"))
 
 
 @query("transcript_assemble", f"""SELECT conv_id, (turn // 4)::BIGINT AS part, md5(string_agg(CASE role WHEN 'assistant' THEN 'assistant: '
 WHEN 'user' THEN 'user: ' ELSE '' END || text, chr(10) ORDER BY turn)) AS transcript FROM conversations GROUP BY 1, 2""")
 def transcript_assemble(spark, d):
-    parts = C.assemble(table(spark, d, "conversations"), "conv_id", "turn", "role", "text", PACK, part_turns=4)
+    parts = C.assemble(scan(spark, d, "conversations", "conv_id", "turn", "role", "text"), "conv_id", "turn", "role", "text", PACK, part_turns=4)
     return parts.select("conv_id", "part", F.md5("transcript").alias("transcript"))
 
 
@@ -282,7 +282,7 @@ matched AS (SELECT *, length(a) - del_count - sub_count AS match_count FROM coun
 
 
 def _asr(spark, d):
-    df = table(spark, d, "conversations").select(
+    df = scan(spark, d, "conversations", "conv_id", "turn", "role", "text").select(
         "conv_id", "turn", F.col("text").alias("a"), _heard(F.col("role"), F.col("text")).alias("b")
     )
     return match_rate(align(df, "a", "b"), "a", "b")
@@ -328,7 +328,7 @@ def emotion_vote(spark, d):
     raw = F.col("text")
     for word, tag in (("the", "ANGRY"), ("and", "SAD"), ("lich", "HAPPY"), ("de", "NEUTRAL")):
         raw = F.replace(raw, F.lit(word), F.lit(f"<|{tag}|>"))
-    return table(spark, d, "documents").select("doc_id", X.emotion_vote(raw).alias("acoustic_emotion"))
+    return scan(spark, d, "documents", "doc_id", "text").select("doc_id", X.emotion_vote(raw).alias("acoustic_emotion"))
 
 
 @query("analysis_defaults", """SELECT d.doc_id, coalesce(l.toxic = 1, false) AS bad_tone, CASE WHEN l.quality = 1 THEN '价格敏感' ELSE '其他' END AS primary_reason,
@@ -364,7 +364,7 @@ def small_scalars(spark, d):
 sum(length(t))::BIGINT AS chars FROM (SELECT trim(regexp_replace(replace(lower(text), 'the', ' '), '^[a-z .,]{1,400}$', '')) AS t FROM documents)""")
 def reject_blank(spark, d):
     text = F.regexp_replace(F.replace(F.lower("text"), F.lit("the"), F.lit(" ")), r"\A[a-z .,]{1,400}\z", "")
-    good, bad = S.split_blank(table(spark, d, "documents").select(text.alias("t")), "t")
+    good, bad = S.split_blank(scan(spark, d, "documents", "doc_id", "text").select(text.alias("t")), "t")
     both = good.select(F.lit(1).alias("ok"), "t").unionAll(bad.select(F.lit(0).alias("ok"), "t"))
     return both.agg(
         F.sum("ok").alias("accepted"), F.count_if(F.col("ok") == 0).alias("rejected"), F.sum(F.length("t")).alias("chars")

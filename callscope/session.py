@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
 
@@ -41,3 +41,14 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
             _LOCAL_SCRATCH[app] = tempfile.mkdtemp(prefix="callscope-")
         base = _LOCAL_SCRATCH[app]
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan over the cluster when it came in fewer splits than there are cores.
+
+    For work that is heavy per row. A large table has more splits than cores and stays as it
+    is, without a shuffle; only a small one in few row groups is dealt out. Use it directly
+    on a scan: counting the splits runs no job there.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
