@@ -190,7 +190,7 @@ def bigrams(text: Column, noise: str = BIGRAM_NOISE) -> Column:
     clean = F.regexp_replace(text, f"(?U)[{noise}]+", "")
     return let(
         clean,
-        lambda t: F.when(F.length(t) >= 2, F.regexp_extract_all(t, F.lit("(?s)(?=(..))"), F.lit(1)))
+        lambda t: F.when(F.length(t) >= 2, F.regexp_extract_all(t, F.lit("(?s)(?=(..))."), F.lit(1)))
         .when(F.length(t) == 1, F.array(t))
         .otherwise(F.array().cast("array<string>")),
     )

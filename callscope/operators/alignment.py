@@ -27,18 +27,28 @@ ALIGNMENT = T.StructType(
 )
 
 
-def _columns(original: str, transcribed: str, first: int, last: int, vp: int, vn: int):
-    """Bit vectors (diagonal zero, vertical plus) of the table columns first..last."""
-    full = (1 << len(original)) - 1
+_KEEP_BITS = 1 << 28
+
+
+def _positions(original: str) -> dict[str, int]:
+    """Bit set of the positions of every character."""
     where: dict[str, int] = {}
-    for i, char in enumerate(original):
-        where[char] = where.get(char, 0) | (1 << i)
-    for j in range(first, last):
-        eq = where.get(transcribed[j], 0)
+    bit = 1
+    for char in original:
+        where[char] = where.get(char, 0) | bit
+        bit <<= 1
+    return where
+
+
+def _columns(where: dict[str, int], size: int, heard: str, vp: int, vn: int) -> Iterator[tuple[int, int, int]]:
+    """Bit vectors (diagonal zero, vertical plus, vertical minus) of the table column by column."""
+    full = (1 << size) - 1
+    for char in heard:
+        eq = where.get(char, 0)
         d0 = ((((eq & vp) + vp) ^ vp) | eq | vn) & full
-        hp = ((vn | ~(d0 | vp)) << 1 | 1) & full
+        hp = ((vn | (full ^ (d0 | vp))) << 1 | 1) & full
         hn = ((d0 & vp) << 1) & full
-        vp, vn = (hn | ~(d0 | hp)) & full, hp & d0
+        vp, vn = hn | (full ^ (d0 | hp)), hp & d0
         yield d0, vp, vn
 
 
@@ -46,48 +56,52 @@ def edit_runs(original: str, transcribed: str) -> list[tuple[str, int]]:
     """Run lengths of match, sub, del and ins from the front.
 
     Traced from the end: equal characters match, then substitution, deletion and insertion
-    are tried in that order. Only every ``step``-th column is kept; the ones between are
-    computed again when the trace reaches them, so memory grows with n * sqrt(n) bits.
+    are tried in that order. A small table is kept whole. Of a large one only every
+    ``step``-th column is; the ones between are computed again when the trace reaches them,
+    so memory grows with n * sqrt(n) bits.
     """
     m, n = len(original), len(transcribed)
-    step = max(16, int(n**0.5) + 1)
-    saved = {0: ((1 << m) - 1, 0)}
-    for j, (_, vp, vn) in enumerate(_columns(original, transcribed, 0, n, *saved[0]), 1):
-        if j % step == 0:
-            saved[j] = (vp, vn)
-
-    runs: list[list] = []
-
-    def note(kind: str, length: int = 1) -> None:
-        if runs and runs[-1][0] == kind:
-            runs[-1][1] += length
-        else:
-            runs.append([kind, length])
-
-    i, j, base, block = m, n, None, []
+    step = max(n, 1) if m * n <= _KEEP_BITS else int(n**0.5) + 1
+    where = _positions(original)
+    saved, state = {0: ((1 << m) - 1, 0)}, ((1 << m) - 1, 0)
+    for start in range(step, n, step):
+        for _, vp, vn in _columns(where, m, transcribed[start - step : start], *state):
+            state = vp, vn
+        saved[start] = state
+
+    runs: list[tuple[str, int]] = []
+    i, j, base, block = m, n, -1, []
     while i and j:
-        if original[i - 1] == transcribed[j - 1]:
-            note("match")
-            i, j = i - 1, j - 1
-            continue
-        start = (j - 1) // step * step
-        if start != base:
-            base, block = start, list(_columns(original, transcribed, start, min(n, start + step), *saved[start]))
-        d0, vp, _ = block[j - 1 - base]
-        if not d0 >> (i - 1) & 1:
-            note("sub")
-            i, j = i - 1, j - 1
-        elif vp >> (i - 1) & 1:
-            note("del")
-            i -= 1
+        length = 0
+        while i > length and j > length and original[i - 1 - length] == transcribed[j - 1 - length]:
+            length += 1
+        if length:
+            kind = "match"
+            i, j = i - length, j - length
+        else:
+            start = (j - 1) // step * step
+            if start != base:
+                base, block = start, list(_columns(where, m, transcribed[start : start + step], *saved[start]))
+            d0, vp, _ = block[j - 1 - base]
+            length = 1
+            if not d0 >> (i - 1) & 1:
+                kind, i, j = "sub", i - 1, j - 1
+            elif vp >> (i - 1) & 1:
+                kind, i = "del", i - 1
+            else:
+                kind, j = "ins", j - 1
+        if runs and runs[-1][0] == kind:
+            runs[-1] = (kind, runs[-1][1] + length)
         else:
-            note("ins")
-            j -= 1
-    if i:
-        note("del", i)
-    if j:
-        note("ins", j)
-    return [(kind, length) for kind, length in reversed(runs)]
+            runs.append((kind, length))
+    for kind, length in (("del", i), ("ins", j)):
+        if length:
+            if runs and runs[-1][0] == kind:
+                runs[-1] = (kind, runs[-1][1] + length)
+            else:
+                runs.append((kind, length))
+    runs.reverse()
+    return runs
 
 
 def _align_one(original: str | None, transcribed: str | None) -> dict:

@@ -124,7 +124,10 @@ ACOUSTIC = AcousticPack(angry=("hatt", "ungein"), sad=("eringe", "lement"))
 
 
 def call_rows(events: DataFrame) -> DataFrame:
-    """Analysis rows with a day and a time, from events."""
+    """Analysis rows with a day and a time, from events.
+
+    The prime divisor keeps averages off the exact halves that two engines round apart.
+    """
     kind, value = F.col("event_type"), F.col("value")
     intent = (
         F.when(kind == "signup", "转网/携号转网")
@@ -143,7 +146,7 @@ def call_rows(events: DataFrame) -> DataFrame:
         ).alias("switch_reason"),
         F.when(value > 60, "high").when(value > 20, "medium").otherwise("low").alias("risk_level"),
         F.when(value > 40, "negative").when(value > 10, "neutral").otherwise("positive").alias("sentiment"),
-        (F.lit(0.5) - value / 400).alias("sentiment_score"),
+        (F.lit(0.5) - value / 397).alias("sentiment_score"),
     )
 
 
@@ -155,7 +158,7 @@ calls AS (
          CASE WHEN value < 2 THEN '' ELSE 'reason_' || (user_id % 7) END AS switch_reason,
          CASE WHEN value > 60 THEN 'high' WHEN value > 20 THEN 'medium' ELSE 'low' END AS risk_level,
          CASE WHEN value > 40 THEN 'negative' WHEN value > 10 THEN 'neutral' ELSE 'positive' END AS sentiment,
-         0.5 - value / 400 AS sentiment_score
+         0.5 - value / 397 AS sentiment_score
   FROM events
 )
 """
