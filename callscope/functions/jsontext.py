@@ -86,48 +86,71 @@ def validate_response(text: Column, contract: ResponseContract = AVATAR_CONTRACT
         + [T.StructField(contract.reason, T.StringType())]
     )
     expected = F.array(*[F.lit(n) for n in sorted(contract.fields)])
-
-    def findings(json: Column, variant: Column) -> Column:
-        kind = lambda name: F.coalesce(
+    numeric = r"(?:BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+,\d+\))"
+    kinds = {
+        **{n: "BOOLEAN" for n in contract.booleans},
+        **{n: numeric for n in contract.unit_numbers},
+        contract.reason: "STRING",
+    }
+    # Fields of a variant object are sorted by name, so one pattern covers keys and types.
+    well_typed = "^OBJECT<" + ", ".join(f"{n}: {kinds[n]}" for n in sorted(kinds)) + ">$"
+
+    def refused(json: Column, variant: Column, shape: Column) -> Column:
+        """First fault of an answer that has not the right keys and types."""
+        is_a = lambda name: F.coalesce(
             F.schema_of_variant(F.try_variant_get(variant, f"$.{name}", "variant")), F.lit("VOID")
-        )
-        get = lambda name, to: F.try_variant_get(variant, f"$.{name}", to)
-        return F.struct(
-            F.coalesce(F.schema_of_variant(variant).startswith("OBJECT"), F.lit(False)).alias("is_object"),
-            F.coalesce(F.array_sort(F.json_object_keys(json)) == expected, F.lit(False)).alias("keys_fit"),
-            *[(kind(n) == "BOOLEAN").alias(f"t_{n}") for n in contract.booleans],
-            *[kind(n).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)").alias(f"t_{n}") for n in contract.unit_numbers],
-            (kind(contract.reason) == "STRING").alias(f"t_{contract.reason}"),
-            *[F.coalesce(get(n, "boolean"), F.lit(False)).alias(n) for n in contract.booleans],
-            *[get(n, "double").alias(n) for n in contract.unit_numbers],
-            strip(F.coalesce(get(contract.reason, "string"), F.lit(""))).alias(contract.reason),
+        ).rlike(f"^{kinds[name]}$")
+        faulty = lambda names: F.exists(F.array(*[is_a(n) for n in names]), lambda right: ~right)
+        return (
+            F.when(~F.coalesce(shape.startswith("OBJECT"), F.lit(False)), "not_object")
+            .when(~F.coalesce(F.array_sort(F.json_object_keys(json)) == expected, F.lit(False)), "fields")
+            .when(faulty(contract.booleans), "boolean")
+            .when(faulty(contract.unit_numbers), "number")
+            .otherwise("reason")
         )
 
-    def judge(f: Column) -> Column:
-        wrong_bool, wrong_number, contradiction = F.lit(False), F.lit(False), F.lit(False)
-        for name in contract.booleans:
-            wrong_bool = wrong_bool | ~f[f"t_{name}"]
+    def judge(answer: Column) -> Column:
+        outside, contradiction = F.lit(False), F.lit(False)
         for name in contract.unit_numbers:
-            wrong_number = wrong_number | ~f[f"t_{name}"] | ~F.coalesce(f[name].between(0, 1), F.lit(False))
+            outside = outside | ~answer[name].between(0, 1)
         for claim, needs, excludes in contract.implications:
             broken = F.lit(False)
             for name in needs:
-                broken = broken | ~f[name]
+                broken = broken | ~answer[name]
             for name in excludes:
-                broken = broken | f[name]
-            contradiction = contradiction | (f[claim] & broken)
-        error = (
-            F.when(~f["is_object"], "not_object")
-            .when(~f["keys_fit"], "fields")
-            .when(wrong_bool, "boolean")
-            .when(wrong_number, "number")
+                broken = broken | answer[name]
+            contradiction = contradiction | (answer[claim] & broken)
+        return (
+            F.when(outside, "number")
             .when(contradiction, "contradiction")
-            .when(~f[f"t_{contract.reason}"] | (F.length(f[contract.reason]) == 0), "reason")
+            .when(F.length(answer[contract.reason]) == 0, "reason")
         )
-        value = F.struct(*[f[n].alias(n) for n in contract.fields]).cast(value_type)
-        return let(error, lambda e: F.struct(e.alias("error"), F.when(e.isNull(), value).alias("value")))
+
+    def typed(variant: Column) -> Column:
+        get = lambda name, to: F.try_variant_get(variant, f"$.{name}", to)
+        return F.struct(
+            *[get(n, "boolean").alias(n) for n in contract.booleans],
+            *[get(n, "double").alias(n) for n in contract.unit_numbers],
+            strip(get(contract.reason, "string")).alias(contract.reason),
+        ).cast(value_type)
+
+    def outcome(error: Column, value: Column) -> Column:
+        return F.struct(error.alias("error"), value.alias("value"))
+
+    nothing = F.lit(None).cast(value_type)
+
+    def accepted(answer: Column) -> Column:
+        return let(judge(answer), lambda e: outcome(e, F.when(e.isNull(), answer).otherwise(nothing)))
 
     def check(json: Column) -> Column:
-        return let(let(F.try_parse_json(json), lambda variant: findings(json, variant)), judge)
+        return let(
+            F.try_parse_json(json),
+            lambda variant: let(
+                F.schema_of_variant(variant),
+                lambda shape: F.when(shape.rlike(well_typed), let(typed(variant), accepted)).otherwise(
+                    outcome(refused(json, variant, shape), nothing)
+                ),
+            ),
+        )
 
     return let(unfence(text), check)

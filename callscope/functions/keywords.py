@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
 
-from .base import blank_to_null, let
+from .base import blank_to_null, constant, let
 
 _BITS = 62
 
@@ -40,9 +40,7 @@ class KeywordIndex:
         keeps the generated code small enough to be compiled whatever the pack's size."""
 
         def word(entries: list[tuple[str, int]]) -> Column:
-            table = F.array(
-                *[F.struct(F.lit(k).alias("k"), F.lit(b).cast("bigint").alias("b")) for k, b in entries]
-            )
+            table = constant([{"k": k, "b": b} for k, b in entries], "array<struct<k:string,b:bigint>>")
             return let(
                 text,
                 lambda t: F.aggregate(
@@ -68,18 +66,24 @@ class KeywordIndex:
 
     def ranked(self, masks: Sequence[Column]) -> Column:
         """``array<struct<category, score>>`` without zeros, best first, ties in dictionary order."""
-        entries = F.array(
-            *[
-                F.struct(
-                    (-self.count(masks, category)).alias("rank"),
-                    F.lit(position).alias("position"),
-                    F.lit(category).alias("category"),
-                )
+        fields = "".join(f",m{n}:bigint" for n in range(self.words))
+        table = constant(
+            [
+                {"p": position, "c": category, **{f"m{n}": bits for n, bits in enumerate(self._masks[category])}}
                 for position, category in enumerate(self.categories)
-            ]
+            ],
+            f"array<struct<p:int,c:string{fields}>>",
         )
+
+        def entry(e: Column) -> Column:
+            score = F.bit_count(masks[0].bitwiseAND(e["m0"]))
+            for n in range(1, self.words):
+                score = score + F.bit_count(masks[n].bitwiseAND(e[f"m{n}"]))
+            return F.struct((-score).alias("rank"), e["p"].alias("position"), e["c"].alias("category"))
+
+        scored = F.filter(F.transform(table, entry), lambda e: e["rank"] < 0)
         return F.transform(
-            F.array_sort(F.filter(entries, lambda e: e["rank"] < 0)),
+            F.sort_array(scored),
             lambda e: F.struct(e["category"].alias("category"), (-e["rank"]).alias("score")),
         )
 

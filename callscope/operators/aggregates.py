@@ -156,9 +156,9 @@ def exact_percentiles(
 
     The built-in ``percentile`` keeps a map of all distinct values of a group in one buffer.
     Here equal values are counted first; ``slices - 1`` cut points, taken once from a bounded
-    sketch over all groups, spread the counted values over slices; counts per slice tell which
+    sketch over all rows, spread the counted values over slices; counts per slice tell which
     slice holds a wanted rank, and only those slices are sorted. A slice holds about one
-    ``slices``-th of the distinct values, however they are spread over the groups.
+    ``slices``-th of the rows, or a single value that is more frequent than that.
     """
     counted = (
         df.where(F.col(value).isNotNull())
@@ -166,7 +166,7 @@ def exact_percentiles(
         .agg(F.count("*").alias("_n"))
     )
     steps = [i / slices for i in range(1, slices)]
-    cuts = counted.agg(F.percentile_approx("_v", steps).alias("c")).first()["c"] or []
+    cuts = df.agg(F.percentile_approx(F.col(value).cast("double"), steps).alias("c")).first()["c"] or []
     sliced = counted.withColumn("_s", _bisect(F.col("_v"), sorted(set(cuts))))
 
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))

@@ -12,7 +12,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import vectors as V
-from ..functions.base import blank_to_null, let, literal_array, strip
+from ..functions.base import blank_to_null, constant, let, strip
 from ..functions.text import bigrams
 
 SEARCH_DIM = 256
@@ -32,7 +32,7 @@ def bigram_scores(df: DataFrame, query: str, text: Column, dim: int = SEARCH_DIM
     counts = [0.0] * dim
     for bucket in asked["n"]:
         counts[bucket] += 1.0
-    query_set = literal_array(wanted)
+    query_set = constant(wanted, "array<string>")
 
     def score(tokens: Column) -> Column:
         return let(
@@ -158,7 +158,7 @@ def build_cells(
     centers = tuple(tuple(float(x) for x in c) for c in model.clusterCenters())
     model.transform(data).drop("_vec").write.mode("errorifexists").partitionBy("cell").parquet(path)
     written = df.sparkSession.read.parquet(path)
-    table = F.array(*[literal_array(c) for c in centers])
+    table = constant(centers, "array<array<double>>")
     reach = F.sqrt(V.squared_distance(F.col(vector), F.element_at(table, F.col("cell") + 1)))
     found = {r["cell"]: r["r"] for r in written.groupBy("cell").agg(F.max(reach).alias("r")).collect()}
     return CellIndex(path, key, vector, centers, tuple(found.get(i, -1.0) for i in range(len(centers))))

@@ -8,7 +8,7 @@ from ..functions import jsontext as J, scalars as S
 from ..operators import aggregates as A, images as I
 from ..operators.signal import signal_features
 from ..plans.jobs import image_batch
-from .registry import query, table
+from .registry import query, scan, table
 
 # Faces, size and sharpness of an "image" are read off its vector.
 IMAGES_SQL = """src AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS e, label FROM embeddings),
@@ -201,7 +201,7 @@ def answer_rows(spark, d):
         ),
         bit(2, ', "more": 1', ""), F.lit("}"),
     )
-    return table(spark, d, "events").select("event_id", kind.alias("kind"), text.alias("t"))
+    return scan(spark, d, "events", "event_id", "user_id").select("event_id", kind.alias("kind"), text.alias("t"))
 
 
 @query("response_contract", f"""WITH {ANSWER_SQL} SELECT event_id, CASE WHEN kind = 9 THEN 'not_object' WHEN kind IN (1, 2) THEN 'fields' WHEN kind = 3 THEN 'boolean' WHEN kind = 4 THEN 'number'
@@ -239,7 +239,7 @@ def _wrapped(spark, d):
         .when(kind == "click", F.concat(F.lit("["), props, F.lit("]")))
         .otherwise(props)
     )
-    return table(spark, d, "events").select("event_id", text.alias("raw"))
+    return scan(spark, d, "events", "event_id", "event_type", "props").select("event_id", text.alias("raw"))
 
 
 @query("json_rescue", """SELECT event_id, CASE WHEN event_type <> 'error' THEN CASE WHEN event_type = 'click' THEN '[' || props || ']' ELSE props END END AS json FROM events""")
