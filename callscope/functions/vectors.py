@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
 from .base import let, literal_array
 
 _ZERO = 0.0
+Hasher = Callable[[Column], Column]
 
 
 def _sum_of(values: Column) -> Column:
@@ -45,9 +46,9 @@ def distance_to(vector: Column, query: Sequence[float]) -> Column:
     return squared_distance(vector, literal_array([float(x) for x in query]))
 
 
-def buckets(tokens: Column, dim: int) -> Column:
+def buckets(tokens: Column, dim: int, hasher: Hasher = F.xxhash64) -> Column:
     """Bucket number of every token. The hash is the same in every process and every run."""
-    return F.transform(tokens, lambda token: F.pmod(F.xxhash64(token), F.lit(dim)).cast("int"))
+    return F.transform(tokens, lambda token: F.pmod(hasher(token), F.lit(dim)).cast("int"))
 
 
 def _runs(sorted_buckets: Column) -> Column:
@@ -73,7 +74,7 @@ def _runs(sorted_buckets: Column) -> Column:
     )
 
 
-def hashed_bag(tokens: Column, dim: int) -> Column:
+def hashed_bag(tokens: Column, dim: int, hasher: Hasher = F.xxhash64) -> Column:
     """Unit vector of token counts per hash bucket."""
 
     def counts(runs: Column) -> Column:
@@ -85,10 +86,12 @@ def hashed_bag(tokens: Column, dim: int) -> Column:
             ),
         )
 
-    return l2_normalize(counts(_runs(F.sort_array(buckets(tokens, dim)))))
+    return l2_normalize(counts(_runs(F.sort_array(buckets(tokens, dim, hasher)))))
 
 
-def bag_cosine(tokens: Column, query_counts: Sequence[float], dim: int) -> Column:
+def bag_cosine(
+    tokens: Column, query_counts: Sequence[float], dim: int, hasher: Hasher = F.xxhash64
+) -> Column:
     """Cosine between the hashed bag of a token array and a query bag given by its counts."""
     query = literal_array([float(c) for c in query_counts])
     query_norm = sum(c * c for c in query_counts) ** 0.5
@@ -100,7 +103,7 @@ def bag_cosine(tokens: Column, query_counts: Sequence[float], dim: int) -> Colum
         dot = F.aggregate(runs, F.lit(_ZERO), lambda acc, r: acc + r["n"] * F.element_at(query, r["bucket"] + 1))
         return F.when(F.size(runs) > 0, dot / (F.sqrt(square) * F.lit(query_norm))).otherwise(F.lit(0.0))
 
-    return let(_runs(F.sort_array(buckets(tokens, dim))), cosine)
+    return let(_runs(F.sort_array(buckets(tokens, dim, hasher))), cosine)
 
 
 def hash_embedding(text: Column, dim: int = 128) -> Column:

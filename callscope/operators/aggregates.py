@@ -227,8 +227,9 @@ def latency_summary(
     )
     points = exact_percentiles(df, value, LATENCY_POINTS, by)
     if not by:
-        # One row each; the literal key keeps this an ordinary equi-join.
-        return plain.withColumn("_one", F.lit(1)).join(points.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
+        # One row of four numbers, taken over as constants rather than joined.
+        row = points.first()
+        return plain.withColumns({n: F.lit(row[n] if row else None).cast("double") for n in LATENCY_POINTS})
     renamed = points.select(*[F.col(c).alias(f"_k_{c}") for c in by], *LATENCY_POINTS)
     condition = None
     for c in by:

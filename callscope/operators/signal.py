@@ -25,7 +25,9 @@ def signal_features(
     """
     rows = samples.select(F.col(signal), F.col(idx).cast("bigint").alias("_i"), F.col(value).cast("double").alias("_v"))
     stats = rows.groupBy(signal).agg(F.count("*").alias("_n"), F.max(F.abs("_v")).alias("_peak"))
-    salted = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # As many copies as a signal has salts: one for a signal that fits a block.
+    salts = F.least(F.floor(F.col("_n") / BLOCK), F.lit(SALTS - 1)).cast("int")
+    salted = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts)))
 
     own_block = F.floor(F.col("_i") / BLOCK)
     ends_block = F.col("_i") % BLOCK == BLOCK - 1

@@ -22,10 +22,12 @@ def search_text(summary: Column, transcript: Column) -> Column:
     return F.coalesce(blank_to_null(strip(summary)), strip(transcript), F.lit(""))
 
 
-def bigram_scores(df: DataFrame, query: str, text: Column, dim: int = SEARCH_DIM) -> DataFrame:
+def bigram_scores(
+    df: DataFrame, query: str, text: Column, dim: int = SEARCH_DIM, hasher: V.Hasher = F.xxhash64
+) -> DataFrame:
     """Add ``_jaccard`` and ``_similarity`` of a text to the query; both 0 without a common bigram."""
     spark = df.sparkSession
-    asked = spark.range(1).select(bigrams(F.lit(query)).alias("b"), V.buckets(bigrams(F.lit(query)), dim).alias("n")).first()
+    asked = spark.range(1).select(bigrams(F.lit(query)).alias("b"), V.buckets(bigrams(F.lit(query)), dim, hasher).alias("n")).first()
     wanted = sorted(set(asked["b"]))
     if not wanted:
         return df.withColumns({"_jaccard": F.lit(0.0), "_similarity": F.lit(0.0)})
@@ -44,7 +46,7 @@ def bigram_scores(df: DataFrame, query: str, text: Column, dim: int = SEARCH_DIM
                     lambda jaccard: F.struct(
                         jaccard.alias("_jaccard"),
                         F.when(
-                            common > 0, F.lit(0.85) * jaccard + F.lit(0.15) * V.bag_cosine(tokens, counts, dim)
+                            common > 0, F.lit(0.85) * jaccard + F.lit(0.15) * V.bag_cosine(tokens, counts, dim, hasher)
                         ).otherwise(F.lit(0.0)).alias("_similarity"),
                     ),
                 ),
@@ -59,11 +61,11 @@ def bigram_scores(df: DataFrame, query: str, text: Column, dim: int = SEARCH_DIM
 
 def bigram_search(
     df: DataFrame, query: str, key: str = "call_id", text: Column | None = None,
-    k: int = 5, floor: float = 0.05,
+    k: int = 5, floor: float = 0.05, hasher: V.Hasher = F.xxhash64,
 ) -> DataFrame:
     """Best matches of a query text. One narrow pass and a top-k; no text leaves its task."""
     source = search_text(F.col("summary"), F.col("transcript")) if text is None else text
-    scored = bigram_scores(df, query, source)
+    scored = bigram_scores(df, query, source, hasher=hasher)
     # The floor is applied to the k best: below the limit it would run the scoring twice.
     best = scored.orderBy(F.col("_similarity").desc(), F.col(key)).limit(k)
     return best.where((F.col("_similarity") >= floor) & (F.col("_jaccard") > 0))
@@ -144,19 +146,25 @@ class CellIndex:
 
 def build_cells(
     df: DataFrame, path: str, key: str = "doc_id", vector: str = "embedding",
-    cells: int = 64, seed: int = 42, train_fraction: float = 1.0,
+    cells: int = 64, seed: int = 42, train_rows: int | None = None,
 ) -> CellIndex:
     """Cluster the vectors and write them partitioned by cell.
 
-    ``train_fraction`` thins only what the centres are learned from; every row is written.
+    The centres are learned from about ``train_rows`` rows (2000 per cell unless given);
+    every row is written. Writing is ranged over cell and key hash, so a cell with a third of
+    all rows is spread over many files and a small one fills few.
     """
     data = df.where(F.col(vector).isNotNull()).withColumn("_vec", array_to_vector(vector))
-    training = data if train_fraction >= 1 else data.sample(fraction=train_fraction, seed=seed)
+    wanted = train_rows or 2000 * cells
+    total = data.count()
+    training = data if total <= wanted else data.sample(fraction=wanted / total, seed=seed)
     model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="_vec", predictionCol="cell").fit(
         training.select("_vec")
     )
     centers = tuple(tuple(float(x) for x in c) for c in model.clusterCenters())
-    model.transform(data).drop("_vec").write.mode("errorifexists").partitionBy("cell").parquet(path)
+    assigned = model.transform(data).drop("_vec")
+    ranged = assigned.repartitionByRange("cell", F.xxhash64(key))
+    ranged.write.mode("errorifexists").partitionBy("cell").parquet(path)
     written = df.sparkSession.read.parquet(path)
     table = constant(centers, "array<array<double>>")
     reach = F.sqrt(V.squared_distance(F.col(vector), F.element_at(table, F.col("cell") + 1)))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as X, vectors as V
+from ..functions import scalars as S, text as X, vectors as V
 from ..operators import browse as B, similarity as N
 from ..session import scratch_dir
-from ..sources.files import attach_blobs
+from ..sources.files import attach_blobs, check_manifest, read_manifest
 from ..sources import tables as K
 from .registry import query, scan, table
 from .texts import RULE_SQL, ruled
@@ -131,6 +131,46 @@ def manifest_text_fallback(spark, d):
     return out.select("doc_id", "from_audio", F.md5("audio_blob").alias("blob"))
 
 
+@query("manifest_formats", """SELECT f.format, p.page_id::VARCHAR AS doc_id, p.url AS s3_url FROM pages p, (SELECT unnest(['csv', 'jsonl', 'parquet']) AS format) f""")
+def manifest_formats(spark, d):
+    folder = scratch_dir(spark, "manifests")
+    rows = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("doc_id"), F.col("url").alias("s3_url"))
+    rows.write.parquet(f"{folder}/m.parquet")
+    rows.write.json(f"{folder}/m.jsonl")
+    rows.write.option("header", True).csv(f"{folder}/m.csv")
+    read = [read_manifest(spark, f"{folder}/m.{kind}").select(F.lit(kind).alias("format"), "*") for kind in ("csv", "jsonl", "parquet")]
+    return read[0].unionByName(read[1]).unionByName(read[2])
+
+
+@query("manifest_checked", "SELECT doc_id, lang FROM documents")
+def manifest_checked(spark, d):
+    return check_manifest(table(spark, d, "documents").select("doc_id", "lang"))
+
+
+@query("mime_guess", """SELECT doc_id, CASE lang WHEN 'en' THEN 'image/jpeg' WHEN 'fr' THEN 'audio/mpeg' WHEN 'de' THEN 'x/given' ELSE 'application/octet-stream' END AS mime_type FROM documents""")
+def mime_guess(spark, d):
+    lang = F.col("lang")
+    path = F.concat(F.lit("a.b/"), F.col("source"), F.when(lang == "en", ".JPG").when(lang == "fr", ".mp3").otherwise(""))
+    return table(spark, d, "documents").select(
+        "doc_id", S.guess_mime(path, F.when(lang == "de", "x/given").otherwise("")).alias("mime_type")
+    )
+
+
+@query("browse_entities", """SELECT event_id, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS keys, CASE WHEN event_type <> 'error' THEN json_extract_string(props, '$.k') END AS k FROM events""")
+def browse_entities(spark, d):
+    text = F.when(F.col("event_type") == "error", F.concat(F.lit("{"), F.col("props"))).otherwise(F.col("props"))
+    rows = K.browse(table(spark, d, "events").select("event_id", text.alias("key_entities")), None)
+    return rows.select("event_id", F.size("key_entities").alias("keys"), F.try_element_at("key_entities", F.lit("k")).alias("k"))
+
+
+@query("registered_table", "SELECT lang, count(*) AS documents, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY lang")
+def registered_table(spark, d):
+    path = scratch_dir(spark, "registered")
+    K.create_table(table(spark, d, "documents").select("doc_id", "lang", "n_chars"), path)
+    name = K.register(spark, "callscope", path, "documents_copy")
+    return spark.table(name).groupBy("lang").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"))
+
+
 @query("column_merge", """SELECT d.doc_id, d.lang, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
 def column_merge(spark, d):
     base = table(spark, d, "documents").select("doc_id", "lang")
@@ -178,6 +218,56 @@ def hashed_bag(spark, d):
     return scan(spark, d, "conversations", "conv_id", "turn", "text").select("conv_id", "turn", F.transform(bag, lambda x: x.cast("float")).alias("embedding"))
 
 
+def _letter_hash(token):
+    """A hash that SQL can state as well, to check the arithmetic around the hashing."""
+    return F.ascii(F.substring(token, 1, 1)) * 31 + F.ascii(F.substring(token, 2, 1))
+
+
+BUCKET = "(unicode(substr(x, 1, 1)) * 31 + unicode(substr(x, 2, 1))) % 256"
+SCORED = f"""WITH t AS (SELECT doc_id, {CLEAN} AS c FROM documents), g AS (SELECT doc_id, {BIGRAMS} AS b FROM t),
+asked AS (SELECT {CLEAN.replace('text', "'" + SEARCH_FOR + "'", 1)} AS c), qb AS (SELECT {BIGRAMS} AS b FROM asked),
+q AS (SELECT list_distinct(b) AS q FROM qb),
+tokens AS (SELECT doc_id, unnest(b) AS x FROM g), counts AS (SELECT doc_id, {BUCKET} AS bucket, count(*) AS n FROM tokens GROUP BY 1, 2),
+qcounts AS (SELECT {BUCKET} AS bucket, count(*) AS n FROM (SELECT unnest(b) AS x FROM qb) GROUP BY 1),
+norms AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM counts GROUP BY 1), qnorm AS (SELECT sqrt(sum(n * n)) AS norm FROM qcounts),
+dots AS (SELECT c.doc_id, sum(c.n * k.n) AS dot FROM counts c JOIN qcounts k ON c.bucket = k.bucket GROUP BY 1),
+jac AS (SELECT doc_id, len(list_intersect(list_distinct(b), q)) / (len(list_distinct(b)) + len(q) - len(list_intersect(list_distinct(b), q))) AS j FROM g, q),
+scored AS (SELECT jac.doc_id, CASE WHEN j > 0 THEN 0.85 * j + 0.15 * dots.dot / (norms.norm * qnorm.norm) ELSE 0 END AS s
+FROM jac LEFT JOIN dots ON jac.doc_id = dots.doc_id LEFT JOIN norms ON jac.doc_id = norms.doc_id, qnorm)"""
+
+
+@query("bigram_similarity", f"{SCORED} SELECT doc_id, round(s::DOUBLE, 6) AS similarity FROM scored")
+def bigram_similarity(spark, d):
+    docs = scan(spark, d, "documents", "doc_id", "text")
+    scored = N.bigram_scores(docs, SEARCH_FOR, F.col("text"), hasher=_letter_hash)
+    return scored.select("doc_id", F.round("_similarity", 6).alias("similarity"))
+
+
+@query("bigram_search_top", f"{SCORED} SELECT doc_id, round(s::DOUBLE, 6) AS similarity FROM scored WHERE s >= 0.05 ORDER BY s DESC, doc_id LIMIT 10")
+def bigram_search_top(spark, d):
+    docs = scan(spark, d, "documents", "doc_id", "text")
+    found = N.bigram_search(docs, SEARCH_FOR, "doc_id", F.col("text"), k=10, hasher=_letter_hash)
+    return found.select("doc_id", F.round("_similarity", 6).alias("similarity"))
+
+
+@query("hashed_bag_counts", f"""WITH t AS (SELECT conv_id, turn, {CLEAN} AS c FROM conversations), g AS (SELECT conv_id, turn, {BIGRAMS} AS b FROM t),
+tokens AS (SELECT conv_id, turn, unnest(b) AS x FROM g), counts AS (SELECT conv_id, turn, {BUCKET.replace('256', '16')} AS position, count(*) AS n FROM tokens GROUP BY 1, 2, 3)
+SELECT conv_id, turn, position::BIGINT AS position, round(n / sqrt(sum(n * n) OVER (PARTITION BY conv_id, turn)), 6) AS value FROM counts""")
+def hashed_bag_counts(spark, d):
+    turns = scan(spark, d, "conversations", "conv_id", "turn", "text")
+    bag = V.hashed_bag(X.bigrams(F.col("text")), 16, _letter_hash)
+    exploded = turns.select("conv_id", "turn", F.posexplode(bag).alias("position", "value")).where("value > 0")
+    return exploded.select("conv_id", "turn", F.col("position").cast("bigint").alias("position"), F.round("value", 6).alias("value"))
+
+
+@query("l2_normalize", """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * (label + 1)) AS v FROM embeddings)
+SELECT vec_id, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS first, round(v[64] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS last FROM e""")
+def l2_normalize(spark, d):
+    scaled = F.transform("embedding", lambda x: x.cast("double") * (F.col("label") + 1))
+    rows = table(spark, d, "embeddings").select("vec_id", V.l2_normalize(scaled).alias("v"))
+    return rows.select("vec_id", F.round(F.col("v")[0], 6).alias("first"), F.round(F.col("v")[63], 6).alias("last"))
+
+
 @query("hash_embedding", """WITH h AS (SELECT doc_id, list_transform(range(32), lambda i: ('0x' || substr(sha256(text), 2 * i + 1, 2))::INT / 255.0::DOUBLE) AS v FROM documents),
 n AS (SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM h)
 SELECT doc_id, unnest(range(1, 33)) AS position, round(unnest(v) / norm, 5) AS value FROM n""")

@@ -13,7 +13,7 @@ from ..streaming import live as R
 from . import fixtures as fx
 from .registry import query, scan, table
 from .reports import EXACT
-from .texts import DOCS
+from .texts import DOCS, RULE_SQL, ruled
 
 STAR = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
@@ -168,6 +168,14 @@ def quality(spark, d):
     return out.select("doc_id", "duration_s", "downgrade_related", "primary_reason", "confidence", "text_emotion", "secondary_reason")
 
 
+@query("jsonl_output", f"""WITH {RULE_SQL} SELECT doc_id, downgrade_related, primary_reason, summary, confidence FROM ruled""")
+def jsonl_output(spark, d):
+    path = scratch_dir(spark, "jsonl")
+    K.write_jsonl(ruled(spark, d), path)
+    written = spark.read.schema("doc_id bigint, downgrade_related boolean, primary_reason string, summary string, confidence double").json(path)
+    return written.select("doc_id", "downgrade_related", "primary_reason", "summary", "confidence")
+
+
 # ---- streams -----------------------------------------------------------------------------
 
 

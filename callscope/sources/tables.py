@@ -53,11 +53,12 @@ def create_table(df: DataFrame, path: str, overwrite: bool = True) -> None:
     df.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
 
 
-def browse(df: DataFrame, limit: int = 100, entities: str = "map<string,string>") -> DataFrame:
+def browse(df: DataFrame, limit: int | None = 100, entities: str = "map<string,string>") -> DataFrame:
     """First rows with the entity JSON parsed; bad JSON becomes an empty map."""
     parsed = F.when(F.try_parse_json("key_entities").isNotNull(), F.from_json("key_entities", entities))
     empty = F.create_map().cast(entities)
-    return df.limit(limit).withColumn("key_entities", F.coalesce(parsed, empty))
+    some = df if limit is None else df.limit(limit)
+    return some.withColumn("key_entities", F.coalesce(parsed, empty))
 
 
 def merge_columns(
