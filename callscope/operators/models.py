@@ -100,12 +100,16 @@ def map_with_errors(
 def enrich(
     df: DataFrame, id: str, text: str, factory: Callable[[], Callable[..., Any]] | None,
     reasons: ReasonPack = TELECOM_REASONS, rules: RulePack = TELECOM_RULES, micro_batch: int = 8,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Redact, ask the model, parse its answer; rows without a usable answer get the rules.
 
     ``model_used`` tells which way a row went and ``model_error`` why the model failed.
+    ``partitions`` sets how many calls are under way at most.
     """
     base = df.select(id, redact(F.coalesce(F.col(text), F.lit(""))).alias("transcript_redacted"))
+    if partitions is not None:
+        base = base.repartition(partitions)
     by_rule = R.rule_analysis(F.col("transcript_redacted"), rules)
     if factory is None:
         return base.withColumns(
@@ -114,7 +118,8 @@ def enrich(
     asked = base.withColumn("_call", call_model([F.col("transcript_redacted")], factory, "string", micro_batch))
     parsed = asked.withColumn("_json", rescue_json(F.col("_call.value")))
     parsed = parsed.withColumn("_answer", F.from_json("_json", CALL_ANSWER))
-    usable = F.col("_json").isNotNull()
+    # An answer counts when it is an object with at least one field.
+    usable = F.coalesce(F.size(F.json_object_keys("_json")) > 0, F.lit(False))
     by_model = R.model_columns(F.col("_answer"), F.col("transcript_redacted"), reasons)
     chosen = {name: F.when(usable, by_model[name]).otherwise(by_rule[name]) for name in by_rule}
     return parsed.withColumns(

@@ -22,6 +22,8 @@ FORBIDDEN = (
     "EXECUTE", "MERGE", "REPLACE", "SET", "PRAGMA", "ATTACH", "DETACH", "COPY", "EXPORT",
     "IMPORT", "LOAD", "INSTALL",
 )
+# Functions that call into the JVM, which no reading query needs.
+FORBIDDEN_CALLS = ("REFLECT", "TRY_REFLECT", "JAVA_METHOD")
 ALLOWED_STARTS = ("SELECT", "WITH", "EXPLAIN", "DESCRIBE", "SHOW")
 
 # ---- fixed values: the ready-made reports ------------------------------------------------
@@ -47,7 +49,10 @@ def is_read_only(sql: str) -> bool:
     string such as 'update' is harmless. ``replace(...)`` the function is no REPLACE."""
     bare = _QUOTED.sub(lambda m: " " if m.group()[:2] in ("--", "/*") else "''", sql).strip().upper()
     bare = bare.rstrip(";").strip()
-    if ";" in bare or re.search(r"\b(" + "|".join(FORBIDDEN) + r")\b(?!\s*\()", bare):
+    bare = re.sub(r"\bREPLACE\s*\(", "(", bare)
+    if ";" in bare or re.search(r"\b(" + "|".join(FORBIDDEN) + r")\b", bare):
+        return False
+    if re.search(r"\b(" + "|".join(FORBIDDEN_CALLS) + r")\s*\(", bare):
         return False
     return re.match(r"\(*\s*(" + "|".join(ALLOWED_STARTS) + r")\b", bare) is not None
 

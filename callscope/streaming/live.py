@@ -12,6 +12,7 @@ from ..operators.aggregates import churn_exact
 from ..operators.calls import analyze_calls
 from ..packs import TELECOM, CallPack
 from ..schemas import RISK_LEVELS
+from ..session import spread
 from ..sources.tables import shape_analysis
 
 
@@ -31,10 +32,11 @@ def analyze_stream(
     """
     trimmed = calls.withColumn(text, F.trim(F.col(text))).where(F.length(text) > 0)
     named = trimmed.withColumn(id, call_id_or_default(F.col(id).cast("string"), F.current_timestamp()))
-    analysed = analyze_calls(named, id, text, pack)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumnsRenamed({id: "call_id", text: "transcript"})
+        # A batch of few files is spread over the cores before the work per row.
+        rows = analyze_calls(spread(batch), id, text, pack)
+        rows = rows.withColumnsRenamed({id: "call_id", text: "transcript"})
         # Kept while the batch feeds the table, the archive and the events; lost blocks are
         # recomputed from the source.
         rows = rows.persist() if (emit or archive_to) else rows
@@ -52,7 +54,7 @@ def analyze_stream(
             if emit or archive_to:
                 rows.unpersist()
 
-    return _start(analysed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), trigger)
+    return _start(named.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), trigger)
 
 
 def events(rows: DataFrame) -> DataFrame:

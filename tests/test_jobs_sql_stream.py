@@ -14,7 +14,7 @@ ALLOWED = [
 ]
 REFUSED = [
     "DROP TABLE t", "INSERT INTO t SELECT 1", "SELECT 1; DROP TABLE t", "", "-- SELECT", "CREATE TABLE t AS SELECT 1", "SET x=1",
-    "WITH t AS (SELECT 1) INSERT INTO x SELECT * FROM t", "MERGE INTO t", "REFRESH TABLE t", "/* SELECT */ TRUNCATE TABLE t",
+    "WITH t AS (SELECT 1) INSERT INTO x SELECT * FROM t", "MERGE INTO t", "REFRESH TABLE t", "SELECT reflect('java.lang.System', 'exit', 0)", "SELECT JAVA_METHOD ('a', 'b')", "EXPLAIN INSERT INTO t SELECT 1", "/* SELECT */ TRUNCATE TABLE t",
 ]
 
 
@@ -60,6 +60,9 @@ def test_enrich(spark):
     assert got["b"]["model_error"] == "ValueError: no answer" and got["b"]["confidence"] == 0.5 and got["b"]["bad_tone"]
     assert got["c"]["downgrade_related"] and got["c"]["model_error"] is None
     assert got["e"]["transcript_redacted"] == "ask [PHONE_REDACTED]" and got["e"]["primary_reason"] == "服务体验差"
+    for odd in ("{}", "[1]", "3"):
+        answers = M.enrich(df, "doc_id", "t", lambda odd=odd: lambda texts: [odd] * len(texts), partitions=2)
+        assert not any(r["model_used"] for r in answers.collect())
     ruled = M.enrich(df, "doc_id", "t", None)
     assert not any(r["model_used"] for r in ruled.collect())
 
