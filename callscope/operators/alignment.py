@@ -7,19 +7,14 @@ a time and whole, with the table kept as bit vectors (Myers 1999, Hyyrö 2003).
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.base import strip
 from ..schemas import struct
 
-# Executors get these functions with the task; the package need not be installed there.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 SEGMENT = struct("type string, original string, transcribed string")
 ALIGNMENT = T.StructType(
     [T.StructField("diff_segments", T.ArrayType(SEGMENT))]

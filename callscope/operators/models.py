@@ -6,12 +6,10 @@ the number of partitions, micro-batching is ``spark.sql.execution.arrow.maxRecor
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import rules as R
@@ -20,8 +18,6 @@ from ..functions.text import redact
 from ..packs import TELECOM_REASONS, TELECOM_RULES, ReasonPack, RulePack
 from ..schemas import struct
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 CALL_ANSWER = struct(
     "caller_intent string, switch_reason string, sentiment string, sentiment_score string, summary string, "
     "risk_level string, suggested_action string"

@@ -167,7 +167,7 @@ def browse_entities(spark, d):
 def registered_table(spark, d):
     path = scratch_dir(spark, "registered")
     K.create_table(table(spark, d, "documents").select("doc_id", "lang", "n_chars"), path)
-    name = K.register(spark, "callscope", path, "documents_copy")
+    name = K.register(spark, "default", path, "documents_copy")
     return spark.table(name).groupBy("lang").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"))
 
 

@@ -45,7 +45,7 @@ LEFT JOIN lineitem l ON l.l_suppkey = s.s_suppkey AND l.l_quantity > 45 GROUP BY
 
 _sql("sql_surface_window_rank", """
 SELECT c_nationkey, c_custkey, spent, place FROM (
-  SELECT c_nationkey, c_custkey, spent, rank() OVER (PARTITION BY c_nationkey ORDER BY spent DESC, c_custkey) AS place
+  SELECT c_nationkey, c_custkey, spent, CAST(rank() OVER (PARTITION BY c_nationkey ORDER BY spent DESC, c_custkey) AS BIGINT) AS place
   FROM (SELECT c_nationkey, c_custkey, round(sum(o_totalprice), 2) AS spent FROM customer JOIN orders ON o_custkey = c_custkey
         GROUP BY c_nationkey, c_custkey) t) u WHERE place <= 3""")
 
@@ -63,7 +63,7 @@ SELECT c_custkey, c_name, round(total, 2) AS total FROM customer JOIN spent ON o
 WHERE total > (SELECT 2 * avg(total) FROM spent)""")
 
 _sql("sql_surface_scalar_functions", """
-SELECT p_partkey, upper(p_brand) AS brand, length(p_name) AS n, substr(p_type, 1, 5) AS kind,
+SELECT p_partkey, upper(p_brand) AS brand, CAST(length(p_name) AS BIGINT) AS n, substr(p_type, 1, 5) AS kind,
 CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS size, round(p_retailprice * 1.1, 2) AS price,
 coalesce(nullif(p_brand, 'Brand#11'), 'first') AS shown FROM part""")
 

@@ -1,6 +1,7 @@
 """Every registered query against its SQL, on the smallest tables."""
 
 import os
+import subprocess
 import sys
 
 import pytest
@@ -44,3 +45,15 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_tasks_carry_the_package(tmp_path):
+    """Python workers started elsewhere do not see the package on their path."""
+    script = (
+        f"import sys; sys.path.insert(0, {os.path.abspath(ROOT)!r})\n"
+        "from callscope.queries import QUERIES\nfrom callscope.session import local_session\n"
+        f"spark = local_session(2, 2)\nfor n in ('model_enrich', 'asr_diff', 'map_model', 'quality_job'):\n    assert QUERIES[n](spark, {FOLDER!r}).count() > 0\n"
+        f"assert sum(map(len, QUERIES['model_enrich'](spark, {FOLDER!r}).collect())) > 0\n"
+    )
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-3000:]
