@@ -16,10 +16,8 @@ from ..functions.base import strip
 from ..schemas import struct
 
 SEGMENT = struct("type string, original string, transcribed string")
-ALIGNMENT = T.StructType(
-    [T.StructField("diff_segments", T.ArrayType(SEGMENT))]
-    + struct("match_count bigint, sub_count bigint, ins_count bigint, del_count bigint").fields
-)
+COUNTS = struct("match_count bigint, sub_count bigint, ins_count bigint, del_count bigint")
+ALIGNMENT = T.StructType([T.StructField("diff_segments", T.ArrayType(SEGMENT)), *COUNTS.fields])
 
 
 _KEEP_BITS = 1 << 28
@@ -99,28 +97,45 @@ def edit_runs(original: str, transcribed: str) -> list[tuple[str, int]]:
     return runs
 
 
-def _align_one(original: str | None, transcribed: str | None) -> dict:
-    a, b = original or "", transcribed or ""
-    counts = {"match": 0, "sub": 0, "ins": 0, "del": 0}
-    segments, i, j = [], 0, 0
-    for kind, length in edit_runs(a, b):
-        counts[kind] += length
+def _counts(runs: list[tuple[str, int]]) -> dict[str, int]:
+    totals = {"match": 0, "sub": 0, "ins": 0, "del": 0}
+    for kind, length in runs:
+        totals[kind] += length
+    return {f"{kind}_count": total for kind, total in totals.items()}
+
+
+def _segments(original: str, transcribed: str, runs: list[tuple[str, int]]) -> list[dict[str, str]]:
+    found, i, j = [], 0, 0
+    for kind, length in runs:
         di, dj = (0 if kind == "ins" else length), (0 if kind == "del" else length)
-        segments.append({"type": kind, "original": a[i : i + di], "transcribed": b[j : j + dj]})
+        found.append({"type": kind, "original": original[i : i + di], "transcribed": transcribed[j : j + dj]})
         i, j = i + di, j + dj
-    return {"diff_segments": segments, **{f"{k}_count": v for k, v in counts.items()}}
+    return found
+
+
+def _rows(original: pd.Series, transcribed: pd.Series, segments: bool) -> Iterator[dict]:
+    for a, b in zip(original.fillna(""), transcribed.fillna("")):
+        runs = edit_runs(a, b)
+        yield {"diff_segments": _segments(a, b, runs), **_counts(runs)} if segments else _counts(runs)
 
 
 @F.pandas_udf(ALIGNMENT)
 def _align(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for original, transcribed in batches:
-        rows = [_align_one(a, b) for a, b in zip(original, transcribed)]
-        yield pd.DataFrame(rows, columns=[f.name for f in ALIGNMENT.fields])
+        yield pd.DataFrame(_rows(original, transcribed, True), columns=ALIGNMENT.fieldNames())
+
+
+@F.pandas_udf(COUNTS)
+def _align_counts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    for original, transcribed in batches:
+        yield pd.DataFrame(_rows(original, transcribed, False), columns=COUNTS.fieldNames())
 
 
-def align(df: DataFrame, original: str, transcribed: str) -> DataFrame:
-    """Add ``diff_segments`` and the four counts. Whole texts, of any length."""
-    done = df.withColumn("_alignment", _align(F.col(original), F.col(transcribed)))
+def align(df: DataFrame, original: str, transcribed: str, segments: bool = True) -> DataFrame:
+    """Add the four counts and, with ``segments``, the runs as ``diff_segments``. Whole texts,
+    of any length."""
+    run = _align if segments else _align_counts
+    done = df.withColumn("_alignment", run(F.col(original), F.col(transcribed)))
     return done.select(*df.columns, "_alignment.*")
 
 

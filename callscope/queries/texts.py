@@ -281,17 +281,17 @@ CASE WHEN role = 'user' THEN 0 ELSE length(a) - length(replace(a, 'i', '')) END
 matched AS (SELECT *, length(a) - del_count - sub_count AS match_count FROM counted)"""
 
 
-def _asr(spark, d):
+def _asr(spark, d, segments=False):
     df = scan(spark, d, "conversations", "conv_id", "turn", "role", "text").select(
         "conv_id", "turn", F.col("text").alias("a"), _heard(F.col("role"), F.col("text")).alias("b")
     )
-    return match_rate(align(df, "a", "b"), "a", "b")
+    return match_rate(align(df, "a", "b", segments), "a", "b")
 
 
 @query("asr_diff", f"""WITH {ASR_SQL} SELECT conv_id, turn, match_count, sub_count, ins_count, del_count,
 levenshtein(a, b) AS distance, md5(a) AS original, md5(b) AS transcribed FROM matched""")
 def asr_diff(spark, d):
-    out = _asr(spark, d)
+    out = _asr(spark, d, segments=True)
     rebuilt = lambda field: F.md5(F.array_join(F.transform("diff_segments", lambda s: s[field]), ""))
     return out.select(
         "conv_id", "turn", "match_count", "sub_count", "ins_count", "del_count",
