@@ -150,10 +150,11 @@ def snapshots(daily: DataFrame) -> DataFrame:
 
 def as_of(daily: DataFrame, snapshot_id: str) -> DataFrame:
     """The daily table as it was right after a snapshot."""
-    row = daily.where(F.col("snapshot_id") == snapshot_id).agg(F.min("committed_at")).first()
+    row = daily.where(F.col("snapshot_id") == snapshot_id).agg(F.min("committed_at").cast("string")).first()
     if row[0] is None:
         raise LookupError(f"no snapshot {snapshot_id}")
-    return daily.where(F.col("committed_at") <= F.lit(row[0]))
+    # As text, since a Python time would be shifted by the zone of the session.
+    return daily.where(F.col("committed_at") <= F.lit(row[0]).cast("timestamp_ntz"))
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:

@@ -77,8 +77,14 @@ def daily_counts(
     calls: DataFrame, ts: str = "ts", watermark: str = "1 day", window: str = "1 day", churn: Column | None = None
 ) -> DataFrame:
     """Counts per day as a windowed aggregation, for a stream or a batch."""
-    # Watermarks need a time with a zone; the session's zone is used on the way in and out.
-    timed = calls.withColumn(ts, F.col(ts).cast("timestamp"))
+    # Watermarks need a time with a zone and windows begin at midnight UTC, so the wall-clock
+    # time is read as UTC, whatever the zone of the session.
+    wall = F.col(ts).cast("timestamp_ntz")
+    seconds = F.extract(F.lit("SECOND"), wall)
+    as_utc = F.make_timestamp(
+        F.year(wall), F.month(wall), F.dayofmonth(wall), F.hour(wall), F.minute(wall), seconds, F.lit("UTC")
+    )
+    timed = calls.withColumn(ts, as_utc)
     counted = timed.withWatermark(ts, watermark) if timed.isStreaming else timed
     grouped = counted.groupBy(F.window(ts, window).alias("_w")).agg(
         F.count("*").alias("total_calls"),
@@ -87,7 +93,8 @@ def daily_counts(
         F.count_if(F.col("sentiment") == "negative").alias("negative_sentiment_count"),
         F.avg("sentiment_score").alias("avg_sentiment_score"),
     )
-    return grouped.select(F.to_date("_w.start").alias("date"), *[c for c in grouped.columns if c != "_w"])
+    day = F.date_from_unix_date(F.floor(F.unix_seconds("_w.start") / 86400).cast("int"))
+    return grouped.select(day.alias("date"), *[c for c in grouped.columns if c != "_w"])
 
 
 def daily_stream(
