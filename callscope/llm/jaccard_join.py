@@ -39,7 +39,7 @@ from .shingles import shingle_sets, signature
 
 #: Bytes of text whose shingles a task combines before it sends them on.
 COMBINE_BYTES = 16 << 20
-SEEDS = (0x51ED27, 0xA3B195)
+SEEDS = tuple(0x9E3779B97F4A7C15 * k % 2**64 for k in range(1, 9))
 
 
 def needed(n, percent: int):
@@ -57,7 +57,7 @@ def _set_rows(docs: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("n", pa.int64()), ("sig", pa.int64())])
-        for batch in blocks(batches, "_text"):
+        for batch in blocks(batches, "_text", 1 << 20):
             sets = shingle_sets(texts_of(batch, "_text"))
             made = record([[len(s) for s in sets], [signature(s) for s in sets]], schema)
             yield pa.RecordBatch.from_arrays([ids_of(batch, "_id"), *made.columns], names=["_id", "n", "sig"])
@@ -98,7 +98,7 @@ def _prefix_rows(docs: DataFrame, percent: int) -> DataFrame:
 
         held: dict[int, np.ndarray] = {}
         size = 0
-        for batch in blocks(batches, "_text"):
+        for batch in blocks(batches, "_text", 1 << 20):
             texts = texts_of(batch, "_text")
             for s in shingle_sets(texts):
                 if len(s):
@@ -114,14 +114,44 @@ def _prefix_rows(docs: DataFrame, percent: int) -> DataFrame:
     return docs.mapInArrow(rows, "key long, kind byte, sig long, hits long")
 
 
+def _credits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``sig, hits`` from rows of ``_prefix_rows`` sorted by key.
+
+    The rows of a key, one for each combining step at most, may reach into the next batch.
+    """
+    schema = pa.schema([("sig", pa.int64()), ("hits", pa.int64())])
+    names = ("key", "kind", "sig", "hits")
+
+    def credit(rows: list[np.ndarray]) -> pa.RecordBatch:
+        key, kind, sig, hits = rows
+        own = kind == 2
+        told, said = sig[own], hits[own]
+        key, kind, sig = key[~own], kind[~own], sig[~own]
+        if len(key):
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            low, high = np.minimum.reduceat(np.where(kind == 1, np.iinfo(np.int64).max, sig), first), np.maximum.reduceat(np.where(kind == 1, np.iinfo(np.int64).min, sig), first)
+            shared = (low < high) | (np.maximum.reduceat(kind, first) == 1)
+            fine = np.repeat(shared, np.diff(np.concatenate([first, [len(key)]]))) & (kind == 0)
+            told, said = np.concatenate([told, sig[fine]]), np.concatenate([said, np.ones(int(fine.sum()), np.int64)])
+        sigs, at = np.unique(told, return_inverse=True)
+        return record([sigs, np.bincount(at, said, len(sigs)).astype(np.int64)], schema)
+
+    rest: list[np.ndarray] | None = None
+    for batch in batches:
+        rows = [ids_of(batch, c).to_numpy(zero_copy_only=False) for c in names]
+        rows = rows if rest is None else [np.concatenate([r, x]) for r, x in zip(rest, rows)]
+        cut = int(np.searchsorted(rows[0], rows[0][-1], side="left")) if len(rows[0]) else 0
+        rest = [r[cut:] for r in rows]
+        if cut:
+            yield credit([r[:cut] for r in rows])
+    if rest is not None and len(rest[0]):
+        yield credit(rest)
+
+
 def _candidates(docs: DataFrame, percent: int) -> DataFrame:
     """``sig, hits``: sets that share shingles with others, and how many of their first ones."""
-    rows = _prefix_rows(docs, percent)
-    # A key has a row for each combining step at most, however many sets hold the shingle.
-    by_key = rows.repartition("key").groupBy("key", F.expr("kind = 2").alias("own"))
-    told = by_key.agg(F.collect_list(F.struct("kind", "sig", "hits")).alias("r"))
-    shared = told.where("own or size(r) > 1").select("own", F.expr("own or exists(r, x -> x.kind = 1) or array_min(r.sig) <> array_max(r.sig)").alias("ok"), F.explode("r").alias("x"))
-    return shared.where("ok and x.kind <> 1").groupBy("x.sig").agg(F.sum(F.expr("if(own, x.hits, 1)")).alias("hits"))
+    rows = _prefix_rows(docs, percent).repartition("key").sortWithinPartitions("key")
+    return rows.mapInArrow(_credits, "sig long, hits long").groupBy("sig").agg(F.sum("hits").alias("hits"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -130,7 +160,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("sig", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
-        for batch in blocks(batches, "_text"):
+        for batch in blocks(batches, "_text", 1 << 20):
             out = []
             for sig, n, s in zip(ids_of(batch, "sig").to_pylist(), ids_of(batch, "n").to_pylist(), shingle_sets(texts_of(batch, "_text"))):
                 if len(s) == n and signature(s) == sig:  # an id may have several rows
@@ -188,8 +218,15 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
 
     mine = prefix.select("sig", "token", "n").join(opened, "sig")
     theirs = prefix.select("token", "g", F.col("sig").alias("b"), F.col("n").alias("nb"))
-    pairs = mine.join(theirs, ["token", "g"]).where(_sizes_fit(F.col("n"), F.col("nb"), percent)).select(F.col("sig").alias("a"), "b").distinct()
-    return inner.union(_linked(pairs, sets, percent))
+    shared = mine.join(theirs, ["token", "g"]).where(_sizes_fit(F.col("n"), F.col("nb"), percent)).groupBy(F.col("sig").alias("a"), "g", "b").agg(F.count("*").alias("m"))
+    pairs = stored(shared, "op1-pairs")
+    # One link with a group settles it, so the most promising member goes first, and the others
+    # are compared only where that one fails.
+    best = pairs.groupBy("a", "g").agg(F.max_by("b", F.struct("m", "b")).alias("b"))
+    linked = stored(_linked(best.select("a", "b"), sets, percent), "op1-first")
+    settled = linked.join(best, ["a", "b"]).select("a", "g")
+    others = pairs.join(settled, ["a", "g"], "left_anti").join(best, ["a", "g", "b"], "left_anti").select("a", "b")
+    return inner.union(linked).union(_linked(others, sets, percent))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents, labels
 from .jaccard_join import jaccard_components
+from .pii import find_pii
 from .quality_rules import fit_quality, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,3 +47,8 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT r.a, l.b FROM r
 SELECT s.doc_id, CAST(len(any_value(s.s)) AS BIGINT) AS n_shingles, min(r.b) AS component_id
 FROM sets s JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id
 """
+
+
+@query
+def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return find_pii(documents(spark, folder))
