@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import scratch_dir
 from .common import documents, labels
 from .jaccard_join import jaccard_components
+from .licenses import scan_licenses
 from .pii import find_pii
 from .quality_rules import fit_quality, quality_rules
+from .secrets import scan_secrets, secret_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,3 +55,14 @@ FROM sets s JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id
 @query
 def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
     return find_pii(documents(spark, folder))
+
+
+@query
+def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = scan_secrets(documents(spark, folder), scratch_dir(spark, "op10-ledger"))
+    return secret_report(found)
+
+
+@query
+def op2_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_licenses(documents(spark, folder))
