@@ -11,7 +11,8 @@ Documents are sets of five-word shingles. Two link when 100 |A and B| >= 80 |A o
    link with the bucket's leader, joined across buckets.
 4. The matrix of shingles and groups holds the union of each group's shingles. A set looks up
    its rarest shingles there (prefix filter on true frequencies); its overlap with the union of
-   a found group bounds its overlap with every member. Groups below the bound stay closed.
+   a found group bounds its overlap with every member. Groups below the bound stay closed. Of
+   two linked sets the smaller one shares more of itself, so its prefix is the shorter one.
    Groups are only looked up from smaller ones: a link inside a group adds nothing.
 5. Members of opened groups that share a rare shingle are compared exactly. The found links
    join groups into components.
@@ -162,7 +163,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         schema = pa.schema([("sig", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
         for batch in blocks(batches, "_text", 1 << 20):
             out = []
-            for sig, n, s in zip(ids_of(batch, "sig").to_pylist(), ids_of(batch, "n").to_pylist(), shingle_sets(texts_of(batch, "_text"))):
+            for sig, n, s in zip(*(ids_of(batch, c).to_pylist() for c in ("sig", "n")), shingle_sets(texts_of(batch, "_text"))):
                 if len(s) == n and signature(s) == sig:  # an id may have several rows
                     out.append((sig, n, s, [int(mix(s.view(np.uint64) ^ np.uint64(x)).min().view(np.int64)) for x in SEEDS]))
             yield record([list(c) for c in zip(*out)] if out else [[]] * 4, schema)
@@ -184,41 +185,53 @@ def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
 
 def _links(sets: DataFrame, percent: int) -> DataFrame:
     """Links ``a, b`` between sets that make the components of all links."""
-    keyed = sets.select("sig", "n", F.posexplode("keys").alias("r", "key"))
-    leaders = keyed.groupBy("r", "key").agg(F.min(F.struct("sig", "n")).alias("lead"), F.count("*").alias("m")).where("m > 1")
+    tokens = sets.select("sig", "n", F.explode("tokens").alias("token"))
+    shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = tokens.join(shared, "token").groupBy("sig", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("all"), (F.sum("df") / F.first("n")).alias("central"))
+    # Unshared shingles come first in the order, so they use up the start of the prefix; a set
+    # with too few shared ones has no partner and leaves here.
+    need = -F.floor(-F.col("n") * percent / 100)
+    as_smaller = -F.floor(-F.col("n") * 2 * percent / (100 + percent))
+    ranked = ranked.withColumn("keep", F.size("all") - need + 1).where("keep > 0")
+    ranked = stored(ranked.select("sig", "n", "central", F.expr("slice(all, 1, cast(keep as int)).token").alias("prefix"), (F.size("all") - as_smaller + 1).alias("short")), "op1-ranked")
+    sets = sets.join(ranked.select("sig", "central"), "sig")
+
+    # The set whose shingles are the commonest leads its buckets: what the others were made from.
+    keyed = sets.select("sig", "n", "central", F.posexplode("keys").alias("r", "key"))
+    leaders = keyed.groupBy("r", "key").agg(F.max(F.struct("central", "sig", "n")).alias("lead"), F.count("*").alias("m")).where("m > 1")
     stars = keyed.join(leaders, ["r", "key"]).where(F.col("sig") != F.col("lead.sig")).where(_sizes_fit(F.col("n"), F.col("lead.n"), percent))
     inner = stored(_linked(stars.select(F.col("sig").alias("a"), F.col("lead.sig").alias("b")).distinct(), sets, percent), "op1-stars")
 
     grouped = components(inner, "op1-groups")
-    group = sets.select("sig", "n").join(grouped.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "n", F.coalesce("component", "sig").alias("g"))
+    group = ranked.select("sig", "n").join(grouped.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "n", F.coalesce("component", "sig").alias("g"))
     sizes = group.groupBy("g").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"))
     group = stored(group.join(sizes, "g"), "op1-members")
 
-    tokens = sets.select("sig", F.explode("tokens").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = tokens.join(shared, "token").groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("all"))
-    # Unshared shingles come first in the order, so they use up the start of the prefix.
-    need = -F.floor(-F.col("n") * percent / 100)
-    prefix = ranked.join(group, "sig").withColumn("keep", F.size("all") - need + 1).where("keep > 0")
-    prefix = stored(prefix.select("sig", "n", "g", "members", "low", "high", F.explode(F.expr("slice(all, 1, cast(keep as int)).token")).alias("token")), "op1-prefix")
-
-    # The matrix: which groups hold a shingle. Only shingles of several groups can join two.
-    matrix = prefix.groupBy("token", "g").agg(F.first("members").alias("members"), F.first("low").alias("low"), F.first("high").alias("high"))
-    across = matrix.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1").select("token")
-    asks = prefix.join(across, "token", "left_semi").select("token", "sig", "n", F.col("g").alias("own"), F.col("members").alias("own_members"))
-    found = asks.join(matrix.join(across, "token", "left_semi"), "token").where("own_members < members or (own_members = members and own < g)")
+    prefix = ranked.select("sig", "n", "short", F.posexplode("prefix").alias("at", "token")).withColumn("short", F.col("at") < F.col("short")).drop("at")
+    prefix = stored(prefix.join(group.drop("n"), "sig"), "op1-prefix")
+
+    # The matrix: which groups hold a shingle, in the short prefix of how small and the long one
+    # of how large a member. Only shingles of several groups can join two.
+    matrix = prefix.groupBy("token", "g").agg(
+        F.first("members").alias("members"), F.first("low").alias("low"), F.first("high").alias("high"), F.min(F.when(F.col("short"), F.col("n"))).alias("least"), F.max("n").alias("most"),
+    )
+    across = matrix.groupBy("token").agg(F.count("*").alias("groups"), F.count("least").alias("shorts")).where("groups > 1 and shorts > 0").select("token")
+    asks = prefix.join(across, "token", "left_semi").select("token", "sig", "n", "short", F.col("g").alias("own"), F.col("members").alias("own_members"))
+    met = "(own_members < members or (own_members = members and own < g)) and (least <= n or (short and most >= n))"
+    found = asks.join(matrix.join(across, "token", "left_semi"), "token").where(met)
     found = found.where((100 * F.col("n") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("n")))
-    asked = stored(found.select("sig", "g").distinct(), "op1-asked")
+    asked = stored(found.select("sig", "g", "low").distinct(), "op1-asked")
 
     # Bound: overlap with the union of the group, against what the smallest fitting partner needs.
     union = sets.select("sig", "tokens").join(group.select("sig", "g"), "sig").join(asked.select("g").distinct(), "g", "left_semi").select("g", F.explode("tokens").alias("token")).distinct()
-    ours = asked.join(sets.select("sig", "n", "tokens"), "sig").select("sig", "n", "g", F.explode("tokens").alias("token"))
-    overlap = ours.join(union, ["g", "token"]).groupBy("sig", "g").agg(F.count("*").alias("most"), F.first("n").alias("n"))
-    opened = overlap.where(100 * F.col("most") >= percent * F.col("n")).select("sig", "g")
-
-    mine = prefix.select("sig", "token", "n").join(opened, "sig")
-    theirs = prefix.select("token", "g", F.col("sig").alias("b"), F.col("n").alias("nb"))
-    shared = mine.join(theirs, ["token", "g"]).where(_sizes_fit(F.col("n"), F.col("nb"), percent)).groupBy(F.col("sig").alias("a"), "g", "b").agg(F.count("*").alias("m"))
+    ours = asked.join(sets.select("sig", "n", "tokens"), "sig").select("sig", "n", "g", "low", F.explode("tokens").alias("token"))
+    overlap = ours.join(union, ["g", "token"]).groupBy("sig", "g").agg(F.count("*").alias("most"), F.first("n").alias("n"), F.first("low").alias("low"))
+    partner = F.greatest(F.col("low"), -F.floor(-F.col("n") * percent / 100))
+    opened = overlap.where((100 + percent) * F.col("most") >= percent * (F.col("n") + partner)).select("sig", "g")
+
+    mine = prefix.select("sig", "token", "n", "short").join(opened, "sig")
+    theirs = prefix.select("token", "g", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("short").alias("short_b"))
+    shared = mine.join(theirs, ["token", "g"]).where("(short_b and nb <= n) or (short and nb >= n)").where(_sizes_fit(F.col("n"), F.col("nb"), percent)).groupBy(F.col("sig").alias("a"), "g", "b").agg(F.count("*").alias("m"))
     pairs = stored(shared, "op1-pairs")
     # One link with a group settles it, so the most promising member goes first, and the others
     # are compared only where that one fails.

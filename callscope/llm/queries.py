@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_dir
 from .common import documents, labels
 from .jaccard_join import jaccard_components
 from .licenses import scan_licenses
+from .mixing import mix_sources
+from .packing import pack
 from .pii import find_pii
 from .quality_rules import fit_quality, quality_rules
 from .secrets import scan_secrets, secret_report
@@ -66,3 +69,13 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return scan_licenses(documents(spark, folder))
+
+
+@query
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_sources(documents(spark, folder, "doc_id", "text", "lang", "source")).drop("_text")
