@@ -54,16 +54,16 @@ def extra(n):
 
 
 def _set_rows(docs: DataFrame) -> DataFrame:
-    """``_id, n, sig`` of every row."""
+    """``_id, _mark, n, sig`` of every row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("n", pa.int64()), ("sig", pa.int64())])
         for batch in blocks(batches, "_text", 1 << 20):
             sets = shingle_sets(texts_of(batch, "_text"))
             made = record([[len(s) for s in sets], [signature(s) for s in sets]], schema)
-            yield pa.RecordBatch.from_arrays([ids_of(batch, "_id"), *made.columns], names=["_id", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([ids_of(batch, "_id"), ids_of(batch, "_mark"), *made.columns], names=["_id", "_mark", "n", "sig"])
 
-    return docs.mapInArrow(rows, f"_id {docs.schema['_id'].dataType.simpleString()}, n long, sig long")
+    return docs.mapInArrow(rows, f"_id {docs.schema['_id'].dataType.simpleString()}, _mark long, n long, sig long")
 
 
 def _prefix_rows(docs: DataFrame, percent: int) -> DataFrame:
@@ -242,10 +242,13 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     return inner.union(linked).union(_linked(others, sets, percent))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """``id, n_shingles, component_id`` of every row of ``docs``."""
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, mark: str | None = None) -> DataFrame:
+    """``id, n_shingles, component_id`` of every row of ``docs``.
+
+    ``mark`` names a further column, the xxhash64 of the row's text, for callers whose ids repeat.
+    """
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    rows = stored(_set_rows(docs), "op1-rows")
+    rows = stored(_set_rows(docs.withColumn("_mark", F.xxhash64("_text"))), "op1-rows")
     classes = rows.where("n > 0").groupBy("sig", "n").agg(F.min("_id").alias("rep"))
     least = F.greatest(F.lit(1), F.expr(f"-floor(-(-floor(-n * {percent} / 100)) / 10)"))
     wanted = stored(classes.join(_candidates(docs, percent), "sig").where(F.col("hits") >= least).select("rep", "sig", "n"), "op1-wanted")
@@ -256,5 +259,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least_id = named.groupBy("component").agg(F.min("rep").alias("least"))
     named = named.join(least_id, "component").select(F.col("node").alias("sig"), "least")
     final = classes.join(named, "sig", "left").select("sig", "n", F.coalesce("least", "rep").alias("component_id"))
-    alone = rows.where("n = 0").select("_id", "n", F.col("_id").alias("component_id"))
-    return rows.where("n > 0").join(final, ["sig", "n"]).select("_id", "n", "component_id").union(alone).select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    alone = rows.where("n = 0").select("_id", "_mark", "n", F.col("_id").alias("component_id"))
+    named = rows.where("n > 0").join(final, ["sig", "n"]).select("_id", "_mark", "n", "component_id").union(alone)
+    return named.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", *([F.col("_mark").alias(mark)] if mark else []))

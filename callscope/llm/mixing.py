@@ -4,7 +4,7 @@ Documents hang as leaves domain / language / source. The token budget goes down
 weights of siblings. What a node cannot use, because its documents times ``epochs`` are fewer
 tokens, its siblings take over first, by their weights; only what none of them can take reaches
 the siblings of the ancestors. Each leaf then reads its documents in a seeded order, epoch after
-epoch, and keeps the longest prefix of whole documents within its budget.
+epoch, and stops where its budget ends.
 
 Null names of a level count as one name, the empty one. Documents without words cost nothing and
 stay. Null and repeated ids are handled row by row; rows that are alike tie in every order. An
@@ -38,8 +38,8 @@ def _share_out(nodes: DataFrame, parent: Sequence[str]) -> DataFrame:
     """``given`` for siblings: ``total`` by ``weight``, never over ``room``, all of it if it fits.
 
     Siblings are filled in the order of room per weight. The level of filling at a sibling is what
-    the fuller ones left, over the weights from it on; once it lies below a sibling's room per
-    weight it is the same for all after it.
+    the ones before left, over the weights from it on; the first sibling whose room per weight
+    lies above sets the level of all after it.
     """
     w = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
     order = w.orderBy(F.col("room") / F.col("weight"), *LEVELS)
@@ -47,7 +47,7 @@ def _share_out(nodes: DataFrame, parent: Sequence[str]) -> DataFrame:
     after = order.rowsBetween(0, Window.unboundedFollowing)
     level = (F.col("total") - F.coalesce(F.sum("room").over(before), F.lit(0.0))) / F.sum("weight").over(after)
     staged = nodes.withColumn("level", level).withColumn("short", F.col("room") <= F.col("level") * F.col("weight"))
-    common = F.min(F.when(~F.col("short"), F.col("level"))).over(w)
+    common = F.max(F.when(~F.col("short"), F.col("level"))).over(w)
     return staged.withColumn("given", F.when(F.col("short"), F.col("room")).otherwise(F.greatest(F.lit(0.0), common * F.col("weight"))))
 
 
@@ -78,10 +78,11 @@ def mix_sources(
     docs: DataFrame, share: float = 0.8, epochs: int = 2, weights: Mapping[str, float] | None = None, seed: int = 1,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", domain: Column | None = None,
 ) -> DataFrame:
-    """``id, domain, lang, source, n_tokens, budget, copies`` of every row; the budget is ``share`` of all tokens.
+    """``id, domain, lang, source, n_tokens, budget, copies, part_tokens`` of every row; the budget is ``share`` of all tokens.
 
-    ``copies`` is how often a row is read: once for each whole epoch of its leaf, and once more
-    if it lies in the prefix of the last.
+    ``copies`` is how often a row is read whole: once for each whole epoch of its leaf, and once
+    more if it lies in the prefix of the last. The row at the end of the prefix is read up to
+    ``part_tokens`` more, so that a leaf's tokens are its budget exactly.
     """
     level = {"domain": domain_of(F.col(source_col)) if domain is None else domain, "lang": F.col(lang_col), "source": F.col(source_col)}
     rows = docs.select(F.col(id_col).alias("_id"), *[F.coalesce(c.cast("string"), F.lit("")).alias(k) for k, c in level.items()], word_count(F.col(text_col)).alias("n_tokens"), F.xxhash64(F.col(text_col).cast("string")).alias("_text"))
@@ -99,12 +100,15 @@ def mix_sources(
     bucket = F.shiftright(F.col("_key"), 32) + F.lit(2**31)
     bucket = F.floor(bucket * F.lit(buckets) / F.lit(2**32)).cast("bigint")
     placed = running(ordered, list(LEVELS), bucket, ["_key", "_id", "n_tokens"], "n_tokens", "_before", "op7-sums")
-    extra = (F.col("whole") < epochs) & (F.col("_before") + F.col("n_tokens") <= F.col("rest"))
-    return placed.select(F.col("_id").alias(id_col), *LEVELS, "n_tokens", "budget", (F.col("whole") + extra.cast("bigint")).alias("copies"), F.col("_text"))
+    open_ = F.col("whole") < epochs
+    extra = open_ & (F.col("_before") + F.col("n_tokens") <= F.col("rest"))
+    part = F.when(open_ & ~extra & (F.col("_before") < F.col("rest")), F.col("rest") - F.col("_before")).otherwise(0).cast("bigint")
+    copies = F.when(F.col("n_tokens") == 0, F.lit(epochs).cast("bigint")).otherwise(F.col("whole") + extra.cast("bigint"))
+    return placed.select(F.col("_id").alias(id_col), *LEVELS, "n_tokens", "budget", copies.alias("copies"), part.alias("part_tokens"), "_text")
 
 
 def keep_mixed(docs: DataFrame, share: float = 0.8, weights: Mapping[str, float] | None = None, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that one epoch at most reads, with all their columns.
+    """The rows of ``docs`` that one epoch at most reads whole, with all their columns.
 
     Rows are found again by id and text, nulls included; rows that are alike in both may be told
     apart only by their number, so all of them stay where one does.
