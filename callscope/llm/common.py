@@ -31,6 +31,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A stored table of a few numbers a row, marked for broadcast if it has at most ``rows`` rows.
+
+    A larger one is joined by a shuffle, with the same result.
+    """
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def hashed_bucket(column: str, modulus: int):
     """crc32 of the id's decimal text, modulo: the folds that decide which labels may be learned."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

@@ -11,8 +11,9 @@ Documents are sets of five-word shingles. Two link when 100 |A and B| >= 80 |A o
    link with the bucket's leader, joined across buckets.
 4. The matrix of shingles and groups holds the union of each group's shingles. A set looks up
    its rarest shingles there (prefix filter on true frequencies); its overlap with the union of
-   a found group bounds its overlap with every member. Groups below the bound stay closed. Of
-   two linked sets the smaller one shares more of itself, so its prefix is the shorter one.
+   a found group bounds its overlap with every member. Groups below the bound stay closed. How
+   far into either set a shingle lies bounds what they can share if it is the first (positional
+   filter), for the sizes of the two.
    Groups are only looked up from smaller ones: a link inside a group adds nothing.
 5. Members of opened groups that share a rare shingle are compared exactly. The found links
    join groups into components.
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, ids_of, mix, record, stored, texts_of
+from .common import blocks, ids_of, mix, record, sized, stored, texts_of
 from .graph import components
 from .shingles import shingle_sets, signature
 
@@ -157,7 +158,7 @@ def _candidates(docs: DataFrame, percent: int) -> DataFrame:
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``sig, n, tokens, keys`` of the wanted classes (``rep, sig, n``), recomputed from one text each."""
-    found = docs.join(wanted, docs["_id"].eqNullSafe(wanted["rep"])).select("_text", "sig", "n")
+    found = docs.join(sized(wanted), docs["_id"].eqNullSafe(wanted["rep"])).select("_text", "sig", "n")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("sig", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
@@ -179,6 +180,11 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
+def _part(n: Column, percent: int, whole: int) -> Column:
+    """ceil(n percent / whole)"""
+    return -F.floor(-n * percent / whole)
+
+
 def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return (100 * a >= percent * b) & (100 * b >= percent * a)
 
@@ -190,10 +196,8 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     ranked = tokens.join(shared, "token").groupBy("sig", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("all"), (F.sum("df") / F.first("n")).alias("central"))
     # Unshared shingles come first in the order, so they use up the start of the prefix; a set
     # with too few shared ones has no partner and leaves here.
-    need = -F.floor(-F.col("n") * percent / 100)
-    as_smaller = -F.floor(-F.col("n") * 2 * percent / (100 + percent))
-    ranked = ranked.withColumn("keep", F.size("all") - need + 1).where("keep > 0")
-    ranked = stored(ranked.select("sig", "n", "central", F.expr("slice(all, 1, cast(keep as int)).token").alias("prefix"), (F.size("all") - as_smaller + 1).alias("short")), "op1-ranked")
+    ranked = ranked.withColumn("keep", F.size("all") - _part(F.col("n"), percent, 100) + 1).where("keep > 0")
+    ranked = stored(ranked.select("sig", "n", "central", F.size("all").alias("shared"), F.expr("slice(all, 1, cast(keep as int)).token").alias("prefix")), "op1-ranked")
     sets = sets.join(ranked.select("sig", "central"), "sig")
 
     # The set whose shingles are the commonest leads its buckets: what the others were made from.
@@ -207,31 +211,33 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     sizes = group.groupBy("g").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"))
     group = stored(group.join(sizes, "g"), "op1-members")
 
-    prefix = ranked.select("sig", "n", "short", F.posexplode("prefix").alias("at", "token")).withColumn("short", F.col("at") < F.col("short")).drop("at")
+    # ``slack`` is the most that two sets can share if this is their first common shingle.
+    prefix = ranked.select("sig", "n", "shared", F.posexplode("prefix").alias("at", "token")).withColumn("slack", F.col("shared") - F.col("at")).drop("at", "shared")
     prefix = stored(prefix.join(group.drop("n"), "sig"), "op1-prefix")
 
-    # The matrix: which groups hold a shingle, in the short prefix of how small and the long one
-    # of how large a member. Only shingles of several groups can join two.
+    # The matrix: which groups hold a shingle, and how early. Only shingles of several groups, in
+    # the prefix of one that may be the smaller of a pair, can join two.
+    early = F.when(F.col("slack") >= _part(2 * F.col("n"), percent, 100 + percent), 1)
     matrix = prefix.groupBy("token", "g").agg(
-        F.first("members").alias("members"), F.first("low").alias("low"), F.first("high").alias("high"), F.min(F.when(F.col("short"), F.col("n"))).alias("least"), F.max("n").alias("most"),
+        F.first("members").alias("members"), F.first("high").alias("high"), F.min("n").alias("low"), F.max("slack").alias("slack_g"), F.count(early).alias("early"),
     )
-    across = matrix.groupBy("token").agg(F.count("*").alias("groups"), F.count("least").alias("shorts")).where("groups > 1 and shorts > 0").select("token")
-    asks = prefix.join(across, "token", "left_semi").select("token", "sig", "n", "short", F.col("g").alias("own"), F.col("members").alias("own_members"))
-    met = "(own_members < members or (own_members = members and own < g)) and (least <= n or (short and most >= n))"
+    across = matrix.groupBy("token").agg(F.count("*").alias("groups"), F.sum("early").alias("early")).where("groups > 1 and early > 0").select("token")
+    asks = prefix.join(across, "token", "left_semi").select("token", "sig", "n", "slack", F.col("g").alias("own"), F.col("members").alias("own_members"))
+    least = _part(F.col("n") + F.greatest(F.col("low"), _part(F.col("n"), percent, 100)), percent, 100 + percent)
+    met = F.expr("own_members < members or (own_members = members and own < g)") & (F.least("slack", "slack_g") >= least) & (100 * F.col("high") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("low"))
     found = asks.join(matrix.join(across, "token", "left_semi"), "token").where(met)
-    found = found.where((100 * F.col("n") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("n")))
-    asked = stored(found.select("sig", "g", "low").distinct(), "op1-asked")
+    asked = stored(found.groupBy("sig", "g").agg(F.min("low").alias("low")), "op1-asked")
 
     # Bound: overlap with the union of the group, against what the smallest fitting partner needs.
     union = sets.select("sig", "tokens").join(group.select("sig", "g"), "sig").join(asked.select("g").distinct(), "g", "left_semi").select("g", F.explode("tokens").alias("token")).distinct()
     ours = asked.join(sets.select("sig", "n", "tokens"), "sig").select("sig", "n", "g", "low", F.explode("tokens").alias("token"))
     overlap = ours.join(union, ["g", "token"]).groupBy("sig", "g").agg(F.count("*").alias("most"), F.first("n").alias("n"), F.first("low").alias("low"))
-    partner = F.greatest(F.col("low"), -F.floor(-F.col("n") * percent / 100))
-    opened = overlap.where((100 + percent) * F.col("most") >= percent * (F.col("n") + partner)).select("sig", "g")
+    opened = overlap.where(F.col("most") >= _part(F.col("n") + F.greatest(F.col("low"), _part(F.col("n"), percent, 100)), percent, 100 + percent)).select("sig", "g")
 
-    mine = prefix.select("sig", "token", "n", "short").join(opened, "sig")
-    theirs = prefix.select("token", "g", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("short").alias("short_b"))
-    shared = mine.join(theirs, ["token", "g"]).where("(short_b and nb <= n) or (short and nb >= n)").where(_sizes_fit(F.col("n"), F.col("nb"), percent)).groupBy(F.col("sig").alias("a"), "g", "b").agg(F.count("*").alias("m"))
+    mine = prefix.select("sig", "token", "n", "slack").join(opened, "sig")
+    theirs = prefix.select("token", "g", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("slack").alias("slack_b"))
+    early = F.least("slack", "slack_b") >= _part(F.col("n") + F.col("nb"), percent, 100 + percent)
+    shared = mine.join(theirs, ["token", "g"]).where(early & _sizes_fit(F.col("n"), F.col("nb"), percent)).groupBy(F.col("sig").alias("a"), "g", "b").agg(F.count("*").alias("m"))
     pairs = stored(shared, "op1-pairs")
     # One link with a group settles it, so the most promising member goes first, and the others
     # are compared only where that one fails.

@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm.common import documents, labels, stored
+from callscope.llm.common import documents, labels, sized, stored
 from callscope.llm.jaccard_join import jaccard_components
 from callscope.llm.mixing import keep_mixed
 from callscope.llm.packing import pack
@@ -32,7 +32,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = stored(jaccard_components(docs.select("doc_id", "text"), mark="_mark"), "pipeline-components")
     many = found.where("doc_id is not null").groupBy("doc_id", "_mark").agg(F.count("*").alias("_rows"), F.first("component_id").alias("_leader"))
     gone = many.where("doc_id <> _leader or _rows > 1").select(F.col("doc_id").alias("_gone"), F.col("_mark").alias("_gone_mark"))
+    gone = sized(stored(gone, "pipeline-gone"))
     again = many.where("doc_id = _leader and _rows > 1").select(F.col("doc_id").alias("_gone"), F.col("_mark").alias("_gone_mark"))
+    again = sized(stored(again, "pipeline-again"))
 
     def same(side: DataFrame) -> Column:
         return (docs["doc_id"] == side["_gone"]) & (F.xxhash64(docs["text"]) == side["_gone_mark"])
