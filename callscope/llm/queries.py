@@ -14,8 +14,10 @@ from .licenses import scan_licenses
 from .mixing import mix_sources
 from .packing import pack
 from .pii import find_pii
+from .quality_classifier import quality_report
 from .quality_rules import fit_quality, quality_rules
 from .secrets import scan_secrets, secret_report
+from .toxicity import toxicity_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -79,3 +81,13 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(documents(spark, folder, "doc_id", "text", "lang", "source")).drop("_text")
+
+
+@query
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity_report(documents(spark, folder), labels(spark, folder))
+
+
+@query
+def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_report(documents(spark, folder), labels(spark, folder))
