@@ -15,24 +15,47 @@ read. Very long texts are cut at window ends; a task holds one text at a time.
 from __future__ import annotations
 
 import os
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, codes_of, ids_of, stored, texts_of, words_of
+from .common import blocks, codes_of, ids_of, lower_ascii, stored, texts_of, utf8_bytes, words_of
 from .ranks import bucket_count, running
 
 CAPACITY = 4096
 END = 2
 #: Encoded words that a worker remembers; it starts anew beyond.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 _MARK = "\x00"
 
 
+_LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
+_STOP = np.isin(np.arange(256), list(b".,!?;:#*%&$"))
+
+
+def spaced(texts: pa.Array) -> pa.Array:
+    """The same ids from fewer different words: A-Z as a-z, and a blank between a letter and a stop.
+
+    The tokenizer lower-cases anyway and never joins the two. Texts that may name a special token stay.
+    """
+    raw, offsets = utf8_bytes(lower_ascii(texts))
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[offsets] = True
+    at = np.flatnonzero(_LETTER[raw[:-1]] & _STOP[raw[1:]] & ~edge[1:-1]) + 1 if len(raw) else np.zeros(0, np.int64)
+    made = np.insert(raw, at, 32)
+    ends = (offsets + np.searchsorted(at, offsets, side="left")).astype(np.int32)
+    out = pa.StringArray.from_buffers(len(texts), pa.py_buffer(ends.tobytes()), pa.py_buffer(made.tobytes()))
+    special = pc.match_substring(texts, "<|")
+    return pc.if_else(special, texts, out) if pc.any(special).as_py() else out
+
+
 class Encoder:
     """Ids of texts whose tokenizer never looks across ASCII white space, so that each different word is encoded once."""
 
@@ -42,37 +65,44 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-        self.mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        self.mark = self._ids([_MARK])[0]
+
+    @classmethod
+    def of_worker(cls, path: str) -> Encoder:
+        """The worker process's own encoder: later tasks find its words known."""
+        held = sys.modules.setdefault("_callscope_encoders", types.ModuleType("_callscope_encoders")).__dict__
+        if path not in held:
+            held[path] = cls(path)
+        return held[path]
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
         plain = [w for w in words if _MARK not in w]
         # Many words go through at once, with a mark between that no other word can give.
-        for start in range(0, len(plain), 1000):
-            part = plain[start : start + 1000]
-            ids = np.array(self.tokenizer.encode(f" {_MARK} ".join(part), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark[0])
-            pieces = np.split(ids, cuts)
-            if len(self.mark) != 1 or len(pieces) != len(part):
-                self.known.update((w, np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in part)
+        parts = [plain[k : k + 1000] for k in range(0, len(plain), 1000)]
+        odd = [w for w in words if _MARK in w]
+        for part, made in zip(parts, self._ids([f" {_MARK} ".join(p) for p in parts])):
+            cuts = (4 * np.flatnonzero(np.frombuffer(made, "<u4") == np.frombuffer(self.mark, "<u4")[0])).tolist()
+            if len(self.mark) != 4 or len(cuts) != len(part) - 1:
+                odd += part
                 continue
-            self.known.update((w, p[k > 0 :].tobytes()) for k, (w, p) in enumerate(zip(part, pieces)))
-        for w in words:
-            if _MARK in w:
-                self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+            self.known.update(zip(part, (made[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(made)]))))
+        self.known.update(zip(odd, self._ids(odd)))
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, the closing one last."""
-        words, owner = words_of(texts)
+        words, owner = words_of(spaced(texts))
         codes, dictionary = codes_of(words)
         different = dictionary.to_pylist()
         new = [w for w in different if w not in self.known]
         if new:
             if len(self.known) + len(new) > REMEMBERED:
+                self.known.clear()
                 new = different
             self._learn(new)
-        made = [self.known[w] for w in different]
+        made = list(map(self.known.__getitem__, different))
         flat = np.frombuffer(b"".join(made), "<u4")
         size = np.fromiter((len(m) // 4 for m in made), np.int64, len(made))
         start = np.cumsum(size) - size
@@ -93,7 +123,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
     narrow = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = Encoder.of_worker(tokenizer)
         for batch in blocks(batches, "_text"):
             rows: list[tuple[int, int, int, int, int]] = []
             for k, ids in enumerate(encoder.encode(texts_of(batch, "_text"))):

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_dir
 from .common import documents, labels
+from .embedding_forest import near_embeddings
 from .jaccard_join import jaccard_components
 from .licenses import scan_licenses
 from .mixing import mix_sources
@@ -91,3 +92,8 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_report(documents(spark, folder), labels(spark, folder))
+
+
+@query
+def op4_embedding_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return near_embeddings(spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding"))
