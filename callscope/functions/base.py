@@ -19,16 +19,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def contains_any(text: Column, words: Iterable[str]) -> Column:
     """Whether any of the words occurs in the text; false for null text."""
-    hits = [text.contains(word) for word in words]
-    found = hits[0]
-    for hit in hits[1:]:
-        found = found | hit
+    found = F.lit(False)
+    for word in words:
+        found = found | text.contains(word)
     return F.coalesce(found, F.lit(False))
 
 
 def first_contained(text: Column, mapping: Mapping[str, str]) -> Column:
     """Value of the first key, in mapping order, that occurs in the text; else null."""
-    return F.coalesce(*[F.when(text.contains(key), F.lit(value)) for key, value in mapping.items()])
+    return F.coalesce(*[F.when(text.contains(key), F.lit(value)) for key, value in mapping.items()], F.lit(None).cast("string"))
 
 
 def lookup(value: Column, mapping: Mapping[str, str], default: str) -> Column:

@@ -46,8 +46,10 @@ def strict_json(text: Column) -> Column:
 
 
 def parse_struct(text: Column, schema: T.StructType = MODEL_ANALYSIS) -> Column:
-    """JSON text to a struct; malformed text gives null instead of a struct of nulls."""
-    return F.when(F.try_parse_json(text).isNotNull(), F.from_json(text, schema))
+    """JSON text to a struct. Anything that is no object gives null instead of a struct of nulls;
+    a field of another type than asked is null in its struct."""
+    shape = F.schema_of_variant(F.try_parse_json(text))
+    return F.when(shape.startswith("OBJECT"), F.from_json(text, schema))
 
 
 @dataclass(frozen=True)

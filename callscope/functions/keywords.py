@@ -59,10 +59,7 @@ class KeywordIndex:
             for mask, bits in zip(masks, self._masks[category])
             if bits
         ]
-        total = parts[0]
-        for part in parts[1:]:
-            total = total + part
-        return total
+        return sum(parts[1:], parts[0]) if parts else F.lit(0)
 
     def ranked(self, masks: Sequence[Column]) -> Column:
         """``array<struct<category, score>>`` without zeros, best first, ties in dictionary order."""

@@ -16,11 +16,13 @@ from ..packs import (
 from .base import contains_any, first_contained, lookup
 
 
-def rule_analysis(text: Column, pack: RulePack = TELECOM_RULES) -> dict[str, Column]:
-    """The eight analysis columns from keyword rules alone."""
+def rule_analysis(text: Column, pack: RulePack = TELECOM_RULES, summary_chars: int | None = None) -> dict[str, Column]:
+    """The eight analysis columns from keyword rules alone. ``summary_chars`` cuts the summary."""
     downgrade = contains_any(text, pack.downgrade)
     bad_tone = contains_any(text, pack.bad_tone)
     price = contains_any(text, pack.price)
+    summary = F.coalesce(text, F.lit(""))
+    summary = summary if summary_chars is None else F.substring(summary, 1, summary_chars)
     level = lambda both, angry, anxious, calm: (
         F.when(downgrade & bad_tone, F.lit(both))
         .when(bad_tone, F.lit(angry))
@@ -34,7 +36,7 @@ def rule_analysis(text: Column, pack: RulePack = TELECOM_RULES) -> dict[str, Col
         .when(price, F.lit(pack.reason_price))
         .otherwise(F.lit(pack.reason_other)),
         "secondary_reason": F.lit(""),
-        "summary": F.translate(F.substring(F.coalesce(text, F.lit("")), 1, 80), "\n", " "),
+        "summary": F.translate(summary, "\n", " "),
         "confidence": level(0.8, 0.5, 0.5, 0.3),
         "text_emotion": level(angry, angry, anxious, calm),
         "bad_tone": bad_tone,
@@ -60,10 +62,17 @@ def map_emotion(sentiment: Column, pack: ReasonPack = TELECOM_REASONS) -> Column
     return lookup(sentiment, pack.emotions, pack.unknown_emotion)
 
 
-def model_columns(answer: Column, redacted: Column, pack: ReasonPack = TELECOM_REASONS) -> dict[str, Column]:
+def model_columns(
+    answer: Column, redacted: Column, pack: ReasonPack = TELECOM_REASONS, nulls: Column | None = None
+) -> dict[str, Column]:
     """The eight analysis columns from a model answer with the fields caller_intent,
-    switch_reason, sentiment, sentiment_score and summary."""
-    mood = F.coalesce(answer["sentiment"], F.lit("neutral"))
+    switch_reason, sentiment, sentiment_score and summary.
+
+    A field that is absent has a default. ``nulls`` tells which were given as JSON null: they
+    stay null, which is an unknown emotion and a score of 0.
+    """
+    given = (lambda name: F.coalesce(F.array_contains(nulls, name), F.lit(False))) if nulls is not None else (lambda name: F.lit(False))
+    mood = F.when(given("sentiment"), F.lit(None).cast("string")).otherwise(F.coalesce(answer["sentiment"], F.lit("neutral")))
     return {
         "downgrade_related": F.coalesce(answer["caller_intent"].isin(*pack.churn_intents), F.lit(False)),
         "primary_reason": map_reason(F.coalesce(answer["switch_reason"], F.lit("")), pack),
@@ -71,8 +80,10 @@ def model_columns(answer: Column, redacted: Column, pack: ReasonPack = TELECOM_R
         "summary": F.coalesce(answer["summary"], F.lit("")),
         "confidence": F.lit(0.85),
         "text_emotion": map_emotion(mood, pack),
-        "bad_tone": (mood == "negative") & F.coalesce(redacted.contains(pack.complaint_word), F.lit(False)),
-        "emotion_score": normalize_score(F.coalesce(answer["sentiment_score"], F.lit("0.5"))),
+        "bad_tone": F.coalesce(mood == "negative", F.lit(False)) & F.coalesce(redacted.contains(pack.complaint_word), F.lit(False)),
+        "emotion_score": normalize_score(
+            F.when(given("sentiment_score"), F.lit(None).cast("string")).otherwise(F.coalesce(answer["sentiment_score"], F.lit("0.5")))
+        ),
     }
 
 

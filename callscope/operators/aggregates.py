@@ -139,72 +139,52 @@ def asr_summary(df: DataFrame, accuracy: str = "char_accuracy", confidence: str
     )
 
 
-def _bisect(value: Column, cuts: Sequence[float], low: int = 0) -> Column:
-    """Number of cuts below the value, as a balanced comparison tree."""
-    if not cuts:
-        return F.lit(low)
-    middle = len(cuts) // 2
-    return F.when(value <= cuts[middle], _bisect(value, cuts[:middle], low)).otherwise(
-        _bisect(value, cuts[middle + 1 :], low + middle + 1)
-    )
-
-
 def exact_percentiles(
-    df: DataFrame, value: str, points: dict[str, float], by: Sequence[str] = (), slices: int = 64
+    df: DataFrame, value: str, points: dict[str, float], by: Sequence[str] = (), bins: int = 1024
 ) -> DataFrame:
-    """Percentiles by linear interpolation, exact, with no group in one task.
+    """Percentiles by linear interpolation, exact, with no group in one task and nothing sorted.
 
     The built-in ``percentile`` keeps a map of all distinct values of a group in one buffer.
-    Here equal values are counted first; ``slices - 1`` cut points, taken once from a bounded
-    sketch over all rows, spread the counted values over slices; counts per slice tell which
-    slice holds a wanted rank, and only those slices are sorted. A slice holds about one
-    ``slices``-th of the rows, or a single value that is more frequent than that.
+    Here equal values are counted first. The range that holds a wanted rank is cut into ``bins``
+    of equal width, counts per bin tell which holds the rank, and its least and largest value are
+    the next range, until that is one value. Each group narrows by itself, whatever its values;
+    a window only ever sees the counts of one range. Ranges are kept in the scratch folder.
     """
-    counted = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*by, F.col(value).cast("double").alias("_v"))
-        .agg(F.count("*").alias("_n"))
-    )
-    steps = [i / slices for i in range(1, slices)]
-    cuts = df.agg(F.percentile_approx(F.col(value).cast("double"), steps).alias("c")).first()["c"] or []
-    sliced = counted.withColumn("_s", _bisect(F.col("_v"), sorted(set(cuts))))
-
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    # At most ``slices`` rows per group from here to the join.
-    per_slice = sliced.groupBy(*by, "_s").agg(F.sum("_n").alias("_in"))
-    located = per_slice.select(
-        *by,
-        "_s",
-        "_in",
-        (F.sum("_in").over(group.orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_in")).alias("_start"),
-        F.sum("_in").over(group).alias("_total"),
-    )
-    position = {name: (F.col("_total") - 1) * F.lit(p) for name, p in points.items()}
-    low = {name: F.floor(pos) for name, pos in position.items()}
-    wanted = F.lit(False)
-    for name in points:
-        first, second = low[name], F.least(low[name] + 1, F.col("_total") - 1)
-        for rank in (first, second):
-            wanted = wanted | ((rank >= F.col("_start")) & (rank < F.col("_start") + F.col("_in")))
-    targets = located.where(wanted).select(
-        *[F.col(c).alias(f"_k_{c}") for c in by], F.col("_s").alias("_k_s"), "_start", "_total"
-    )
-    condition = F.col("_s") == F.col("_k_s")
-    for c in by:
-        condition = condition & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    in_slice = Window.partitionBy(*by, "_s").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = sliced.join(targets, condition).withColumn("_end", F.col("_start") + F.sum("_n").over(in_slice))
-    begins = F.col("_end") - F.col("_n")
+    from ..session import stored
+
+    group = list(by) or ["_all"]
+    base = df.where(F.col(value).isNotNull()).withColumn("_v", F.col(value).cast("double"))
+    if not by:
+        base = base.withColumn("_all", F.lit(0))
+    counted = stored(base.groupBy(*group, "_v").agg(F.count("*").alias("_n")), "percentile-counts")
+    # Null groups are told from each other by their JSON text.
+    counted = counted.withColumn("_g", F.to_json(F.struct(*group), {"ignoreNullFields": "false"}))
+    whole = counted.groupBy("_g").agg(*[F.first(c).alias(c) for c in group], F.sum("_n").alias("_total"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    ranks = []
+    for name, point in points.items():
+        position = (F.col("_total") - 1) * F.lit(point)
+        for side, rank in (("lo", F.floor(position)), ("hi", F.least(F.floor(position) + 1, F.col("_total") - 1))):
+            ranks.append(F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), rank.alias("rank"), (position - F.floor(position)).alias("part")))
+    wanted = whole.select("_g", *group, "_low", "_high", F.explode(F.array(*ranks)).alias("_r")).withColumn("_start", F.lit(0).cast("bigint"))
+    wanted = stored(wanted, "percentile-ranges")
+    while wanted.where("_low < _high").limit(1).count():
+        open_ = wanted.where("_low < _high").select("_g", "_low", "_high", "_start").distinct()
+        inside = counted.select("_g", "_v", "_n").join(open_, "_g").where("_v between _low and _high")
+        # Halved first, so that no width overflows.
+        share = (F.col("_v") / 2 - F.col("_low") / 2) / (F.col("_high") / 2 - F.col("_low") / 2)
+        bin_ = F.least(F.floor(share * bins), F.lit(bins - 1))
+        counts = inside.groupBy("_g", "_low", "_high", "_start", bin_.alias("_bin")).agg(F.sum("_n").alias("_in"), F.min("_v").alias("_from"), F.max("_v").alias("_to"))
+        range_ = Window.partitionBy("_g", "_low", "_high", "_start").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+        placed = counts.withColumn("_first", F.col("_start") + F.coalesce(F.sum("_in").over(range_), F.lit(0)))
+        found = wanted.where("_low < _high").join(placed, ["_g", "_low", "_high", "_start"]).where((F.col("_r.rank") >= F.col("_first")) & (F.col("_r.rank") < F.col("_first") + F.col("_in")))
+        narrowed = found.select("_g", *group, F.col("_from").alias("_low"), F.col("_to").alias("_high"), "_r", F.col("_first").alias("_start"))
+        wanted = stored(wanted.where("_low = _high").unionByName(narrowed), "percentile-ranges")
+    pick = lambda name, side, field: F.max(F.when((F.col("_r.name") == name) & (F.col("_r.side") == side), field))
     aggregates = []
     for name in points:
-        below = low[name]
-        above = F.least(below + 1, F.col("_total") - 1)
-        at = lambda rank: F.max(F.when((rank >= begins) & (rank < F.col("_end")), F.col("_v")))
-        aggregates += [at(below).alias(f"_lo_{name}"), at(above).alias(f"_hi_{name}"),
-                       F.max(position[name] - below).alias(f"_f_{name}")]
-    picked = ranked.groupBy(*by).agg(*aggregates)
-    value_of = lambda n: F.col(f"_lo_{n}") + F.col(f"_f_{n}") * (F.col(f"_hi_{n}") - F.col(f"_lo_{n}"))
-    return picked.select(*by, *[value_of(n).alias(n) for n in points])
+        low, high = pick(name, "lo", F.col("_low")), pick(name, "hi", F.col("_low"))
+        aggregates.append((low + pick(name, "lo", F.col("_r.part")) * (high - low)).alias(name))
+    return wanted.groupBy("_g").agg(*[F.first(c).alias(c) for c in group], *aggregates).select(*by, *points)
 
 
 LATENCY_POINTS = {"p50": 0.50, "p75": 0.75, "p95": 0.95, "p99": 0.99}

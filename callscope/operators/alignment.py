@@ -20,9 +20,6 @@ COUNTS = struct("match_count bigint, sub_count bigint, ins_count bigint, del_cou
 ALIGNMENT = T.StructType([T.StructField("diff_segments", T.ArrayType(SEGMENT)), *COUNTS.fields])
 
 
-_KEEP_BITS = 1 << 28
-
-
 def _positions(original: str) -> dict[str, int]:
     """Bit set of the positions of every character."""
     where: dict[str, int] = {}
@@ -49,12 +46,11 @@ def edit_runs(original: str, transcribed: str) -> list[tuple[str, int]]:
     """Run lengths of match, sub, del and ins from the front.
 
     Traced from the end: equal characters match, then substitution, deletion and insertion
-    are tried in that order. A small table is kept whole. Of a large one only every
-    ``step``-th column is; the ones between are computed again when the trace reaches them,
+    are tried in that order. Only every ``step``-th column is kept; the ones between are computed again when the trace reaches them,
     so memory grows with n * sqrt(n) bits.
     """
     m, n = len(original), len(transcribed)
-    step = max(n, 1) if m * n <= _KEEP_BITS else int(n**0.5) + 1
+    step = int(n**0.5) + 1
     where = _positions(original)
     saved, state = {0: ((1 << m) - 1, 0)}, ((1 << m) - 1, 0)
     for start in range(step, n, step):
@@ -135,7 +131,8 @@ def align(df: DataFrame, original: str, transcribed: str, segments: bool = True)
     """Add the four counts and, with ``segments``, the runs as ``diff_segments``. Whole texts,
     of any length."""
     run = _align if segments else _align_counts
-    done = df.withColumn("_alignment", run(F.col(original), F.col(transcribed)))
+    # Not to be copied into a filter by the optimizer: it would run twice.
+    done = df.withColumn("_alignment", run.asNondeterministic()(F.col(original), F.col(transcribed)))
     return done.select(*df.columns, "_alignment.*")
 
 

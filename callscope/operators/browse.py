@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 MAX_BROWSE = 200
 MAX_TOP_K = 20
+
+# ---- fixed values: columns of results, ready-made predicates -----------------------------
 RESULT_COLUMNS = (
     "doc_id", "text_emotion", "bad_tone", "emotion_score", "downgrade_related",
     "primary_reason", "secondary_reason",
 )
-
-# ---- fixed values: ready-made predicates -------------------------------------------------
 PREDICATES = {
     "avatars": "is_avatar = true",
     "not_ok": "analysis_status != 'ok'",
@@ -47,18 +47,22 @@ class Result:
 
 def scalar_query(
     df: DataFrame,
-    where: str | None = None,
-    top_k: int | None = 10,
+    where: str | None,
+    top_k: int | None,
     columns: Sequence[str] | None = None,
     lenient: bool = False,
     order_by: Sequence[str] = (),
     drop: Sequence[str] = (),
+    most_k: int | None = None,
 ) -> Result:
     """Rows that satisfy a predicate written as SQL.
 
+    ``top_k`` limits them; None takes all, and a number must be 1 to ``most_k`` if that is given.
     A predicate that does not resolve raises ``ValueError``. With ``lenient`` it is dropped
     instead and, as for no predicate at all in that mode, every row is returned.
     """
+    if top_k is not None and most_k is not None:
+        check_limit(top_k, most_k)
     kept = [c for c in (columns or df.columns) if c in df.columns and c not in drop]
     matching, used = df, None
     if where:

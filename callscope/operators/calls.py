@@ -158,19 +158,18 @@ def split_turns(df: DataFrame, id: str, text: str, pack: CallPack = TELECOM) ->
 
 def assemble(
     df: DataFrame, call: str, turn: str, role: str, text: str,
-    pack: CallPack = TELECOM, part_turns: int = 1000,
+    pack: CallPack = TELECOM, part_turns: int | None = None,
 ) -> DataFrame:
-    """Transcripts from turns, in parts of at most ``part_turns`` consecutive turn numbers.
+    """One transcript for each call, from its turns.
 
-    A usual call is one part (``part = 0``). An endless one becomes many rows instead of one
-    unbounded group; no turn is dropped.
+    With ``part_turns`` a call becomes rows of that many consecutive turn numbers, numbered in
+    ``part``, for calls too long for one row. Scoring needs neither: ``analyze_turns``.
     """
     line = F.struct(F.col(turn).alias("t"), spoken_line(F.col(role), F.col(text), pack).alias("line"))
-    grouped = df.groupBy(F.col(call), F.floor(F.col(turn) / part_turns).cast("bigint").alias("part")).agg(
-        F.array_sort(F.collect_list(line)).alias("_lines")
-    )
+    part = [F.floor(F.col(turn) / part_turns).cast("bigint").alias("part")] if part_turns else []
+    grouped = df.groupBy(F.col(call), *part).agg(F.array_sort(F.collect_list(line)).alias("_lines"))
     return grouped.select(
-        call, "part", F.array_join(F.transform("_lines", lambda x: x["line"]), "\n").alias("transcript")
+        call, *(["part"] if part else []), F.array_join(F.transform("_lines", lambda x: x["line"]), "\n").alias("transcript")
     )
 
 

@@ -8,7 +8,6 @@ from ..functions.base import let
 from ..packs import AVATAR_MESSAGES, AvatarLimits
 
 LONG_EDGE = 1024
-ERROR_CHARS = 500
 
 ANALYSIS_COLUMNS = {
     "width": "int", "height": "int", "face_count": "int", "face_score": "double",
@@ -106,11 +105,15 @@ def reset_analysis(df: DataFrame, backend: str) -> DataFrame:
     )
 
 
+def _cut(text: Column, chars: int | None) -> Column:
+    return text if chars is None else F.substring(text, 1, chars)
+
+
 def assign_status(
     df: DataFrame, blob: str = "image_blob", decodable: str = "decodable", model_error: str | None = None,
-    messages: dict[str, str] = AVATAR_MESSAGES,
+    messages: dict[str, str] = AVATAR_MESSAGES, error_chars: int | None = None,
 ) -> DataFrame:
-    """Row outcome: no blob, undecodable, model failure or ok, with the error text."""
+    """Row outcome: no blob, undecodable, model failure or ok, with the error text, cut to ``error_chars``."""
     present = F.coalesce(F.length(F.col(blob)) > 0, F.lit(False))
     readable = F.coalesce(F.col(decodable), F.lit(False))
     error = F.lit(None).cast("string") if model_error is None else F.col(model_error)
@@ -123,7 +126,7 @@ def assign_status(
     detail = (
         F.when(~present, F.lit(messages["missing"]))
         .when(~readable, F.lit(messages["undecodable"]))
-        .otherwise(F.substring(error, 1, ERROR_CHARS))
+        .otherwise(_cut(error, error_chars))
     )
     return df.withColumns({"analysis_status": status, "analysis_error": detail})
 
@@ -131,7 +134,7 @@ def assign_status(
 def embedding_status(
     df: DataFrame, model: str, dim: int, blob: str = "image_blob", decodable: str = "decodable",
     vector: str = "image_embedding", error: str | None = None,
-    messages: dict[str, str] = AVATAR_MESSAGES,
+    messages: dict[str, str] = AVATAR_MESSAGES, error_chars: int | None = None,
 ) -> DataFrame:
     """Row outcome of the embedding stage: skipped, failed or ok; only ok rows keep a vector."""
     present = F.coalesce(F.length(F.col(blob)) > 0, F.lit(False))
@@ -143,7 +146,7 @@ def embedding_status(
     detail = (
         F.when(~present, F.lit(messages["missing"]))
         .when(~readable, F.lit(messages["undecodable"]))
-        .when(given.isNotNull(), F.substring(given, 1, ERROR_CHARS))
+        .when(given.isNotNull(), _cut(given, error_chars))
         .when(~right, F.lit("vector missing or of the wrong length"))
     )
     return df.withColumns(

@@ -6,7 +6,7 @@ the number of partitions, micro-batching is ``spark.sql.execution.arrow.maxRecor
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
@@ -38,13 +38,15 @@ def map_model(
 
 
 def call_model(
-    inputs: list[Column], factory: Callable[[], Callable[..., Any]], returns: str = "string", micro_batch: int = 8
+    inputs: list[Column], factory: Callable[[], Callable[..., Any]], returns: str = "string", micro_batch: int = 8,
+    error_chars: int | None = None,
 ) -> Column:
     """``struct<value, error>`` of a model called row by row in micro-batches.
 
     A row on which the model raises gets the error text, and the others are unaffected. The
     model gets one list per input column and returns one list; a failing micro-batch is
-    retried row by row.
+    retried row by row. ``error_chars`` cuts error texts. The call counts as one that may
+    answer differently each time, so that no filter has it made twice.
     """
     schema = T.StructType.fromDDL(f"value {returns}, error string")
 
@@ -56,7 +58,7 @@ def call_model(
             return [(v, None) for v in values]
         except Exception as error:
             if len(columns[0]) == 1:
-                return [(None, f"{type(error).__name__}: {error}"[:500])]
+                return [(None, f"{type(error).__name__}: {error}"[:error_chars])]
             rows = []
             for n in range(len(columns[0])):
                 rows += guarded(model, [[c[n]] for c in columns])
@@ -76,9 +78,9 @@ def call_model(
 
     if len(inputs) == 1:
         run_single.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-        return F.pandas_udf(run_single, schema)(*inputs)
+        return F.pandas_udf(run_single, schema).asNondeterministic()(*inputs)
     run.__annotations__ = {"batches": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.DataFrame]}
-    return F.pandas_udf(run, schema)(*inputs)
+    return F.pandas_udf(run, schema).asNondeterministic()(*inputs)
 
 
 def map_with_errors(
@@ -93,20 +95,27 @@ def map_with_errors(
     return called.select(*df.columns, F.col("_called.value").alias(out), F.col("_called.error").alias("error"))
 
 
+def _null_fields(json: Column) -> Column:
+    """Names of the fields that an object gives as JSON null."""
+    value = lambda name: F.try_variant_get(F.try_parse_json(json), f"$.{name}", "variant")
+    return F.array_compact(F.array(*[F.when(F.is_variant_null(value(n)), F.lit(n)) for n in ("sentiment", "sentiment_score")]))
+
+
 def enrich(
     df: DataFrame, id: str, text: str, factory: Callable[[], Callable[..., Any]] | None,
     reasons: ReasonPack = TELECOM_REASONS, rules: RulePack = TELECOM_RULES, micro_batch: int = 8,
-    partitions: int | None = None,
+    partitions: int | None = None, keep: Sequence[str] = (), summary_chars: int | None = None,
 ) -> DataFrame:
     """Redact, ask the model, parse its answer; rows without a usable answer get the rules.
 
     ``model_used`` tells which way a row went and ``model_error`` why the model failed.
-    ``partitions`` sets how many calls are under way at most.
+    ``partitions`` sets how many calls are under way at most; ``keep`` names input columns that
+    stay in the result, ``summary_chars`` the length of summaries by rule.
     """
-    base = df.select(id, redact(F.coalesce(F.col(text), F.lit(""))).alias("transcript_redacted"))
+    base = df.select(id, *keep, redact(F.coalesce(F.col(text), F.lit(""))).alias("transcript_redacted"))
     if partitions is not None:
         base = base.repartition(partitions)
-    by_rule = R.rule_analysis(F.col("transcript_redacted"), rules)
+    by_rule = R.rule_analysis(F.col("transcript_redacted"), rules, summary_chars)
     if factory is None:
         return base.withColumns(
             {**by_rule, "model_used": F.lit(False), "model_error": F.lit(None).cast("string")}
@@ -116,7 +125,7 @@ def enrich(
     parsed = parsed.withColumn("_answer", F.from_json("_json", CALL_ANSWER))
     # An answer counts when it is an object with at least one field.
     usable = F.coalesce(F.size(F.json_object_keys("_json")) > 0, F.lit(False))
-    by_model = R.model_columns(F.col("_answer"), F.col("transcript_redacted"), reasons)
+    by_model = R.model_columns(F.col("_answer"), F.col("transcript_redacted"), reasons, _null_fields(F.col("_json")))
     chosen = {name: F.when(usable, by_model[name]).otherwise(by_rule[name]) for name in by_rule}
     return parsed.withColumns(
         {**chosen, "model_used": usable, "model_error": F.col("_call.error")}

@@ -8,7 +8,8 @@ from ..functions.base import let
 from ..functions.vectors import l2_normalize
 
 BLOCK = 4096
-SALTS = 32
+#: Blocks that share a salt: a signal spreads over as many partitions as it has stretches of these.
+SALT_BLOCKS = 16
 
 
 def signal_features(
@@ -19,21 +20,21 @@ def signal_features(
     ``idx`` counts the samples of a signal from 0 without gaps. A long signal is worked in
     blocks of 4096 samples: each block also gets the last sample of the block before it, so a
     sign change at the border is seen, and no window holds a whole signal. Length and peak
-    come from one aggregate; they are joined on the signal and a block salt, so one endless
-    signal spreads over 32 partitions. Scaling by the peak is done on the result: it divides
+    come from one aggregate; they are joined on the signal and a salt that counts stretches of
+    16 blocks, so the partitions of a signal grow with it. Scaling by the peak is done on the result: it divides
     every loudness and leaves signs alone.
     """
     rows = samples.select(F.col(signal), F.col(idx).cast("bigint").alias("_i"), F.col(value).cast("double").alias("_v"))
     stats = rows.groupBy(signal).agg(F.count("*").alias("_n"), F.max(F.abs("_v")).alias("_peak"))
-    # As many copies as a signal has salts: one for a signal that fits a block.
-    salts = F.least(F.floor(F.col("_n") / BLOCK), F.lit(SALTS - 1)).cast("int")
-    salted = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts)))
+    # As many copies as a signal has salts; the last border may reach into one more.
+    salts = F.floor(F.col("_n") / (BLOCK * SALT_BLOCKS))
+    salted = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts)))
 
     own_block = F.floor(F.col("_i") / BLOCK)
     ends_block = F.col("_i") % BLOCK == BLOCK - 1
     blocks = F.when(ends_block, F.array(own_block, own_block + 1)).otherwise(F.array(own_block))
     blocked = rows.withColumn("_own", own_block).withColumn("_block", F.explode(blocks))
-    blocked = blocked.withColumn("_salt", (F.col("_block") % SALTS).cast("int"))
+    blocked = blocked.withColumn("_salt", F.floor(F.col("_block") / SALT_BLOCKS))
 
     joined = blocked.join(salted.drop("_peak"), [signal, "_salt"])
     # The first n % buckets stretches hold one sample more than the others.

@@ -6,9 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import vectors as V
@@ -60,8 +58,7 @@ def bigram_scores(
 
 
 def bigram_search(
-    df: DataFrame, query: str, key: str = "call_id", text: Column | None = None,
-    k: int = 5, floor: float = 0.05, hasher: V.Hasher = F.xxhash64,
+    df: DataFrame, query: str, k: int, floor: float, key: str = "call_id", text: Column | None = None, hasher: V.Hasher = F.xxhash64,
 ) -> DataFrame:
     """Best matches of a query text. One narrow pass and a top-k; no text leaves its task."""
     source = search_text(F.col("summary"), F.col("transcript")) if text is None else text
@@ -82,11 +79,11 @@ def _vector_of(df: DataFrame, key: str, value: object, vector: str) -> list[floa
 
 def nearest(
     df: DataFrame,
+    k: int,
     key: str = "doc_id",
     vector: str = "embedding",
     like: object | None = None,
     query: Sequence[float] | None = None,
-    k: int = 5,
     where: str | Column | None = None,
     include_self: bool = False,
     postfilter: bool = False,
@@ -116,19 +113,6 @@ def nearest(
     return best.select(*columns) if columns else best.drop(vector)
 
 
-def nearest_lsh(
-    df: DataFrame, query: Sequence[float], key: str = "doc_id", vector: str = "embedding",
-    k: int = 5, bucket_length: float = 2.0, tables: int = 4, seed: int = 42,
-) -> DataFrame:
-    """Approximate nearest rows by random projections; ``nearest`` stays the exact answer."""
-    data = df.select(key, array_to_vector(vector).alias("_vec"))
-    model = BucketedRandomProjectionLSH(
-        inputCol="_vec", outputCol="_hash", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    ).fit(data)
-    found = model.approxNearestNeighbors(data, Vectors.dense(list(query)), k, distCol="_d")
-    return found.select(key, (F.col("_d") * F.col("_d")).alias("_distance"))
-
-
 @dataclass(frozen=True)
 class CellIndex:
     """Vectors written in one folder per cell, with each cell's centre and radius."""
@@ -146,21 +130,15 @@ class CellIndex:
 
 def build_cells(
     df: DataFrame, path: str, key: str = "doc_id", vector: str = "embedding",
-    cells: int = 64, seed: int = 42, train_rows: int | None = None,
+    cells: int = 64, seed: int = 42,
 ) -> CellIndex:
     """Cluster the vectors and write them partitioned by cell.
 
-    The centres are learned from about ``train_rows`` rows (2000 per cell unless given);
-    every row is written. Writing is ranged over cell and key hash, so a cell with a third of
+    The centres are learned from all rows, and every row is written. Writing is ranged over cell and key hash, so a cell with a third of
     all rows is spread over many files and a small one fills few.
     """
     data = df.where(F.col(vector).isNotNull()).withColumn("_vec", array_to_vector(vector))
-    wanted = train_rows or 2000 * cells
-    total = data.count()
-    training = data if total <= wanted else data.sample(fraction=wanted / total, seed=seed)
-    model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="_vec", predictionCol="cell").fit(
-        training.select("_vec")
-    )
+    model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="_vec", predictionCol="cell").fit(data.select("_vec"))
     centers = tuple(tuple(float(x) for x in c) for c in model.clusterCenters())
     assigned = model.transform(data).drop("_vec")
     ranged = assigned.repartitionByRange("cell", F.xxhash64(key))
@@ -173,7 +151,7 @@ def build_cells(
 
 
 def nearest_cells(
-    spark, index: CellIndex, query: Sequence[float], k: int = 5, probes: int = 4
+    spark, index: CellIndex, query: Sequence[float], k: int, probes: int = 4
 ) -> DataFrame:
     """Exact nearest rows, reading only the cells that can hold one.
 

@@ -16,7 +16,7 @@ from ..operators.browse import duration_gate
 from ..operators.images import assign_status, avatar_rules, reset_analysis
 from ..operators.models import call_model, enrich
 from ..packs import (
-    AvatarLimits, MAX_DURATION_S, MIN_DURATION_S, TELECOM_ACOUSTIC, TELECOM_REASONS, TELECOM_RULES,
+    AvatarLimits, TELECOM_ACOUSTIC, TELECOM_REASONS, TELECOM_RULES,
     AcousticPack, ReasonPack, RulePack,
 )
 from ..schemas import MODEL_ANALYSIS
@@ -25,7 +25,7 @@ from ..schemas import MODEL_ANALYSIS
 def call_batch(
     calls: DataFrame, factory: Callable[[], Callable[..., Any]] | None = None, blob: str | None = "audio_blob",
     measured: Column | None = None, rms: Column | None = None, acoustic: AcousticPack = TELECOM_ACOUSTIC,
-    reasons: ReasonPack = TELECOM_REASONS, rules: RulePack = TELECOM_RULES,
+    reasons: ReasonPack = TELECOM_REASONS, rules: RulePack = TELECOM_RULES, summary_chars: int | None = None,
 ) -> DataFrame:
     """Duration, acoustic emotion, redaction, analysis and embedding of calls, in one pass.
 
@@ -48,33 +48,35 @@ def call_batch(
     if factory is None:
         redacted = tagged.withColumn("transcript_redacted", redact(own))
         return redacted.withColumns(
-            {**R.rule_analysis(F.col("transcript_redacted"), rules), "model_used": F.lit(False)}
+            {**R.rule_analysis(F.col("transcript_redacted"), rules, summary_chars), "model_used": F.lit(False)}
         )
-    analysed = enrich(calls.select("doc_id", text.alias("transcript")), "doc_id", "transcript", factory, reasons, rules)
-    return tagged.join(analysed, "doc_id", "left")
+    # The input columns go along, so that repeated and null ids keep a row each.
+    kept = [c for c in tagged.columns if c != "doc_id"]
+    return enrich(tagged, "doc_id", "transcript", factory, reasons, rules, keep=kept, summary_chars=summary_chars)
 
 
 QUALITY_COLUMNS = (
-    "doc_id", "duration_s", "transcript", "acoustic_emotion", *[f.name for f in MODEL_ANALYSIS.fields],
+    "doc_id", "duration_s", "transcript", "acoustic_emotion", *[f.name for f in MODEL_ANALYSIS.fields], "model_error",
 )
 
 
 def quality_job(
-    calls: DataFrame, factory: Callable[[], Callable[..., Any]] | None = None,
-    low: float = MIN_DURATION_S, high: float = MAX_DURATION_S,
+    calls: DataFrame, low: float, high: float, factory: Callable[[], Callable[..., Any]] | None = None,
 ) -> DataFrame:
     """Toolkit job: gate by duration, redact without boundaries, prompt a model, parse, fill.
 
     Input: ``doc_id, audio_blob, duration_s, transcript, acoustic_emotion`` (speech
-    recognition has run). Without a model every analysis column gets its default.
+    recognition has run). Without a model every analysis column gets its default. ``model_error``
+    tells why the model failed on a row, which then has the defaults.
     """
     gated = duration_gate(calls.where(F.col("audio_blob").isNotNull()), low, high)
     clean = gated.withColumn("transcript", redact(F.col("transcript"), boundaries=False))
     if factory is None:
-        answered = clean.withColumn("_json", F.lit(None).cast("string"))
+        answered = clean.withColumns({"_json": F.lit(None).cast("string"), "model_error": F.lit(None).cast("string")})
     else:
         asked = call_model([quality_prompt(F.col("transcript"), F.col("acoustic_emotion"))], factory)
-        answered = clean.withColumn("_json", asked["value"])
+        called = clean.withColumn("_called", asked)
+        answered = called.withColumns({"_json": F.col("_called.value"), "model_error": F.col("_called.error")})
     parsed = answered.withColumn("_a", parse_struct(F.col("_json")))
     opened = parsed.withColumns({f.name: F.col(f"_a.{f.name}") for f in MODEL_ANALYSIS.fields})
     return opened.withColumns(R.fill_defaults()).select(*QUALITY_COLUMNS)

@@ -6,7 +6,7 @@ import re
 import threading
 import time
 import uuid
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -14,8 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.scalars import rendered
 
-ROW_CAP = 500
-
 # ---- fixed values: words that end the matter, and words a query may begin with -----------
 FORBIDDEN = (
     "INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "CREATE", "TRUNCATE", "GRANT", "REVOKE",
@@ -41,12 +39,12 @@ PRESETS = {
     "daily": "SELECT * FROM churn_predictions ORDER BY date DESC",
 }
 
-_QUOTED = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.|\"\")*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", re.S)
+_QUOTED = re.compile(r"\b[rR]'[^']*'|\b[rR]\"[^\"]*\"|'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.|\"\")*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", re.S)
 
 
 def is_read_only(sql: str) -> bool:
     """Whether the text is one reading statement. Literals and comments do not count, so a
-    string such as 'update' is harmless. ``replace(...)`` the function is no REPLACE."""
+    string such as 'update' is harmless. A raw literal ends at its next quote, whatever stands before. ``replace(...)`` the function is no REPLACE."""
     bare = _QUOTED.sub(lambda m: " " if m.group()[:2] in ("--", "/*") else "''", sql).strip().upper()
     bare = bare.rstrip(";").strip()
     bare = re.sub(r"\bREPLACE\s*\(", "(", bare)
@@ -82,10 +80,12 @@ def tables(spark: SparkSession) -> list[str]:
     return sorted(t.name for t in spark.catalog.listTables())
 
 
-def schemas(spark: SparkSession) -> dict[str, list[dict[str, str]]]:
+def schemas(spark: SparkSession, hidden: Sequence[str] = ("_", "sqlite_", "pg_", "information_schema", "duckdb_")) -> dict[str, list[dict[str, str]]]:
+    """Columns of every view, without those whose names begin like a system's."""
     return {
         name: [{"column": c.name, "type": c.dataType} for c in spark.catalog.listColumns(name)]
         for name in tables(spark)
+        if not name.lower().startswith(tuple(hidden))
     }
 
 
@@ -97,7 +97,7 @@ def guarded(spark: SparkSession, sql: str, cap: int | None = None) -> DataFrame:
     return frame if cap is None else frame.limit(cap)
 
 
-def run_sql(spark: SparkSession, sql: str, cap: int = ROW_CAP, timeout_s: float | None = None) -> SqlResult:
+def run_sql(spark: SparkSession, sql: str, cap: int, timeout_s: float | None = None) -> SqlResult:
     """Run a reading statement; at most ``cap`` rows reach the driver, errors come back as data.
 
     With ``timeout_s`` the jobs of the query are cancelled when the time is up.

@@ -82,10 +82,10 @@ def resized_dims(spark, d):
 
 
 @query("clip_box", f"""WITH {IMAGES_SQL}, c AS (SELECT doc_id, greatest(0, trunc(f.x1))::INT AS x1, greatest(0, trunc(f.y1))::INT AS y1,
-least(300, trunc(f.x2))::INT AS x2, least(200, trunc(f.y2))::INT AS y2 FROM face WHERE f IS NOT NULL), k AS (SELECT *, x2 > x1 AND y2 > y1 AS keep FROM c)
+least(300, trunc(f.x2))::INT AS x2, least(200, trunc(f.y2))::INT AS y2 FROM face), k AS (SELECT *, coalesce(x2 > x1 AND y2 > y1, false) AS keep FROM c)
 SELECT doc_id, CASE WHEN keep THEN x1 END AS x1, CASE WHEN keep THEN y1 END AS y1, CASE WHEN keep THEN x2 END AS x2, CASE WHEN keep THEN y2 END AS y2 FROM k""")
 def clip_box(spark, d):
-    faces = image_rows(spark, d).select("doc_id", I.largest_face(F.col("faces")).alias("f")).where(F.col("f").isNotNull())
+    faces = image_rows(spark, d).select("doc_id", I.largest_face(F.col("faces")).alias("f"))
     return faces.select("doc_id", I.clip_box(F.col("f"), F.lit(300), F.lit(200)).alias("b")).select("doc_id", "b.*")
 
 
@@ -253,14 +253,11 @@ def strict_json(spark, d):
 
 
 @query("json_struct", """SELECT event_id, CASE WHEN event_type = 'purchase' THEN json_extract_string(props, '$.k')::BIGINT END AS k,
-event_type = 'purchase' AS parsed FROM events WHERE event_type IN ('purchase', 'error', 'view')""")
+event_type = 'purchase' AS parsed FROM events""")
 def json_struct(spark, d):
     from pyspark.sql.types import StructType
 
-    events = table(spark, d, "events").where("event_type IN ('purchase', 'error', 'view')").select("event_id")
-    parsed = _wrapped(spark, d).join(events, "event_id", "left_semi").select(
-        "event_id", J.parse_struct(F.col("raw"), StructType.fromDDL("k bigint")).alias("s")
-    )
+    parsed = _wrapped(spark, d).select("event_id", J.parse_struct(F.col("raw"), StructType.fromDDL("k bigint")).alias("s"))
     return parsed.select("event_id", F.col("s.k").alias("k"), F.col("s").isNotNull().alias("parsed"))
 
 
@@ -293,8 +290,9 @@ def event_signal(spark, d):
 def event_samples(events):
     """Events of one type as a signal, numbered without gaps.
 
-    The number of a row is its rank within a stretch of ids plus the rows of the stretches
-    before, so no type is sorted as a whole.
+    The number of a row is its rank within a stretch of 1000 ids, plus the rows of the stretches
+    before in a thousand of them, plus those of the thousands before: no window sees more than a
+    thousand rows, or one of a million ids.
     """
     from pyspark.sql import Window
 
@@ -302,11 +300,12 @@ def event_samples(events):
         F.col("event_type").alias("signal_id"), "event_id", (F.col("value") - 30).alias("v"),
         F.floor(F.col("event_id") / 1000).alias("_part"),
     )
-    sizes = rows.groupBy("signal_id", "_part").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("signal_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(
-        F.col("signal_id"), "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
-    )
+    sizes = rows.groupBy("signal_id", "_part").agg(F.count("*").alias("_n")).withColumn("_top", F.floor(F.col("_part") / 1000))
+    tops = sizes.groupBy("signal_id", "_top").agg(F.sum("_n").alias("_m"))
+    earlier = lambda order, *group: Window.partitionBy("signal_id", *group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("signal_id", "_top", F.coalesce(F.sum("_m").over(earlier("_top")), F.lit(0)).alias("_base"))
+    local = sizes.withColumn("_local", F.coalesce(F.sum("_n").over(earlier("_part", "_top")), F.lit(0)))
+    starts = local.join(tops, ["signal_id", "_top"]).select("signal_id", "_part", (F.col("_base") + F.col("_local")).alias("_start"))
     within = Window.partitionBy("signal_id", "_part").orderBy("event_id")
     numbered = rows.withColumn("_r", F.row_number().over(within) - 1).join(starts, ["signal_id", "_part"])
     return numbered.select("signal_id", (F.col("_start") + F.col("_r")).alias("idx"), "v")

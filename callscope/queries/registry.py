@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import spread
-
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -31,5 +29,5 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def scan(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    """Columns of a table for work that is heavy per row."""
-    return spread(table(spark, folder, name).select(*columns))
+    """Columns of a table."""
+    return table(spark, folder, name).select(*columns)

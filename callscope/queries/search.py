@@ -208,7 +208,7 @@ def bigram_jaccard(spark, d):
 
 @query("bigram_search")
 def bigram_search(spark, d):
-    found = N.bigram_search(scan(spark, d, "documents", "doc_id", "text"), SEARCH_FOR, "doc_id", F.col("text"), k=10)
+    found = N.bigram_search(scan(spark, d, "documents", "doc_id", "text"), SEARCH_FOR, 10, 0.05, "doc_id", F.col("text"))
     return found.select("doc_id", F.round("_similarity", 6).alias("similarity"))
 
 
@@ -246,7 +246,7 @@ def bigram_similarity(spark, d):
 @query("bigram_search_top", f"{SCORED} SELECT doc_id, round(s::DOUBLE, 6) AS similarity FROM scored WHERE s >= 0.05 ORDER BY s DESC, doc_id LIMIT 10")
 def bigram_search_top(spark, d):
     docs = scan(spark, d, "documents", "doc_id", "text")
-    found = N.bigram_search(docs, SEARCH_FOR, "doc_id", F.col("text"), k=10, hasher=_letter_hash)
+    found = N.bigram_search(docs, SEARCH_FOR, 10, 0.05, "doc_id", F.col("text"), hasher=_letter_hash)
     return found.select("doc_id", F.round("_similarity", 6).alias("similarity"))
 
 
@@ -286,12 +286,12 @@ def _near(df):
 
 @query("nearest_by_row", f"""{LIKE_7} SELECT vec_id, label, round({DISTANCE}, 6) AS distance FROM embeddings e, q WHERE vec_id <> 7 ORDER BY {DISTANCE}, vec_id LIMIT 10""")
 def nearest_by_row(spark, d):
-    return _near(N.nearest(table(spark, d, "embeddings"), "vec_id", like=7, k=10))
+    return _near(N.nearest(table(spark, d, "embeddings"), 10, "vec_id", like=7))
 
 
 @query("nearest_with_self", f"""{LIKE_7} SELECT vec_id, label FROM embeddings e, q ORDER BY {DISTANCE}, vec_id LIMIT 10""")
 def nearest_with_self(spark, d):
-    return N.nearest(table(spark, d, "embeddings"), "vec_id", like=7, k=10, include_self=True, columns=("vec_id", "label"))
+    return N.nearest(table(spark, d, "embeddings"), 10, "vec_id", like=7, include_self=True, columns=("vec_id", "label"))
 
 
 ASKED = [round(((i * 37) % 19 - 9) / 60.0, 6) for i in range(64)]
@@ -302,13 +302,13 @@ WHERE label NOT IN (8, 9) AND label > 2 ORDER BY {DISTANCE}, vec_id LIMIT 10""")
 def nearest_filtered(spark, d):
     ok = F.when(F.col("label") >= 8, "failed").otherwise("ok")
     rows = table(spark, d, "embeddings").withColumn("embedding_status", ok)
-    return _near(N.nearest(rows, "vec_id", query=ASKED, k=10, where="(embedding_status = 'ok') AND (label > 2)"))
+    return _near(N.nearest(rows, 10, "vec_id", query=ASKED, where="(embedding_status = 'ok') AND (label > 2)"))
 
 
 @query("nearest_postfiltered", f"""{LIKE_7} SELECT * FROM (SELECT vec_id, label, round({DISTANCE}, 6) AS distance FROM embeddings e, q WHERE vec_id <> 7
 ORDER BY {DISTANCE}, vec_id LIMIT 20) WHERE label > 4""")
 def nearest_postfiltered(spark, d):
-    return _near(N.nearest(table(spark, d, "embeddings"), "vec_id", like=7, k=20, where="label > 4", postfilter=True))
+    return _near(N.nearest(table(spark, d, "embeddings"), 20, "vec_id", like=7, where="label > 4", postfilter=True))
 
 
 @query("nearest_cells", f"""WITH q AS (SELECT {ASKED}::DOUBLE[] AS v) SELECT vec_id, label, round({DISTANCE}, 6) AS distance FROM embeddings e, q
@@ -316,9 +316,3 @@ ORDER BY {DISTANCE}, vec_id LIMIT 10""")
 def nearest_cells(spark, d):
     index = N.build_cells(table(spark, d, "embeddings"), scratch_dir(spark, "cells"), "vec_id", cells=16)
     return _near(N.nearest_cells(spark, index, ASKED, k=10, probes=3))
-
-
-@query("nearest_lsh")
-def nearest_lsh(spark, d):
-    found = N.nearest_lsh(table(spark, d, "embeddings"), ASKED, "vec_id", k=10)
-    return found.select("vec_id", F.round("_distance", 6).alias("distance"))

@@ -127,10 +127,10 @@ def stored_analysis(spark, d):
 
 @query("compacted_table", "SELECT count(*) AS rows, sum(n_chars)::BIGINT AS chars, 1::BIGINT AS files FROM documents")
 def compacted_table(spark, d):
-    """Every language in eight files, rewritten whole; a bound by size replaces the row rule here."""
+    """Documents' sizes in 64 files, compacted to files of 256 MB: one here, more for a larger table."""
     path = scratch_dir(spark, "fragments")
-    table(spark, d, "documents").select("doc_id", "lang", "n_chars").repartition(8, "doc_id").write.parquet(path)
-    merged = spark.read.parquet(K.rewrite(spark.read.parquet(path).coalesce(1), path))
+    table(spark, d, "documents").select("doc_id", "lang", "n_chars").repartition(64, "doc_id").write.parquet(path)
+    merged = spark.read.parquet(K.compact(spark, path))
     return merged.agg(
         F.count("*").alias("rows"), F.sum("n_chars").alias("chars"), F.count_distinct(F.col("_metadata.file_path")).alias("files")
     )
@@ -149,6 +149,25 @@ def call_batch_job(spark, d):
     return out.select("doc_id", "duration_s", "acoustic_emotion", "downgrade_related", "bad_tone", F.size("audio_embedding").alias("dim"))
 
 
+def _short_model():
+    def answer(texts):
+        return ['{"caller_intent": "close", "sentiment": null}' if len(t) % 2 else "no" for t in texts]
+
+    return answer
+
+
+@query("call_batch_model", f"""WITH r AS (SELECT CASE WHEN doc_id % 10 = 0 THEN NULL ELSE doc_id // 3 END AS doc_id, length(text) % 2 = 1 AS used,
+{fx.any_of('text', fx.RULES.downgrade)} AS down, {fx.any_of('text', fx.RULES.bad_tone)} AS bad FROM documents)
+SELECT doc_id, used AS model_used, CASE WHEN used THEN true ELSE down END AS downgrade_related, CASE WHEN used THEN false ELSE bad END AS bad_tone,
+CASE WHEN used THEN 'unknown' WHEN bad THEN 'upset' WHEN down THEN 'anxious' ELSE 'calm' END AS text_emotion FROM r""")
+def call_batch_model(spark, d):
+    """Repeated and null ids keep a row each."""
+    key = F.when(F.col("doc_id") % 10 != 0, F.floor(F.col("doc_id") / 3))
+    calls = scan(spark, d, "documents", "doc_id", "text").select(key.alias("doc_id"), F.col("text").alias("transcript"))
+    out = call_batch(calls, _short_model, blob=None, acoustic=fx.ACOUSTIC, reasons=fx.REASONS, rules=fx.RULES)
+    return out.select("doc_id", "model_used", "downgrade_related", "bad_tone", "text_emotion")
+
+
 def _quality_model():
     def answer(prompts):
         return ['{"downgrade_related": true, "primary_reason": "价格敏感", "confidence": 0.7}' if "hatt" in p else "no" for p in prompts]
@@ -164,7 +183,7 @@ def quality(spark, d):
         "doc_id", F.col("text").cast("binary").alias("audio_blob"), (F.col("n_chars") / 4.0).alias("duration_s"),
         F.col("text").alias("transcript"), F.lit("NEUTRAL").alias("acoustic_emotion"),
     )
-    out = quality_job(calls, _quality_model, low=10)
+    out = quality_job(calls, 10, 1800, _quality_model)
     return out.select("doc_id", "duration_s", "downgrade_related", "primary_reason", "confidence", "text_emotion", "secondary_reason")
 
 
@@ -198,6 +217,6 @@ def stream_analyze(spark, d):
 def stream_daily(spark, d):
     sink = scratch_dir(spark, "daily-live")
     calls = fx.call_rows(_stream(spark, d, "events")).drop("date")
-    R.daily_stream(calls, sink, scratch_dir(spark, "daily-live-checkpoint")).awaitTermination()
+    R.daily_stream(calls, sink, scratch_dir(spark, "daily-live-checkpoint"), "1 day").awaitTermination()
     daily = R.read_daily_stream(spark, sink)
     return daily.withColumn("avg_sentiment_score", F.round("avg_sentiment_score", 6))

@@ -175,7 +175,7 @@ def rule_analysis(spark, d):
 
 def ruled(spark, d):
     return scan(spark, d, "documents", "doc_id", "text").select(
-        "doc_id", *[c.alias(n) for n, c in R.rule_analysis(F.col("text"), fx.RULES).items()]
+        "doc_id", *[c.alias(n) for n, c in R.rule_analysis(F.col("text"), fx.RULES, 80).items()]
     )
 
 
@@ -259,11 +259,11 @@ def turns_split(spark, d):
     return turns.select("doc_id", F.col("turn").cast("bigint").alias("turn"), "role", F.md5("text").alias("text"))
 
 
-@query("transcript_assemble", f"""SELECT conv_id, (turn // 4)::BIGINT AS part, md5(string_agg(CASE role WHEN 'assistant' THEN 'assistant: '
-WHEN 'user' THEN 'user: ' ELSE '' END || text, chr(10) ORDER BY turn)) AS transcript FROM conversations GROUP BY 1, 2""")
+@query("transcript_assemble", f"""SELECT conv_id, md5(string_agg(CASE role WHEN 'assistant' THEN 'assistant: '
+WHEN 'user' THEN 'user: ' ELSE '' END || text, chr(10) ORDER BY turn)) AS transcript FROM conversations GROUP BY 1""")
 def transcript_assemble(spark, d):
-    parts = C.assemble(scan(spark, d, "conversations", "conv_id", "turn", "role", "text"), "conv_id", "turn", "role", "text", PACK, part_turns=4)
-    return parts.select("conv_id", "part", F.md5("transcript").alias("transcript"))
+    whole = C.assemble(scan(spark, d, "conversations", "conv_id", "turn", "role", "text"), "conv_id", "turn", "role", "text", PACK)
+    return whole.select("conv_id", F.md5("transcript").alias("transcript"))
 
 
 # Transcriptions with errors of which the counts are known: every h is lost and every i is

@@ -43,7 +43,6 @@ DAILY_CHURN = struct(
     "top_switch_reason string, avg_sentiment_score float, processed_at timestamp_ntz"
 )
 
-OFFLINE_CALL = struct("doc_id string, audio_blob binary, transcript string")
 
 IMAGE = struct(
     "doc_id string not null, description string, source_path string, mime_type string, "
@@ -54,7 +53,6 @@ IMAGE = struct(
     "avatar_confidence double, analysis_reason string, embedding_status string, "
     "embedding_error string, embedding_model string, image_embedding array<float>"
 )
-IMAGE_EMBEDDING_DIM = 512
 
 MODEL_ANALYSIS = struct(
     "downgrade_related boolean, primary_reason string, secondary_reason string, summary string, "
@@ -69,8 +67,5 @@ IMAGE_MANIFEST = struct(
 RAW_TRANSCRIPT = struct("call_id string, transcript string, timestamp string, metadata map<string,string>")
 
 # Fixed vocabularies.
-ANALYSIS_STATUSES = ("pending", "download_failed", "decode_failed", "ok", "llm_failed")
-EMBEDDING_STATUSES = ("pending", "skipped", "processing", "ok", "failed")
 RISK_LEVELS = ("high", "medium", "low")
-SENTIMENTS = ("negative", "neutral", "positive")
 OBJECT_PREFIXES = ("raw_audio", "voice_analysis", "analytics")

@@ -19,6 +19,8 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8) -> SparkSess
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Scans deal files with several row groups over all cores; no shuffle does.
+        .config("spark.sql.files.minPartitionNum", str(cpus if cpus != "*" else 8))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("CALLSCOPE_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
@@ -45,12 +47,8 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan over the cluster when it came in fewer splits than there are cores.
-
-    For work that is heavy per row. A large table has more splits than cores and stays as it
-    is, without a shuffle; only a small one in few row groups is dealt out, by the hash of
-    whole rows. Use it directly on a scan: counting the splits runs no job there.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *df.columns) if df.rdd.getNumPartitions() < cores else df
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write to the shared scratch folder and read back: cuts the lineage, survives lost executors."""
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -74,11 +75,15 @@ def attach_blobs(
 ) -> DataFrame:
     """Join file contents (``path, content``) to manifest rows.
 
+    Contents are joined to the distinct paths that the manifest names, not the other way round:
+    a file in no manifest is dropped before its content meets a shuffle.
+
     ``missing`` says what becomes of a row without a file: ``keep`` marks it
     ``download_failed``, ``drop`` leaves it out, ``text`` falls back to the backup files and
     then to the row's own text. With ``text`` the column ``from_audio`` tells the source.
     """
-    found = files.select(F.col("path").alias(on), F.col("content").alias(blob))
+    asked = manifest.select(on).where(F.col(on).isNotNull()).distinct()
+    found = files.select(F.col("path").alias(on), F.col("content").alias(blob)).join(asked, on, "left_semi")
     if missing == "drop":
         return manifest.join(found, on).where(F.col(blob).isNotNull())
     if missing == "keep":
@@ -96,11 +101,12 @@ def attach_blobs(
         if text is None:
             raise ValueError("missing='text' needs the text column")
         joined = manifest.join(found.withColumnRenamed(blob, "_first"), on, "left")
-        audio = F.col("_first")
+        # An empty file is none.
+        audio = F.when(F.length("_first") > 0, F.col("_first"))
         if backup is not None:
-            second = backup.select(F.col("path").alias(on), F.col("content").alias("_second"))
+            second = backup.select(F.col("path").alias(on), F.col("content").alias("_second")).join(asked, on, "left_semi")
             joined = joined.join(second, on, "left")
-            audio = F.coalesce(F.when(F.length("_first") > 0, F.col("_first")), F.when(F.length("_second") > 0, F.col("_second")))
+            audio = F.coalesce(audio, F.when(F.length("_second") > 0, F.col("_second")))
         words = F.coalesce(F.col(text), F.lit("")).cast("binary")
         return joined.withColumns({blob: F.coalesce(audio, words), "from_audio": audio.isNotNull()}).drop("_first", "_second")
     raise ValueError("missing must be keep, drop or text")
@@ -118,20 +124,28 @@ def blob_lookup(df: DataFrame, key: str, value: object, blob: str = "image_blob"
 
 
 def export_blobs(df: DataFrame, ids: DataFrame, folder: str, key: str = "doc_id", blob: str = "audio_blob") -> None:
-    """Write the blobs of the given ids to files named by id, in a folder all executors share.
+    """Write the blobs of the given ids to files in a folder that all executors share.
+
+    A file is named by the whole id, percent-encoded, so that no two ids share one.
 
-    Ids are selected before the blob column is read. Each file appears under its name only
+    The folder is a path or a ``file:`` address that every executor has mounted; Python cannot
+    write to other stores. Ids are selected before the blob column is read. Each file appears under its name only
     when complete, so a task that runs again does no harm.
     """
 
+    if "://" in folder and not folder.startswith("file://"):
+        raise ValueError("export_blobs needs a mounted folder")
+    folder = re.sub("^file:/*", "/", folder)
+
     def write(rows) -> None:
         import os
         import uuid
+        from urllib.parse import quote
 
         os.makedirs(folder, exist_ok=True)
         for row in rows:
             if row[1]:
-                name = os.path.basename(str(row[0]))
+                name = quote(str(row[0]), safe="")
                 part = os.path.join(folder, f".{name}.{uuid.uuid4().hex}")
                 with open(part, "wb") as out:
                     out.write(row[1])

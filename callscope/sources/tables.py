@@ -53,7 +53,7 @@ def create_table(df: DataFrame, path: str, overwrite: bool = True) -> None:
     df.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
 
 
-def browse(df: DataFrame, limit: int | None = 100, entities: str = "map<string,string>") -> DataFrame:
+def browse(df: DataFrame, limit: int | None, entities: str = "map<string,string>") -> DataFrame:
     """First rows with the entity JSON parsed; bad JSON becomes an empty map."""
     parsed = F.when(F.try_parse_json("key_entities").isNotNull(), F.from_json("key_entities", entities))
     empty = F.create_map().cast(entities)
@@ -162,27 +162,25 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def fragmentation(df: DataFrame) -> DataFrame:
-    """Number of files and rows of a table; reads no column, only file metadata."""
-    per_file = df.select(F.col("_metadata.file_path").alias("f")).groupBy("f").agg(F.count("*").alias("n"))
-    return per_file.agg(F.count("*").alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
+    """Number of files, rows and bytes of a table; reads no column, only file metadata."""
+    per_file = df.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("b")).groupBy("f", "b").agg(F.count("*").alias("n"))
+    return per_file.agg(F.count("*").alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum("b"), F.lit(0)).alias("bytes"))
 
 
 def compact(
-    spark: SparkSession, path: str, writes: int | None = None, every: int = 30, rows_per_file: int = 5_000_000
+    spark: SparkSession, path: str, file_bytes: int = 256 << 20, slack: float = 2.0
 ) -> str | None:
     """Rewrite a table of too many small files; returns the new folder, or None when it is fine.
 
-    Checked on every ``every``-th write. Files are merged when there are more than five and
-    more than half as many as rows.
+    It is fine with at most ``slack`` times the files that its bytes fill at ``file_bytes`` each,
+    however many rows that is. The new files come from a rebalancing shuffle of that target.
     """
-    if writes is not None and writes % every:
-        return None
     table = spark.read.parquet(path)
     found = fragmentation(table).first()
-    if found["files"] <= max(5, found["rows"] // 2):
+    wanted = max(1, -(-found["bytes"] // file_bytes))
+    if found["files"] <= max(1, int(slack * wanted)):
         return None
-    parts = max(1, -(-found["rows"] // rows_per_file))
-    return rewrite(table.coalesce(parts), path)
+    return rewrite(table.repartition(wanted), path)
 
 
 def register(
@@ -205,6 +203,15 @@ def register(
     return table
 
 
+def _row_count(spark: SparkSession, database: str, name: str) -> int | None:
+    """The count that ``register`` noted; null for a table of other origin."""
+    try:
+        found = spark.sql(f"SHOW TBLPROPERTIES `{database}`.`{name}`").where("key = 'row_count'").first()
+    except AnalysisException:
+        return None
+    return int(found["value"]) if found and found["value"].isdigit() else None
+
+
 def catalog_tree(spark: SparkSession) -> DataFrame:
     """Catalogs, databases and tables with their location-independent description."""
     rows = []
@@ -216,7 +223,7 @@ def catalog_tree(spark: SparkSession) -> DataFrame:
                 width = len(spark.catalog.listColumns(f"`{database.name}`.`{table.name}`"))
             except AnalysisException:
                 width = None
-            rows.append((database.catalog, database.name, table.name, table.tableType, width))
+            rows.append((database.catalog, database.name, table.name, table.tableType, width, _row_count(spark, database.name, table.name)))
     return spark.createDataFrame(
-        rows, "catalog string, database string, table string, type string, columns int"
+        rows, "catalog string, database string, table string, type string, columns int, row_count long"
     )

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.base import strip
 from ..functions.scalars import call_id_or_default
 from ..operators.aggregates import churn_exact
 from ..operators.calls import analyze_calls
 from ..packs import TELECOM, CallPack
 from ..schemas import RISK_LEVELS
-from ..session import spread
 from ..sources.tables import shape_analysis
 
 
@@ -24,18 +25,27 @@ def analyze_stream(
     calls: DataFrame, sink: str, checkpoint: str, id: str = "call_id", text: str = "transcript",
     pack: CallPack = TELECOM, emit: Callable[[DataFrame], None] | None = None,
     archive_to: str | None = None, trigger: dict | None = None,
+    model: Callable[[DataFrame], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Analyse each micro-batch, append it to the table and emit events.
 
     Each batch goes to its own ``batch_id`` folder and overwrites it, so a batch that is
     repeated after a failure leaves the same rows once. ``emit`` gets the event rows.
+
+    ``model`` comes first: it gets the batch and returns it with ``_model``, a struct of analysis
+    columns, null where it has no answer; those rows keep what the rules say.
     """
-    trimmed = calls.withColumn(text, F.trim(F.col(text))).where(F.length(text) > 0)
-    named = trimmed.withColumn(id, call_id_or_default(F.col(id).cast("string"), F.current_timestamp()))
+    trimmed = calls.withColumn(text, strip(F.col(text))).where(F.length(text) > 0)
+    blank = F.coalesce(F.length(strip(F.col(id).cast("string"))), F.lit(0)) == 0
+    made = F.concat_ws("_", call_id_or_default(F.lit(None).cast("string"), F.current_timestamp()), F.hex(F.xxhash64(F.col(text))))
+    named = trimmed.withColumn(id, F.when(blank, made).otherwise(F.col(id).cast("string")))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        # A batch of few files is spread over the cores before the work per row.
-        rows = analyze_calls(spread(batch), id, text, pack)
+        started = time.time()
+        rows = analyze_calls(batch if model is None else model(batch), id, text, pack)
+        if model is not None:
+            fields = [f for f in rows.schema["_model"].dataType.fieldNames() if f in rows.columns]
+            rows = rows.withColumns({f: F.coalesce(F.col(f"_model.{f}").cast(rows.schema[f].dataType), F.col(f)) for f in fields}).drop("_model")
         rows = rows.withColumnsRenamed({id: "call_id", text: "transcript"})
         # Kept while the batch feeds the table, the archive and the events; lost blocks are
         # recomputed from the source.
@@ -49,7 +59,7 @@ def analyze_stream(
                 raw_documents(rows).write.mode("overwrite").json(f"{base}/raw_audio/batch_id={batch_id}")
                 analysis_documents(rows).write.mode("overwrite").json(f"{base}/voice_analysis/batch_id={batch_id}")
             if emit:
-                emit(events(rows))
+                emit(events(rows, started))
         finally:
             if emit or archive_to:
                 rows.unpersist()
@@ -57,8 +67,9 @@ def analyze_stream(
     return _start(named.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), trigger)
 
 
-def events(rows: DataFrame) -> DataFrame:
-    """Analysis rows as the events that listeners get."""
+def events(rows: DataFrame, started: float | None = None) -> DataFrame:
+    """Analysis rows as the events that listeners get; ``elapsed_ms`` since ``started``."""
+    elapsed = F.lit(None).cast("double") if started is None else F.round((F.unix_micros(F.current_timestamp()) / 1e3 - F.lit(started * 1e3)), 1)
     data = F.struct(
         "transcript",
         F.col("caller_intent").alias("intent"),
@@ -69,14 +80,18 @@ def events(rows: DataFrame) -> DataFrame:
     )
     return rows.select(
         F.lit("voice_analysis").alias("type"), "call_id", data.alias("data"),
-        F.current_timestamp().alias("timestamp"),
+        F.current_timestamp().alias("timestamp"), elapsed.alias("elapsed_ms"),
     )
 
 
 def daily_counts(
-    calls: DataFrame, ts: str = "ts", watermark: str = "1 day", window: str = "1 day", churn: Column | None = None
+    calls: DataFrame, watermark: str, ts: str = "ts", window: str = "1 day", churn: Column | None = None
 ) -> DataFrame:
-    """Counts per day as a windowed aggregation, for a stream or a batch."""
+    """Counts per day as a windowed aggregation, for a stream or a batch.
+
+    A stream drops rows later than the watermark; Spark counts them in the progress of the
+    query (``numRowsDroppedByWatermark``), see ``late_rows``.
+    """
     # Watermarks need a time with a zone and windows begin at midnight UTC, so the wall-clock
     # time is read as UTC, whatever the zone of the session.
     wall = F.col(ts).cast("timestamp_ntz")
@@ -98,7 +113,7 @@ def daily_counts(
 
 
 def daily_stream(
-    calls: DataFrame, sink: str, checkpoint: str, ts: str = "ts", watermark: str = "1 day",
+    calls: DataFrame, sink: str, checkpoint: str, watermark: str, ts: str = "ts",
     churn: Column | None = None, trigger: dict | None = None,
 ) -> StreamingQuery:
     """Keep the daily counts of a stream current.
@@ -107,7 +122,7 @@ def daily_stream(
     folder of a day counts (``read_daily_stream``). Days arrive complete, so nothing is added
     up afterwards and a repeated batch changes nothing.
     """
-    counts = daily_counts(calls, ts, watermark, churn=churn)
+    counts = daily_counts(calls, watermark, ts, churn=churn)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/batch_id={batch_id}")
@@ -116,6 +131,17 @@ def daily_stream(
     return _start(writer, trigger)
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a query left out because they came after its watermark."""
+    return sum(int(s["numRowsDroppedByWatermark"]) for p in query.recentProgress for s in p["stateOperators"])
+
+
+def compact_daily_stream(spark: SparkSession, sink: str, target: str) -> None:
+    """Write the newest row of each day to another folder, as one batch numbered -1: the stream goes
+    on in the old folder, and readers take both until the old batches are removed."""
+    read_daily_stream(spark, sink).write.mode("overwrite").parquet(f"{target.rstrip('/')}/batch_id=-1")
+
+
 def read_daily_stream(spark: SparkSession, sink: str) -> DataFrame:
     table = spark.read.parquet(sink)
     value = [c for c in table.columns if c not in ("date", "batch_id")]

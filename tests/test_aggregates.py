@@ -56,7 +56,7 @@ def test_percentiles_with_a_hot_group_and_hot_values(spark):
     rows += [(None, rng.random()) for _ in range(501)] + [("lone", 7.0)] + [("far", 1e6 + i) for i in range(40)]
     df = spark.createDataFrame(rows, "g string, v double").repartition(5)
     points = {"a": 0.0, "b": 0.123, "c": 0.5, "d": 0.99, "e": 1.0}
-    got = {r["g"]: r for r in A.exact_percentiles(df, "v", points, ["g"], slices=16).collect()}
+    got = {r["g"]: r for r in A.exact_percentiles(df, "v", points, ["g"], bins=16).collect()}
     for group in ("hot", None, "lone", "far"):
         values = sorted(v for g, v in rows if g == group)
         for name, p in points.items():

@@ -41,14 +41,10 @@ def test_equals_the_full_table(a, b):
     assert A.edit_runs(a, b) == slow(a, b)
 
 
-@settings(max_examples=100, deadline=None)
-@given(texts, texts)
-def test_equals_the_full_table_in_blocks(a, b):
-    kept, A._KEEP_BITS = A._KEEP_BITS, 20
-    try:
-        assert A.edit_runs(a, b) == slow(a, b)
-    finally:
-        A._KEEP_BITS = kept
+def test_a_filter_does_not_align_twice(spark):
+    df = spark.createDataFrame([("abc", "abd")], "a string, b string")
+    text = A.align(df, "a", "b").where("sub_count > 0")._jdf.queryExecution().executedPlan().toString()
+    assert text.count("ArrowEvalPython") == 1
 
 
 def test_frame(spark):

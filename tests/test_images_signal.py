@@ -58,7 +58,7 @@ def test_geometry(spark):
 def test_status_and_counts(spark):
     rows = [("a", b"x", True, None), ("b", b"x", False, None), ("c", None, None, None), ("d", b"x", True, "e" * 600)]
     df = spark.createDataFrame(rows, "doc_id string, image_blob binary, decodable boolean, err string")
-    got = {r["doc_id"]: r for r in I.assign_status(df, model_error="err").collect()}
+    got = {r["doc_id"]: r for r in I.assign_status(df, model_error="err", error_chars=500).collect()}
     assert [got[k]["analysis_status"] for k in "abcd"] == ["ok", "decode_failed", "download_failed", "llm_failed"]
     assert len(got["d"]["analysis_error"]) == 500 and got["a"]["analysis_error"] is None
     vec = df.withColumn("image_embedding", F.when(F.col("doc_id") != "d", F.array(F.lit(1.0).cast("float"))))

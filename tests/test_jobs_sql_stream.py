@@ -15,6 +15,7 @@ ALLOWED = [
 REFUSED = [
     "DROP TABLE t", "INSERT INTO t SELECT 1", "SELECT 1; DROP TABLE t", "", "-- SELECT", "CREATE TABLE t AS SELECT 1", "SET x=1",
     "WITH t AS (SELECT 1) INSERT INTO x SELECT * FROM t", "MERGE INTO t", "REFRESH TABLE t", "SELECT reflect('java.lang.System', 'exit', 0)", "SELECT JAVA_METHOD ('a', 'b')", "EXPLAIN INSERT INTO t SELECT 1", "/* SELECT */ TRUNCATE TABLE t",
+    "SELECT r'\\', reflect('java.lang.System', 'exit', 0)", "SELECT R\"\\\", reflect('java.lang.System', 'exit', 0)",
 ]
 
 
@@ -30,15 +31,15 @@ def test_refused(sql):
 
 def test_run_sql(spark):
     Q.register_views(spark, {"numbers": spark.range(600).toDF("credit_limit")})
-    got = Q.run_sql(spark, "SELECT credit_limit FROM numbers ORDER BY credit_limit;")
+    got = Q.run_sql(spark, "SELECT credit_limit FROM numbers ORDER BY credit_limit;", 500)
     assert got.success and got.truncated and got.row_count == 500 and got.columns == ["credit_limit"]
-    got = Q.run_sql(spark, "SELECT date'2024-01-02' AS d, X'41' AS b")
+    got = Q.run_sql(spark, "SELECT date'2024-01-02' AS d, X'41' AS b", 500)
     assert got.rows == [{"d": "2024-01-02", "b": "A"}] and not got.truncated
     assert "numbers" in got.available_tables
-    assert not Q.run_sql(spark, "DROP TABLE numbers").success
-    assert "nope" in Q.run_sql(spark, "SELECT nope FROM numbers").error
+    assert not Q.run_sql(spark, "DROP TABLE numbers", 500).success
+    assert "nope" in Q.run_sql(spark, "SELECT nope FROM numbers", 500).error
     assert Q.schemas(spark)["numbers"] == [{"column": "credit_limit", "type": "bigint"}]
-    slow = Q.run_sql(spark, "SELECT sum(a.id * b.id % 7) AS s FROM range(3000000) a JOIN range(3000000) b ON a.id % 3 = b.id % 3", timeout_s=2)
+    slow = Q.run_sql(spark, "SELECT sum(a.id * b.id % 7) AS s FROM range(3000000) a JOIN range(3000000) b ON a.id % 3 = b.id % 3", 500, timeout_s=2)
     assert not slow.success and slow.elapsed_ms < 60000
 
 
@@ -90,10 +91,10 @@ def test_quality_job(spark):
     schema = "doc_id string, audio_blob binary, duration_s double, transcript string, acoustic_emotion string"
     rows = [("a", b"x", 10.0, "9138123456789", "SAD"), ("b", b"x", 2000.0, "t", "SAD"), ("c", None, 10.0, "t", "SAD")]
     df = spark.createDataFrame(rows, schema)
-    got = P.quality_job(df).collect()
+    got = P.quality_job(df, 0, 1800).collect()
     assert [r["doc_id"] for r in got] == ["a"] and got[0]["transcript"] == "9[PHONE_REDACTED]9" and got[0]["primary_reason"] == "其他"
     model = lambda: lambda prompts: ['{"primary_reason": "价格敏感", "bad_tone": true}' if "SAD" in p else "" for p in prompts]
-    got = P.quality_job(df, model).first()
+    got = P.quality_job(df, 0, 1800, model).first()
     assert (got["primary_reason"], got["bad_tone"], got["text_emotion"], got["confidence"]) == ("价格敏感", True, "未知", 0.0)
 
 
@@ -127,8 +128,8 @@ def test_daily_stream_equals_batch(spark, tmp_path):
     for part in parts:
         frame = spark.createDataFrame(part, names).withColumn("ts", F.to_timestamp("ts"))
         frame.coalesce(1).write.mode("append").parquet(source)
-        R.daily_stream(spark.readStream.schema(schema).parquet(source), sink, state).awaitTermination()
+        R.daily_stream(spark.readStream.schema(schema).parquet(source), sink, state, "1 day").awaitTermination()
     got = R.read_daily_stream(spark, sink).orderBy("date")
-    expected = R.daily_counts(spark.read.parquet(source)).orderBy("date")
+    expected = R.daily_counts(spark.read.parquet(source), "1 day").orderBy("date")
     assert got.select(expected.columns).collect() == expected.collect()
     assert [r["total_calls"] for r in got.collect()] == [3, 1, 1]

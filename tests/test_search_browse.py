@@ -44,13 +44,13 @@ def test_normalize(one):
 def test_bigram_search(spark):
     rows = [("a", "我要转网", None), ("b", "  ", "转网太贵"), ("c", "今天天气", "我要转网"), ("d", None, None), ("e", "我要转网", "x")]
     df = spark.createDataFrame(rows, "call_id string, summary string, transcript string")
-    got = N.bigram_search(df, "我要转网", k=5).collect()
+    got = N.bigram_search(df, "我要转网", 5, 0.05).collect()
     assert [r["call_id"] for r in got] == ["a", "e", "b"]
     assert got[0]["_similarity"] == pytest.approx(1.0) and got[0]["_jaccard"] == 1.0
     assert got[2]["_jaccard"] == pytest.approx(1 / 5)
-    assert N.bigram_search(df, "哈哈哈哈").count() == 0
-    assert N.bigram_search(df, "12 ").count() == 0
-    assert [r["call_id"] for r in N.bigram_search(df, "我要转网", k=1).collect()] == ["a"]
+    assert N.bigram_search(df, "哈哈哈哈", 5, 0.05).count() == 0
+    assert N.bigram_search(df, "12 ", 5, 0.05).count() == 0
+    assert [r["call_id"] for r in N.bigram_search(df, "我要转网", 1, 0.05).collect()] == ["a"]
 
 
 def _vectors(spark):
@@ -72,11 +72,11 @@ def test_nearest(spark):
     after = N.nearest(df, like=9, k=5, where="g = 1", postfilter=True).collect()
     assert [r["doc_id"] for r in after] == [k for k in [k for _, k in order if k != 9][:5] if k % 3 == 1]
     with pytest.raises(LookupError):
-        N.nearest(df, like=9999)
+        N.nearest(df, 5, like=9999)
     with pytest.raises(ValueError):
-        N.nearest(df.drop("embedding"), like=9)
+        N.nearest(df.drop("embedding"), 5, like=9)
     with pytest.raises(ValueError):
-        N.nearest(df)
+        N.nearest(df, 5)
 
 
 def test_cells_are_exact_and_prune(spark):
@@ -91,21 +91,13 @@ def test_cells_are_exact_and_prune(spark):
     assert N.nearest_cells(spark, index, [0.0, 0.0, 0.0], k=1000).count() == 300
 
 
-def test_lsh_recall(spark):
-    df = _vectors(spark)
-    query = [0.3, 0.1, 0.5]
-    exact = {r["doc_id"] for r in N.nearest(df, query=query, k=10).collect()}
-    found = {r["doc_id"] for r in N.nearest_lsh(df, query, k=10, bucket_length=0.5, tables=5).collect()}
-    assert len(found) == 10 and len(exact & found) >= 6
-
-
 def test_scalar_query(spark):
     df = spark.range(30).selectExpr("id AS doc_id", "id % 2 = 0 AS bad_tone", "'x' AS audio_blob")
     found = B.scalar_query(df, "bad_tone = true", 5, drop=("audio_blob",))
     assert (found.matched(), found.returned(), found.rows.columns) == (15, 5, ["doc_id", "bad_tone"])
     for wrong in ("no_such = 1", "doc_id >>> 3 ("):
         with pytest.raises(ValueError):
-            B.scalar_query(df, wrong)
+            B.scalar_query(df, wrong, 5)
         assert B.scalar_query(df, wrong, 5, lenient=True).returned() == 30
     assert B.scalar_query(df, None, 5).returned() == 5
     assert B.scalar_query(df, None, 5, B.RESULT_COLUMNS).rows.columns == ["doc_id", "bad_tone"]

@@ -97,7 +97,7 @@ def test_turn_analysis_equals_transcript_analysis(spark):
 
     by_turn = C.analyze_turns(df, "call_id", "role", "text", turn="turn", rules=TELECOM_ENTITIES)
     whole = C.analyze_calls(
-        C.assemble(df, "call_id", "turn", "role", "text").drop("part"), "call_id", "transcript"
+        C.assemble(df, "call_id", "turn", "role", "text"), "call_id", "transcript"
     ).drop("transcript")
     columns = whole.columns
     key = lambda r: r["call_id"]
