@@ -72,11 +72,14 @@ def disclosing_terms(found: DataFrame, support: int, strength: float) -> DataFra
     near = hit.select(F.xxhash64("_text").alias("d"), F.concat_ws(":", "x.kind", "x.value").alias("e"), F.array_union(side(True), side(False)).alias("t")).select("d", "e", F.explode("t").alias("t")).distinct()
     both = near.groupBy("e", "t").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
     entities = near.select("d", "e").distinct().groupBy("e").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
-    pairs = stored(both.join(entities, "e"), "op9-pairs")
+    # Common words stand near many entities: already the texts where a term is near any are too
+    # many for one of them, and it need not be counted over the corpus.
+    least = F.pow(F.col("n_e") / F.lit(float(max(total, 1))), F.lit(1 - strength))
+    beside = near.select("d", "t").distinct().groupBy("t").agg(F.count("*").alias("n_near"))
+    pairs = stored(both.join(entities, "e").join(beside, "t").where(F.col("n_both") / F.col("n_near") >= least).drop("n_near"), "op9-pairs")
 
     asked = pairs.select("t").distinct()
     count = found.select(F.explode(_terms(F.col("_text"))).alias("t")).join(asked, "t").groupBy("t").agg(F.count("*").alias("n_t"))
-    least = F.pow(F.col("n_e") / F.lit(float(max(total, 1))), F.lit(1 - strength))
     return stored(pairs.join(count, "t").where(F.col("n_both") / F.col("n_t") >= least).select(F.col("t").alias("term")).distinct(), "op9-terms")
 
 

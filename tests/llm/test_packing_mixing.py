@@ -19,7 +19,7 @@ from .test_jaccard_quality import plain_components
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 FOLDER = "/root/testdata/sf0.001"
-ODD = [None, "", " ", "a", "It's 12 o'clock,OK?", "<|endoftext|> a<|startoftext|>b", "a\x00b \x00 c", "é ́x Ünï", "x\x1cy\x85z w v", "ÅKİ ΣΑΣ", "word " * 9000, "😀" * 300, "a\x0b\x0cb", "日本語 テキスト"]
+ODD = [None, "", " ", "a", "It's 12 o'clock,OK?", "<|endoftext|> a<|startoftext|>b", "a\x00b \x00 c", "é ́x Ünï", "x\x1cy\x85z w v", "ÅKİ ΣΑΣ", "word " * 9000, "😀" * 300, "a\x0b\x0cb", "日本語 テキスト", "<|ENDOFTEXT|> A,b.C", "a,\u0301b it's.'s don't!'t x.", "K.Å,!!é.è", "...", ".a", "a."]
 
 
 def plain_ids(texts):
