@@ -121,6 +121,8 @@ def readings(token: str, cost: np.ndarray) -> list[str]:
     tried = [core]
     if _DOTTED.search(core):
         tried.append(re.sub(r"[^\w]", "", core))
+    if token[0] in LEET and token[1:2].isalpha():
+        tried.append(re.sub(r"[\W_]+$", "", token))
     tail = token.rstrip(".,;:?\"')#%&")
     if tail != core and tail and tail[-1] in LEET and not (len(tail) > 2 and tail[-1] == tail[-2]):
         tried.append(tail)
@@ -195,62 +197,85 @@ def evidence(texts: pa.Array, cost: np.ndarray, weights: dict[str, float], known
     return np.stack([total, largest, second, third, count, count / np.maximum(size, 1), np.log1p(size)], axis=1).astype(float)
 
 
+def _weights(none: dict[str, int], some: dict[str, int], clean: int, toxic: int, least_docs: int, least_weight: float) -> dict[str, float]:
+    """Log odds of a feature in toxic against other documents, less one standard error."""
+    out = {}
+    for f, n1 in some.items():
+        if n1 >= least_docs:
+            n0 = none.get(f, 0)
+            odds = np.log((n1 + 0.5) / (toxic + 1)) - np.log((n0 + 0.5) / (clean + 1)) - np.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))
+            if odds >= least_weight:
+                out[f] = float(odds)
+    return out
+
+
 def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: str = "toxic", max_rows: int = 20_000, least_docs: int = 4, least_weight: float = 1.2,
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: str = "toxic", max_rows: int = 20_000, least_docs: int = 3, least_weight: float = 1.0, folds: int = 5,
 ) -> ToxicModel | None:
     """Learn from at most ``max_rows`` labelled documents, the first by the hash of their ids.
 
-    The character model is counted over all documents. Weights come from two thirds of the
-    labelled rows and the trees from the rest, so that the trees see weights as they are for new
-    documents. None without labels of both kinds.
+    The character model is counted over all documents. The trees see each labelled row with
+    weights learned from the other folds, as they will see new documents; the weights that are
+    kept come from all of them. None without labels of both kinds.
     """
     cost = costs(count_trigrams(docs, text_col))
     asked = labels.where(F.col(id_col).isNotNull() & F.col(target).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(target).cast("int").alias("_y"))
     asked = asked.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(asked), "_id")
-    found = found.withColumn("_part", F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(3)).cast("int"))
+    found = found.withColumn("_part", F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(folds)).cast("int"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[str]] = {}
-        counts: dict[str, list[int]] = {}
-        docs_of = [0, 0]
+        counts: dict[tuple[str, int], list[int]] = {}
         for batch in blocks(batches, "_text"):
             y, part = (ids_of(batch, c).to_numpy(zero_copy_only=False) for c in ("_y", "_part"))
             codes, owner, dictionary = _lower(texts_of(batch, "_text"))
-            for k in np.flatnonzero(part > 0).tolist():
+            for k in range(len(y)):
                 low, high = np.searchsorted(owner, [k, k + 1])
-                marks: set[str] = set()
+                marks = {""}  # the document itself
                 for c in np.unique(codes[low:high]).tolist():
                     w = dictionary[c]
                     if w not in known:
                         known[w] = [f for r in readings(w, cost) for f in features_of(r)]
                     marks.update(known[w])
-                docs_of[int(y[k])] += 1
                 for f in marks:
-                    counts.setdefault(f, [0, 0])[int(y[k])] += 1
-        counts[""] = docs_of
-        names = list(counts)
-        yield record([names, [counts[f][0] for f in names], [counts[f][1] for f in names]], pa.schema([("f", pa.string()), ("n0", pa.int64()), ("n1", pa.int64())]))
-
-    counted = found.mapInArrow(words, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    rows = counted.where((F.col("f") == "") | (F.col("n1") >= least_docs)).toArrow().to_pylist()  # bounded by ``max_rows`` texts
-    size = next(((r["n0"], r["n1"]) for r in rows if r["f"] == ""), (0, 0))
-    if not size[0] or not size[1]:
+                    counts.setdefault((f, int(part[k])), [0, 0])[int(y[k])] += 1
+        keys = list(counts)
+        yield record(
+            [[f for f, _ in keys], [k for _, k in keys], [counts[x][0] for x in keys], [counts[x][1] for x in keys]],
+            pa.schema([("f", pa.string()), ("part", pa.int32()), ("n0", pa.int64()), ("n1", pa.int64())]),
+        )
+
+    counted = found.mapInArrow(words, "f string, part int, n0 long, n1 long").groupBy("f", "part").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    by_mark = counted.groupBy("f").agg(F.collect_list(F.struct("part", "n0", "n1")).alias("p"), F.sum("n1").alias("n1"))
+    # Marks of toxic documents only: bounded by the texts of ``max_rows`` rows.
+    rows = by_mark.where((F.col("f") == "") | (F.col("n1") >= least_docs)).toArrow().to_pylist()
+    none, some = ([{} for _ in range(folds + 1)] for _ in range(2))
+    for r in rows:
+        n0, n1 = sum(x["n0"] for x in r["p"]), sum(x["n1"] for x in r["p"])
+        held = {x["part"]: x for x in r["p"]}
+        for k in range(folds + 1):
+            mine = held.get(k, {"n0": 0, "n1": 0})
+            none[k][r["f"]], some[k][r["f"]] = n0 - mine["n0"], n1 - mine["n1"]
+    size = [(none[k].pop("", 0), some[k].pop("", 0)) for k in range(folds + 1)]
+    if not size[folds][0] or not size[folds][1]:
         return None
-    scored = {r["f"]: float(np.log((r["n1"] + 0.5) / (size[1] + 1)) - np.log((r["n0"] + 0.5) / (size[0] + 1))) for r in rows if r["f"]}
-    weights = {f: w for f, w in scored.items() if w >= least_weight}
+    weights = [_weights(none[k], some[k], *size[k], least_docs, least_weight) for k in range(folds + 1)]
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = {}
+        known: list[dict[str, float]] = [{} for _ in range(folds)]
         for batch in blocks(batches, "_text"):
-            x = evidence(texts_of(batch, "_text"), cost, weights, known)
-            yield record([ids_of(batch, "_id").cast(pa.int64()), ids_of(batch, "_y").cast(pa.float64()), list(x)], pa.schema([("id", pa.int64()), ("y", pa.float64()), ("x", pa.list_(pa.float64()))]))
+            part = ids_of(batch, "_part").to_numpy(zero_copy_only=False)
+            for k in np.unique(part).tolist():
+                some = batch.filter(pa.array(part == k))
+                x = evidence(texts_of(some, "_text"), cost, weights[k], known[k])
+                yield record([ids_of(some, "_id").cast(pa.int64()), ids_of(some, "_y").cast(pa.float64()), list(x)], pa.schema([("id", pa.int64()), ("y", pa.float64()), ("x", pa.list_(pa.float64()))]))
 
-    held = sorted(found.where("_part = 0").mapInArrow(rest, "id long, y double, x array<double>").toArrow().to_pylist(), key=lambda r: (r["id"], r["x"]))
+    held = sorted(found.mapInArrow(rest, "id long, y double, x array<double>").toArrow().to_pylist(), key=lambda r: (r["id"], r["x"]))
     y = np.array([r["y"] for r in held])
     if not len(y) or y.min() == y.max():
         return None
-    return ToxicModel(cost, weights, fit_forest(np.array([r["x"] for r in held]), y, (1, 1, 1, 1, 0, 0, 0), trees=50, rate=0.15))
+    return ToxicModel(cost, weights[folds], fit_forest(np.array([r["x"] for r in held]), y, (1, 1, 1, 1, 0, 0, 0), trees=50, rate=0.15, least=5))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
