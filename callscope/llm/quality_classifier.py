@@ -1,9 +1,10 @@
 """Operator 8: a quality classifier from positive and unlabelled texts.
 
 Trusted positives are rows labelled good; unlabelled are web texts of any kind. The share of good
-texts among the unlabelled (class prior) is estimated from the two alone: where a first classifier
-that tells them apart is surest of positives, unlabelled texts are as rare, against positives, as
-the prior. Then an additive model over binned document statistics minimises the non-negative
+texts among the unlabelled (class prior) is estimated by the share of good ones among all labelled
+rows that may be learned from. Where those hold good ones only, it comes from the two sets alone:
+where a first classifier that tells them apart is surest of positives, unlabelled texts are as
+rare, against positives, as the prior. Then an additive model over binned document statistics minimises the non-negative
 unbiased risk: prior * loss(positives as good) + max(0, loss(unlabelled as bad) - prior *
 loss(positives as bad)).
 
@@ -25,7 +26,12 @@ from pyspark.sql import functions as F
 from .common import blocks, hashed_bucket, ids_of, record, texts_of
 from .quality_rules import statistics
 
-BINS = 24
+#: Where the features are cut: finer at the tails, where the few bad texts lie.
+CUTS = (0.005, 0.01, 0.02, 0.04, 0.07, 0.1, 0.15, 0.2, 0.35, 0.5, 0.65, 0.8, 0.85, 0.9, 0.93, 0.96, 0.98, 0.99, 0.995)
+BINS = len(CUTS)
+#: How much the class prior is taken below its estimate, besides two standard errors: too large a
+#: prior lets the negative part of the risk vanish before bad texts are told apart.
+MARGIN = 0.06
 
 
 @dataclass(frozen=True)
@@ -48,7 +54,7 @@ def binned(x: np.ndarray, cuts: tuple[np.ndarray, ...]) -> np.ndarray:
     return np.stack([j * (BINS + 1) + np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], axis=1)
 
 
-def _descend(gradient, size: int, steps: int, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def _descend(gradient, size: int, steps: int, rate: float = 0.1, decay: float = 5e-5) -> tuple[np.ndarray, float]:
     """Adam on weights and bias; ``gradient`` gives the risk's gradient at both."""
     w, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     for t in range(1, steps + 1):
@@ -64,29 +70,37 @@ def _pull(places: np.ndarray, size: int, slope: np.ndarray) -> np.ndarray:
     return np.append(np.bincount(places.ravel(), np.repeat(slope, places.shape[1]), size), slope.sum())
 
 
-def estimate_prior(p: np.ndarray, u: np.ndarray, least: float = 0.1) -> float:
+def estimate_prior(p: np.ndarray, u: np.ndarray, least: float = 0.2) -> float:
     """Class prior from scores of positives and unlabelled: the least ratio of the shares above a
-    threshold, over thresholds that keep at least ``least`` of the positives."""
+    threshold, two standard errors up, over thresholds that keep at least ``least`` of the positives."""
     p, u = np.sort(p), np.sort(u)
-    at = np.quantile(p, np.linspace(0.0, 1 - least, 46))
+    at = np.quantile(p, np.linspace(0.0, 1 - least, 40))
     above_p = 1 - np.searchsorted(p, at, side="left") / len(p)
     above_u = 1 - np.searchsorted(u, at, side="left") / len(u)
-    return float(np.clip((above_u / above_p).min(), 0.01, 0.99))
+    ratio = above_u / above_p
+    error = ratio * np.sqrt((1 - above_p) / (above_p * len(p)) + (1 - above_u) / (np.maximum(above_u, 1e-9) * len(u)))
+    return float(np.clip((ratio + 2 * error).min(), 0.01, 0.99))
 
 
 def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 300, prior: float | None = None) -> PuModel:
     both = np.concatenate([positive, unlabelled])
-    cuts = tuple(np.unique(np.quantile(both[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(both.shape[1]))
+    cuts = tuple(np.unique(np.quantile(both[:, j], CUTS)) for j in range(both.shape[1]))
     p, u = binned(positive, cuts), binned(unlabelled, cuts)
     size = both.shape[1] * (BINS + 1)
 
     if prior is None:
 
-        def apart(w: np.ndarray, b: float) -> np.ndarray:
-            return _pull(p, size, -_sigmoid(-(w[p].sum(1) + b))) + _pull(u, size, _sigmoid(w[u].sum(1) + b))
+        # Each half is scored by what tells the other half's rows apart.
+        scores = []
+        for k in (0, 1):
+            pk, uk = p[k::2], u[k::2]
 
-        w, b = _descend(apart, size, steps // 3, decay=1e-3)
-        prior = estimate_prior(w[p].sum(1), w[u].sum(1))
+            def apart(w: np.ndarray, b: float, pk=pk, uk=uk) -> np.ndarray:
+                return _pull(pk, size, -_sigmoid(-(w[pk].sum(1) + b))) + _pull(uk, size, _sigmoid(w[uk].sum(1) + b))
+
+            w, _ = _descend(apart, size, steps // 3, decay=3e-3)
+            scores.append((w[p[1 - k :: 2]].sum(1), w[u[1 - k :: 2]].sum(1)))
+        prior = float(np.mean([estimate_prior(a, b) for a, b in scores if len(a) and len(b)] or [0.5]))
 
     def risk(w: np.ndarray, b: float) -> np.ndarray:
         gp, gu = w[p].sum(1) + b, w[u].sum(1) + b
@@ -115,7 +129,13 @@ def fit_quality_pu(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     found = texts.join(F.broadcast(good.union(web)), "_id").mapInArrow(rows, "id long, kind long, x array<double>")
     got = sorted(found.toArrow().to_pylist(), key=lambda r: (r["kind"], r["id"], r["x"]))
     p, u = (np.array([r["x"] for r in got if r["kind"] == k]) for k in (1, 0))
-    return fit_pu(p, u) if len(p) and len(u) else None
+    if not len(p) or not len(u):
+        return None
+    judged = labels.where(F.col(id_col).isNotNull() & F.col(target).isin(0, 1)).agg(F.avg(F.col(target).cast("double")).alias("share"), F.count("*").alias("n")).first()
+    prior = None
+    if judged["share"] is not None and judged["share"] < 1:
+        prior = max(0.05, judged["share"] - 2 * (judged["share"] * (1 - judged["share"]) / judged["n"]) ** 0.5 - MARGIN)
+    return fit_pu(p, u, prior=prior)
 
 
 def score_quality(docs: DataFrame, model: PuModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
