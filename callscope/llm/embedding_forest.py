@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import stored
 from .graph import components
 
-TREES, LEAF, SAMPLE, SPILL = 10, 512, 8192, 0.06
+TREES, LEAF, SAMPLE, SPILL = 10, 1024, 8192, 0.08
 
 
 def build(sample: np.ndarray, size: int, spill: float, seed: int) -> dict[str, np.ndarray]:
