@@ -68,6 +68,43 @@ def bigram_search(
     return best.where((F.col("_similarity") >= floor) & (F.col("_jaccard") > 0))
 
 
+POSTING_BUCKETS = 256
+
+
+def build_postings(df: DataFrame, path: str, key: str, text: Column, dim: int = SEARCH_DIM, hasher: V.Hasher = F.xxhash64) -> None:
+    """Index of texts for repeated bigram search, written once.
+
+    ``postings`` has the distinct bigrams of each text in one folder per hash bucket, spread by
+    bigram and key so that a hot bigram is many files; ``texts`` has each text's number of
+    distinct bigrams and its hashed bag.
+    """
+    rows = df.select(key, bigrams(text).alias("_b")).where(F.size("_b") > 0)
+    bag = V.hashed_bag(F.col("_b"), dim, hasher)
+    rows.select(key, F.size(F.array_distinct("_b")).alias("size"), bag.alias("bag")).write.parquet(f"{path}/texts")
+    postings = rows.select(key, F.explode(F.array_distinct("_b")).alias("bigram")).withColumn("bucket", F.pmod(F.xxhash64("bigram"), F.lit(POSTING_BUCKETS)))
+    postings.repartitionByRange("bucket", "bigram", key).write.partitionBy("bucket").parquet(f"{path}/postings")
+
+
+def search_postings(
+    spark, path: str, query: str, k: int, floor: float, key: str = "call_id", dim: int = SEARCH_DIM, hasher: V.Hasher = F.xxhash64
+) -> DataFrame:
+    """``bigram_search`` over an index: reads the buckets of the query's bigrams, and the bags of
+    the texts that share one."""
+    one = spark.range(1).select(bigrams(F.lit(query)).alias("b"))
+    asked = one.select(F.array_distinct("b").alias("b"), F.transform(F.array_distinct("b"), lambda b: F.pmod(F.xxhash64(b), F.lit(POSTING_BUCKETS))).alias("p"), V.hashed_bag(F.col("b"), dim, hasher).alias("v")).first()
+    texts = spark.read.parquet(f"{path}/texts")
+    if not asked["b"]:
+        return texts.limit(0).select(key, F.lit(0.0).alias("_jaccard"), F.lit(0.0).alias("_similarity"))
+    hits = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(sorted(set(asked["p"]))) & F.col("bigram").isin(asked["b"]))
+    common = hits.groupBy(key).agg(F.count("*").alias("_common"))
+    # Both bags have length one, so their product is the cosine.
+    vector = constant(list(asked["v"]), "array<double>")
+    dot = F.aggregate(F.zip_with("bag", vector, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    jaccard = F.col("_common") / (F.col("size") + len(asked["b"]) - F.col("_common"))
+    scored = common.join(texts, key).select(key, jaccard.alias("_jaccard"), (F.lit(0.85) * jaccard + F.lit(0.15) * dot).alias("_similarity"))
+    return scored.orderBy(F.col("_similarity").desc(), F.col(key)).limit(k).where((F.col("_similarity") >= floor) & (F.col("_jaccard") > 0))
+
+
 def _vector_of(df: DataFrame, key: str, value: object, vector: str) -> list[float]:
     if vector not in df.columns:
         raise ValueError(f"no column {vector}; run the embedding step first")

@@ -233,13 +233,20 @@ def batch_model(spark, d):
     return map_model(turns, _counter, "conv_id bigint, turn bigint, words bigint")
 
 
-@query("etl_report", f"""WITH {fx.CALL_ROWS_SQL} SELECT 'daily_rows' AS counter, 0::BIGINT AS before, count(DISTINCT date) AS after, count(DISTINCT date) AS delta FROM calls
-UNION ALL SELECT 'snapshots', 0, 1, 1""")
+@query("etl_report", f"""WITH {fx.CALL_ROWS_SQL} SELECT 'daily_rows' AS counter, count(DISTINCT date) FILTER (WHERE date < DATE '2024-01-16') AS before, count(DISTINCT date) AS after,
+count(DISTINCT date) FILTER (WHERE date >= DATE '2024-01-16') AS delta FROM calls UNION ALL SELECT 'snapshots', 1, 2, 1""")
 def etl_report(spark, d):
     path = scratch_dir(spark, "etl")
-    K.append_daily(A.daily_aggregate(_calls(spark, d)), path, "run")
-    written = A.daily_totals(K.read_daily(spark, path)).first()
-    return A.etl_report({}, {"daily_rows": written["records"], "snapshots": written["snapshots"]}, spark)
+    daily = A.daily_aggregate(_calls(spark, d))
+
+    def counters():
+        found = A.daily_totals(K.read_daily(spark, path)).first()
+        return {"daily_rows": found["records"], "snapshots": found["snapshots"]}
+
+    K.append_daily(daily.where("date < '2024-01-16'"), path, "first")
+    before = counters()
+    K.append_daily(daily.where("date >= '2024-01-16'"), path, "second")
+    return A.etl_report(before, counters(), spark)
 
 
 EMBEDDED = "CASE WHEN label = 9 THEN 'failed' WHEN label = 8 THEN 'skipped' ELSE 'ok' END"

@@ -250,6 +250,15 @@ def bigram_search_top(spark, d):
     return found.select("doc_id", F.round("_similarity", 6).alias("similarity"))
 
 
+@query("bigram_postings", f"{SCORED} SELECT doc_id, round(s::DOUBLE, 6) AS similarity FROM scored WHERE s >= 0.05 ORDER BY s DESC, doc_id LIMIT 10")
+def bigram_postings(spark, d):
+    """The same search over a stored index."""
+    path = scratch_dir(spark, "postings")
+    N.build_postings(scan(spark, d, "documents", "doc_id", "text"), path, "doc_id", F.col("text"), hasher=_letter_hash)
+    found = N.search_postings(spark, path, SEARCH_FOR, 10, 0.05, "doc_id", hasher=_letter_hash)
+    return found.select("doc_id", F.round("_similarity", 6).alias("similarity"))
+
+
 @query("hashed_bag_counts", f"""WITH t AS (SELECT conv_id, turn, {CLEAN} AS c FROM conversations), g AS (SELECT conv_id, turn, {BIGRAMS} AS b FROM t),
 tokens AS (SELECT conv_id, turn, unnest(b) AS x FROM g), counts AS (SELECT conv_id, turn, {BUCKET.replace('256', '16')} AS position, count(*) AS n FROM tokens GROUP BY 1, 2, 3)
 SELECT conv_id, turn, position::BIGINT AS position, round(n / sqrt(sum(n * n) OVER (PARTITION BY conv_id, turn)), 6) AS value FROM counts""")
@@ -260,19 +269,20 @@ def hashed_bag_counts(spark, d):
     return exploded.select("conv_id", "turn", F.col("position").cast("bigint").alias("position"), F.round("value", 6).alias("value"))
 
 
-@query("l2_normalize", """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * (label + 1)) AS v FROM embeddings)
-SELECT vec_id, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS first, round(v[64] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS last FROM e""")
+@query("l2_normalize", """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * (label + 1)) AS v FROM embeddings),
+n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM e)
+SELECT vec_id, unnest(range(1, 65)) AS position, round(unnest(v) / norm, 6) AS value FROM n""")
 def l2_normalize(spark, d):
     scaled = F.transform("embedding", lambda x: x.cast("double") * (F.col("label") + 1))
-    rows = table(spark, d, "embeddings").select("vec_id", V.l2_normalize(scaled).alias("v"))
-    return rows.select("vec_id", F.round(F.col("v")[0], 6).alias("first"), F.round(F.col("v")[63], 6).alias("last"))
+    rows = table(spark, d, "embeddings").select("vec_id", F.posexplode(V.l2_normalize(scaled)).alias("p", "x"))
+    return rows.select("vec_id", (F.col("p") + 1).cast("bigint").alias("position"), F.round("x", 6).alias("value"))
 
 
-@query("hash_embedding", """WITH h AS (SELECT doc_id, list_transform(range(32), lambda i: ('0x' || substr(sha256(text), 2 * i + 1, 2))::INT / 255.0::DOUBLE) AS v FROM documents),
+@query("hash_embedding", """WITH h AS (SELECT doc_id, list_transform(range(128), lambda i: CASE WHEN i < 32 THEN ('0x' || substr(sha256(text), 2 * i + 1, 2))::INT / 255.0::DOUBLE ELSE 0.0::DOUBLE END) AS v FROM documents),
 n AS (SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM h)
-SELECT doc_id, unnest(range(1, 33)) AS position, round(unnest(v) / norm, 5) AS value FROM n""")
+SELECT doc_id, unnest(range(1, 129)) AS position, round(unnest(v) / norm, 5) AS value FROM n""")
 def hash_embedding(spark, d):
-    df = scan(spark, d, "documents", "doc_id", "text").select("doc_id", F.posexplode(F.slice(V.hash_embedding(F.col("text")), 1, 32)).alias("p", "x"))
+    df = scan(spark, d, "documents", "doc_id", "text").select("doc_id", F.posexplode(V.hash_embedding(F.col("text"))).alias("p", "x"))
     return df.select("doc_id", (F.col("p") + 1).cast("bigint").alias("position"), F.round("x", 5).alias("value"))
 
 

@@ -289,14 +289,22 @@ def _asr(spark, d, segments=False):
 
 
 @query("asr_diff", f"""WITH {ASR_SQL} SELECT conv_id, turn, match_count, sub_count, ins_count, del_count,
-levenshtein(a, b) AS distance, md5(a) AS original, md5(b) AS transcribed FROM matched""")
+levenshtein(a, b) AS distance, md5(a) AS original, md5(b) AS transcribed,
+match_count AS match_chars, sub_count AS sub_chars, del_count AS del_chars, ins_count AS ins_chars, true AS equal FROM matched""")
 def asr_diff(spark, d):
     out = _asr(spark, d, segments=True)
+    chars = lambda kind, field: F.aggregate(
+        F.filter("diff_segments", lambda s: s["type"] == kind), F.lit(0).cast("bigint"), lambda n, s: n + F.length(s[field])
+    )
     rebuilt = lambda field: F.md5(F.array_join(F.transform("diff_segments", lambda s: s[field]), ""))
     return out.select(
         "conv_id", "turn", "match_count", "sub_count", "ins_count", "del_count",
         (F.col("sub_count") + F.col("ins_count") + F.col("del_count")).alias("distance"),
         rebuilt("original").alias("original"), rebuilt("transcribed").alias("transcribed"),
+        # What each kind of segment holds, and that matches match and others do not.
+        chars("match", "original").alias("match_chars"), chars("sub", "transcribed").alias("sub_chars"),
+        chars("del", "original").alias("del_chars"), chars("ins", "transcribed").alias("ins_chars"),
+        F.forall("diff_segments", lambda s: (s["type"] == "match") == (s["original"] == s["transcribed"])).alias("equal"),
     )
 
 
