@@ -69,9 +69,13 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]++")).cast("bigint")
 
 
+def _hex(text: Column, digits: int) -> Column:
+    return F.conv(F.substring(text, 1, digits), 16, 10).cast("bigint")
+
+
 def domain_of(source: Column, domains: int = 4) -> Column:
     """The tables have no domains; sources are dealt over some by name."""
-    return F.concat(F.lit("domain"), F.pmod(F.crc32(F.coalesce(source, F.lit("")).cast("binary")), F.lit(domains)).cast("string"))
+    return F.concat(F.lit("domain"), F.pmod(_hex(F.md5(F.coalesce(source, F.lit("")).cast("binary")), 4), F.lit(domains)).cast("string"))
 
 
 def mix_sources(
@@ -85,7 +89,7 @@ def mix_sources(
     ``part_tokens`` more, so that a leaf's tokens are its budget exactly.
     """
     level = {"domain": domain_of(F.col(source_col)) if domain is None else domain, "lang": F.col(lang_col), "source": F.col(source_col)}
-    rows = docs.select(F.col(id_col).alias("_id"), *[F.coalesce(c.cast("string"), F.lit("")).alias(k) for k, c in level.items()], word_count(F.col(text_col)).alias("n_tokens"), F.xxhash64(F.col(text_col).cast("string")).alias("_text"))
+    rows = docs.select(F.col(id_col).alias("_id"), *[F.coalesce(c.cast("string"), F.lit("")).alias(k) for k, c in level.items()], word_count(F.col(text_col)).alias("n_tokens"), F.xxhash64(F.col(text_col).cast("string")).alias("_text"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")).alias("_md5"))
     rows = stored(rows, "op7-rows")
     leaves = stored(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").cast("double").alias("tokens")), "op7-leaves")
     total = share * (leaves.agg(F.sum("tokens")).first()[0] or 0.0)
@@ -94,11 +98,10 @@ def mix_sources(
     budgets = stored(budgets.withColumn("whole", F.least(whole, F.lit(epochs).cast("bigint"))).withColumn("rest", (F.col("budget") - F.col("whole") * F.col("tokens")).cast("bigint")), "op7-budgets")
 
     # The order of the epoch that is cut short: its number is part of the seed.
-    ordered = rows.join(budgets.select(*LEVELS, "budget", "whole", "rest"), list(LEVELS)).withColumn("_key", F.xxhash64(F.lit(seed), "whole", "_id", "_text"))
+    ordered = rows.join(budgets.select(*LEVELS, "budget", "whole", "rest"), list(LEVELS)).withColumn("_key", F.md5(F.concat_ws(":", F.lit(seed), "whole", "_id", "_md5").cast("binary"))).drop("_md5")
     ordered = stored(ordered, "op7-ordered")
     buckets = bucket_count(ordered)
-    bucket = F.shiftright(F.col("_key"), 32) + F.lit(2**31)
-    bucket = F.floor(bucket * F.lit(buckets) / F.lit(2**32)).cast("bigint")
+    bucket = F.floor(_hex(F.col("_key"), 8) * F.lit(buckets) / F.lit(2**32)).cast("bigint")
     placed = running(ordered, list(LEVELS), bucket, ["_key", "_id", "n_tokens"], "n_tokens", "_before", "op7-sums")
     open_ = F.col("whole") < epochs
     extra = open_ & (F.col("_before") + F.col("n_tokens") <= F.col("rest"))

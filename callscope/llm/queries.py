@@ -84,6 +84,35 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(documents(spark, folder, "doc_id", "text", "lang", "source")).drop("_text")
 
 
+def _shared_out(parent: str, child: str) -> str:
+    """Siblings below one parent: what each is given of ``total``."""
+    over = f"OVER ({f'PARTITION BY {parent} ' if parent else ''}ORDER BY room, {child}"
+    whole = f"OVER ({f'PARTITION BY {parent}' if parent else ''})"
+    return f"""SELECT *, CASE WHEN room <= level THEN room ELSE greatest(0, max(CASE WHEN room > level THEN level END) {whole}) END AS given FROM (
+      SELECT *, (total - coalesce(sum(room) {over} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / count(*) {over} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM nodes)"""
+
+
+ORACLES["op7_mixing"] = f"""
+WITH docs AS (
+  SELECT doc_id, 'domain' || (('0x' || substr(md5(source), 1, 4))::INT % 4) AS domain, lang, source, md5(coalesce(text, '')) AS m,
+    len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''))::BIGINT AS n_tokens FROM documents),
+leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, sum(n_tokens)::DOUBLE * 2 AS room FROM docs GROUP BY ALL),
+l1 AS (WITH nodes AS (SELECT domain, sum(room) AS room, (SELECT 0.8::DOUBLE * sum(tokens)::DOUBLE FROM leaves) AS total FROM leaves GROUP BY domain) {_shared_out('', 'domain')}),
+l2 AS (WITH nodes AS (SELECT a.domain, a.lang, sum(a.room) AS room, any_value(b.given) AS total FROM leaves a JOIN l1 b USING (domain) GROUP BY a.domain, a.lang) {_shared_out('domain', 'lang')}),
+l3 AS (WITH nodes AS (SELECT a.domain, a.lang, a.source, a.tokens, a.room, b.given AS total FROM leaves a JOIN l2 b USING (domain, lang)) {_shared_out('domain, lang', 'source')}),
+budgets AS (SELECT domain, lang, source, tokens, floor(given + 1e-6)::BIGINT AS budget FROM l3),
+parts AS (SELECT *, least(CASE WHEN tokens > 0 THEN budget // tokens ELSE 2 END, 2) AS whole FROM budgets),
+placed AS (
+  SELECT d.*, p.budget, p.whole, p.budget - p.whole * p.tokens AS rest,
+    coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('1:' || p.whole || ':' || doc_id || ':' || m), doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM docs d JOIN parts p USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, n_tokens, budget,
+  (CASE WHEN n_tokens = 0 THEN 2 ELSE whole + (whole < 2 AND before + n_tokens <= rest)::INT END)::BIGINT AS copies,
+  (CASE WHEN whole < 2 AND before + n_tokens > rest AND before < rest THEN rest - before ELSE 0 END)::BIGINT AS part_tokens
+FROM placed
+"""
+
+
 @query
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity_report(documents(spark, folder), labels(spark, folder))
