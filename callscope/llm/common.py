@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_dir
 
 #: Bytes of text that are worked on at once inside a task; one longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
