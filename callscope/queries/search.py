@@ -18,7 +18,7 @@ from .texts import RULE_SQL, ruled
 @query("scalar_query", """SELECT doc_id, lang, n_chars FROM documents WHERE n_chars > 1000 AND lang = 'fr' ORDER BY doc_id LIMIT 10""")
 def scalar_query(spark, d):
     docs = table(spark, d, "documents")
-    found = B.scalar_query(docs, "n_chars > 1000 AND lang = 'fr'", 10, ("doc_id", "lang", "n_chars"), order_by=("doc_id",))
+    found = B.scalar_query(docs, "n_chars > 1000 AND lang = 'fr'", 10, ("doc_id", "lang", "n_chars"), order_by=("doc_id",), most_k=B.MAX_TOP_K)
     return found.rows
 
 

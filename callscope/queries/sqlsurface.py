@@ -213,6 +213,20 @@ def stream_analyze(spark, d):
     return stored.select("call_id", "caller_intent", "switch_reason", "sentiment", "risk_level", "duration_seconds")
 
 
+@query("stream_analyze_model", f"""WITH turns AS (SELECT conv_id || '-' || turn AS call_id, text FROM conversations WHERE turn % 5 <> 0),
+{fx.analysis_sql('turns', 'call_id', 'text')} SELECT call_id, CASE WHEN length(t.text) % 2 = 0 THEN 'close' ELSE caller_intent END AS caller_intent,
+CASE WHEN length(t.text) % 2 = 0 THEN 'high' ELSE risk_level END AS risk_level, switch_reason FROM analysed JOIN turns t USING (call_id)""")
+def stream_analyze_model(spark, d):
+    """A model answers for some calls, the rules for the others; calls of blanks, newlines and tabs are none."""
+    sink = scratch_dir(spark, "live-model")
+    text = F.when(F.col("turn") % 5 == 0, " \n\t ").otherwise(F.col("text"))
+    calls = _stream(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("call_id"), text.alias("transcript"))
+    answer = F.struct(F.lit("close").alias("caller_intent"), F.lit("high").alias("risk_level"))
+    model = lambda batch: batch.withColumn("_model", F.when(F.length("transcript") % 2 == 0, answer))
+    R.analyze_stream(calls, sink, scratch_dir(spark, "live-model-checkpoint"), pack=fx.PACK, model=model).awaitTermination()
+    return spark.read.parquet(sink).select("call_id", "caller_intent", "risk_level", "switch_reason")
+
+
 @query("stream_daily", f"""WITH {fx.CALL_ROWS_SQL} SELECT date, {EXACT}, round(avg(sentiment_score), 6) AS avg_sentiment_score FROM calls GROUP BY date""")
 def stream_daily(spark, d):
     sink = scratch_dir(spark, "daily-live")
