@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import stored
 from .graph import components
 
-TREES, LEAF, SAMPLE, SPILL = 10, 1024, 8192, 0.08
+TREES, LEAF, SAMPLE, SPILL = 8, 1024, 8192, 0.05
 
 
 def build(sample: np.ndarray, size: int, spill: float, seed: int) -> dict[str, np.ndarray]:
@@ -94,14 +94,20 @@ def _split(members: DataFrame, spill: float, leaf: int, sample: int, seed: int,
     """
     spark = members.sparkSession
     part = members if trees else members.join(members.groupBy("tree", "node").agg(F.count("*").alias("n")), ["tree", "node"])
-    share = F.lit(sample / max(members.count(), 1)) if trees else F.lit(float(sample)) / F.col("n")
+    total = members.count() if trees else 0
+    share = F.lit(sample / max(total, 1)) if trees else F.lit(float(sample)) / F.col("n")
+
+    def enough(rows: int, all_rows: int) -> int:
+        """Sampled vectors a leaf may keep so that about half of ``leaf`` of all vectors reach it."""
+        return max(min(leaf // 2, 16), int(leaf / 2 * rows / max(all_rows, rows, 1)))
+
     chance = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))) < share
     kind = dict(members.dtypes)["id"]
 
     if trees:
         picked = part.where(chance).orderBy(F.xxhash64("id")).limit(2 * sample)
         x = np.array([r["v"] for r in picked.select("v").collect()])  # at most 2 SAMPLE vectors
-        made = [build(x, max(leaf // 8, 1), spill, seed + t) for t in range(trees)] if len(x) else []
+        made = [build(x, enough(len(x), total), spill, seed + t) for t in range(trees)] if len(x) else []
 
         def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -114,10 +120,11 @@ def _split(members: DataFrame, spill: float, leaf: int, sample: int, seed: int,
         return members.select("id", "v").mapInArrow(down, f"tree long, node long, id {kind}, v array<double>")
 
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        tree = build(np.stack(rows.sort_values("id")["v"].to_numpy()), max(leaf // 8, 1), spill, seed + key[0] * 7919 + key[1])
+        x = np.stack(rows.sort_values("id")["v"].to_numpy())
+        tree = build(x, enough(len(x), int(rows["n"].iloc[0])), spill, abs(hash((seed, *map(int, key)))))
         return pd.DataFrame({"tree": [key[0]], "node": [key[1]], "made": [pickle.dumps(tree)]})
 
-    fitted = stored(part.where(chance).select("tree", "node", "id", "v").groupBy("tree", "node").applyInPandas(fit, "tree long, node long, made binary"), "op4-trees")
+    fitted = stored(part.where(chance).select("tree", "node", "id", "v", "n").groupBy("tree", "node").applyInPandas(fit, "tree long, node long, made binary"), "op4-trees")
 
     def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
