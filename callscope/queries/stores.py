@@ -69,7 +69,8 @@ def archive_stats(spark, d):
     calls = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("call_id"), F.col("text").alias("transcript"))
     Z.archive(Z.raw_documents(calls), folder, "raw_audio")
     found = Z.object_stats(spark, folder).select("prefix", ((F.col("objects") > 0) & (F.col("bytes") > 0)).alias("stored"))
-    rows = Z.read_archive(spark, folder, "raw_audio").agg(F.count("*").alias("documents"), F.lit("raw_audio").alias("prefix"))
+    prefix = F.regexp_extract(F.col("_metadata.file_path"), "/([a-z_]+)/[^/]*$", 1).alias("prefix")
+    rows = Z.read_archive(spark, folder, "raw_audio").groupBy(prefix).agg(F.count("*").alias("documents"))
     return found.join(rows, "prefix")
 
 

@@ -9,8 +9,8 @@ from callscope.packs import ANALYSIS_DEFAULTS
 C = F.col("t")
 
 
-def _rules(spark, text):
-    row = spark.createDataFrame([(text,)], "t string").select(*[c.alias(n) for n, c in R.rule_analysis(C).items()]).first()
+def _rules(spark, text, chars=80):
+    row = spark.createDataFrame([(text,)], "t string").select(*[c.alias(n) for n, c in R.rule_analysis(C, summary_chars=chars).items()]).first()
     return row.asDict()
 
 
@@ -25,6 +25,26 @@ def test_rule_analysis(spark):
     got = _rules(spark, "x" * 100)
     assert (len(got["summary"]), got["primary_reason"], got["confidence"], got["emotion_score"]) == (80, "其他", 0.3, 0.2)
     assert _rules(spark, None)["summary"] == ""
+    assert len(_rules(spark, "x" * 100, None)["summary"]) == 100
+
+
+def test_empty_packs(spark):
+    from callscope.functions.base import contains_any, first_contained
+    from callscope.functions.keywords import KeywordIndex
+
+    frame = spark.createDataFrame([("abc",)], "t string")
+    index = KeywordIndex({"none": (), "some": ("b",)})
+    row = frame.select(contains_any(C, ()).alias("a"), first_contained(C, {}).alias("b"), index.count(index.masks(C), "none").alias("n"), index.count(index.masks(C), "some").alias("s")).first()
+    assert tuple(row) == (False, None, 0, 1)
+
+
+def test_explicit_nulls_of_a_model_stay_null(spark):
+    from callscope.operators.models import enrich
+
+    answers = ['{"caller_intent": "x", "sentiment": null, "sentiment_score": null}', '{"caller_intent": "x"}']
+    frame = spark.createDataFrame([(0, "a"), (1, "b")], "doc_id int, t string")
+    rows = enrich(frame, "doc_id", "t", lambda: lambda texts: [answers["ab".index(t)] for t in texts]).orderBy("doc_id").collect()
+    assert [(r["text_emotion"], r["emotion_score"]) for r in rows] == [("未知", 0.0), ("平静", 0.25)]
 
 
 @pytest.mark.parametrize("score,expected", [("1", 0.0), ("-1", 1.0), ("0", 0.5), ("5", 0.0), ("x", 0.0), (None, 0.0), ("-0.3", 0.65)])
@@ -85,6 +105,9 @@ def test_parse_struct(one):
     schema = T.StructType([T.StructField("a", T.LongType())])
     assert one(J.parse_struct(C, schema), row=("{bad",)) is None
     assert one(J.parse_struct(C, schema), row=('{"a": 3}',))["a"] == 3
+    for odd in ('[{"a": 1}]', "[]", "5", "null", '"x"', None):
+        assert one(J.parse_struct(C, schema), row=(odd,)) is None
+    assert one(J.parse_struct(C, schema), row=('{"a": "x"}',))["a"] is None
 
 
 GOOD = {
