@@ -14,8 +14,11 @@ result. Other columns are not read; id and labels are no inputs of a score.
 from __future__ import annotations
 
 import re
+import sys
+import types
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,8 @@ PREFIXES = (4, 5, 6)
 #: Words that a worker remembers; it starts anew beyond.
 REMEMBERED = 400_000
 
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_STOP = np.isin(np.arange(256), list(b".,;:?"))
 _CLASS = np.zeros(256, np.int64)
 _CLASS[97:123] = np.arange(1, 27)
 _CLASS[65:91] = np.arange(1, 27)
@@ -142,7 +147,13 @@ def features_of(word: str) -> list[str]:
 
 
 def _lower(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    words, owner = words_of(pc.utf8_lower(texts))
+    raw, offsets = utf8_bytes(pc.utf8_lower(texts))
+    # A full stop or comma at a word's end is no part of it; this halves the different words.
+    last = np.ones(len(raw), bool)
+    last[:-1] = _BLANK[raw[1:]]
+    last[offsets[1:][offsets[1:] > 0] - 1] = True
+    made = np.where(_STOP[raw] & last, 32, raw).astype(np.uint8)
+    words, owner = words_of(pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(made.tobytes())))
     codes, dictionary = codes_of(words)
     return codes, owner, dictionary.to_pylist()
 
@@ -163,6 +174,14 @@ class ToxicModel:
     cost: np.ndarray
     weights: dict[str, float]
     forest: Forest
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+    def known(self) -> dict[str, float]:
+        """Words that this worker process has weighed for this model, kept for its later tasks."""
+        held = sys.modules.setdefault("_callscope_words", types.ModuleType("_callscope_words")).__dict__
+        if held.get("model") != self.name:
+            held.update(model=self.name, known={})
+        return held["known"]
 
 
 def _weight(words: list[str], weights: dict[str, float]) -> float:
@@ -284,7 +303,7 @@ def score_toxicity(docs: DataFrame, model: ToxicModel | None, id_col: str = "doc
     narrow = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = {}
+        known = model.known() if model else {}
         for batch in blocks(batches, "_text"):
             x = evidence(texts_of(batch, "_text"), model.cost, model.weights, known) if model else np.zeros((batch.num_rows, 7))
             value = model.forest.score(x) if model else x[:, 0]
