@@ -84,9 +84,9 @@ def disclosing_terms(found: DataFrame, support: int, strength: float) -> DataFra
 
 
 def all_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 5, strength: float = 0.9) -> DataFrame:
-    """``docs`` with ``_spans``: base spans and those of disclosing terms (kind ``term``)."""
-    found = docs.withColumn("_id", F.col(id_col)).withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    found = found.withColumn("_spans", base_spans(F.col("_text")))
+    """``_row`` (the row of ``docs``), ``_text, _spans, _more``: base spans and those of disclosing terms (kind ``term``)."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    found = whole.withColumn("_spans", base_spans(F.col("_text")))
     terms = disclosing_terms(found.select("_id", "_text", "_spans"), support, strength)
     holders = found.where(F.col("_id").isNotNull()).select("_id", F.explode(_terms(F.col("_text"))).alias("term")).join(terms, "term").groupBy("_id").agg(F.concat_ws("|", F.array_sort(F.collect_set("term"))).alias("_terms"))
     held = found.join(stored(holders, "op9-holders"), "_id", "left")
@@ -98,7 +98,7 @@ def all_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 5, strength: float = 0.9) -> DataFrame:
     """Counts and digest of the base spans, and all spans, of every document."""
     rows = all_spans(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col, support, strength)
-    rows = rows.select(F.col(id_col), F.col("_spans"), chained([F.col("_spans"), F.col("_more")]).alias("_all"))
+    rows = rows.select(F.col("_id").alias(id_col), F.col("_spans"), chained([F.col("_spans"), F.col("_more")]).alias("_all"))
     return rows.select(
         F.col(id_col), *[counted(F.col("_spans"), k).alias(f"n_{k}") for k in KINDS], F.sha2(joined(F.col("_spans"), True), 256).alias("base_sha256"),
         joined(F.col("_all"), True).alias("spans"), counted(F.col("_all"), "term").alias("n_term"),
@@ -108,5 +108,5 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", su
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 5, strength: float = 0.9) -> DataFrame:
     """``docs`` with each span of the text replaced by the name of its kind in brackets; null stays null."""
     rows = all_spans(docs, id_col, text_col, support, strength)
-    clean = F.when(F.col(text_col).isNotNull(), replaced(F.col("_text"), chained([F.col("_spans"), F.col("_more")]), lambda kind: F.concat(F.lit("["), F.upper(kind), F.lit("]"))))
-    return rows.withColumn(text_col, clean).select(*docs.columns)
+    clean = F.when(F.col(f"_row.`{text_col}`").isNotNull(), replaced(F.col("_text"), chained([F.col("_spans"), F.col("_more")]), lambda kind: F.concat(F.lit("["), F.upper(kind), F.lit("]"))))
+    return rows.select(*[clean.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

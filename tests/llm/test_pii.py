@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from callscope.llm.pii import find_pii, sanitised
 from callscope.llm.queries import QUERIES
@@ -75,7 +76,8 @@ def test_disclosing_terms(spark):
 
 
 def test_sanitised(spark):
-    docs = spark.createDataFrame([(1, "mail a@b.co now", "x"), (2, None, "y"), (None, "ip 1.2.3.4", "z"), (4, "clean", "w"), (5, "", "v")], "doc_id long, text string, _note string")
+    docs = spark.createDataFrame([(1, "mail a@b.co now", "x"), (2, None, "y"), (None, "ip 1.2.3.4", "z"), (4, "clean", "w"), (5, "", "v")], "doc_id long, text string, _note string").withColumns({"_text": F.lit("a"), "_id": F.lit("b"), "_row": F.lit("c")})
+    assert all((r["_text"], r["_id"], r["_row"]) == ("a", "b", "c") for r in sanitised(docs).collect())
     out = {r["_note"]: r["text"] for r in sanitised(docs).collect()}
     assert out == {"x": "mail [EMAIL] now", "y": None, "z": "ip [IP]", "w": "clean", "v": ""}
     assert sanitised(docs).columns == docs.columns
