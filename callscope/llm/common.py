@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_dir
 
 #: Bytes of text that are worked on at once inside a task; one longer text is a block of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
@@ -45,7 +46,11 @@ def hashed_bucket(column: str, modulus: int):
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str, size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches that hold about ``size`` bytes of text each, and one row at least."""
+    """Slices of the batches that hold about ``size`` bytes of text each, and one row at least.
+
+    After the last one the worker gives the memory of its arrays back: it may wait for its next
+    task while other stages need that memory.
+    """
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -58,6 +63,15 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, size: int = BLOCK_BYTES
             stop = max(start + 1, int(np.searchsorted(ends, base + size, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        del batch, length, ends
+    release()
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
 
 
 def texts_of(batch: pa.RecordBatch, text: str) -> pa.Array:

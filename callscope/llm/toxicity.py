@@ -38,7 +38,7 @@ LEET = {
 SWAP, DROP, KEEP_TWO, SPELLINGS = 0.5, 3.0, 0.7, 4
 PREFIXES = (4, 5, 6)
 #: Words that a worker remembers; it starts anew beyond.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _STOP = np.isin(np.arange(256), list(b".,;:?"))
