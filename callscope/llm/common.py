@@ -17,7 +17,13 @@ from ..session import scratch_dir
 BLOCK_BYTES = 1 << 20
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python some megabytes at a time; ten thousand rows, Spark's default, may be a hundred."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{folder}/documents.parquet").select(*(columns or ("doc_id", "text")))
 
 

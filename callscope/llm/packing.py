@@ -32,7 +32,7 @@ from .ranks import bucket_count, running
 CAPACITY = 4096
 END = 2
 #: Encoded words that a worker remembers; it starts anew beyond.
-REMEMBERED = 250_000
+REMEMBERED = 600_000
 _MARK = "\x00"
 
 
@@ -124,7 +124,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of_worker(tokenizer)
-        for batch in blocks(batches, "_text", 2 << 20):
+        for batch in blocks(batches, "_text", 4 << 20):
             rows: list[tuple[int, int, int, int, int]] = []
             for k, ids in enumerate(encoder.encode(texts_of(batch, "_text"))):
                 for start in range(0, len(ids), capacity):

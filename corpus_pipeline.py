@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm.common import documents, labels, sized, stored
+from callscope.llm.common import documents, labels, sized, small_batches, stored
 from callscope.llm.jaccard_join import jaccard_components
 from callscope.llm.mixing import keep_mixed
 from callscope.llm.packing import pack
@@ -29,6 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: of each group the document that names it stays, once; rows without an id stay."""
+    small_batches(spark)
     found = stored(jaccard_components(docs.select("doc_id", "text"), mark="_mark"), "pipeline-components")
     many = found.where("doc_id is not null").groupBy("doc_id", "_mark").agg(F.count("*").alias("_rows"), F.first("component_id").alias("_leader"))
     gone = many.where("doc_id <> _leader or _rows > 1").select(F.col("doc_id").alias("_gone"), F.col("_mark").alias("_gone_mark"))
@@ -55,6 +56,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: pieces of documents in windows of 4096 tokens."""
+    small_batches(spark)
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
