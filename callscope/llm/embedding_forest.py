@@ -7,6 +7,11 @@ trees fitted on a sample of the leaf, until none does, so the depth grows with t
 leaves all pairs are compared in double precision, which verifies them; found pairs of all trees
 are put together.
 
+Leaves cut a group that is larger than they are, and lose its links. A vector with many partners
+in some leaf is therefore crowded: it belongs to a cell around a pivot that it is linked with, and
+is compared with every vector that is near enough to the pivot to be its partner, in blocks. Its
+links are counted, all of them, and none is written but those to pivots, which make components.
+
 The splits are fitted on samples of at most about ``SAMPLE`` vectors a leaf; every vector is
 routed. Splits are by quantiles of distinct projections, so a dense cluster shrinks at each.
 
@@ -31,6 +36,8 @@ from .common import stored
 from .graph import components
 
 TREES, LEAF, SAMPLE, SPILL = 8, 1024, 8192, 0.05
+#: A vector with a ``CROWD``-th of a leaf as partners in one is crowded. Pivots sent to tasks at once, and vectors a task compares with a cell.
+CROWD, CELLS, PIECE = 8, 4096, 4096
 
 
 def build(sample: np.ndarray, size: int, spill: float, seed: int) -> dict[str, np.ndarray]:
@@ -138,10 +145,28 @@ def _split(members: DataFrame, spill: float, leaf: int, sample: int, seed: int,
     return spark.createDataFrame([], members.schema).union(members.join(fitted, ["tree", "node"]).mapInPandas(again, f"tree long, node long, id {kind}, v array<double>"))
 
 
-def found_pairs(classes: DataFrame, least: float, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, spill: float = SPILL, seed: int = 11) -> DataFrame:
-    """``a, b`` with ``a < b`` of classes (``id, v``) whose cosine is at least ``least``."""
+def _crowded(x: np.ndarray, close: np.ndarray, least: int) -> list[tuple[int, np.ndarray]]:
+    """Cells of a leaf's crowded vectors: a pivot and those linked with it, until each is in one."""
+    degree = close.sum(1)
+    left = degree >= least
+    out = []
+    while left.any():
+        pivot = int(np.argmax(np.where(left, degree, -1)))
+        mine = left & close[pivot]
+        mine[pivot] = True
+        out.append((pivot, np.flatnonzero(mine)))
+        left &= ~mine
+    return out
+
+
+def found_links(classes: DataFrame, least: float, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, spill: float = SPILL, seed: int = 11) -> tuple[DataFrame, DataFrame]:
+    """Links of classes (``id, v, weight``) whose cosine is at least ``least``.
+
+    ``a, others``: parts of the weight that a class is linked with, to be added up; and ``a, b``:
+    links that make the components of all links.
+    """
     kind = dict(classes.dtypes)["id"]
-    now = stored(_split(classes, spill, leaf, sample, seed, trees), "op4-leaves")
+    now = stored(_split(classes.select("id", "v"), spill, leaf, sample, seed, trees), "op4-leaves")
     ready: DataFrame | None = None
     for level in range(1, 60):
         sizes = stored(now.groupBy("tree", "node").agg(F.count("*").alias("n")), "op4-sizes")
@@ -154,15 +179,90 @@ def found_pairs(classes: DataFrame, least: float, trees: int = TREES, leaf: int
     else:
         raise RuntimeError("leaves do not shrink")
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("id").sort_values("id")
         x = np.stack(rows["v"].to_numpy())
         x = x / np.sqrt((x * x).sum(1))[:, None]
-        a, b = np.nonzero(np.triu(x @ x.T >= least, 1))
+        close = x @ x.T >= least
+        np.fill_diagonal(close, False)
         ids = rows["id"].to_numpy()
-        return pd.DataFrame({"a": ids[a], "b": ids[b]})
+        cells = _crowded(x, close, max(leaf // CROWD, 2))
+        for _, mine in cells:
+            close[mine], close[:, mine] = False, False
+        a, b = np.nonzero(np.triu(close, 1))
+        out = [pd.DataFrame({"a": ids[a], "b": ids[b], "cell": -1, "centre": None})]
+        out += [pd.DataFrame({"a": ids[mine], "b": ids[pivot], "cell": k, "centre": [x[pivot] if i == pivot else None for i in mine]}) for k, (pivot, mine) in enumerate(cells)]
+        made = pd.concat(out, ignore_index=True)
+        made["tree"], made["node"] = key
+        return made[["tree", "node", "cell", "a", "b", "centre"]]
+
+    found = stored(ready.groupBy("tree", "node").applyInPandas(compare, f"tree long, node long, cell long, a {kind}, b {kind}, centre array<double>"), "op4-found")
+    crowded = found.where("cell >= 0").withColumn("key", F.xxhash64("tree", "node", "cell"))
+    owned = crowded.groupBy(F.col("a").alias("id")).agg(F.min(F.struct("tree", "node", "cell", "key", "b")).alias("x"))
+    owned = stored(owned.select("id", F.col("x.key").alias("own"), F.col("x.b").alias("pivot")), "op4-owned")
+
+    pairs = found.where("cell < 0").select("a", "b").distinct()
+    for end in ("a", "b"):
+        pairs = pairs.join(owned.select(F.col("id").alias(end)), end, "left_anti").select("a", "b")
+    pairs = stored(pairs, "op4-pairs")
+    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(classes.select(F.col("id").alias("b"), "weight"), "b").select("a", F.col("weight").alias("others"))
+    if owned.isEmpty():
+        return others, pairs
+    cells = stored(crowded.where("centre is not null").select(F.col("key").alias("cell"), "centre").join(owned.select(F.col("own").alias("cell")).distinct(), "cell"), "op4-cells")
+    exact = _exact_links(classes.join(owned, "id", "left"), cells, least)
+    edges = pairs.union(owned.select("id", "pivot")).union(exact.where("pivot is not null").select("a", "pivot"))
+    return others.union(exact.select("a", "others")), edges
 
-    return ready.groupBy("tree", "node").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
+
+def _exact_links(members: DataFrame, cells: DataFrame, least: float) -> DataFrame:
+    """``a, others, pivot``: all links of the vectors that a cell owns, with each other and the rest.
+
+    ``members`` are all vectors (``id, v, weight, own, pivot``), ``own`` is null outside cells. What
+    a cell owns is linked with its pivot, so partners are at most two link angles from the pivot.
+    """
+    kind = dict(members.dtypes)["id"]
+    reach = (2 * least * least - 1 if least > 0 else -1.0) - 1e-9
+    parts = -(-cells.count() // CELLS)
+    near: DataFrame | None = None
+    for part in range(parts):
+        chosen = cells.where(F.pmod(F.xxhash64("cell"), F.lit(parts)) == part).collect()  # about CELLS pivots at most
+        if not chosen:
+            continue
+        keys, centres = np.array([r["cell"] for r in chosen], np.int64), np.array([r["centre"] for r in chosen], float)
+
+        def meet(batches: Iterator[pa.RecordBatch], keys: np.ndarray = keys, centres: np.ndarray = centres) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                v = np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, -1)
+                for low in range(0, len(keys), 256):
+                    row, cell = np.nonzero(v @ centres[low : low + 256].T >= reach)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[low + cell]), batch.column(0).take(pa.array(row))], names=["cell", "id"])
+
+        met = stored(members.select("id", "v").mapInArrow(meet, f"cell long, id {kind}"), "op4-near")
+        near = met if near is None else near.union(met)
+    pieces = stored(near.groupBy("cell").agg(F.ceil(F.count("*") / PIECE).alias("pieces")), "op4-pieces")
+    asked = near.join(pieces, "cell").select("cell", F.pmod(F.xxhash64("id"), "pieces").alias("piece"), "id")
+    asked = asked.join(members, "id").select("cell", "piece", "id", "v", "weight", F.col("own").isNotNull().alias("owned"), F.lit(None).cast(kind).alias("pivot"), F.lit(False).alias("mine"))
+    mine = members.where("own is not null").withColumnRenamed("own", "cell").join(pieces, "cell")
+    mine = mine.select("cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)).alias("piece"), "id", "v", "weight", F.lit(True).alias("owned"), "pivot", F.lit(True).alias("mine"))
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        ours, theirs = rows[rows["mine"]], rows[~rows["mine"]]
+        if not len(theirs):
+            return pd.DataFrame({"a": [], "others": [], "pivot": []})
+        x, y = (np.stack(r["v"].to_numpy()) for r in (ours, theirs))
+        x, y = (v / np.sqrt((v * v).sum(1))[:, None] for v in (x, y))
+        close = (x @ y.T >= least) & (ours["id"].to_numpy()[:, None] != theirs["id"].to_numpy()[None])
+        linked = close.any(0)
+        # A cell that owns the other end counts for it.
+        told = np.where(theirs["owned"].to_numpy(bool), 0, ours["weight"].to_numpy() @ close)
+        out = [
+            pd.DataFrame({"a": ours["id"].to_numpy(), "others": close @ theirs["weight"].to_numpy(), "pivot": None}),
+            pd.DataFrame({"a": theirs["id"].to_numpy()[linked], "others": told[linked], "pivot": ours["pivot"].iloc[0]}),
+        ]
+        return pd.concat([x.astype({"pivot": object}) for x in out], ignore_index=True)
+
+    return stored(mine.unionByName(asked).groupBy("cell", "piece").applyInPandas(count, f"a {kind}, others long, pivot {kind}"), "op4-exact")
 
 
 def near_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, **forest) -> DataFrame:
@@ -175,17 +275,14 @@ def near_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     kind = dict(classes.dtypes)["rep"]
     # Classes are named by a number: an id that repeats with another vector is in several.
     named = stored(classes.withColumn("id", F.xxhash64("direction")), "op4-named")
-    pairs: DataFrame | None = None
+    links = vectors.sparkSession.createDataFrame([], "a long, others long")
+    edges = vectors.sparkSession.createDataFrame([], "a long, b long")
     for size in [r["size"] for r in named.select("size").distinct().collect()]:
-        part = found_pairs(named.where(F.col("size") == size).select("id", F.col("direction").alias("v")), least, **forest)
-        pairs = part if pairs is None else pairs.union(part)
-    if pairs is None:
-        pairs = vectors.sparkSession.createDataFrame([], "a long, b long")
-    pairs = stored(pairs, "op4-pairs")
+        others, joins = found_links(named.where(F.col("size") == size).select("id", F.col("direction").alias("v"), "weight"), least, **forest)
+        links, edges = links.union(others), edges.union(joins)
 
-    both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    links = both.join(named.select(F.col("id").alias("b"), "weight"), "b").groupBy("a").agg(F.sum("weight").alias("others"))
-    joined = components(pairs, "op4-components").join(named.select(F.col("id").alias("node"), "rep"), "node")
+    links = links.groupBy("a").agg(F.sum("others").alias("others"))
+    joined = components(edges, "op4-components").join(named.select(F.col("id").alias("node"), "rep"), "node")
     least_id = joined.groupBy("component").agg(F.min("rep").alias("least"))
     named_by = joined.join(least_id, "component").select(F.col("node").alias("id"), "least")
     final = named.select("id", "direction", "rep", "weight").join(links.withColumnRenamed("a", "id"), "id", "left").join(named_by, "id", "left")

@@ -158,3 +158,18 @@ def test_routing_reaches_every_leaf_rule():
     rows, at = E.route(tree, x)
     assert set(rows) == set(range(500)) and (tree["left"][at] < 0).all() and len(rows) > 500
     assert np.bincount(at).max() <= 20
+
+
+def test_dense_group_larger_than_a_leaf(spark):
+    """10 000 distinct vectors within a cosine of about 0.95, and a sparse rest, at the defaults."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=64) + rng.normal(size=(10_000, 64)) * 0.22, rng.normal(size=(2000, 64))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = np.concatenate([(unit[k : k + 1000] @ unit.T >= 0.95).sum(1) - 1 for k in range(0, len(x), 1000)])
+    assert want.sum() > 10_000_000
+    frame = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>").repartition(8)
+    found = {r["vec_id"]: r for r in E.near_embeddings(frame).collect()}
+    got = np.array([found[k]["n_links"] for k in range(len(x))])
+    assert (got <= want).all() and got.sum() >= 0.99 * want.sum()
+    assert sum(found[k]["component_id"] == 0 for k in range(10_000)) >= 0.99 * (want[:10_000] > 0).sum()
+    assert all(found[k]["component_id"] == k for k in range(10_000, 12_000))
