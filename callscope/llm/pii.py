@@ -1,10 +1,11 @@
 """Operator 9: personal data, base patterns and information-theoretic sanitisation.
 
 Addresses, network numbers, cards and phones are found by patterns. The corpus then says which
-other terms give them away: a term t that stands next to entity e discloses it when
-PMI(e; t) >= strength * IC(e), that is P(e | t) >= P(e) ** (1 - strength), with document counts
-over all documents and at least ``support`` different texts that hold both. Such terms are
-removed wherever they occur.
+other terms give them away: a term t that stands in texts with entity e discloses it when
+PMI(e; t) >= strength * IC(e), that is P(e | t) >= P(e) ** (1 - strength), with counts over all
+different texts, at least ``support`` of which hold both, and a confidence bound over all pairs.
+Personal values hardly ever repeat, so an entity is also a kind, the local part or domain of an
+address, or the start of a number. Such terms are removed wherever they occur.
 
 Everything is built-in functions: no Python runs on the executors. Null text counts as empty.
 Rows with a null id get the base spans only. Repeated rows are handled row by row; equal texts
@@ -14,11 +15,13 @@ empty results.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.base import let
-from .common import stored
+from .common import sized, stored
 from .spans import chained, counted, joined, matches, none, replaced
 
 # The base patterns. Possessive repeats and look-behinds find the same matches in linear time.
@@ -30,8 +33,8 @@ _BYTE = "(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 IP_FINE = rf"^0*{_BYTE}(?:\.0*{_BYTE})" + r"{3}$"
 KINDS = ("email", "ip", "card", "phone")
 TERM = r"[\p{L}\p{N}]{3,}+"
-#: Words on each side of an entity that may disclose it, and the code points they are taken from.
-NEAR_WORDS, NEAR_CHARS = 3, 80
+#: Chance that any term at all is taken for disclosing though it is none.
+CHANCE = 0.05
 
 
 def _digits(value: Column) -> Column:
@@ -57,30 +60,51 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
+def _entities(span: Column) -> Column:
+    """What a span may stand for: its kind, its exact value, and groups that repeat where values do not."""
+    kind, value = span["kind"], span["value"]
+    address = F.when(kind == "email", F.concat(F.lit("email:"), F.lower(F.substring_index(value, "@", 1)), F.lit("@")))
+    network = address.when(kind == "ip", F.concat(F.lit("ip:"), F.substring_index(value, ".", 2), F.lit(".")))
+    group = network.otherwise(F.concat(kind, F.lit(":"), F.substring(_digits(value), F.lit(1), F.when(kind == "card", 6).otherwise(4)), F.lit("*")))
+    domain = F.when(kind == "email", F.concat(F.lit("email:@"), F.lower(F.substring_index(value, "@", -1))))
+    return F.array_compact(F.array(kind, F.concat(kind, F.lit(":"), value), group, domain))
+
+
 def disclosing_terms(found: DataFrame, support: int, strength: float) -> DataFrame:
-    """``term`` of all terms that disclose an entity. ``found`` has ``_id, _text, _spans``."""
-    total = found.count()
-    hit = found.where(F.size("_spans") > 0).select("_text", F.explode("_spans").alias("x"))
-
-    def side(before: bool) -> Column:
-        low = F.greatest(F.col("x.start") - NEAR_CHARS, F.lit(0))
-        piece = F.substring("_text", (low + 1).cast("int"), (F.col("x.start") - low).cast("int")) if before else F.substring("_text", (F.col("x.end") + 1).cast("int"), F.lit(NEAR_CHARS))
-        words = F.regexp_extract_all(F.lower(piece), F.lit(TERM), F.lit(0))
-        return F.slice(words, F.greatest(F.size(words) - NEAR_WORDS + 1, F.lit(1)), F.lit(NEAR_WORDS)) if before else F.slice(words, 1, NEAR_WORDS)
-
-    # A text's own entity is written around the term only once per different text.
-    near = hit.select(F.xxhash64("_text").alias("d"), F.concat_ws(":", "x.kind", "x.value").alias("e"), F.array_union(side(True), side(False)).alias("t")).select("d", "e", F.explode("t").alias("t")).distinct()
+    """``term`` of all terms that disclose an entity. ``found`` has ``_id, _text, _spans``.
+
+    All counts are of different texts, as a whole, without the entities themselves. With p = P(e),
+    n_t texts of a term and n_both of them with e, chance alone gives that many with a probability
+    of at most exp(-n_t KL(n_both / n_t, p)); over all pairs that could be, this must be ``CHANCE``.
+    """
+    texts = found.select(F.xxhash64("_text").alias("d"), "_text", "_spans")
+    copies = texts.groupBy("d").agg(F.count("*").alias("c"))
+    total = copies.count()
+    copies = sized(stored(copies.where("c > 1"), "op9-copies"))
+    bare = F.when(F.size("_spans") > 0, replaced(F.col("_text"), F.col("_spans"), lambda kind: F.lit(" "))).otherwise(F.col("_text"))
+
+    hits = texts.where(F.size("_spans") > 0).select("d", F.array_distinct(F.flatten(F.transform("_spans", _entities))).alias("e"), _terms(bare).alias("t"))
+    hits = stored(hits.dropDuplicates(["d"]), "op9-hits")
+    entities = hits.select(F.explode("e").alias("e")).groupBy("e").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
+    entities = stored(entities, "op9-entities")
+    beside = stored(hits.select(F.explode("t").alias("t")).groupBy("t").agg(F.count("*").alias("n_near")), "op9-beside")
+    tested = max(entities.count() * beside.count(), 1)
+    # Values of their own text only leave before terms are paired with them.
+    near = hits.select("d", F.explode("e").alias("e")).join(sized(entities), "e").select("d", "e").join(hits.select("d", "t"), "d").select("e", F.explode("t").alias("t"))
     both = near.groupBy("e", "t").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    entities = near.select("d", "e").distinct().groupBy("e").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
     # Common words stand near many entities: already the texts where a term is near any are too
     # many for one of them, and it need not be counted over the corpus.
-    least = F.pow(F.col("n_e") / F.lit(float(max(total, 1))), F.lit(1 - strength))
-    beside = near.select("d", "t").distinct().groupBy("t").agg(F.count("*").alias("n_near"))
+    p = F.col("n_e") / F.lit(float(max(total, 1)))
+    least = F.pow(p, F.lit(1 - strength))
     pairs = stored(both.join(entities, "e").join(beside, "t").where(F.col("n_both") / F.col("n_near") >= least).drop("n_near"), "op9-pairs")
 
-    asked = pairs.select("t").distinct()
-    count = found.select(F.explode(_terms(F.col("_text"))).alias("t")).join(asked, "t").groupBy("t").agg(F.count("*").alias("n_t"))
-    return stored(pairs.join(count, "t").where(F.col("n_both") / F.col("n_t") >= least).select(F.col("t").alias("term")).distinct(), "op9-terms")
+    asked = sized(stored(pairs.select("t").distinct(), "op9-asked"))
+    said = texts.join(copies, "d", "left").select((1 / F.coalesce("c", F.lit(1))).alias("w"), F.explode(_terms(bare)).alias("t"))
+    count = said.join(asked, "t").groupBy("t").agg(F.round(F.sum("w")).alias("n_t"))
+    q = F.col("n_both") / F.col("n_t")
+    apart = q * F.log(q / p) + F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - p))).otherwise(0.0)
+    sure = (q > p) & (F.col("n_t") * apart >= math.log(tested / CHANCE))
+    return stored(pairs.join(count, "t").where((q >= least) & sure).select(F.col("t").alias("term")).distinct(), "op9-terms")
 
 
 def all_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 5, strength: float = 0.9) -> DataFrame:

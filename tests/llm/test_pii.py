@@ -88,3 +88,12 @@ def test_sanitised(spark):
 def test_long_texts(spark, text):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     check(find_pii(docs).collect(), {1: text})
+
+
+def test_terms_of_values_that_never_repeat(spark):
+    """At the defaults: every address is another one, their domain is not."""
+    rows = [(k, f"item{k} mail Zorblax person{k}@x.org soon") for k in range(12)]
+    rows += [(100 + k, f"plain mail {k} from someone at home, soon, item{k}") for k in range(60)]
+    rows += [(300, "only Zorblax here")]
+    out = {r["doc_id"]: r for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[k]["n_term"] == (k < 12 or k == 300) for k in out)
