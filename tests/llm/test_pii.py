@@ -97,3 +97,11 @@ def test_terms_of_values_that_never_repeat(spark):
     rows += [(300, "only Zorblax here")]
     out = {r["doc_id"]: r for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(out[k]["n_term"] == (k < 12 or k == 300) for k in out)
+
+
+def test_terms_far_from_the_entity(spark):
+    """The term stands more than three words and eighty characters from one repeated address."""
+    rows = [(k, f"Zorblax can on most days of number{k} " + "and of the week and the year " * 5 + "be reached at the address a@x.org") for k in range(12)]
+    rows += [(100 + k, f"on most days one can be reached at the address of number{k} and the week and year") for k in range(60)]
+    out = {r["doc_id"]: r for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string"), support=5).collect()}
+    assert all(out[k]["n_term"] == (k < 12) for k in out)
