@@ -2,7 +2,8 @@
 
 Base: the places where a phrase's words stand consecutively. Method: a block of text meets a
 template if it holds at least ``share`` of the template's distinct words. Blocks are windows of
-at most ``BLOCK`` words of a line, half overlapping, so that a template is never cut off.
+at most ``BLOCK`` words, half overlapping, of each line and of the whole text across its line
+breaks, so that a template is never cut off.
 
 Words of the templates are ordered by their frequency over all documents. A block that meets a
 template must hold one of the template's rarest words (prefix filter), enough distinct words
@@ -89,10 +90,15 @@ def template_blocks(lines: DataFrame, templates: Mapping[str, str] = TEMPLATES,
     first = [w for w in vocabulary if any(order[w] == r[0] for r in rows)]
     least = min(r[4] for r in rows)
 
-    screened = lines.select("_row", F.explode(F.filter("_lines", lambda x: F.arrays_overlap(F.split(x, " "), F.array(*map(F.lit, first))))).alias("l"))
-    words = screened.select("_row", F.split("l", " ").alias("w"))
-    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - BLOCK // 2, F.lit(1)), F.lit(BLOCK // 2))
-    cut = words.select("_row", F.explode(F.transform(starts, lambda i: F.slice("w", i, BLOCK))).alias("w"))
+    def windows(words: DataFrame) -> DataFrame:
+        starts = F.sequence(F.lit(1), F.greatest(F.size("w") - BLOCK // 2, F.lit(1)), F.lit(BLOCK // 2))
+        rare = F.array(*map(F.lit, first))
+        return words.select("_row", F.explode(F.filter(F.transform(starts, lambda i: F.slice("w", i, BLOCK)), lambda x: F.arrays_overlap(x, rare))).alias("w"))
+
+    by_line = lines.select("_row", F.explode("_lines").alias("l")).select("_row", F.split("l", " ").alias("w"))
+    # Notices are wrapped: the words of a text are a line of their own.
+    whole = lines.where(F.size("_lines") > 1).select("_row", F.split(F.array_join("_lines", " "), " ").alias("w"))
+    cut = windows(by_line).union(windows(whole))
     table = F.create_map(*[x for w in vocabulary for x in (F.lit(w), F.lit(order[w]).cast("bigint"))])
     ranked = cut.select("_row", F.array_sort(F.filter(F.transform(F.array_distinct("w"), lambda w: F.try_element_at(table, w)), lambda r: r.isNotNull())).alias("v"))
     ranked = ranked.where(F.size("v") >= least).withColumn("m", F.size("v"))

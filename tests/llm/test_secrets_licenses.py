@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 
 from callscope.llm.licenses import TEMPLATES, _need, scan_licenses
 from callscope.llm.queries import QUERIES
@@ -126,3 +127,23 @@ def test_license_cases(spark):
 def test_licenses_query(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
     check_licenses(QUERIES["op2_licenses"](spark, FOLDER).collect(), texts)
+
+
+def wrapped(text, width):
+    return "\n * ".join(textwrap.wrap(text, width))
+
+
+def test_wrapped_notices(spark):
+    """Against windows of the whole text: notices wrapped at some columns, also amid other lines."""
+    texts = [wrapped(t, width) for t in TEMPLATES.values() for width in (24, 40, 72)]
+    texts += ["words before\n" * 31 + wrapped(t, 40) + "\nand after" * 40 for t in TEMPLATES.values()]
+    texts += ["Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal", "no license\n" * 50]
+    rows = scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        text = texts[r["doc_id"]]
+        want = templates(text) | templates(text.replace("\n", " ")) | set(filter(None, licenses(text)[4].split(",")))
+        assert set(filter(None, r["labels"].split(","))) == want, text
+    labels = {r["doc_id"]: r["labels"].split(",") for r in rows}
+    assert all(label in labels[3 * k + j] and label in labels[3 * len(TEMPLATES) + k] for k, label in enumerate(TEMPLATES) for j in range(3))
+    assert labels[4 * len(TEMPLATES)] == ["mit"]
