@@ -13,6 +13,7 @@ result. Other columns are not read; id and labels are no inputs of a score.
 
 from __future__ import annotations
 
+import itertools
 import re
 import sys
 import types
@@ -135,11 +136,13 @@ def readings(token: str, cost: np.ndarray) -> list[str]:
 
 
 def spaced_words(tokens: list[str], cost: np.ndarray) -> list[str]:
-    """Words spelled one letter at a time: every stretch of 4 to 12 letters of a run, decoded."""
+    """Words spelled one character at a time: every stretch of 4 to 12 of a run with a letter, decoded."""
     letters = "".join(tokens)
     if len(set(letters)) < 3:
         return []
-    return [w for size in range(4, 13) for k in range(len(letters) - size + 1) for w in restore(letters[k : k + size], cost, 1)]
+    stretches = (letters[k : k + size] for size in range(4, 13) for k in range(len(letters) - size + 1))
+    # What a sign stands for is less sure than a letter.
+    return [w for s in stretches if any(map(str.isalpha, s)) for w in restore(s, cost, 1 if s.isalpha() else SPELLINGS)]
 
 
 def features_of(word: str) -> list[str]:
@@ -159,13 +162,14 @@ def _lower(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
 
 
 def _runs(codes: np.ndarray, owner: np.ndarray, words: list[str]) -> list[tuple[int, list[str]]]:
-    """Runs of at least four single letters, with their text's place."""
-    single = np.fromiter((len(w) == 1 and w.isalpha() for w in words), bool, len(words))[codes] if len(codes) else np.zeros(0, bool)
+    """Runs of at least four single letters or signs of ``LEET``, with their text's place. One is a letter."""
+    single = np.fromiter((len(w) == 1 and (w.isalpha() or w in LEET) for w in words), bool, len(words))[codes] if len(codes) else np.zeros(0, bool)
     edge = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
     out = []
     for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
         cuts = [a, *(a + 1 + np.flatnonzero(owner[a + 1 : b] != owner[a : b - 1])).tolist(), b]
-        out += [(int(owner[x]), [words[c] for c in codes[x:y]]) for x, y in zip(cuts, cuts[1:]) if y - x >= 4]
+        found = [(int(owner[x]), [words[c] for c in codes[x:y]]) for x, y in zip(cuts, cuts[1:]) if y - x >= 4]
+        out += [(o, tokens) for o, tokens in found if any(map(str.isalpha, tokens))]
     return out
 
 
@@ -188,6 +192,16 @@ def _weight(words: list[str], weights: dict[str, float]) -> float:
     return max((weights.get(f, 0.0) for w in words for f in features_of(w)), default=0.0)
 
 
+def _spaced_weights(tokens: list[str], cost: np.ndarray, weights: dict[str, float]) -> list[float]:
+    """Weights of a run: of its parts of letters alone, and of the whole where signs say more."""
+    parts = [list(g) for letters, g in itertools.groupby(tokens, str.isalpha) if letters]
+    plain = [_weight(spaced_words(p, cost), weights) for p in parts if len(p) >= 4]
+    if len(parts) == 1 and len(parts[0]) == len(tokens):
+        return plain
+    whole = _weight(spaced_words(tokens, cost), weights)
+    return plain + [whole] * (whole > max(plain, default=0.0))
+
+
 def evidence(texts: pa.Array, cost: np.ndarray, weights: dict[str, float], known: dict[str, float]) -> np.ndarray:
     """Evidence of each text: summed, largest and second weight, number of marked words, their share, size."""
     n = len(texts)
@@ -202,7 +216,7 @@ def evidence(texts: pa.Array, cost: np.ndarray, weights: dict[str, float], known
     who, what = pairs // max(len(words), 1), value[pairs % max(len(words), 1)] if len(pairs) else np.zeros(0)
     marked = what > 0
     who, what = who[marked], what[marked]
-    more = [(o, _weight(spaced_words(tokens, cost), weights)) for o, tokens in _runs(codes, owner, words)]
+    more = [(o, v) for o, tokens in _runs(codes, owner, words) for v in _spaced_weights(tokens, cost, weights)]
     if more:
         who, what = np.concatenate([who, [o for o, _ in more]]), np.concatenate([what, [v for _, v in more]])
         who, what = who[what > 0].astype(np.int64), what[what > 0]

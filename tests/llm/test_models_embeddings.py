@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,3 +174,10 @@ def test_dense_group_larger_than_a_leaf(spark):
     assert (got <= want).all() and got.sum() >= 0.99 * want.sum()
     assert sum(found[k]["component_id"] == 0 for k in range(10_000)) >= 0.99 * (want[:10_000] > 0).sum()
     assert all(found[k]["component_id"] == k for k in range(10_000, 12_000))
+
+
+@pytest.mark.parametrize("spaced, word", [("s t u p 1 d", "stupid"), ("1 d 1 0 t", "idiot"), ("m 0 r o n", "moron"), ("$ t u p ! d", "stupid"), ("you s t u p i d 1 d i 0 t s", "stupid")])
+def test_spaced_leetspeak_is_evidence(cost, spaced, word):
+    texts = pa.array([f"a good book {spaced} little", "1 2 3 4 5 6 0 1", "a 1 2 3"])
+    found = T.evidence(texts, cost, {word: 2.0}, {})
+    assert found[:, 0].tolist() == [2.0, 0.0, 0.0]
