@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_dir
+from .archives import pages_through_archives
+from .collocations import collocations
 from .common import documents, labels
 from .embedding_forest import near_embeddings
 from .jaccard_join import jaccard_components
@@ -17,6 +19,7 @@ from .packing import pack
 from .pii import find_pii
 from .quality_classifier import quality_report
 from .quality_rules import fit_quality, quality_rules
+from .reversed_search import reversed_search
 from .secrets import scan_secrets, secret_report
 from .toxicity import toxicity_report
 
@@ -126,3 +129,63 @@ def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_embedding_forest(spark: SparkSession, folder: str) -> DataFrame:
     return near_embeddings(spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+@query
+def op11_reversed_search(spark: SparkSession, folder: str) -> DataFrame:
+    return reversed_search(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+ORACLES["op11_reversed_search"] = f"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS d, {_TERMS} AS t FROM documents),
+corpus AS (SELECT count(*)::BIGINT AS n_docs, sum(len(t))::BIGINT AS n_terms FROM docs WHERE len(t) > 0),
+tf AS (SELECT d, any_value(doc_id) AS doc_id, t, count(*)::BIGINT AS tf, any_value(n)::BIGINT AS n FROM (SELECT d, doc_id, len(t) AS n, unnest(t) AS t FROM docs) GROUP BY d, t),
+asked AS (SELECT i, any_value(item_id) AS item_id, t, count(*)::BIGINT AS q FROM (SELECT item_id, row_number() OVER () AS i, unnest({_TERMS}) AS t FROM benchmark) GROUP BY i, t),
+weight AS (SELECT t, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, corpus GROUP BY t, n_docs),
+scored AS (
+  SELECT a.i, any_value(a.item_id) AS item_id, tf.d, any_value(tf.doc_id) AS doc_id,
+    sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM asked a JOIN tf USING (t) JOIN weight USING (t), corpus GROUP BY a.i, tf.d),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 20
+"""
+
+
+@query
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(documents(spark, folder, "lang", "text"))
+
+
+ORACLES["op13_collocations"] = r"""
+WITH pieces AS (
+  SELECT lang, row_number() OVER () AS p, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+f AS (SELECT lang, m, array_to_string(g, ' ') AS phrase, count(*)::BIGINT AS f
+      FROM (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: w[i:i + m - 1])) AS g FROM pieces, (SELECT unnest([1, 2, 3]) AS m)) GROUP BY ALL),
+asked AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m >= 2 AND f >= 10),
+cuts AS (SELECT c.*, x.f AS l, y.f AS r, (1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM asked) c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[:k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:], ' ')),
+low AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM asked WHERE m = 3) GROUP BY ALL),
+ranked AS (SELECT low.lang, row_number() OVER (PARTITION BY low.lang ORDER BY score DESC, a DESC, low.phrase) AS rank, low.phrase, a, l, r, score::BIGINT AS score
+  FROM low LEFT JOIN inner_ i ON i.lang = low.lang AND i.phrase = low.phrase AND low.m = 2 WHERE i.longer IS NULL OR 100 * i.longer < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
+@query
+def op12_arc_to_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return pages_through_archives(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
+ORACLES["op12_arc_to_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(s, 5 * (i // 4)::INT + 1, 5))::INT >> (15 - 5 * (i % 4))::INT) % 32 + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM p
+"""
