@@ -7,8 +7,9 @@ equal chunks wherever they stand, and leaves no phrase uncovered. A chunk owns t
 start before its overlap, so each is counted in one chunk only. Equal chunks of a language meet in
 a dictionary with their frequency, and phrases are counted once in each different chunk, weighted.
 
-Counts below ``least`` are dropped once they are whole: a part of a phrase is at least as frequent
-as the phrase, so all that a score needs is left. Scores are integers, from 38-digit products: the
+Pairs of words are counted first, by hash, so that only phrases whose pairs may all be frequent are
+counted by their words. Counts below ``least`` are dropped once they are whole: a part of a phrase is
+at least as frequent as the phrase, so all that a score needs is left. Scores are integers, from 38-digit products: the
 smallest over the cuts of a phrase of ``floor(10^6 a^2 / (l r))``. A phrase inside a longer one at
 least half as frequent goes. Each language is ranked in parts first, so that none is one task's.
 
@@ -28,17 +29,21 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_dir
 from .common import blocks, codes_of, ids_of, mix, record, release, stored, texts_of, utf8_bytes
 
 SIZE = 3
 LEAST = 10
 TOP = 2000
 #: A chunk has so many words of its own on average.
-EVERY = 8
+EVERY = 16
 #: Parts over which rows that need a word's count are dealt.
 SALTS = 16
-#: Dictionary rows counted together inside a task.
+#: Bytes of dictionary rows counted together inside a task.
 _GATHER = 8 << 20
+#: Bits of a pair's slot, and of its place in the map of frequent pairs (16 MB).
+_SLOT_BITS = 40
+_MAP_BITS = 27
 
 _BREAK = np.isin(np.arange(256), list(b".,;:!?\n\x0b\x0c\r"))
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -47,6 +52,7 @@ _PLAIN[_BREAK] = 32
 _PLAIN[9] = 32
 
 _CHUNKS = pa.schema([("lang", pa.string()), ("own", pa.int32()), ("chunk", pa.string()), ("times", pa.int64())])
+_SLOTS = pa.schema([("slot", pa.int64()), ("f", pa.int64())])
 _FOUND = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
 
 
@@ -107,57 +113,105 @@ def chunks(docs: DataFrame, size: int = SIZE, every: int = EVERY, text: str = "t
     return found.groupBy("lang", "own", "chunk").agg(F.sum("times").alias("times"))
 
 
-def phrases(dictionary: DataFrame, size: int = SIZE) -> DataFrame:
-    """``lang, size, phrase, f``: every phrase of 1 to ``size`` words with all its places in the corpus."""
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Dictionary rows, some megabytes at a time."""
+    waiting, held = [], 0
+    for block in blocks(batches, "chunk"):
+        waiting.append(block)
+        held += block.nbytes
+        if held >= _GATHER:
+            yield pa.Table.from_batches(waiting).combine_chunks()
+            waiting, held = [], 0
+    if waiting:
+        yield pa.Table.from_batches(waiting).combine_chunks()
+    release()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, held = [], 0
-        for block in blocks(batches, "chunk"):
-            waiting.append(block)
-            held += block.nbytes
-            if held >= _GATHER:
-                yield from places(waiting)
-                waiting, held = [], 0
-        if waiting:
-            yield from places(waiting)
-        release()
-
-    def places(waiting: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(waiting).combine_chunks()
+
+class Places:
+    """The words of some dictionary rows in a line; a place is where a phrase may start."""
+
+    def __init__(self, table: pa.Table) -> None:
         lists = pc.split_pattern(table["chunk"].chunk(0), " ")
         sizes = np.diff(lists.offsets.to_numpy())
-        codes, words = codes_of(lists.flatten())
-        n = len(codes)
+        self.codes, self.words = codes_of(lists.flatten())
+        self.lang, self.names = codes_of(table["lang"].chunk(0))
         row = np.repeat(np.arange(len(sizes)), sizes)
-        ends = np.cumsum(sizes)
-        place = np.arange(n) - (ends - sizes)[row]
-        owned = place < table["own"].to_numpy()[row]
-        room = sizes[row] - place
-        times = table["times"].to_numpy()
-        lang, names = codes_of(table["lang"].chunk(0))
-        key = lang[row]
-        for k in range(1, size + 1):
-            # Codes of phrases grow by a word at a time; each step is numbered anew, so 63 bits hold it.
-            if k == 1:
-                last = codes
-            else:
-                key, last = key[:-1], codes[k - 1 :]
-            key = key * max(len(words), 1) + last
-            _, key = np.unique(key, return_inverse=True)
-            here = np.flatnonzero((owned & (room >= k))[: len(key)])
+        place = np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row]
+        self.room = np.where(place < table["own"].to_numpy()[row], sizes[row] - place, 0)  # words from here on, 0 in the overlap
+        self.times = table["times"].to_numpy()[row]
+        self.lang = self.lang[row]
+
+    def pair_slots(self) -> np.ndarray:
+        """For each place the slot of its two words: a hash of ``_SLOT_BITS`` bits, the same in every task."""
+        with np.errstate(over="ignore"):
+            key = mix(_hashes(self.words))[self.codes] + _hashes(self.names)[self.lang]
+            key = mix(key[:-1] + mix(_hashes(self.words) + np.uint64(1))[self.codes[1:]]) >> np.uint64(64 - _SLOT_BITS)
+        return key.astype(np.int64)
+
+
+def frequent_pairs(dictionary: DataFrame, least: int) -> np.ndarray:
+    """A bitmap in which every pair of words with ``least`` places or more has its bit set, and few others do.
+
+    Pairs are counted by slot, a number instead of two words; slots that reach ``least`` set the bit of
+    their last ``_MAP_BITS`` bits. The map has one size however large the corpus; what passes it
+    wrongly is counted in full and dropped then.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _gathered(batches):
+            at = Places(table)
+            here = np.flatnonzero(at.room[:-1] >= 2) if len(at.room) else np.zeros(0, np.int64)
             if not len(here):
                 continue
-            numbers, one, back = np.unique(key[here], return_index=True, return_inverse=True)
-            f = np.zeros(len(numbers), np.int64)
-            np.add.at(f, back, times[row[here]])
-            one = here[one]
-            made = _joined(words, codes, one, np.full(len(one), k))
-            for low in range(0, len(one), 20_000):
-                part = slice(low, low + 20_000)
-                yield record([names.take(pa.array(lang[row[one[part]]])), np.full(len(f[part]), k, np.int32), made.slice(low, 20_000), f[part]], _FOUND)
+            slots, back = np.unique(at.pair_slots()[here], return_inverse=True)
+            f = np.bincount(back, at.times[here]).astype(np.int64)
+            for low in range(0, len(slots), 50_000):
+                yield record([slots[low : low + 50_000], f[low : low + 50_000]], _SLOTS)
+
+    rows = dictionary.select("lang", "own", "chunk", "times").mapInArrow(count, "slot long, f long")
+    enough = rows.groupBy("slot").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    bit = F.col("slot").bitwiseAND(F.lit((1 << _MAP_BITS) - 1))
+    words = enough.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("b"))
+    found = np.zeros(1 << (_MAP_BITS - 6), np.int64)
+    got = words.toArrow()  # two numbers for each word of the map at most: 32 MB
+    found[got["w"].to_numpy()] = got["b"].to_numpy()
+    return found
+
+
+def phrases(dictionary: DataFrame, size: int, least: int) -> DataFrame:
+    """``lang, size, phrase, f``: every phrase of 1 to ``size`` words with ``least`` places or more, and its places.
+
+    A phrase is as rare as its rarest pair of words, so only those are counted whose pairs may all be frequent.
+    """
+    shared = dictionary.sparkSession.sparkContext.broadcast(frequent_pairs(dictionary, least))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _gathered(batches):
+            at = Places(table)
+            n = len(at.codes)
+            slots = at.pair_slots() & ((1 << _MAP_BITS) - 1)
+            paired = (shared.value[slots >> 6] >> (slots & 63)) & 1 > 0
+            # Codes of phrases grow by a word at a time; each step is numbered anew, so 63 bits hold it.
+            key, may = at.lang, np.ones(n, bool)
+            for k in range(1, size + 1):
+                if k > 1:
+                    key, may = key[:-1], may[: n - k + 1] & paired[k - 2 :]
+                here = np.flatnonzero(may & (at.room[: n - k + 1] >= k))
+                if not len(here):
+                    break
+                grown = np.full(n - k + 1, -1, np.int64)
+                numbers, one, back = np.unique(key[here] * len(at.words) + at.codes[here + k - 1], return_index=True, return_inverse=True)
+                grown[here] = back
+                key = grown
+                f = np.bincount(back, at.times[here]).astype(np.int64)
+                one = here[one]
+                for low in range(0, len(one), 20_000):
+                    part = one[low : low + 20_000]
+                    made = _joined(at.words, at.codes, part, np.full(len(part), k))
+                    yield record([at.names.take(pa.array(at.lang[part])), np.full(len(part), k, np.int32), made, f[low : low + 20_000]], _FOUND)
 
     found = dictionary.select("lang", "own", "chunk", "times").mapInArrow(count, "lang string, size int, phrase string, f long")
-    return found.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
+    return found.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
 def _part(phrase: Column, low: int | Column, words: int | Column) -> Column:
@@ -180,9 +234,11 @@ def collocations(
     A phrase with ``a`` places goes if a longer one that holds it has ``inside`` % of them or more.
     """
     spark = docs.sparkSession
-    dictionary = stored(chunks(docs, size, every, text, lang), "colloc-chunks")
+    path = scratch_dir(spark, "colloc-chunks")
+    chunks(docs, size, every, text, lang).write.option("compression", "zstd").parquet(path)
+    dictionary = spark.read.parquet(path)
     words = dictionary.groupBy("lang").agg(F.sum(F.col("own") * F.col("times")).alias("n"))
-    frequent = stored(phrases(dictionary, size).where(F.col("f") >= least), "colloc-phrases")
+    frequent = stored(phrases(dictionary, size, least), "colloc-phrases")
     asked = frequent.where("size >= 2").select("lang", "size", "phrase", F.col("f").alias("a"))
 
     cuts = asked.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("size") - 1)))

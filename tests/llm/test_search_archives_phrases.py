@@ -246,6 +246,18 @@ def test_phrases_equal_brute_force(spark, size, every, least):
     assert mined(spark, rows, size=size, every=every, least=least) == plain_phrases(rows, size, least)
 
 
+@pytest.mark.parametrize("bits", [(8, 7), (3, 7), (40, 6)])
+def test_phrases_are_whole_with_a_full_map(spark, monkeypatch, bits):
+    """A map too small for the pairs lets too many through, and loses none."""
+    from callscope.llm import collocations as module
+
+    monkeypatch.setattr(module, "_SLOT_BITS", bits[0])
+    monkeypatch.setattr(module, "_MAP_BITS", bits[1])
+    r = random.Random(8)
+    rows = [("en", " ".join(f"w{int(r.expovariate(0.08))}" for _ in range(300))) for _ in range(20)]
+    assert mined(spark, rows, least=5) == plain_phrases(rows, least=5)
+
+
 def test_phrases_cut_to_the_first_and_none(spark):
     rows = [("en", "a b c d e f g h. b c. b c")] * 10
     assert mined(spark, rows, top=3, inside=101) == plain_phrases(rows, inside=101, top=3)
@@ -257,7 +269,7 @@ def test_products_beyond_64_bits(spark, monkeypatch):
 
     big = 3_000_000_000
     rows = [("en", 1, "a", big), ("en", 1, "b", big + 7), ("en", 2, "a b", big - 1)]
-    monkeypatch.setattr(module, "phrases", lambda dictionary, size: spark.createDataFrame(rows, "lang string, size int, phrase string, f long"))
+    monkeypatch.setattr(module, "phrases", lambda dictionary, size, least: spark.createDataFrame(rows, "lang string, size int, phrase string, f long"))
     found = collocations(spark.createDataFrame([("en", "a b")], "lang string, text string")).collect()
     assert [r["score"] for r in found] == [(10**6 * (big - 1) ** 2) // (big * (big + 7))]
 
