@@ -190,15 +190,17 @@ def arc_records(data: memoryview) -> Iterator[tuple]:
         yield at, version, *text, length, content, "length" if len(content) < length else None
 
 
-def _from_files(spark: SparkSession, folder: str, walk, schema: str, weight: int) -> DataFrame:
+def _from_files(spark: SparkSession, folder: str, walk, schema: str, weight: int, named: bool = True) -> DataFrame:
+    """What ``walk`` yields of each file's bytes and name; ``named`` puts the name first."""
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for batch in batches:
                 for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                     name = path.rsplit("/", 1)[-1]
                     body = content.as_buffer()
-                    for found in walk(memoryview(body).cast("B") if body is not None and body.size else memoryview(b"")):
-                        yield name, *found
+                    for found in walk(memoryview(body).cast("B") if body is not None and body.size else memoryview(b""), name):
+                        yield (name, *found) if named else found
 
         yield from _batches(rows(), schema, weight)
 
@@ -207,7 +209,7 @@ def _from_files(spark: SparkSession, folder: str, walk, schema: str, weight: int
 
 def read_arc(spark: SparkSession, folder: str) -> DataFrame:
     """Every record of the ARC archives in ``folder`` as it stands there, the version blocks included."""
-    return _from_files(spark, folder, arc_records, _RAW, 8)
+    return _from_files(spark, folder, lambda data, _: arc_records(data), _RAW, 8)
 
 
 def iso_date(date: str, other: str) -> str:
@@ -232,32 +234,29 @@ def header_value(head: bytes, name: str) -> str | None:
     return found[1].decode("utf-8", "replace") if found else None
 
 
-def as_warc(raw: DataFrame, payloads: bool = True, id_header: str = ID_HEADER) -> DataFrame:
-    """Raw ARC records with the identity of a WARC record; ``same`` is the mark of equal payloads."""
+def warc_identity(archive: str, records: Iterator[tuple], payloads: bool, id_header: str) -> Iterator[tuple]:
+    """What ``_RECORD`` says of each of an archive's ``arc_records``; ``same`` is the mark of equal payloads."""
+    began = ""
+    for at, version, url, _, date, kind, _, content, cut in records:
+        if url.startswith("filedesc:"):
+            began = date
+            info = f"software: callscope\r\nformat: WARC File Format 1.0\r\nconversion: ARC {version}\r\narc-file: {url[9:].lstrip('/')}\r\n"
+            kind, shown, head, body = "warcinfo", "application/warc-fields", b"", info.encode()
+        elif content[:5] == b"HTTP/":
+            kind, shown = "response", "application/http; msgtype=response"
+            head, body = split_http(content)
+        else:
+            kind, shown, head, body = "resource", kind, b"", content
+        sha = sha1_32(body)
+        name = uuid.uuid5(_NAMESPACE, f"{archive} {at} {url} {date} {sha}")
+        page = header_value(head, id_header) if kind == "response" else None
+        same = hashlib.sha256(body).hexdigest()[:40] if kind == "response" and not payloads else None
+        yield f"<urn:uuid:{name}>", kind, url, iso_date(date, began), shown, page, head, body if payloads else None, len(body), sha, same, cut
+
 
-    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            began: dict[str, str] = {}
-            for r in _rows(batches):
-                content = r["content"] or b""
-                if r["url"].startswith("filedesc:"):
-                    began = {r["archive"]: r["date"]}
-                    info = f"software: callscope\r\nformat: WARC File Format 1.0\r\nconversion: ARC {r['version']}\r\narc-file: {r['url'][9:].lstrip('/')}\r\n"
-                    kind, shown, head, body = "warcinfo", "application/warc-fields", b"", info.encode()
-                elif content[:5] == b"HTTP/":
-                    kind, shown = "response", "application/http; msgtype=response"
-                    head, body = split_http(content)
-                else:
-                    kind, shown, head, body = "resource", r["kind"], b"", content
-                sha = sha1_32(body)
-                name = uuid.uuid5(_NAMESPACE, f"{r['archive']} {r['at']} {r['url']} {r['date']} {sha}")
-                page = header_value(head, id_header) if kind == "response" else None
-                same = hashlib.sha256(body).hexdigest()[:40] if kind == "response" else None
-                yield f"<urn:uuid:{name}>", kind, r["url"], iso_date(r["date"], began.get(r["archive"], "")), shown, page, head, body if payloads else None, len(body), sha, same, r["cut"]
-
-        yield from _batches(rows(), _RECORD, 7)
-
-    return raw.mapInArrow(give, _RECORD)
+def arc_as_warc(spark: SparkSession, folder: str, payloads: bool = True, id_header: str = ID_HEADER) -> DataFrame:
+    """The records of ARC archives as WARC records, read and named in one pass; without payloads, with ``same``."""
+    return _from_files(spark, folder, lambda data, name: warc_identity(name, arc_records(data), payloads, id_header), _RECORD, 7, named=False)
 
 
 def _salted(rows: DataFrame, few: DataFrame, left: str, right: str, spread: Column, salts: int = 16) -> DataFrame:
@@ -280,9 +279,10 @@ def responses_and_revisits(records: DataFrame, seen: DataFrame, least_bytes: int
     best = F.max(F.struct(F.expr("try_cast(page as bigint)").alias("number"), "record_id", "uri", "date"))
     first = whole.groupBy("same").agg(best.alias("b"), F.count("*").alias("c")).where("c > 1")
     first = stored(first.select(F.col("same").alias("_same"), F.col("b.record_id").alias("refers"), F.col("b.uri").alias("refers_uri"), F.col("b.date").alias("refers_date")), "warc-first")
-    joined = _salted(records, first, "same", "_same", F.col("record_id"))
-    own = F.col("refers") == F.col("record_id")
-    return joined.withColumns({c: F.when(~own, F.col(c)) for c in ("refers_uri", "refers_date")}).withColumn("refers", F.when(~own, F.col("refers")))
+    others = _salted(whole.select("record_id", "same"), first, "same", "_same", F.col("record_id")).where("refers <> record_id")
+    others = stored(others.select(F.col("record_id").alias("_id"), "refers", "refers_uri", "refers_date"), "warc-revisits")
+    # A row for each revisit: by broadcast up to a counted size, else payloads are shuffled by their own names.
+    return records.join(sized(others), F.col("record_id") == F.col("_id"), "left").drop("_id")
 
 
 def warc_record(r: dict) -> bytes:
@@ -363,7 +363,7 @@ def warc_records(data: memoryview, payloads: bool, id_header: str) -> Iterator[t
 
 def read_warc(spark: SparkSession, folder: str, payloads: bool = True, id_header: str = ID_HEADER) -> DataFrame:
     """Every record of the WARC archives in ``folder``; ``sound`` says whether its digests hold."""
-    return _from_files(spark, folder, lambda data: warc_records(data, payloads, id_header), _READ, 11)
+    return _from_files(spark, folder, lambda data, _: warc_records(data, payloads, id_header), _READ, 11)
 
 
 def write_arc(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, key: str = "page_id", url: str = "url", html: str = "html") -> None:
@@ -390,9 +390,8 @@ def write_arc(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES,
 
 def convert(spark: SparkSession, arc_folder: str, warc_folder: str, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """The ARC archives of one folder as WARC archives in another."""
-    raw = read_arc(spark, arc_folder)
-    seen = stored(as_warc(raw, payloads=False).drop("head", "payload"), "warc-seen")
-    write_warc(responses_and_revisits(as_warc(raw), seen, least_bytes), warc_folder, archive_bytes)
+    seen = stored(arc_as_warc(spark, arc_folder, payloads=False).drop("head", "payload"), "warc-seen")
+    write_warc(responses_and_revisits(arc_as_warc(spark, arc_folder), seen, least_bytes), warc_folder, archive_bytes)
 
 
 def page_records(records: DataFrame) -> DataFrame:
