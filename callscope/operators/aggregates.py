@@ -159,31 +159,51 @@ def exact_percentiles(
     counted = stored(base.groupBy(*group, "_v").agg(F.count("*").alias("_n")), "percentile-counts")
     # Null groups are told from each other by their JSON text.
     counted = counted.withColumn("_g", F.to_json(F.struct(*group), {"ignoreNullFields": "false"}))
-    whole = counted.groupBy("_g").agg(*[F.first(c).alias(c) for c in group], F.sum("_n").alias("_total"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    # Values that are not finite have their ranks at the ends, in Spark's order: -Infinity, numbers, Infinity, NaN.
+    minus, plus, nan = (F.lit(x).cast("double") for x in ("-Infinity", "Infinity", "NaN"))
+    finite = (F.col("_v") > minus) & (F.col("_v") < plus)
+    of = lambda which: F.coalesce(F.sum(F.when(which, F.col("_n"))), F.lit(0))
+    whole = counted.groupBy("_g").agg(
+        *[F.first(c).alias(c) for c in group], F.sum("_n").alias("_total"), of(F.col("_v") == minus).alias("_before"), of(finite).alias("_inside"), of(F.col("_v") == plus).alias("_after"),
+        F.min(F.when(finite, F.col("_v"))).alias("_low"), F.max(F.when(finite, F.col("_v"))).alias("_high"),
+    )
     ranks = []
     for name, point in points.items():
         position = (F.col("_total") - 1) * F.lit(point)
         for side, rank in (("lo", F.floor(position)), ("hi", F.least(F.floor(position) + 1, F.col("_total") - 1))):
             ranks.append(F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), rank.alias("rank"), (position - F.floor(position)).alias("part")))
-    wanted = whole.select("_g", *group, "_low", "_high", F.explode(F.array(*ranks)).alias("_r")).withColumn("_start", F.lit(0).cast("bigint"))
+    wanted = whole.withColumn("_r", F.explode(F.array(*ranks)))
+    last = F.col("_before") + F.col("_inside")
+    odd = F.when(F.col("_r.rank") < F.col("_before"), minus).when(F.col("_r.rank") >= last, F.when(F.col("_r.rank") < last + F.col("_after"), plus).otherwise(nan))
+    wanted = wanted.select("_g", *group, F.coalesce(odd, "_low").alias("_low"), F.coalesce(odd, "_high").alias("_high"), "_r", F.col("_before").cast("bigint").alias("_start"))
     wanted = stored(wanted, "percentile-ranges")
+    counted = counted.where(finite)
+    rounds = 0
     while wanted.where("_low < _high").limit(1).count():
+        # A round divides a range by ``bins`` or more; that many rounds bring the widest to one value.
+        rounds += 1
+        if rounds > 2200:
+            raise RuntimeError("percentile ranges do not narrow")
         open_ = wanted.where("_low < _high").select("_g", "_low", "_high", "_start").distinct()
         inside = counted.select("_g", "_v", "_n").join(open_, "_g").where("_v between _low and _high")
-        # Halved first, so that no width overflows.
-        share = (F.col("_v") / 2 - F.col("_low") / 2) / (F.col("_high") / 2 - F.col("_low") / 2)
+        # Halved first, so that no width overflows; a width too small to halve parts its least value from the rest.
+        width = F.col("_high") / 2 - F.col("_low") / 2
+        share = F.when(width > 0, (F.col("_v") / 2 - F.col("_low") / 2) / F.when(width > 0, width)).otherwise(F.when(F.col("_v") > F.col("_low"), 1.0).otherwise(0.0))
         bin_ = F.least(F.floor(share * bins), F.lit(bins - 1))
         counts = inside.groupBy("_g", "_low", "_high", "_start", bin_.alias("_bin")).agg(F.sum("_n").alias("_in"), F.min("_v").alias("_from"), F.max("_v").alias("_to"))
         range_ = Window.partitionBy("_g", "_low", "_high", "_start").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
         placed = counts.withColumn("_first", F.col("_start") + F.coalesce(F.sum("_in").over(range_), F.lit(0)))
         found = wanted.where("_low < _high").join(placed, ["_g", "_low", "_high", "_start"]).where((F.col("_r.rank") >= F.col("_first")) & (F.col("_r.rank") < F.col("_first") + F.col("_in")))
         narrowed = found.select("_g", *group, F.col("_from").alias("_low"), F.col("_to").alias("_high"), "_r", F.col("_first").alias("_start"))
-        wanted = stored(wanted.where("_low = _high").unionByName(narrowed), "percentile-ranges")
+        # Equal, or no number: NaN is not less than itself.
+        wanted = stored(wanted.where("not _low < _high").unionByName(narrowed), "percentile-ranges")
     pick = lambda name, side, field: F.max(F.when((F.col("_r.name") == name) & (F.col("_r.side") == side), field))
     aggregates = []
     for name in points:
         low, high = pick(name, "lo", F.col("_low")), pick(name, "hi", F.col("_low"))
-        aggregates.append((low + pick(name, "lo", F.col("_r.part")) * (high - low)).alias(name))
+        part = pick(name, "lo", F.col("_r.part"))
+        between = F.when(F.abs(high - low) < plus, low + part * (high - low)).otherwise((1 - part) * low + part * high)
+        aggregates.append(F.when((part == 0) | (low == high), low).otherwise(between).alias(name))
     return wanted.groupBy("_g").agg(*[F.first(c).alias(c) for c in group], *aggregates).select(*by, *points)
 
 
@@ -218,6 +238,32 @@ def latency_summary(
     return plain.join(renamed, condition, "left").drop(*[f"_k_{c}" for c in by])
 
 
+def quantile_sketches(df: DataFrame, value: str, by: Sequence[str], k: int = 800) -> DataFrame:
+    """A KLL sketch of the values of each group, some kilobytes whatever the group's size.
+
+    ``by, sketch, n, nan_count``: sketches leave out nulls and NaN, and merge in any order, so a table
+    of them by day and type answers for any span without the values (``sketch_quantiles``). A
+    quantile's rank is off by ``sketch_error(k)`` of ``n`` at most, in 99 of 100 cases.
+    """
+    number = F.col(value).cast("double")
+    return df.groupBy(*by).agg(
+        F.kll_sketch_agg_double(F.when(~F.isnan(number), number), F.lit(k)).alias("sketch"),
+        F.count_if(number.isNotNull() & ~F.isnan(number)).alias("n"), F.count_if(F.isnan(number)).alias("nan_count"),
+    )
+
+
+def sketch_error(k: int) -> float:
+    """Share of all ranks by which one quantile of a sketch of size ``k`` may be off (99 %)."""
+    return 2.296 / k**0.9723
+
+
+def sketch_quantiles(sketches: DataFrame, points: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """Quantiles of merged sketches by fewer columns than they were made by; null for groups without values."""
+    merged = sketches.where("n > 0").groupBy(*by).agg(F.kll_merge_agg_double("sketch").alias("sketch"), F.sum("n").alias("n"))
+    values = [F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(float(p)))).alias(name) for name, p in points.items()]
+    return merged.select(*by, "n", *values)
+
+
 def batch_outcome(df: DataFrame, error: str = "error") -> DataFrame:
     return df.agg(
         F.count("*").alias("total"),

@@ -10,8 +10,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import vectors as V
+from ..functions.bags import bigram_bag, bigram_match
 from ..functions.base import blank_to_null, constant, let, strip
 from ..functions.text import bigrams
+from ..session import stored
 
 SEARCH_DIM = 256
 
@@ -23,7 +25,11 @@ def search_text(summary: Column, transcript: Column) -> Column:
 def bigram_scores(
     df: DataFrame, query: str, text: Column, dim: int = SEARCH_DIM, hasher: V.Hasher = F.xxhash64
 ) -> DataFrame:
-    """Add ``_jaccard`` and ``_similarity`` of a text to the query; both 0 without a common bigram."""
+    """Add ``_jaccard`` and ``_similarity`` of a text to the query; both 0 without a common bigram.
+
+    Bigrams are counted in Arrow batches; another hash than the default is a column function and
+    keeps the work in column functions, which are several times slower.
+    """
     spark = df.sparkSession
     asked = spark.range(1).select(bigrams(F.lit(query)).alias("b"), V.buckets(bigrams(F.lit(query)), dim, hasher).alias("n")).first()
     wanted = sorted(set(asked["b"]))
@@ -32,6 +38,11 @@ def bigram_scores(
     counts = [0.0] * dim
     for bucket in asked["n"]:
         counts[bucket] += 1.0
+    if hasher is F.xxhash64:
+        matched = df.withColumn("_match", bigram_match(text, wanted, counts, dim))
+        share = F.col("_match.common") / (F.col("_match.size") + len(wanted) - F.col("_match.common"))
+        both = F.when(F.col("_match.common") > 0, F.lit(0.85) * share + F.lit(0.15) * F.col("_match.cosine")).otherwise(F.lit(0.0))
+        return matched.withColumns({"_jaccard": share, "_similarity": both}).drop("_match")
     query_set = constant(wanted, "array<string>")
 
     def score(tokens: Column) -> Column:
@@ -68,41 +79,118 @@ def bigram_search(
     return best.where((F.col("_similarity") >= floor) & (F.col("_jaccard") > 0))
 
 
-POSTING_BUCKETS = 256
+#: Postings, and texts, that one folder of an index is meant to hold.
+POSTINGS_A_FOLDER = 4_000_000
+TEXTS_A_FOLDER = 100_000
+_MOST_FOLDERS = 4096
+#: Bands of text sizes, so many for each doubling.
+_BANDS = 2
+
+
+def _folders(rows: int, each: int) -> int:
+    return min(_MOST_FOLDERS, 1 << max(3, (rows // each).bit_length()))
+
+
+def _by_key(key: str, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
 
 
 def build_postings(df: DataFrame, path: str, key: str, text: Column, dim: int = SEARCH_DIM, hasher: V.Hasher = F.xxhash64) -> None:
     """Index of texts for repeated bigram search, written once.
 
-    ``postings`` has the distinct bigrams of each text in one folder per hash bucket, spread by
-    bigram and key so that a hot bigram is many files; ``texts`` has each text's number of
-    distinct bigrams and its hashed bag.
+    ``postings`` has a row for each different bigram of a text with what bounds the text's score:
+    its number of different bigrams and its share in the bag's bucket of that bigram. Folders are
+    bands of that number, and within them hash buckets of bigrams: a band is a block with a largest
+    possible score. Rows are ranged over band, bucket, bigram and key, so that a hot bigram is many
+    files. ``texts`` has the whole bags in folders by hash of the key, with a bloom filter on it.
     """
-    rows = df.select(key, bigrams(text).alias("_b")).where(F.size("_b") > 0)
-    bag = V.hashed_bag(F.col("_b"), dim, hasher)
-    rows.select(key, F.size(F.array_distinct("_b")).alias("size"), bag.alias("bag")).write.parquet(f"{path}/texts")
-    postings = rows.select(key, F.explode(F.array_distinct("_b")).alias("bigram")).withColumn("bucket", F.pmod(F.xxhash64("bigram"), F.lit(POSTING_BUCKETS)))
-    postings.repartitionByRange("bucket", "bigram", key).write.partitionBy("bucket").parquet(f"{path}/postings")
+    bag = bigram_bag(text, dim) if hasher is F.xxhash64 else V.hashed_bag(bigrams(text), dim, hasher)
+    rows = stored(df.select(key, F.array_distinct(bigrams(text)).alias("_b"), bag.alias("bag")).where(F.size("_b") > 0), "posting-rows")
+    sized = rows.withColumn("size", F.size("_b")).withColumn("band", F.floor(F.log2("size") * _BANDS).cast("int"))
+    bands = sized.groupBy("band").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.count("*").alias("texts"), F.sum("size").alias("postings"), F.max(key).alias("last_key"))
+    found = bands.agg(F.coalesce(F.sum("texts"), F.lit(0)), F.coalesce(F.sum("postings"), F.lit(0))).first()
+    parts, buckets = _folders(found[0], TEXTS_A_FOLDER), _folders(found[1], POSTINGS_A_FOLDER)
+    bands.withColumns({"parts": F.lit(parts), "buckets": F.lit(buckets)}).write.parquet(f"{path}/bands")
+
+    texts = sized.select(key, "size", "bag", _by_key(key, parts).alias("part"))
+    texts.repartitionByRange("part", key).sortWithinPartitions("part", key).write.partitionBy("part").option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(f"{path}/texts")
+    share = F.element_at("bag", F.pmod(hasher(F.col("bigram")), F.lit(dim)).cast("int") + 1)
+    postings = sized.select(key, "size", "band", "bag", F.explode("_b").alias("bigram"))
+    postings = postings.select(key, "size", "band", "bigram", share.alias("share"), F.pmod(F.xxhash64("bigram"), F.lit(buckets)).cast("int").alias("bucket"))
+    postings.repartitionByRange("band", "bucket", "bigram", key).write.partitionBy("band", "bucket").parquet(f"{path}/postings")
+
+
+@dataclass(frozen=True)
+class PostingSearch:
+    """The rows found, and what was read for them: bands, buckets of each, and folders of texts."""
+
+    rows: DataFrame
+    bands: tuple[int, ...]
+    buckets: tuple[int, ...]
+    parts: tuple[int, ...]
 
 
 def search_postings(
     spark, path: str, query: str, k: int, floor: float, key: str = "call_id", dim: int = SEARCH_DIM, hasher: V.Hasher = F.xxhash64
 ) -> DataFrame:
-    """``bigram_search`` over an index: reads the buckets of the query's bigrams, and the bags of
-    the texts that share one."""
+    """``bigram_search`` over an index; the same rows, see ``posting_search``."""
+    return posting_search(spark, path, query, k, floor, key, dim, hasher).rows
+
+
+def posting_search(
+    spark, path: str, query: str, k: int, floor: float, key: str = "call_id", dim: int = SEARCH_DIM, hasher: V.Hasher = F.xxhash64
+) -> PostingSearch:
+    """The ``k`` best texts, exactly, from as few folders as bounds allow.
+
+    Two sets share at most the smaller one's part of the larger, so a band's sizes bound its scores.
+    Bands are read best first, twice as many each round, until none left can reach the ``k``-th best
+    lower bound. A text's own bounds come from its postings: the Jaccard part exactly, of the cosine
+    what is seen, and for the rest the product of the lengths that are left (Cauchy-Schwarz). Bags are
+    read only of texts whose upper bound reaches the ``k``-th lower one, from the folders of their keys.
+    """
     one = spark.range(1).select(bigrams(F.lit(query)).alias("b"))
-    asked = one.select(F.array_distinct("b").alias("b"), F.transform(F.array_distinct("b"), lambda b: F.pmod(F.xxhash64(b), F.lit(POSTING_BUCKETS))).alias("p"), V.hashed_bag(F.col("b"), dim, hasher).alias("v")).first()
-    texts = spark.read.parquet(f"{path}/texts")
-    if not asked["b"]:
-        return texts.limit(0).select(key, F.lit(0.0).alias("_jaccard"), F.lit(0.0).alias("_similarity"))
-    hits = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(sorted(set(asked["p"]))) & F.col("bigram").isin(asked["b"]))
-    common = hits.groupBy(key).agg(F.count("*").alias("_common"))
+    place = lambda b: F.pmod(hasher(b), F.lit(dim)).cast("int")
+    asked = one.select(F.array_distinct("b").alias("b"), F.transform(F.array_distinct("b"), place).alias("h"), F.transform(F.array_distinct("b"), lambda b: F.xxhash64(b)).alias("x"), V.hashed_bag(F.col("b"), dim, hasher).alias("v")).first()
+    table = spark.read.parquet(f"{path}/bands")
+    bands = table.collect()  # a row for each band: two for each doubling of a size
+    n, vector = len(asked["b"]), list(asked["v"])
+    empty = lambda: table.limit(0).select(F.col("last_key").alias(key), F.lit(0.0).alias("_jaccard"), F.lit(0.0).alias("_similarity"))
+    if not n or not bands:
+        return PostingSearch(empty(), (), (), ())
+    parts, buckets = bands[0]["parts"], sorted({x % bands[0]["buckets"] for x in asked["x"]})
+    largest = {r["band"]: 0.85 * (1.0 if r["least"] <= n <= r["most"] else r["most"] / n if r["most"] < n else n / r["least"]) + 0.15 for r in bands}
+    order = sorted(largest, key=lambda b: (-largest[b], b))
+    weights = spark.createDataFrame([(b, h, float(vector[h])) for b, h in zip(asked["b"], asked["h"])], "bigram string, _h int, _q double")
+    postings = spark.read.parquet(f"{path}/postings")
+
+    read: list[int] = []
+    bounds, kth = None, floor
+    while len(read) < len(order) and largest[order[len(read)]] >= kth - 1e-9:
+        some = order[len(read) : 2 * len(read) + 2]
+        some = [b for b in some if largest[b] >= kth - 1e-9]
+        read += some
+        hits = postings.where(F.col("band").isin(some) & F.col("bucket").isin(buckets) & F.col("bigram").isin(asked["b"]))
+        # A row for each bigram of the query: dealt by text once, for both steps.
+        hits = hits.join(F.broadcast(weights), "bigram").select(key, "size", "share", "_h", "_q").repartition(key)
+        cells = hits.groupBy(key, "_h").agg(F.count("*").alias("c"), F.first("size").alias("size"), F.first("share").alias("s"), F.first("_q").alias("q"))
+        sums = cells.groupBy(key).agg(F.sum("c").alias("_common"), F.first("size").alias("size"), F.sum(F.col("s") * F.col("q")).alias("dot"), F.sum(F.col("s") * F.col("s")).alias("ss"), F.sum(F.col("q") * F.col("q")).alias("qq"))
+        jaccard = F.col("_common") / (F.col("size") + n - F.col("_common"))
+        rest = F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("ss")) * F.greatest(F.lit(0.0), 1 - F.col("qq")))
+        scored = sums.select(key, jaccard.alias("_jaccard"), (0.85 * jaccard + 0.15 * F.col("dot")).alias("_low"), (0.85 * jaccard + 0.15 * F.least(F.lit(1.0), F.col("dot") + rest)).alias("_high"))
+        scored = stored(scored.where(F.col("_high") >= kth - 1e-9), "posting-bounds")
+        bounds = scored if bounds is None else bounds.union(scored)
+        best = bounds.orderBy(F.col("_low").desc()).limit(k).agg(F.count("*"), F.min("_low")).first()
+        kth = max(floor, best[1]) if best[0] >= k else floor
+    if bounds is None:
+        return PostingSearch(empty(), (), tuple(buckets), ())
+    near = bounds.where(F.col("_high") >= kth - 1e-9)
+    needed = sorted(r[0] for r in near.select(_by_key(key, parts)).distinct().collect())  # a number for each folder at most
+    texts = spark.read.parquet(f"{path}/texts").where(F.col("part").isin(needed)).select(key, "bag")
     # Both bags have length one, so their product is the cosine.
-    vector = constant(list(asked["v"]), "array<double>")
-    dot = F.aggregate(F.zip_with("bag", vector, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    jaccard = F.col("_common") / (F.col("size") + len(asked["b"]) - F.col("_common"))
-    scored = common.join(texts, key).select(key, jaccard.alias("_jaccard"), (F.lit(0.85) * jaccard + F.lit(0.15) * dot).alias("_similarity"))
-    return scored.orderBy(F.col("_similarity").desc(), F.col(key)).limit(k).where((F.col("_similarity") >= floor) & (F.col("_jaccard") > 0))
+    dot = F.aggregate(F.zip_with("bag", constant(vector, "array<double>"), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    scored = near.join(texts, key).select(key, "_jaccard", (F.lit(0.85) * F.col("_jaccard") + F.lit(0.15) * dot).alias("_similarity"))
+    rows = scored.orderBy(F.col("_similarity").desc(), F.col(key)).limit(k).where((F.col("_similarity") >= floor) & (F.col("_jaccard") > 0))
+    return PostingSearch(rows, tuple(read), tuple(buckets), tuple(needed))
 
 
 def _vector_of(df: DataFrame, key: str, value: object, vector: str) -> list[float]:
