@@ -87,6 +87,49 @@ def test_prior_and_risk():
         assert (model.score(good) >= 0.5).mean() > 0.95 and (model.score(bad) >= 0.5).mean() < 0.15
 
 
+def test_risk_on_spark_equals_plain_risk(spark):
+    """Loss, gradient and curvature of a table against a loop over its rows, and the same fit from both."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 3)).round(1)
+    cuts = tuple(np.unique(np.quantile(x[:, j], P.CUTS)) for j in range(3))
+    table = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "_id long, x array<double>").repartition(5)
+    size = 3 * (P.BINS + 1)
+    w = rng.normal(size=size + 1)
+    got, places = P.Stored(table, cuts).sums(w), P.binned(x, cuts)
+    loss, slope, curve = 0.0, np.zeros(size + 1), np.zeros((size + 1, size + 1))
+    for row in places:
+        one = np.append(np.isin(np.arange(size), row), True).astype(float)
+        s = 1 / (1 + math.exp(-(one @ w)))
+        loss, slope, curve = loss + math.log1p(math.exp(one @ w)), slope + s * one, curve + s * (1 - s) * np.outer(one, one)
+    assert got.n == 900 and got.loss == pytest.approx(loss)
+    assert np.allclose(got.slope, slope) and np.allclose(got.curve, curve)
+    at = np.quantile(w[places].sum(1) + w[-1], [0.1, 0.5])
+    assert P.Stored(table, cuts).above(w, at)[0] == pytest.approx(P.Unlabelled(places).above(w, at)[0])
+    p = places[x.sum(1) > 1]
+    a, b = (P.fit_weights(p, u, size, 0.3)[0] for u in (P.Stored(table, cuts), P.Unlabelled(places)))
+    assert np.allclose(a, b)
+
+    def risk(w):
+        loss = lambda q, sign: np.logaddexp(0, sign * (w[q].sum(1) + w[-1])).mean()
+        return 0.3 * loss(p, -1) + max(0.0, loss(places, 1) - 0.3 * loss(p, 1)) + P.RIDGE / 2 * (w[:-1] ** 2).sum()
+
+    # No nearby weights have less risk.
+    assert all(risk(a) <= risk(a + 0.05 * rng.normal(size=size + 1)) + 1e-9 for _ in range(200))
+
+
+def test_quality_reads_every_unlabelled_row(spark, monkeypatch):
+    """A kind of junk that is rare in the corpus counts, wherever its ids fall in the hash order."""
+    docs = spark.createDataFrame([(k, "a fair text with many good words in it " * (2 + k % 3)) for k in range(400)] + [(1000 + k, "#$% " * 40) for k in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1) for k in range(0, 400, 2)] + [(1000 + k, 0) for k in range(30)], "doc_id long, quality int")
+    seen = []
+    keep = P.Stored.sums
+    monkeypatch.setattr(P.Stored, "sums", lambda self, w: seen.append(keep(self, w)) or seen[-1])
+    model = P.fit_quality_pu(docs, labels, max_rows=50)
+    assert {s.n for s in seen} == {460.0}
+    found = {r["doc_id"]: r["score"] for r in P.score_quality(docs, model).collect()}
+    assert max(found[1000 + k] for k in range(60)) < 0.3 < min(found[k] for k in range(400))
+
+
 def test_quality_cases(spark):
     docs = spark.createDataFrame([(1, None), (1, None), (None, "a b c"), (2, "")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")
