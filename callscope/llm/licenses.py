@@ -1,9 +1,10 @@
 """Operator 2: license scans, an exact set-similarity join of text blocks with license templates.
 
 Base: the places where a phrase's words stand consecutively. Method: a block of text meets a
-template if it holds at least ``share`` of the template's distinct words. Blocks are windows of
-at most ``BLOCK`` words, half overlapping, of each line and of the whole text across its line
-breaks, so that a template is never cut off.
+template if it holds at least ``share`` of the template's distinct words. Blocks are half
+overlapping windows of each line and of the whole text across its line breaks. Their size follows the
+template: twice the least power of two (``LEAST`` at the smallest) that its words fit in, so a template
+of any length lies whole in some window.
 
 Words of the templates are ordered by their frequency over all documents. A block that meets a
 template must hold one of the template's rarest words (prefix filter), enough distinct words
@@ -38,7 +39,8 @@ TEMPLATES = {
     "cc-by-nc": "licensed under cc by nc 4 0",
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
-BLOCK = 64
+#: Words that the smallest windows advance by; they are twice as long.
+LEAST = 32
 _OTHER = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -72,10 +74,16 @@ def _phrase(words: Column, phrase: str) -> Column:
     return F.when(words.contains(f" {phrase} "), let(F.split(words, f" {phrase}(?= )", -1), place)).otherwise(absent)
 
 
+def strides(templates: Mapping[str, str]) -> dict[str, int]:
+    """For each template the words by which its windows advance: no less than its own words."""
+    return {label: max(LEAST, 1 << (len(text.split()) - 1).bit_length()) for label, text in templates.items()}
+
+
 def template_blocks(lines: DataFrame, templates: Mapping[str, str] = TEMPLATES, share: float = 0.8) -> DataFrame:
     """``_row, label, overlap, size`` of all blocks that meet a template. ``lines`` has ``_row, _lines``."""
     spark = lines.sparkSession
     sets = {label: set(text.split()) for label, text in templates.items()}
+    stride = strides(templates)
     vocabulary = sorted(set().union(*sets.values()))
     counted = lines.select(F.explode("_lines").alias("l")).select(F.explode(F.split("l", " ")).alias("w")).where(F.col("w").isin(vocabulary)).groupBy("w").count()
     often = {r["w"]: r["count"] for r in counted.collect()}  # a row for each template word at most
@@ -85,36 +93,40 @@ def template_blocks(lines: DataFrame, templates: Mapping[str, str] = TEMPLATES,
     for label, words in sets.items():
         need = _need(words, share)
         ranks = sorted(order[w] for w in words)
-        rows += [(order[w], label, k, len(ranks), need, ranks) for k, w in enumerate(sorted(words, key=order.get)) if k <= len(words) - need]
-    prefix = spark.createDataFrame(rows, "rank long, label string, at long, size long, need long, ranks array<long>")
-    first = [w for w in vocabulary if any(order[w] == r[0] for r in rows)]
-    least = min(r[4] for r in rows)
-
-    def windows(words: DataFrame) -> DataFrame:
-        starts = F.sequence(F.lit(1), F.greatest(F.size("w") - BLOCK // 2, F.lit(1)), F.lit(BLOCK // 2))
-        rare = F.array(*map(F.lit, first))
-        return words.select("_row", F.explode(F.filter(F.transform(starts, lambda i: F.slice("w", i, BLOCK)), lambda x: F.arrays_overlap(x, rare))).alias("w"))
+        rows += [(order[w], label, stride[label], k, len(ranks), need, ranks) for k, w in enumerate(sorted(words, key=order.get)) if k <= len(words) - need]
+    prefix = spark.createDataFrame(rows, "rank long, label string, stride int, at long, size long, need long, ranks array<long>")
+    table = F.create_map(*[x for w in vocabulary for x in (F.lit(w), F.lit(order[w]).cast("bigint"))])
 
     by_line = lines.select("_row", F.explode("_lines").alias("l")).select("_row", F.split("l", " ").alias("w"))
     # Notices are wrapped: the words of a text are a line of their own.
     whole = lines.where(F.size("_lines") > 1).select("_row", F.split(F.array_join("_lines", " "), " ").alias("w"))
-    cut = windows(by_line).union(windows(whole))
-    table = F.create_map(*[x for w in vocabulary for x in (F.lit(w), F.lit(order[w]).cast("bigint"))])
-    ranked = cut.select("_row", F.array_sort(F.filter(F.transform(F.array_distinct("w"), lambda w: F.try_element_at(table, w)), lambda r: r.isNotNull())).alias("v"))
-    ranked = ranked.where(F.size("v") >= least).withColumn("m", F.size("v"))
-    probes = ranked.select("_row", "v", "m", F.posexplode("v").alias("j", "rank"))
+
+    def windows(words: DataFrame, step: int) -> DataFrame:
+        """Windows of ``2 * step`` words that hold a word which a template of that size must have one of."""
+        starts = F.sequence(F.lit(1), F.greatest(F.size("w") - step, F.lit(1)), F.lit(step))
+        rare = F.array(*[F.lit(w) for w in vocabulary if any(order[w] == r[0] for r in rows if r[2] == step)])
+        found = words.select("_row", F.explode(F.filter(F.transform(starts, lambda i: F.slice("w", i, 2 * step)), lambda x: F.arrays_overlap(x, rare))).alias("w"))
+        ranked = found.select("_row", F.array_sort(F.filter(F.transform(F.array_distinct("w"), lambda w: F.try_element_at(table, w)), lambda r: r.isNotNull())).alias("v"))
+        least = min(r[5] for r in rows if r[2] == step)
+        return ranked.where(F.size("v") >= least).select("_row", F.lit(step).alias("stride"), "v", F.size("v").alias("m"))
+
+    ranked = None
+    for step in sorted(set(stride.values())):
+        some = windows(by_line, step).union(windows(whole, step))
+        ranked = some if ranked is None else ranked.union(some)
+    probes = ranked.select("_row", "stride", "v", "m", F.posexplode("v").alias("j", "rank"))
     # The templates are a parameter: their rows, some hundreds, are sent to every task.
-    met = probes.join(F.broadcast(prefix), "rank").where((F.col("m") >= F.col("need")) & (F.least(F.col("size") - F.col("at"), F.col("m") - F.col("j")) >= F.col("need")))
+    met = probes.join(F.broadcast(prefix), ["rank", "stride"]).where((F.col("m") >= F.col("need")) & (F.least(F.col("size") - F.col("at"), F.col("m") - F.col("j")) >= F.col("need")))
     overlap = F.size(F.array_intersect("v", "ranks"))
     return met.select("_row", "label", overlap.cast("bigint").alias("overlap"), "size", "need").where("overlap >= need").select("_row", "label", "overlap", "size")
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 0.8) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 0.8, templates: Mapping[str, str] = TEMPLATES) -> DataFrame:
     """Base counts and places, labels of both, and a score: the best containment found, 1 for a phrase."""
     lines = docs.select(F.col(id_col).alias("_id"), line_words(F.col(text_col)).alias("_lines"))
     # Rows are told apart by their words, so that repeated and null ids need no special care.
     keyed = lines.withColumn("_row", F.xxhash64("_lines"))
-    method = template_blocks(keyed.select("_row", "_lines"), share=share).groupBy("_row").agg(F.collect_set("label").alias("_more"), F.max(F.col("overlap") / F.col("size")).alias("_best"))
+    method = template_blocks(keyed.select("_row", "_lines"), templates, share).groupBy("_row").agg(F.collect_set("label").alias("_more"), F.max(F.col("overlap") / F.col("size")).alias("_best"))
     words = keyed.select("_id", "_row", F.concat(F.lit(" "), F.array_join("_lines", " "), F.lit(" ")).alias("_words"))
     phrases = {label: _phrase(F.col("_words"), phrase) for phrase, label in PHRASES.items()}
     found = words.select("_id", "_row", F.when(F.col("_words") == "  ", 0).otherwise(_blanks(F.col("_words")) - 1).cast("bigint").alias("n_words"), *[c.alias(k) for k, c in phrases.items()])

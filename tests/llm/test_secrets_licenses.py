@@ -4,6 +4,8 @@ import hashlib
 import re
 import textwrap
 
+import pytest
+
 from callscope.llm.licenses import TEMPLATES, _need, scan_licenses
 from callscope.llm.queries import QUERIES
 from callscope.llm.secrets import read_ledger, scan_secrets, secret_report
@@ -147,3 +149,18 @@ def test_wrapped_notices(spark):
     labels = {r["doc_id"]: r["labels"].split(",") for r in rows}
     assert all(label in labels[3 * k + j] and label in labels[3 * len(TEMPLATES) + k] for k, label in enumerate(TEMPLATES) for j in range(3))
     assert labels[4 * len(TEMPLATES)] == ["mit"]
+
+
+@pytest.mark.parametrize("size", [30, 60, 90, 200])
+def test_templates_of_any_length_at_every_offset(spark, size):
+    """Held whole, at a share of 1, at each place that a window may cut."""
+    template = {"long": " ".join(f"w{k}" for k in range(size)), "short": "one two three four five"}
+    offsets = range(0, 140, 7) if size < 200 else (0, 1, 20, 255, 256, 300, 511)
+    texts = [" ".join([f"x{k % 5}" for k in range(n)]) + ("\n" if n % 2 else " ") + template["long"].replace("w9 ", "w9\n") + " y" * 90 for n in offsets]
+    missing = [t.replace("w1 ", "z1 ").replace("w2 ", "z2 ") for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts + missing)), "doc_id long, text string")
+    whole = {r["doc_id"]: r["labels"] for r in scan_licenses(docs, share=1.0, templates=template).collect()}
+    assert [whole[k] for k in range(len(texts))] == ["long"] * len(texts) and set(list(whole.values())[len(texts):]) <= {"", "long"}
+    assert all(whole[len(texts) + k] == "" for k in range(len(texts)))
+    loose = {r["doc_id"]: r["labels"] for r in scan_licenses(docs, share=0.9, templates=template).collect()}
+    assert set(loose.values()) == {"long"}
