@@ -6,6 +6,10 @@ under the model restores the likeliest spellings. Restored words are then scored
 beginnings that mark toxic documents are learned from labelled rows, and boosted trees over their
 counts give the score.
 
+Not decoded: a word written with other characters between its letters than separators, blanks and
+the signs of ``LEET``, in more than ``PIECES`` pieces of several letters, in pieces longer than
+``PIECE``, or in the middle of a longer word.
+
 Null and empty texts and texts without words get the score of no evidence. Repeated rows are
 scored each on its own. Without usable labels every score is 0. An empty table gives an empty
 result. Other columns are not read; id and labels are no inputs of a score.
@@ -51,6 +55,13 @@ _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _PART = re.compile(r"[^\W\d_]+")
 _LEET = re.compile(r"[^\W\d_][^\w\s]*[\d@$!|+(*]|[\d@$!|+(*][^\w\s]*[^\W\d_]")
 _RUN = re.compile(r"([^\W\d_])\1\1")
+_LONG_RUN = re.compile(r"(.)\1{3,}", re.S)
+#: Neither letters, digits nor signs that stand for a letter.
+_SEPARATOR = re.compile(r"[^\w@$!|+(*]+|_+")
+#: Characters of a token that is decoded as one.
+LONG = 40
+#: Pieces of a word whose blanks may be dropped, and their characters.
+PIECES, PIECE = 4, 4
 _DOTTED = re.compile(r"[^\W\d_](?:[^\w\s]+[^\W\d_]){3,}")
 
 
@@ -118,12 +129,22 @@ def restore(word: str, cost: np.ndarray, spellings: int = SPELLINGS) -> list[str
 
 
 def readings(token: str, cost: np.ndarray) -> list[str]:
-    """Words that a token of lower-case text may hold: its plain parts, and restored spellings."""
+    """Words that a token of lower-case text may hold: its plain parts, and restored spellings.
+
+    Longer repetition says no more than three of a character, so runs are cut to three first. A token
+    that is still longer than ``LONG`` is read part by part between separators; a part without a
+    separator that is longer is decoded whole, for its likeliest spelling only.
+    """
+    token = _LONG_RUN.sub(r"\1\1\1", token)
     core = _EDGE.sub("", token)
     plain = _PART.findall(core)
-    # Long tokens are addresses or keys; no word is disguised over so many characters.
-    if len(core) > 40 or not (_LEET.search(token) or _RUN.search(core) or _DOTTED.search(core)):
+    if not (_LEET.search(token) or _RUN.search(core) or _DOTTED.search(core)):
         return plain
+    if len(core) > LONG:
+        parts = [p for p in _SEPARATOR.split(core) if p]
+        if len(parts) > 1:
+            return plain + [w for p in parts for w in readings(p, cost)]
+        return plain + restore(core, cost, 1)
     tried = [core]
     if _DOTTED.search(core):
         tried.append(re.sub(r"[^\w]", "", core))
@@ -135,16 +156,43 @@ def readings(token: str, cost: np.ndarray) -> list[str]:
     return plain + [w for t in tried for w in restore(t, cost)]
 
 
-def spaced_words(tokens: list[str], cost: np.ndarray) -> list[str]:
-    """Words spelled one character at a time: every stretch of 4 to 12 of a run with a letter, decoded."""
+def spaced_words(tokens: list[str], cost: np.ndarray, longest: int = 12) -> list[str]:
+    """Words spelled one character at a time: every stretch of 4 to ``longest`` of a run with a letter, decoded."""
     letters = "".join(tokens)
     if len(set(letters)) < 3:
         return []
-    stretches = (letters[k : k + size] for size in range(4, 13) for k in range(len(letters) - size + 1))
+    stretches = (letters[k : k + size] for size in range(4, max(longest, 12) + 1) for k in range(len(letters) - size + 1))
     # What a sign stands for is less sure than a letter.
     return [w for s in stretches if any(map(str.isalpha, s)) for w in restore(s, cost, 1 if s.isalpha() else SPELLINGS)]
 
 
+def spelling_cost(word: str, cost: np.ndarray) -> float:
+    """Cost of a text of letters and blanks under the character model, edges included."""
+    classes = [0, 0, *(int(_CLASS[b]) for b in word.encode()), 0]
+    return float(sum(cost[a, b, c] for a, b, c in zip(classes, classes[1:], classes[2:])))
+
+
+def dropped_blank(pieces: list[str], cost: np.ndarray, weights: dict[str, float]) -> float:
+    """Weight of the word that short pieces make without the blanks between, 0 if none is marked.
+
+    The lattice keeps a blank or drops it at ``DROP``; the word counts where that is the likelier path.
+    Only whole words count, and signs of ``LEET`` only in pieces that have a letter.
+    """
+    joined = "".join(pieces)
+    if joined.isalpha():
+        found = [joined]
+    elif all(any(map(str.isalpha, p)) for p in pieces):
+        found = restore(joined, cost)
+    else:
+        return 0.0
+    best = 0.0
+    for word in found:
+        weight = weights.get(word, 0.0)
+        if weight > best and spelling_cost(word, cost) + DROP * (len(pieces) - 1) <= spelling_cost(" ".join(pieces), cost):
+            best = weight
+    return best
+
+
 def features_of(word: str) -> list[str]:
     return [word, *(f"{word[:k]}-" for k in PREFIXES if len(word) > k)]
 
@@ -192,16 +240,45 @@ def _weight(words: list[str], weights: dict[str, float]) -> float:
     return max((weights.get(f, 0.0) for w in words for f in features_of(w)), default=0.0)
 
 
-def _spaced_weights(tokens: list[str], cost: np.ndarray, weights: dict[str, float]) -> list[float]:
+def _spaced_weights(tokens: list[str], cost: np.ndarray, weights: dict[str, float], longest: int) -> list[float]:
     """Weights of a run: of its parts of letters alone, and of the whole where signs say more."""
     parts = [list(g) for letters, g in itertools.groupby(tokens, str.isalpha) if letters]
-    plain = [_weight(spaced_words(p, cost), weights) for p in parts if len(p) >= 4]
+    plain = [_weight(spaced_words(p, cost, longest), weights) for p in parts if len(p) >= 4]
     if len(parts) == 1 and len(parts[0]) == len(tokens):
         return plain
-    whole = _weight(spaced_words(tokens, cost), weights)
+    whole = _weight(spaced_words(tokens, cost, longest), weights)
     return plain + [whole] * (whole > max(plain, default=0.0))
 
 
+def _broken(codes: np.ndarray, owner: np.ndarray, words: list[str], cost: np.ndarray, weights: dict[str, float]) -> list[tuple[int, float]]:
+    """Marked words written as 2 to ``PIECES`` neighbouring short tokens, with their text's place.
+
+    Letters alone are looked up; what is decoded holds a sign, and both are rare. At least one piece
+    has two characters, as runs of single ones are read elsewhere.
+    """
+    if len(codes) < 2:
+        return []
+    short = np.fromiter((len(w) <= PIECE for w in words), bool, len(words))[codes]
+    wide = np.fromiter((len(w) > 1 for w in words), bool, len(words))[codes]
+    marked = {w for w in weights if not w.endswith("-") and len(w) >= 4}
+    begins = {w[:2] for w in marked}
+    begin = np.fromiter((w[:1] in LEET or w[:2] in begins or len(w) == 1 or any(c in LEET for c in w) for w in words), bool, len(words))[codes]
+    sign = np.fromiter((any(c in LEET for c in w) and any(map(str.isalpha, w)) for w in words), bool, len(words))[codes]
+    out = []
+    pairs = short[:-1] & short[1:] & (owner[:-1] == owner[1:]) & begin[:-1]
+    for k in np.flatnonzero(pairs).tolist():
+        for size in range(2, PIECES + 1):
+            end = k + size
+            if end > len(codes) or not short[end - 1] or owner[end - 1] != owner[k]:
+                break
+            pieces = [words[c] for c in codes[k:end]]
+            if wide[k:end].any() and ("".join(pieces) in marked or sign[k:end].any()):
+                weight = dropped_blank(pieces, cost, weights)
+                if weight:
+                    out.append((int(owner[k]), weight))
+    return out
+
+
 def evidence(texts: pa.Array, cost: np.ndarray, weights: dict[str, float], known: dict[str, float]) -> np.ndarray:
     """Evidence of each text: summed, largest and second weight, number of marked words, their share, size."""
     n = len(texts)
@@ -216,7 +293,9 @@ def evidence(texts: pa.Array, cost: np.ndarray, weights: dict[str, float], known
     who, what = pairs // max(len(words), 1), value[pairs % max(len(words), 1)] if len(pairs) else np.zeros(0)
     marked = what > 0
     who, what = who[marked], what[marked]
-    more = [(o, v) for o, tokens in _runs(codes, owner, words) for v in _spaced_weights(tokens, cost, weights)]
+    longest = max(map(len, weights), default=0)
+    more = [(o, v) for o, tokens in _runs(codes, owner, words) for v in _spaced_weights(tokens, cost, weights, longest)]
+    more += _broken(codes, owner, words, cost, weights)
     if more:
         who, what = np.concatenate([who, [o for o, _ in more]]), np.concatenate([what, [v for _, v in more]])
         who, what = who[what > 0].astype(np.int64), what[what > 0]

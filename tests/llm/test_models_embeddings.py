@@ -1,5 +1,6 @@
 """Operators 6, 8 and 4: decoding, held-out accuracy, and links against all pairs."""
 
+import itertools
 import math
 import random
 import zlib
@@ -224,3 +225,33 @@ def test_spaced_leetspeak_is_evidence(cost, spaced, word):
     texts = pa.array([f"a good book {spaced} little", "1 2 3 4 5 6 0 1", "a 1 2 3"])
     found = T.evidence(texts, cost, {word: 2.0}, {})
     assert found[:, 0].tolist() == [2.0, 0.0, 0.0]
+
+
+@pytest.mark.parametrize("text, word", [("st" + "u" * 45 + "pid", "stupid"), ("a/1d10t/little/stup1d/tr@sh/good/m0r0n/what/the/person", "idiot"), ("st upid", "stupid"), ("id iot", "idiot"), ("st up1d", "stupid"), ("m or on", "moron"), ("iiiiiiiiiiiiiiiiiiiidddddddddddddddddddiiiiiiiiiiiiiiiioooooooooooooootttttt", "idiot")])
+def test_long_and_broken_disguises(cost, text, word):
+    texts = pa.array([f"a good book {text} little", text, "the good book is this little", "", "x" * 50_000, "the st of upper id in iota"])
+    found = T.evidence(texts, cost, {word: 2.0}, {})
+    assert found[:, 0].tolist() == [2.0, 2.0, 0.0, 0.0, 0.0, 0.0]
+
+
+def test_long_words_spelled_apart(cost):
+    word = "personappleballbook"
+    assert T.evidence(pa.array(["a " + " ".join(word) + " b"]), cost, {word: 2.0}, {})[0, 0] == 2.0
+
+
+def plain_restore(word, cost):
+    """The likeliest spelling by trying every path of the lattice."""
+    best = None
+    for path in itertools.product(*T.lattice(word)):
+        said = "".join(t for t, _ in path)
+        classes = [0, 0, *(int(T._CLASS[b]) for b in said.encode())]
+        price = sum(p for _, p in path) + sum(cost[a, b, c] for a, b, c in zip(classes, classes[1:], classes[2:]))
+        price += cost[classes[-2], classes[-1], 0]
+        if said and (best is None or (price, said) < best):
+            best = (price, said)
+    return best[1]
+
+
+@pytest.mark.parametrize("token", ["1d10t", "stuuupid", "tr@sh", "m0r0n!!", "$tup1d", "b00k", "a1l1", "*pp!e", "|itt1e", "ba||", "sss111", "x|0|x", "pers0nnn", "+he"])
+def test_viterbi_equals_every_path(cost, token):
+    assert T.restore(token, cost)[0] == plain_restore(token, cost)
