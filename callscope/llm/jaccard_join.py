@@ -41,6 +41,8 @@ from .shingles import shingle_sets, signature
 
 #: Bytes of text whose shingles a task combines before it sends them on.
 COMBINE_BYTES = 16 << 20
+#: Sets of a min-hash bucket beyond which its leader is sent to them.
+HOT = 1000
 SEEDS = tuple(0x9E3779B97F4A7C15 * k % 2**64 for k in range(1, 9))
 
 
@@ -157,15 +159,19 @@ def _candidates(docs: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``sig, n, tokens, keys`` of the wanted classes (``rep, sig, n``), recomputed from one text each."""
-    found = docs.join(sized(wanted), docs["_id"].eqNullSafe(wanted["rep"])).select("_text", "sig", "n")
+    """``sig, n, tokens, keys`` of the wanted classes (``rep, rep_mark, sig, n``), recomputed from one text each.
+
+    An id that many texts share tells them apart by their marks: each text meets its own class only.
+    """
+    marked = docs.withColumn("_mark", F.xxhash64("_text"))
+    found = marked.join(sized(wanted), marked["_id"].eqNullSafe(wanted["rep"]) & (marked["_mark"] == wanted["rep_mark"])).select("_text", "sig", "n")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("sig", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
         for batch in blocks(batches, "_text", 1 << 20):
             out = []
             for sig, n, s in zip(*(ids_of(batch, c).to_pylist() for c in ("sig", "n")), shingle_sets(texts_of(batch, "_text"))):
-                if len(s) == n and signature(s) == sig:  # an id may have several rows
+                if len(s) == n and signature(s) == sig:
                     out.append((sig, n, s, [int(mix(s.view(np.uint64) ^ np.uint64(x)).min().view(np.int64)) for x in SEEDS]))
             yield record([list(c) for c in zip(*out)] if out else [[]] * 4, schema)
 
@@ -203,7 +209,13 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     # The set whose shingles are the commonest leads its buckets: what the others were made from.
     keyed = sets.select("sig", "n", "central", F.posexplode("keys").alias("r", "key"))
     leaders = keyed.groupBy("r", "key").agg(F.max(F.struct("central", "sig", "n")).alias("lead"), F.count("*").alias("m")).where("m > 1")
-    stars = keyed.join(leaders, ["r", "key"]).where(F.col("sig") != F.col("lead.sig")).where(_sizes_fit(F.col("n"), F.col("lead.n"), percent))
+    leaders = stored(leaders, "op1-leaders")
+    # The members of a hot bucket stay where they are, and its leader is sent to them: there is one
+    # such bucket for ``HOT`` members at most.
+    hot = sized(stored(leaders.where(F.col("m") > HOT), "op1-hot"))
+    some = keyed.join(hot.select("r", "key"), ["r", "key"], "left_anti").join(leaders, ["r", "key"])
+    met = some.unionByName(keyed.join(hot, ["r", "key"]))
+    stars = met.where(F.col("sig") != F.col("lead.sig")).where(_sizes_fit(F.col("n"), F.col("lead.n"), percent))
     inner = stored(_linked(stars.select(F.col("sig").alias("a"), F.col("lead.sig").alias("b")).distinct(), sets, percent), "op1-stars")
 
     grouped = components(inner, "op1-groups")
@@ -248,23 +260,26 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     return inner.union(linked).union(_linked(others, sets, percent))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, mark: str | None = None) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, mark: str | None = None, group: str | None = None) -> DataFrame:
     """``id, n_shingles, component_id`` of every row of ``docs``.
 
-    ``mark`` names a further column, the xxhash64 of the row's text, for callers whose ids repeat.
+    For callers whose ids repeat or are null: ``mark`` names a further column, the xxhash64 of the row's
+    text, and ``group`` one that is the same number in all rows of a component, null without words.
     """
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     rows = stored(_set_rows(docs.withColumn("_mark", F.xxhash64("_text"))), "op1-rows")
-    classes = rows.where("n > 0").groupBy("sig", "n").agg(F.min("_id").alias("rep"))
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_mark"))  # ids before null ones
+    classes = rows.where("n > 0").groupBy("sig", "n").agg(first.alias("f")).select("sig", "n", F.col("f._id").alias("rep"), F.col("f._mark").alias("rep_mark"))
     least = F.greatest(F.lit(1), F.expr(f"-floor(-(-floor(-n * {percent} / 100)) / 10)"))
-    wanted = stored(classes.join(_candidates(docs, percent), "sig").where(F.col("hits") >= least).select("rep", "sig", "n"), "op1-wanted")
+    wanted = stored(classes.join(_candidates(docs, percent), "sig").where(F.col("hits") >= least).select("rep", "rep_mark", "sig", "n"), "op1-wanted")
     sets = stored(_sets(docs, wanted), "op1-sets")
 
     joined = components(stored(_links(sets, percent), "op1-links"), "op1-components")
     named = joined.join(wanted.select(F.col("sig").alias("node"), "rep"), "node")
     least_id = named.groupBy("component").agg(F.min("rep").alias("least"))
-    named = named.join(least_id, "component").select(F.col("node").alias("sig"), "least")
-    final = classes.join(named, "sig", "left").select("sig", "n", F.coalesce("least", "rep").alias("component_id"))
-    alone = rows.where("n = 0").select("_id", "_mark", "n", F.col("_id").alias("component_id"))
-    named = rows.where("n > 0").join(final, ["sig", "n"]).select("_id", "_mark", "n", "component_id").union(alone)
-    return named.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", *([F.col("_mark").alias(mark)] if mark else []))
+    named = named.join(least_id, "component").select(F.col("node").alias("sig"), "component", "least")
+    final = classes.join(named, "sig", "left").select("sig", "n", F.coalesce("least", "rep").alias("component_id"), F.coalesce("component", "sig").alias("_group"))
+    alone = rows.where("n = 0").select("_id", "_mark", "n", F.col("_id").alias("component_id"), F.lit(None).cast("long").alias("_group"))
+    named = rows.where("n > 0").join(final, ["sig", "n"]).select("_id", "_mark", "n", "component_id", "_group").union(alone)
+    more = [F.col(c).alias(name) for c, name in (("_mark", mark), ("_group", group)) if name]
+    return named.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", *more)

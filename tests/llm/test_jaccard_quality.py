@@ -2,11 +2,14 @@
 
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from callscope.llm import jaccard_join as J
 from callscope.llm.graph import components
 from callscope.llm.jaccard_join import jaccard_components
 from callscope.llm.quality_rules import FEATURES, fit_quality, keep_quality, quality_rules
@@ -148,3 +151,38 @@ def test_trees_keep_their_directions():
             moved[:, j] = np.linspace(-4, 4, 200)
             assert (sign * np.diff(forest.score(moved)) >= -1e-12).all()
     assert len(FEATURES) == 10
+
+
+@pytest.mark.parametrize("key", [1, None])
+def test_many_texts_of_one_id(spark, key):
+    """A third of a table under one id: texts meet their own class, not each other's."""
+    rows = [(key, f"text number {k} has these words and others {k} and more {k * 7} of them here") for k in range(1500)] + [(9000, "text number 3 has these words and others 3 and more 21 of them here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    wide = J._set_rows(docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).withColumn("_mark", F.xxhash64("_text")))
+    classes = wide.select(F.col("_id").alias("rep"), F.col("_mark").alias("rep_mark"), "sig", "n")
+    joined = J._sets(docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")), classes)
+    assert joined.count() == 1500
+    began = time.time()
+    found = J.jaccard_components(docs, group="_g").collect()
+    assert time.time() - began < 120 and len(found) == 1501
+    assert len({r["_g"] for r in found}) == 1500
+    assert {r["component_id"] for r in found if r["doc_id"] == 9000} == {1 if key else 9000}
+
+
+def test_hot_buckets_give_the_same_links(spark, monkeypatch):
+    r = random.Random(3)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for k in range(300):
+        words = list(base)
+        for _ in range(k % 4):
+            words[r.randrange(60)] = f"x{r.randrange(1000)}"
+        rows.append((k, " ".join(words)))
+    rows += [(1000 + k, f"other text {k} with words {k * 3} that none has") for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = []
+    for hot in (10**9, 3):
+        monkeypatch.setattr(J, "HOT", hot)
+        out.append({x["doc_id"]: x["component_id"] for x in J.jaccard_components(docs).collect()})
+    plain = plain_components([t for _, t in rows])
+    assert out[0] == out[1] == {rows[k][0]: rows[c][0] for k, (_, c) in plain.items()}
