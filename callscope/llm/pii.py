@@ -8,8 +8,8 @@ Personal values hardly ever repeat, so an entity is also a kind, the local part
 address, or the start of a number. Such terms are removed wherever they occur.
 
 Everything is built-in functions: no Python runs on the executors. Null text counts as empty.
-Rows with a null id get the base spans only. Repeated rows are handled row by row; equal texts
-count once as evidence. Other columns are kept by ``sanitised`` and not read. Empty tables give
+Ids are not read, so rows with a null id are handled as any other. Repeated rows are handled row by
+row; equal texts count once as evidence. Other columns are kept by ``sanitised`` and not read. Empty tables give
 empty results.
 """
 
@@ -112,8 +112,10 @@ def all_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     found = whole.withColumn("_spans", base_spans(F.col("_text")))
     terms = disclosing_terms(found.select("_id", "_text", "_spans"), support, strength)
-    holders = found.where(F.col("_id").isNotNull()).select("_id", F.explode(_terms(F.col("_text"))).alias("term")).join(terms, "term").groupBy("_id").agg(F.concat_ws("|", F.array_sort(F.collect_set("term"))).alias("_terms"))
-    held = found.join(stored(holders, "op9-holders"), "_id", "left")
+    # Terms are given back to texts, not to ids, which may be null or repeat; equal texts share a row.
+    found = found.withColumn("_d", F.xxhash64("_text"))
+    holders = found.select("_d", F.explode(_terms(F.col("_text"))).alias("term")).join(sized(terms), "term").groupBy("_d").agg(F.concat_ws("|", F.array_sort(F.collect_set("term"))).alias("_terms"))
+    held = found.join(sized(stored(holders, "op9-holders")), "_d", "left").drop("_d")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.col("_terms"), F.lit(r")(?![\p{L}\p{N}])"))
     more = F.when(F.col("_terms").isNotNull(), matches(F.col("_text"), "term", 4, pattern)).otherwise(none())
     return held.withColumn("_more", more)

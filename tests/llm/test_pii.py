@@ -105,3 +105,12 @@ def test_terms_far_from_the_entity(spark):
     rows += [(100 + k, f"on most days one can be reached at the address of number{k} and the week and year") for k in range(60)]
     out = {r["doc_id"]: r for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string"), support=5).collect()}
     assert all(out[k]["n_term"] == (k < 12) for k in out)
+
+
+def test_rows_without_an_id_lose_disclosing_terms(spark):
+    rows = [(k, f"item{k} mail Zorblax person{k}@x.org soon") for k in range(12)] + [(100 + k, f"plain mail {k} from someone at home, soon, item{k}") for k in range(60)]
+    rows += [(None, "only Zorblax here"), (None, "only Zorblax here"), (None, "only clean words"), (100, "another Zorblax"), (None, None)]
+    out = sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = [r["text"] for r in out if r["doc_id"] is None]
+    assert sorted(texts, key=str) == sorted(["only [TERM] here", "only [TERM] here", "only clean words", None], key=str)
+    assert not any("orblax" in (r["text"] or "") for r in out) and len(out) == len(rows)
