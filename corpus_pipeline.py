@@ -28,17 +28,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: of each group the document that names it stays, once; rows without an id stay."""
+    """Operator 1: of each group one document stays, once: the one that names it, or without ids the one of the least mark.
+
+    Rows are told apart by id and text, so ids may be null or repeat. Documents without words are in no
+    group; of those that are equal in id and text one stays.
+    """
     small_batches(spark)
-    found = stored(jaccard_components(docs.select("doc_id", "text"), mark="_mark"), "pipeline-components")
-    many = found.where("doc_id is not null").groupBy("doc_id", "_mark").agg(F.count("*").alias("_rows"), F.first("component_id").alias("_leader"))
-    gone = many.where("doc_id <> _leader or _rows > 1").select(F.col("doc_id").alias("_gone"), F.col("_mark").alias("_gone_mark"))
-    gone = sized(stored(gone, "pipeline-gone"))
-    again = many.where("doc_id = _leader and _rows > 1").select(F.col("doc_id").alias("_gone"), F.col("_mark").alias("_gone_mark"))
-    again = sized(stored(again, "pipeline-again"))
+    found = stored(jaccard_components(docs.select("doc_id", "text"), mark="_mark", group="_group"), "pipeline-components")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_mark")
+    many = stored(found.groupBy("_group", "doc_id", "_mark").agg(F.count("*").alias("_rows")), "pipeline-rows")
+    first = many.where("_group is not null").groupBy("_group").agg(F.min(row).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    ranked = many.join(sized(stored(first.select("_group", "_first"), "pipeline-first")), "_group", "left")
+    stays = F.col("_first").isNull() | (row == F.col("_first"))
+    named = ranked.where(F.col("_group").isNotNull() | F.col("doc_id").isNotNull())
+    mark = lambda rows: rows.select(F.col("doc_id").alias("_gone"), F.col("_mark").alias("_gone_mark"))
+    gone = sized(stored(mark(named.where(~stays | (F.col("_rows") > 1))), "pipeline-gone"))
+    again = sized(stored(mark(named.where(stays & (F.col("_rows") > 1))), "pipeline-again"))
 
     def same(side: DataFrame) -> Column:
-        return (docs["doc_id"] == side["_gone"]) & (F.xxhash64(docs["text"]) == side["_gone_mark"])
+        return docs["doc_id"].eqNullSafe(side["_gone"]) & (F.xxhash64(docs["text"]) == side["_gone_mark"])
 
     single = docs.join(gone, same(gone), "left_anti")
     return single.union(docs.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "text"]))
