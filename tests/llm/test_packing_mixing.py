@@ -195,3 +195,18 @@ def test_pipeline_cases(spark):
             assert docs.columns == full.columns
             docs = spark.createDataFrame(docs.collect(), docs.schema)
         corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).collect()
+
+
+def test_near_duplicates_without_ids(spark):
+    """Exact and near copies whose ids are null or repeat leave one document of each group."""
+    base = " ".join(f"w{k}" for k in range(60))
+    near = base.replace("w30 ", "x30 ")
+    other = " ".join(f"v{k}" for k in range(60))
+    rows = [(None, base), (None, base), (None, near), (5, near), (6, base), (None, other), (None, other), (None, other.replace("v9 ", "z9 ")), (7, "alone in this table with its words"), (7, "another text of the same id stays"), (8, "x"), (8, "x"), (None, ""), (None, ""), (9, None), (9, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = corpus_pipeline.near_duplicates(spark, docs, FOLDER)
+    assert kept.columns == docs.columns
+    out = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr)
+    groups = [x for x in out if x[1] and x[1].startswith("v")]
+    assert len(groups) == 1 and groups[0][0] is None
+    assert [x for x in out if x not in groups] == sorted([(5, near), (7, rows[8][1]), (7, rows[9][1]), (8, "x"), (None, ""), (None, ""), (9, None)], key=repr)
