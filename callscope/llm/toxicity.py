@@ -17,6 +17,7 @@ result. Other columns are not read; id and labels are no inputs of a score.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 import sys
@@ -135,7 +136,8 @@ def readings(token: str, cost: np.ndarray) -> list[str]:
     that is still longer than ``LONG`` is read part by part between separators; a part without a
     separator that is longer is decoded whole, for its likeliest spelling only.
     """
-    token = _LONG_RUN.sub(r"\1\1\1", token)
+    if len(token) > LONG:
+        token = _LONG_RUN.sub(r"\1\1\1", token)
     core = _EDGE.sub("", token)
     plain = _PART.findall(core)
     if not (_LEET.search(token) or _RUN.search(core) or _DOTTED.search(core)):
@@ -250,32 +252,64 @@ def _spaced_weights(tokens: list[str], cost: np.ndarray, weights: dict[str, floa
     return plain + [whole] * (whole > max(plain, default=0.0))
 
 
+@functools.lru_cache(100_000)
+def _splits(word: str) -> tuple[tuple[str, ...], ...]:
+    """Every way to write a word as 2 to ``PIECES`` pieces of at most ``PIECE`` characters, one with two or more."""
+    out = []
+
+    def cut(rest: str, made: tuple[str, ...]) -> None:
+        if not rest:
+            if len(made) > 1 and len(made) < len(word):
+                out.append(made)
+        elif len(made) < PIECES:
+            for k in range(1, min(PIECE, len(rest)) + 1):
+                cut(rest[k:], (*made, rest[:k]))
+
+    cut(word, ())
+    return tuple(out)
+
+
+def _signed(word: str) -> bool:
+    """A short piece with a letter and, not as mere punctuation, a sign of ``LEET``."""
+    if len(word) > PIECE or not any(map(str.isalpha, word)):
+        return False
+    return any(c in LEET for c in _EDGE.sub("", word)) or (word[0] in "$@" and word[1:2].isalpha())
+
+
 def _broken(codes: np.ndarray, owner: np.ndarray, words: list[str], cost: np.ndarray, weights: dict[str, float]) -> list[tuple[int, float]]:
     """Marked words written as 2 to ``PIECES`` neighbouring short tokens, with their text's place.
 
-    Letters alone are looked up; what is decoded holds a sign, and both are rare. At least one piece
-    has two characters, as runs of single ones are read elsewhere.
+    Pieces of letters are looked up as runs of token numbers; only where a piece holds a sign is a run
+    decoded. At least one piece has two characters, as runs of single ones are read elsewhere.
     """
-    if len(codes) < 2:
-        return []
-    short = np.fromiter((len(w) <= PIECE for w in words), bool, len(words))[codes]
-    wide = np.fromiter((len(w) > 1 for w in words), bool, len(words))[codes]
-    marked = {w for w in weights if not w.endswith("-") and len(w) >= 4}
-    begins = {w[:2] for w in marked}
-    begin = np.fromiter((w[:1] in LEET or w[:2] in begins or len(w) == 1 or any(c in LEET for c in w) for w in words), bool, len(words))[codes]
-    sign = np.fromiter((any(c in LEET for c in w) and any(map(str.isalpha, w)) for w in words), bool, len(words))[codes]
+    n = len(codes)
+    number = {w: k for k, w in enumerate(words) if len(w) <= PIECE}
+    runs: set[tuple[int, ...]] = set()
+    for word in weights:
+        if len(word) >= 4 and word.isalpha():
+            runs.update(tuple(number[p] for p in pieces) for pieces in _splits(word) if all(p in number for p in pieces))
+    found: set[tuple[int, int]] = set()
+    if runs:
+        heads = np.array(sorted({r[0] * len(words) + r[1] for r in runs}), np.int64)
+        for k in np.flatnonzero(np.isin(codes[:-1] * len(words) + codes[1:], heads)).tolist():
+            found.update((k, size) for size in range(2, PIECES + 1) if tuple(codes[k : k + size].tolist()) in runs)
+    signed = np.fromiter(map(_signed, words), bool, len(words))
+    short = np.fromiter((len(w) <= PIECE for w in words), bool, len(words))
+    for k in np.flatnonzero(signed[codes]).tolist() if signed.any() else []:
+        for low in range(max(0, k - PIECES + 1), k + 1):
+            for size in range(max(2, k - low + 1), PIECES + 1):
+                part = codes[low : low + size]
+                if len(part) == size and short[part].all() and any(len(words[c]) > 1 for c in part.tolist()):
+                    found.add((low, size))
+    known: dict[tuple[int, ...], float] = {}
     out = []
-    pairs = short[:-1] & short[1:] & (owner[:-1] == owner[1:]) & begin[:-1]
-    for k in np.flatnonzero(pairs).tolist():
-        for size in range(2, PIECES + 1):
-            end = k + size
-            if end > len(codes) or not short[end - 1] or owner[end - 1] != owner[k]:
-                break
-            pieces = [words[c] for c in codes[k:end]]
-            if wide[k:end].any() and ("".join(pieces) in marked or sign[k:end].any()):
-                weight = dropped_blank(pieces, cost, weights)
-                if weight:
-                    out.append((int(owner[k]), weight))
+    for k, size in sorted(found):
+        if k + size <= n and owner[k] == owner[k + size - 1]:
+            run = tuple(codes[k : k + size].tolist())
+            if run not in known:
+                known[run] = dropped_blank([words[c] for c in run], cost, weights)
+            if known[run]:
+                out.append((int(owner[k]), known[run]))
     return out
 
 
