@@ -136,6 +136,8 @@ def readings(token: str, cost: np.ndarray) -> list[str]:
     that is still longer than ``LONG`` is read part by part between separators; a part without a
     separator that is longer is decoded whole, for its likeliest spelling only.
     """
+    if token.isalpha() and not _RUN.search(token):
+        return [token]
     if len(token) > LONG:
         token = _LONG_RUN.sub(r"\1\1\1", token)
     core = _EDGE.sub("", token)
@@ -239,7 +241,14 @@ class ToxicModel:
 
 
 def _weight(words: list[str], weights: dict[str, float]) -> float:
-    return max((weights.get(f, 0.0) for w in words for f in features_of(w)), default=0.0)
+    best = 0.0
+    for w in words:  # the features of ``features_of``, without a list of them
+        best = max(best, weights.get(w, 0.0))
+        for k in PREFIXES:
+            if len(w) <= k:
+                break
+            best = max(best, weights.get(w[:k] + "-", 0.0))
+    return best
 
 
 def _spaced_weights(tokens: list[str], cost: np.ndarray, weights: dict[str, float], longest: int) -> list[float]:
@@ -276,25 +285,41 @@ def _signed(word: str) -> bool:
     return any(c in LEET for c in _EDGE.sub("", word)) or (word[0] in "$@" and word[1:2].isalpha())
 
 
+_RUNS: dict[int, tuple] = {}
+
+
+def _runs_of(weights: dict[str, float]) -> tuple[frozenset[str], frozenset[str], frozenset[tuple[str, str]], frozenset[tuple[str, ...]]]:
+    """First pieces, second pieces, both, and all runs of pieces of the marked words, kept for some sets of weights."""
+    held = _RUNS.get(id(weights))
+    if held is None or held[0] is not weights:
+        if len(_RUNS) > 8:
+            _RUNS.clear()
+        runs = frozenset(r for w in weights if len(w) >= 4 and w.isalpha() for r in _splits(w))
+        held = _RUNS[id(weights)] = (weights, frozenset(r[0] for r in runs), frozenset(r[1] for r in runs), frozenset(r[:2] for r in runs), runs)
+    return held[1:]
+
+
 def _broken(codes: np.ndarray, owner: np.ndarray, words: list[str], cost: np.ndarray, weights: dict[str, float]) -> list[tuple[int, float]]:
     """Marked words written as 2 to ``PIECES`` neighbouring short tokens, with their text's place.
 
-    Pieces of letters are looked up as runs of token numbers; only where a piece holds a sign is a run
-    decoded. At least one piece has two characters, as runs of single ones are read elsewhere.
+    Pieces of letters are looked up as runs of tokens; only where a piece holds a sign is a run decoded.
+    At least one piece has two characters, as runs of single ones are read elsewhere.
     """
     n = len(codes)
-    number = {w: k for k, w in enumerate(words) if len(w) <= PIECE}
-    runs: set[tuple[int, ...]] = set()
-    for word in weights:
-        if len(word) >= 4 and word.isalpha():
-            runs.update(tuple(number[p] for p in pieces) for pieces in _splits(word) if all(p in number for p in pieces))
-    found: set[tuple[int, int]] = set()
-    if runs:
-        heads = np.array(sorted({r[0] * len(words) + r[1] for r in runs}), np.int64)
-        for k in np.flatnonzero(np.isin(codes[:-1] * len(words) + codes[1:], heads)).tolist():
-            found.update((k, size) for size in range(2, PIECES + 1) if tuple(codes[k : k + size].tolist()) in runs)
-    signed = np.fromiter(map(_signed, words), bool, len(words))
+    firsts, seconds, heads, runs = _runs_of(weights)
     short = np.fromiter((len(w) <= PIECE for w in words), bool, len(words))
+    few = np.flatnonzero(short).tolist()
+    first, second, signed = (np.zeros(len(words), bool) for _ in range(3))
+    for k in few:
+        w = words[k]
+        first[k], second[k], signed[k] = w in firsts, w in seconds, not w.isalpha() and _signed(w)
+    found: set[tuple[int, int]] = set()
+    near = np.flatnonzero(first[codes[:-1]] & second[codes[1:]]) if n > 1 else np.zeros(0, np.int64)
+    pairs, back = np.unique(codes[near] * len(words) + codes[near + 1], return_inverse=True) if len(near) else (near, near)
+    begins = np.fromiter(((words[x // len(words)], words[x % len(words)]) in heads for x in pairs.tolist()), bool, len(pairs))
+    for k in near[begins[back]].tolist():
+        part = [words[c] for c in codes[k : k + PIECES].tolist()]
+        found.update((k, size) for size in range(2, len(part) + 1) if tuple(part[:size]) in runs)
     for k in np.flatnonzero(signed[codes]).tolist() if signed.any() else []:
         for low in range(max(0, k - PIECES + 1), k + 1):
             for size in range(max(2, k - low + 1), PIECES + 1):
