@@ -44,7 +44,7 @@ def pair_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     chars = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     points = np.frombuffer("".join(t for t in texts.to_pylist() if t).encode("utf-32-le"), np.uint32).astype(np.int64)
     row = np.repeat(np.arange(len(chars)), chars)
-    second = np.append(points[1:], 0)
+    second = np.append(points[1:], 0)[: len(points)]
     ends = np.cumsum(chars)[chars > 0] - 1
     second[ends] = -1
     second[(np.cumsum(chars) - 1)[chars == 1]] = _ALONE
@@ -82,7 +82,7 @@ class _Buckets:
 
 
 def _bag(buckets: _Buckets, row: np.ndarray, pair: np.ndarray, count: np.ndarray, rows: int) -> np.ndarray:
-    return np.bincount(row * buckets.dim + buckets.of(pair), count, rows * buckets.dim).reshape(rows, buckets.dim)
+    return np.bincount(row * buckets.dim + buckets.of(pair), count, rows * buckets.dim).astype(float).reshape(rows, buckets.dim)
 
 
 def bigram_bag(text: Column, dim: int) -> Column:

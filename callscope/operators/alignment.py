@@ -2,7 +2,9 @@
 
 The only text operator that Spark's expressions cannot give: the alignment is a sequential
 trace through an edit-distance table. It runs in Arrow batches next to the data, one pair at
-a time and whole, with the table kept as bit vectors (Myers 1999, Hyyrö 2003).
+a time and whole. Only a band of the table around its diagonal is worked out (Ukkonen 1985), as bit
+vectors that move down with it (Myers 1999, Hyyrö 2003): a text of n characters and d errors takes
+O(n d / 64) steps.
 """
 
 from __future__ import annotations
@@ -30,52 +32,72 @@ def _positions(original: str) -> dict[str, int]:
     return where
 
 
-def _columns(where: dict[str, int], size: int, heard: str, vp: int, vn: int) -> Iterator[tuple[int, int, int]]:
-    """Bit vectors (diagonal zero, vertical plus, vertical minus) of the table column by column."""
-    full = (1 << size) - 1
+#: Bits of a band that are kept for all columns; a wider table is kept every so many columns.
+_KEPT_BITS = 1 << 28
+#: Errors that the first band has room for, besides a sixteenth of the shorter text.
+_ROOM = 31
+
+
+def _columns(where: dict[str, int], heard: str, before: int, t: int, vp: int, vn: int) -> Iterator[tuple[int, int, int]]:
+    """Bit vectors of the table column by column, rows ``j - t`` to ``j + t`` in column ``j``.
+
+    They are diagonal zero, in the rows of the column, and vertical plus and minus, in the rows of
+    the next. Rows above the first have no bit set. What lies below the band is taken for one more than its
+    diagonal neighbour, what lies above for out of reach: neither is ever too small.
+    """
+    full = (1 << (2 * t + 1)) - 1
+    shift = before - t
     for char in heard:
         eq = where.get(char, 0)
-        d0 = ((((eq & vp) + vp) ^ vp) | eq | vn) & full
-        hp = ((vn | (full ^ (d0 | vp))) << 1 | 1) & full
-        hn = ((d0 & vp) << 1) & full
-        vp, vn = hn | (full ^ (d0 | hp)), hp & d0
+        eq = (eq >> shift if shift >= 0 else eq << -shift) & full
+        shift += 1
+        d0 = (((eq & vp) + vp) ^ vp | eq | vn) & full
+        hp = vn | full ^ (d0 | vp)
+        below = d0 >> 1
+        vp, vn = d0 & vp | full ^ (below | hp), below & hp
         yield d0, vp, vn
 
 
-def edit_runs(original: str, transcribed: str) -> list[tuple[str, int]]:
-    """Run lengths of match, sub, del and ins from the front.
+def _common_end(a: str, b: str, i: int, j: int) -> int:
+    """How many characters before ``i`` and ``j`` are equal."""
+    length, step = 0, 16
+    while step:
+        if i - length >= step and j - length >= step and a[i - length - step : i - length] == b[j - length - step : j - length]:
+            length += step
+            step = min(2 * step, 4096)
+        else:
+            step //= 2
+    return length
 
-    Traced from the end: equal characters match, then substitution, deletion and insertion
-    are tried in that order. Only every ``step``-th column is kept; the ones between are computed again when the trace reaches them,
-    so memory grows with n * sqrt(n) bits.
-    """
+
+def _traced(original: str, transcribed: str, where: dict[str, int], t: int) -> tuple[list[tuple[str, int]], int]:
+    """Runs from the end, and their errors, along the least path of a band of ``t`` rows either way."""
     m, n = len(original), len(transcribed)
-    step = int(n**0.5) + 1
-    where = _positions(original)
-    saved, state = {0: ((1 << m) - 1, 0)}, ((1 << m) - 1, 0)
+    step = max(n, 1) if n * (2 * t + 1) <= _KEPT_BITS else int(n**0.5) + 1
+    state = (((1 << (t + 1)) - 1) << t, 0)
+    saved = {0: state}
     for start in range(step, n, step):
-        for _, vp, vn in _columns(where, m, transcribed[start - step : start], *state):
+        for _, vp, vn in _columns(where, transcribed[start - step : start], start - step, t, *state):
             state = vp, vn
         saved[start] = state
 
     runs: list[tuple[str, int]] = []
-    i, j, base, block = m, n, -1, []
+    i, j, base, block, errors = m, n, -1, [], 0
     while i and j:
-        length = 0
-        while i > length and j > length and original[i - 1 - length] == transcribed[j - 1 - length]:
-            length += 1
+        length = _common_end(original, transcribed, i, j)
         if length:
             kind = "match"
             i, j = i - length, j - length
         else:
             start = (j - 1) // step * step
             if start != base:
-                base, block = start, list(_columns(where, m, transcribed[start : start + step], *saved[start]))
+                base, block = start, list(_columns(where, transcribed[start : start + step], start, t, *saved[start]))
             d0, vp, _ = block[j - 1 - base]
-            length = 1
-            if not d0 >> (i - 1) & 1:
+            length, row = 1, i - j + t
+            errors += 1
+            if row > 2 * t or not d0 >> row & 1:
                 kind, i, j = "sub", i - 1, j - 1
-            elif vp >> (i - 1) & 1:
+            elif row and vp >> (row - 1) & 1:
                 kind, i = "del", i - 1
             else:
                 kind, j = "ins", j - 1
@@ -85,10 +107,34 @@ def edit_runs(original: str, transcribed: str) -> list[tuple[str, int]]:
             runs.append((kind, length))
     for kind, length in (("del", i), ("ins", j)):
         if length:
+            errors += length
             if runs and runs[-1][0] == kind:
                 runs[-1] = (kind, runs[-1][1] + length)
             else:
                 runs.append((kind, length))
+    return runs, errors
+
+
+def edit_runs(original: str, transcribed: str) -> list[tuple[str, int]]:
+    """Run lengths of match, sub, del and ins from the front.
+
+    Traced from the end: equal characters match, then substitution, deletion and insertion
+    are tried in that order. A path of at most ``t`` errors stays within a band of ``t`` rows, where the
+    table is exact; until the traced path is one, the band is widened, to twice or to the errors found.
+    Columns are kept whole, or every so many where that takes too much memory.
+    """
+    m, n = len(original), len(transcribed)
+    end = _common_end(original, transcribed, m, n)
+    a, b = original[: m - end], transcribed[: n - end]  # what is equal at the end is traced first anyway
+    where = _positions(a)
+    t = abs(len(a) - len(b)) + max(_ROOM, min(len(a), len(b)) // 16)
+    while True:
+        runs, errors = _traced(a, b, where, t)
+        if errors <= t:
+            break
+        t = min(2 * t + 1, errors)
+    if end:
+        runs = [("match", end + runs[0][1]), *runs[1:]] if runs and runs[0][0] == "match" else [("match", end), *runs]
     runs.reverse()
     return runs
 

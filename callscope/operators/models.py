@@ -105,12 +105,14 @@ def enrich(
     df: DataFrame, id: str, text: str, factory: Callable[[], Callable[..., Any]] | None,
     reasons: ReasonPack = TELECOM_REASONS, rules: RulePack = TELECOM_RULES, micro_batch: int = 8,
     partitions: int | None = None, keep: Sequence[str] = (), summary_chars: int | None = None,
+    ledger: Callable[[DataFrame, str], DataFrame] | None = None,
 ) -> DataFrame:
     """Redact, ask the model, parse its answer; rows without a usable answer get the rules.
 
     ``model_used`` tells which way a row went and ``model_error`` why the model failed.
     ``partitions`` sets how many calls are under way at most; ``keep`` names input columns that
-    stay in the result, ``summary_chars`` the length of summaries by rule.
+    stay in the result, ``summary_chars`` the length of summaries by rule. ``ledger`` takes the place of
+    the call: it gets the frame and the name of the text and adds ``_call`` (see ``ledger.answered``).
     """
     base = df.select(id, *keep, redact(F.coalesce(F.col(text), F.lit(""))).alias("transcript_redacted"))
     if partitions is not None:
@@ -120,7 +122,10 @@ def enrich(
         return base.withColumns(
             {**by_rule, "model_used": F.lit(False), "model_error": F.lit(None).cast("string")}
         )
-    asked = base.withColumn("_call", call_model([F.col("transcript_redacted")], factory, "string", micro_batch))
+    if ledger is not None:
+        asked = ledger(base, "transcript_redacted")
+    else:
+        asked = base.withColumn("_call", call_model([F.col("transcript_redacted")], factory, "string", micro_batch))
     parsed = asked.withColumn("_json", rescue_json(F.col("_call.value")))
     parsed = parsed.withColumn("_answer", F.from_json("_json", CALL_ANSWER))
     # An answer counts when it is an object with at least one field.

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A, calls as C
+from ..operators.ledger import answered, read_ledger
 from ..operators.models import enrich, map_model, map_with_errors
+from ..operators.ranges import range_join
 from ..session import scratch_dir
 from ..sources import tables as K
 from . import fixtures as fx
-from .registry import query, scan, table
+from .registry import ORACLES, query, scan, table
 from .texts import RULE_SQL, ruled
 
 DAY_COUNTS = """count(*) AS total_calls,
@@ -217,6 +219,32 @@ def model_enrich(spark, d):
     )
 
 
+@query("model_ledger", ORACLES["model_enrich"].replace("SELECT m.doc_id,", "SELECT 0::BIGINT AS asked_again, m.doc_id,"))
+def model_ledger(spark, d):
+    """The second of two runs over one ledger: same rows, and no text is asked again."""
+    path = scratch_dir(spark, "answers")
+    run = lambda batch: enrich(
+        scan(spark, d, "documents", "doc_id", "text"), "doc_id", "text", _answering, fx.REASONS, fx.RULES,
+        ledger=lambda rows, text: answered(rows, text, _answering, path, "v1", batch),
+    )
+    run("first")
+    out = run("second")
+    again = read_ledger(spark, path, "v1").agg(F.count_if(F.col("batch") == "second").alias("asked_again"))
+    return out.crossJoin(F.broadcast(again)).select(
+        "asked_again", "doc_id", "model_used", "model_error", "downgrade_related", "primary_reason", "confidence", "text_emotion", "emotion_score"
+    )
+
+
+@query("spans_of_events", """SELECT s.event_id AS span_id, count(*) AS events, round(sum(e.value), 4) AS total FROM events s
+JOIN events e ON e.ts BETWEEN s.ts AND s.ts + INTERVAL 30 MINUTE WHERE s.event_type = 'signup' GROUP BY 1""")
+def spans_of_events(spark, d):
+    """Events within half an hour of each signup, by bins of time."""
+    events = table(spark, d, "events")
+    spans = events.where("event_type = 'signup'").select(F.col("event_id").alias("span_id"), F.col("ts").alias("opens"), (F.col("ts") + F.expr("INTERVAL 30 MINUTES")).alias("closes"))
+    met = range_join(events.select("ts", "value"), spans, "ts", "opens", "closes", least=60)
+    return met.groupBy("span_id").agg(F.count("*").alias("events"), F.round(F.sum("value"), 4).alias("total"))
+
+
 def _counter():
     """Built once per task, as a heavy model would be."""
     import pandas as pd

@@ -42,6 +42,24 @@ def predicate_presets(spark, d):
     return B.scalar_query(ruled(spark, d), B.PREDICATES["at_risk"], None, ("doc_id", "bad_tone", "downgrade_related")).rows
 
 
+@query("predicate_bad_tone", f"""WITH {RULE_SQL} SELECT doc_id, bad_tone, downgrade_related FROM ruled WHERE bad_tone = true""")
+def predicate_bad_tone(spark, d):
+    return B.scalar_query(ruled(spark, d), B.PREDICATES["bad_tone"], None, ("doc_id", "bad_tone", "downgrade_related")).rows
+
+
+@query("predicate_images", """WITH i AS (SELECT vec_id AS doc_id, CASE WHEN label = 9 THEN NULL ELSE label % 2 = 0 END AS is_avatar,
+CASE WHEN label < 6 THEN 'ok' WHEN label < 8 THEN 'llm_failed' END AS analysis_status FROM embeddings)
+SELECT doc_id, 'avatars' AS preset FROM i WHERE is_avatar = true UNION ALL SELECT doc_id, 'not_ok' FROM i WHERE analysis_status != 'ok'""")
+def predicate_images(spark, d):
+    """The two presets on images; a status or verdict that is null meets neither."""
+    label = F.col("label")
+    rows = table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("doc_id"), F.when(label != 9, label % 2 == 0).alias("is_avatar"), F.when(label < 6, "ok").when(label < 8, "llm_failed").alias("analysis_status")
+    )
+    some = lambda name: B.scalar_query(rows, B.PREDICATES[name], None, ("doc_id",)).rows.withColumn("preset", F.lit(name))
+    return some("avatars").union(some("not_ok"))
+
+
 @query("result_columns", f"""WITH {RULE_SQL} SELECT doc_id, text_emotion, bad_tone, emotion_score, downgrade_related, primary_reason, secondary_reason
 FROM ruled ORDER BY doc_id LIMIT 20""")
 def result_columns(spark, d):

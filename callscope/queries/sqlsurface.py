@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import calls as C
+from ..operators import aggregates as A, calls as C
 from ..plans import sqlgate as Q
 from ..plans.jobs import call_batch, quality_job
 from ..session import scratch_dir
@@ -89,6 +89,29 @@ _preset("churn", "SELECT caller_intent, count(*) AS cnt FROM calls WHERE caller_
 _preset("sentiment", "SELECT sentiment, count(*) AS cnt, round(avg(sentiment_score), 6) AS avg_score FROM calls GROUP BY 1")
 
 
+@query("sql_preset_daily", f"""WITH {fx.CALL_ROWS_SQL} SELECT date, {EXACT} FROM calls GROUP BY date""")
+def sql_preset_daily(spark, d):
+    """The stored daily table, by way of its view."""
+    path = scratch_dir(spark, "daily-view")
+    A.daily_aggregate(fx.call_rows(table(spark, d, "events")), "date").write.parquet(path)
+    Q.register_views(spark, {"churn_predictions": spark.read.parquet(path)})
+    return Q.guarded(spark, Q.PRESETS["daily"]).select("date", *A.COUNTS)
+
+
+@query("stream_deduplicated", f"""WITH turns AS (SELECT conv_id || '-' || turn AS call_id, text FROM conversations WHERE trim(text) <> ''),
+{fx.analysis_sql('turns', 'call_id', 'text')} SELECT call_id, caller_intent, risk_level FROM analysed""")
+def stream_deduplicated(spark, d):
+    """Every second call comes in two batches; each is analysed once."""
+    source, sink = scratch_dir(spark, "repeats"), scratch_dir(spark, "once")
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("turn") * 60)
+    turns = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("call_id"), F.col("text").alias("transcript"), at.alias("ts"), "turn")
+    turns.where("turn % 2 = 0").drop("turn").coalesce(1).write.mode("append").parquet(source)
+    turns.drop("turn").coalesce(1).write.mode("append").parquet(source)
+    calls = spark.readStream.schema("call_id string, transcript string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(source)
+    R.analyze_stream(calls, sink, scratch_dir(spark, "once-checkpoint"), pack=fx.PACK, once_within="10 days").awaitTermination()
+    return spark.read.parquet(sink).select("call_id", "caller_intent", "risk_level")
+
+
 @query("guarded_sql", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def guarded_sql(spark, d):
     Q.register_views(spark, {"events": table(spark, d, "events")})

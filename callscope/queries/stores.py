@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F, types as T
 
-from ..operators import calls as C
+from ..operators import browse as B, calls as C
 from ..plans import sqlgate as Q
 from ..session import scratch_dir
 from ..sources import archive as Z, files as S, tables as K
@@ -14,19 +16,21 @@ from .texts import DOCS
 
 
 def _exported(spark, rows, blob):
-    """Write a blob for each row to a file named by its id."""
+    """Write a blob for each row to a file of its own, and list them."""
     folder = scratch_dir(spark, "exported")
-    S.export_blobs(rows, rows.select("doc_id"), folder, "doc_id", blob)
-    return folder
+    return folder, S.export_blobs(rows, rows.select("doc_id"), folder, "doc_id", blob)
 
 
-@query("exported_objects", "SELECT page_id || '/' || url AS id, octet_length(encode(html)) AS size FROM pages")
+@query("exported_objects", """SELECT CASE page_id % 5 WHEN 0 THEN '_' || page_id WHEN 1 THEN '../' || page_id WHEN 2 THEN page_id || repeat('é/', 500) ELSE page_id || '/' || url END AS id,
+octet_length(encode(html)) AS size FROM pages""")
 def exported_objects(spark, d):
-    """Ids hold slashes and equal endings; each is a file of its own."""
-    rows = table(spark, d, "pages").select(F.concat_ws("/", "page_id", "url").alias("doc_id"), F.col("html").cast("binary").alias("blob"))
-    listed = S.list_objects(spark, _exported(spark, rows, "blob"))
-    name = F.url_decode(F.url_decode(F.element_at(F.split("path", "/"), -1)))
-    return listed.select(name.alias("id"), "size")
+    """Ids hold slashes, a leading underscore, ``..`` or a thousand characters; the files are listed, and named by the list."""
+    kind, number = F.col("page_id") % 5, F.col("page_id").cast("string")
+    name = F.when(kind == 0, F.concat(F.lit("_"), number)).when(kind == 1, F.concat(F.lit("../"), number)).when(kind == 2, F.concat(number, F.repeat(F.lit("é/"), 500))).otherwise(F.concat_ws("/", "page_id", "url"))
+    rows = table(spark, d, "pages").select(name.alias("doc_id"), F.col("html").cast("binary").alias("blob"))
+    folder, listed = _exported(spark, rows, "blob")
+    objects = S.list_objects(spark, folder).select(S.file_name(F.col("path")).alias("name"), "size")
+    return objects.join(listed.select(F.col("doc_id").alias("id"), "name"), "name").select("id", "size")
 
 
 @query("built_manifest", "SELECT conv_id || '-' || turn || '.wav' AS doc_id FROM conversations WHERE role = 'user'")
@@ -35,7 +39,9 @@ def built_manifest(spark, d):
     rows = scan(spark, d, "conversations", "conv_id", "turn", "role", "text").select(
         F.concat(F.col("conv_id"), F.lit("-"), F.col("turn"), ending).alias("doc_id"), F.col("text").cast("binary").alias("blob")
     )
-    return S.build_manifest(spark, _exported(spark, rows, "blob")).select("doc_id")
+    folder, listed = _exported(spark, rows, "blob")
+    files = S.build_manifest(spark, folder).select(F.col("doc_id").alias("name"))
+    return files.join(listed.select("doc_id", "name"), "name").select("doc_id")
 
 
 @query("blob_point", "SELECT octet_length(encode(html)) AS size, md5(html) AS md5 FROM pages WHERE page_id = (SELECT max(page_id) FROM pages)")
@@ -91,9 +97,59 @@ def catalog_listing(spark, d):
     return tree.select(F.col("table").alias("name"), "columns", "row_count")
 
 
-@query("view_schemas", "SELECT 'listed_documents' AS name, column_name AS \"column\", lower(data_type) AS type FROM (DESCRIBE documents) t(column_name, data_type, a, b, c, e)")
+@query("view_schemas", """WITH d AS (SELECT 'listed_documents' AS name, column_name AS "column", lower(data_type) AS type FROM (DESCRIBE documents) t(column_name, data_type, a, b, c, e)),
+n AS (SELECT count(doc_id) AS doc_id, count(text) AS text, count(lang) AS lang, count(source) AS source, count(n_chars) AS n_chars FROM documents),
+f AS (UNPIVOT n ON COLUMNS(*) INTO NAME "column" VALUE filled) SELECT name, d."column", type, filled FROM d JOIN f ON f."column" = d."column\"""")
 def view_schemas(spark, d):
+    """The schema of every view that is listed, with the values that each column holds."""
     Q.register_views(spark, {"listed_documents": table(spark, d, "documents"), "_hidden": table(spark, d, "labels")})
-    found = Q.schemas(spark)
-    rows = [(name, c["column"], c["type"].replace("string", "varchar")) for name in found if name in ("listed_documents", "_hidden") for c in found[name]]
-    return spark.createDataFrame(rows, "name string, column string, type string")
+    found = {name: columns for name, columns in Q.schemas(spark).items() if name in ("listed_documents", "_hidden")}
+    parts = []
+    for name, columns in found.items():
+        kinds = F.create_map(*[F.lit(x) for c in columns for x in (c["column"], c["type"].replace("string", "varchar"))])
+        filled = spark.table(name).agg(*[F.count(c["column"]).alias(c["column"]) for c in columns])
+        parts.append(filled.unpivot([], [c["column"] for c in columns], "column", "filled").select(F.lit(name).alias("name"), "column", kinds[F.col("column")].alias("type"), "filled"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
+# ---- layout ------------------------------------------------------------------------------
+
+
+@query("clustered_lookup", """SELECT doc_id, lang, n_chars FROM documents WHERE doc_id = 42
+UNION ALL SELECT doc_id, lang, n_chars FROM documents WHERE n_chars > 1000 AND lang = 'fr'""")
+def clustered_lookup(spark, d):
+    """A point and a range from a table laid out along a curve over two columns, with a bloom filter on the key."""
+    path = scratch_dir(spark, "clustered")
+    table(spark, d, "documents").select("doc_id", "lang", "n_chars").write.parquet(path)
+    laid = spark.read.parquet(K.compact_clustered(spark, path, ("n_chars", "lang"), "doc_id", files=8))
+    point = B.lookup(laid, "doc_id", 42)
+    return point.union(B.scalar_query(laid, "n_chars > 1000 AND lang = 'fr'", None).rows)
+
+
+@query("bucketed_merge", """SELECT d.doc_id, d.lang, l.quality, l.toxic, d.n_chars FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+def bucketed_merge(spark, d):
+    """Two merges into a bucketed table; neither shuffles what is there already."""
+    names = [f"default.bucketed_{uuid.uuid4().hex}" for _ in range(2)]
+    K.save_bucketed(table(spark, d, "documents").select("doc_id", "lang"), names[0], "doc_id", 8, scratch_dir(spark, "bucketed"))
+    K.merge_bucketed(spark, names[0], table(spark, d, "labels"), "doc_id", names[1], path=scratch_dir(spark, "bucketed"))
+    return K.merged_bucketed(spark, names[1], table(spark, d, "documents").select("doc_id", "lang", "n_chars"), "doc_id")[0]
+
+
+@query("attached_stream", """SELECT d.doc_id, 'text/html' AS mime_type, CASE WHEN p.page_id IS NULL THEN 'download_failed' ELSE 'pending' END AS analysis_status,
+CASE WHEN p.page_id IS NULL THEN 'skipped' ELSE 'pending' END AS embedding_status, octet_length(encode(p.html)) AS bytes
+FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id""")
+def attached_stream(spark, d):
+    """Files that arrive in three batches, and a manifest that names some of them only after they came."""
+    folder, sink, state = (scratch_dir(spark, x) for x in ("arriving", "arrived", "arrivals"))
+    manifest = table(spark, d, "documents").select("doc_id", S.export_name(F.concat(F.lit("item/"), F.col("doc_id").cast("string"), F.lit(".html"))).alias("file"))
+    files = table(spark, d, "pages").select(F.concat(F.lit("item/"), F.col("page_id").cast("string"), F.lit(".html")).alias("doc_id"), F.col("html").cast("binary").alias("blob"), "page_id")
+    for part in range(3):
+        some = files.where(F.col("page_id") % 3 == part)
+        S.export_blobs(some, some.select("doc_id"), f"{folder}/part{part}", "doc_id", "blob")
+        named = manifest.where(F.col("doc_id") % 2 == 0) if part == 0 else manifest
+        S.attach_stream(spark, named, folder, "file", sink, state).awaitTermination()
+    out = S.read_attached(spark, manifest, folder, "file", sink)
+    return out.select("doc_id", "mime_type", "analysis_status", "embedding_status", F.octet_length("image_blob").cast("bigint").alias("bytes"))

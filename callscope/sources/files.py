@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.scalars import guess_mime
 from ..functions.text import has_audio_suffix
@@ -123,32 +122,105 @@ def blob_lookup(df: DataFrame, key: str, value: object, blob: str = "image_blob"
     return bytes(row["b"]), row["m"] or DEFAULT_MIME
 
 
-def export_blobs(df: DataFrame, ids: DataFrame, folder: str, key: str = "doc_id", blob: str = "audio_blob") -> None:
-    """Write the blobs of the given ids to files in a folder that all executors share.
+def export_name(key: Column) -> Column:
+    """File name of an id: the id where it is a short plain name, else ``h_`` and its SHA-256, with its ending if that is plain.
 
-    A file is named by the whole id, percent-encoded, so that no two ids share one.
+    Plain names hold no underscore, so no two ids share a name.
+    """
+    text = key.cast("string")
+    hashed = F.concat(F.lit("h_"), F.sha2(text.cast("binary"), 256), F.lower(F.regexp_extract(text, r"(\.[A-Za-z0-9]{1,8})$", 1)))
+    return F.when(text.rlike(r"^[A-Za-z0-9][A-Za-z0-9.-]{0,99}$"), text).otherwise(hashed)
+
+
+def export_blobs(df: DataFrame, ids: DataFrame, folder: str, key: str = "doc_id", blob: str = "audio_blob") -> DataFrame:
+    """Write the blobs of the given ids to files, and return the list of them: ``key, name, size``.
 
-    The folder is a path or a ``file:`` address that every executor has mounted; Python cannot
-    write to other stores. Ids are selected before the blob column is read. Each file appears under its name only
-    when complete, so a task that runs again does no harm.
+    Files are named by ``export_name``, so any id will do: of any length, with slashes, a leading
+    underscore or ``..``. The list is also written, next to the folder (``read_export``). Null ids and
+    blobs that are null or empty are left out; of rows that repeat an id one is written.
+
+    ``folder`` is a path that all executors see, or an address of a store that Arrow writes to
+    (``hdfs:``, ``s3:``, ``gs:``, ``file:``). Ids are selected before the blob column is read. On a file
+    system a file appears under its name only when complete; a store's object is whole or absent anyway. A task
+    that runs again writes the same.
     """
+    import re
+
+    from pyarrow import fs
 
-    if "://" in folder and not folder.startswith("file://"):
-        raise ValueError("export_blobs needs a mounted folder")
-    folder = re.sub("^file:/*", "/", folder)
+    # Hadoop writes one slash after ``file:``, Arrow asks for three.
+    address = re.sub("^(file:)?/+", "file:///", folder)
 
-    def write(rows) -> None:
-        import os
+    def write(batches):
         import uuid
-        from urllib.parse import quote
-
-        os.makedirs(folder, exist_ok=True)
-        for row in rows:
-            if row[1]:
-                name = quote(str(row[0]), safe="")
-                part = os.path.join(folder, f".{name}.{uuid.uuid4().hex}")
-                with open(part, "wb") as out:
-                    out.write(row[1])
-                os.replace(part, os.path.join(folder, name))
-
-    df.join(ids.select(key).distinct(), key, "left_semi").select(key, blob).foreachPartition(write)
+
+        import pyarrow as pa
+
+        store, base = fs.FileSystem.from_uri(address)
+        base = base.rstrip("/")
+        local = isinstance(store, fs.LocalFileSystem)
+        store.create_dir(base, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column(1).to_pylist(), batch.column(2)):
+                target = f"{base}/{name}"
+                part = f"{base}/.{uuid.uuid4().hex}" if local else target
+                with store.open_output_stream(part) as out:
+                    out.write(content.as_buffer())
+                if local:
+                    store.move(part, target)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3)], names=["key", "name", "size"])
+
+    wanted = df.join(ids.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_semi").where(F.length(blob) > 0)
+    kind = wanted.schema[key].dataType.simpleString()
+    rows = wanted.select(F.col(key).alias("key"), export_name(F.col(key)).alias("name"), F.col(blob).alias("content"), F.length(blob).cast("bigint").alias("size"))
+    base = folder.rstrip("/")
+    done = rows.mapInArrow(write, f"key {kind}, name string, size bigint")
+    done.write.mode("overwrite").parquet(f"{base}__list")
+    return read_export(df.sparkSession, base, key)
+
+
+def read_export(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
+    """``key, name, size`` of the files of an export, one row an id."""
+    return spark.read.parquet(f"{folder.rstrip('/')}__list").withColumnRenamed("key", key).dropDuplicates([key])
+
+
+def file_name(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def attach_stream(
+    spark: SparkSession, manifest: DataFrame, folder: str, on: str, sink: str, checkpoint: str, trigger: dict | None = None, most_files: int | None = None
+):
+    """Follow a folder and keep what its files say of a manifest's rows; ``read_attached`` joins the two.
+
+    ``on`` holds names of files in that folder. ``most_files`` bounds those of one batch.
+
+    Each batch writes the files that arrived: contents of those that the manifest names, and the paths of
+    the others, which a later manifest may name. Batches overwrite their own folder, so one that is repeated
+    changes nothing. A manifest row whose file has not come yet waits without any state: it has no arrival.
+    """
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    reader = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).schema(schema)
+    files = (reader if most_files is None else reader.option("maxFilesPerTrigger", most_files)).load(folder)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        named = manifest.select(F.col(on).alias("path")).where(F.col(on).isNotNull()).distinct().withColumn("_named", F.lit(True))
+        rows = batch.withColumn("path", file_name(F.col("path"))).join(named, "path", "left")
+        rows = rows.select("path", "modificationTime", "length", F.when(F.col("_named"), F.col("content")).alias("content"))
+        rows.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/batch_id={batch_id}")
+
+    return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def read_attached(spark: SparkSession, manifest: DataFrame, folder: str, on: str, sink: str, **how) -> DataFrame:
+    """``attach_blobs`` of the manifest and the files that have arrived by now, the newest of each path.
+
+    Contents of files that no manifest named when they came are read from ``folder``.
+    """
+    arrived = spark.read.schema("path string, modificationTime timestamp, length bigint, content binary, batch_id int").parquet(sink)
+    newest = arrived.groupBy("path").agg(F.max_by(F.struct("content"), F.struct("modificationTime", "batch_id")).alias("_c")).select("path", F.col("_c.content").alias("content"))
+    asked = manifest.select(F.col(on).alias("path")).where(F.col(on).isNotNull()).distinct()
+    known = newest.where("content is not null")
+    unnamed = newest.where("content is null").select("path").join(asked, "path", "left_semi")
+    late = read_files(spark, folder).withColumn("path", file_name(F.col("path"))).join(unnamed, "path", "left_semi")
+    return attach_blobs(manifest, known.unionByName(late), on, **how)

@@ -8,8 +8,8 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.text import bigrams
-from ..functions.vectors import hashed_bag
+from ..functions.bags import bigram_bag
+from ..functions.base import let, literal_array
 from ..packs import NO_REASON
 from ..schemas import CALL_ANALYSIS, CALL_EMBEDDING_DIM, DAILY_CHURN
 
@@ -26,7 +26,7 @@ def shape_analysis(df: DataFrame) -> DataFrame:
     else:
         entity_json = F.coalesce(F.to_json("key_entities"), F.lit("{}"))
     text = F.coalesce(*[F.col(c) for c in ("summary", "transcript") if c in have], F.lit(""))
-    vector = F.transform(hashed_bag(bigrams(text), CALL_EMBEDDING_DIM), lambda x: x.cast("float"))
+    vector = bigram_bag(text, CALL_EMBEDDING_DIM).cast("array<float>")
     columns: dict[str, Column] = {
         "call_id": get("call_id", ""),
         "transcript": get("transcript", ""),
@@ -66,7 +66,8 @@ def merge_columns(
 ) -> tuple[DataFrame, list[str]]:
     """Left-join new columns on the key, all in one join; returns the names added.
 
-    Columns the base already has are skipped, or exchanged with ``replace``.
+    Columns the base already has are skipped, or exchanged with ``replace``. A key that repeats in
+    ``new`` gives its base row as often; ``merge_bucketed`` refuses it.
     """
     offered = [c for c in new.columns if c != key]
     taken = offered if replace else [c for c in offered if c not in base.columns]
@@ -149,12 +150,14 @@ def snapshots(daily: DataFrame) -> DataFrame:
 
 
 def as_of(daily: DataFrame, snapshot_id: str) -> DataFrame:
-    """The daily table as it was right after a snapshot."""
+    """The daily table as it was right after a snapshot. Snapshots of one instant are ordered by their ids."""
     row = daily.where(F.col("snapshot_id") == snapshot_id).agg(F.min("committed_at").cast("string")).first()
     if row[0] is None:
         raise LookupError(f"no snapshot {snapshot_id}")
     # As text, since a Python time would be shifted by the zone of the session.
-    return daily.where(F.col("committed_at") <= F.lit(row[0]).cast("timestamp_ntz"))
+    then = F.lit(row[0]).cast("timestamp_ntz")
+    at = F.col("committed_at")
+    return daily.where((at < then) | ((at == then) & (F.col("snapshot_id") <= snapshot_id)))
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -183,6 +186,113 @@ def compact(
     return rewrite(table.repartition(wanted), path)
 
 
+#: Steps into which the curve divides each column.
+_CURVE_BITS = 10
+
+
+def _rank_of(column: str, kind: str) -> Column:
+    """A number in the order of the column: texts by their first six bytes."""
+    if kind == "string":
+        return F.conv(F.rpad(F.substring(F.hex(F.col(column)), 1, 12), 12, "0"), 16, 10).cast("double")
+    if kind in ("timestamp", "timestamp_ntz", "date"):
+        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
+    return F.col(column).cast("double")
+
+
+def curve(df: DataFrame, columns: Sequence[str], bits: int = _CURVE_BITS) -> Column:
+    """Place of a row on a Z-order curve over the quantiles of some columns; nulls come first.
+
+    Quantiles are taken over all rows, so that skewed columns are divided evenly.
+    """
+    kinds = dict(df.dtypes)
+    points = [i / (1 << bits) for i in range(1, 1 << bits)]
+    found = df.agg(*[F.percentile_approx(_rank_of(c, kinds[c]), points, 10 << bits).alias(f"q{i}") for i, c in enumerate(columns)]).first()
+    place = F.lit(0).cast("bigint")
+    for i, c in enumerate(columns):
+        # Equal cuts count each: a column of few values spans the whole range too.
+        cuts = sorted(found[i] or [])
+        rank = _rank_of(c, kinds[c])
+        step = F.coalesce(let_count(cuts, rank), F.lit(0))
+        for bit in range(bits):
+            place = place.bitwiseOR(F.shiftleft(F.shiftright(step, bit).bitwiseAND(F.lit(1)).cast("bigint"), bit * len(columns) + i))
+    return place
+
+
+def let_count(cuts: Sequence[float], value: Column) -> Column:
+    """How many of the ascending ``cuts`` are at most ``value``; null for null."""
+    if not cuts:
+        return F.when(value.isNotNull(), F.lit(0))
+    table = literal_array(cuts)
+    size = 1 << len(cuts).bit_length()
+    steps = F.lit([size >> (k + 1) for k in range(size.bit_length() - 1)])
+
+    def walk(v: Column) -> Column:
+        halve = lambda at, s: F.when((at + s <= len(cuts)) & (F.get(table, at + s - 1) <= v), at + s).otherwise(at)
+        return F.when(v.isNotNull(), F.aggregate(steps, F.lit(0), halve))
+
+    return let(value, walk)
+
+
+def compact_clustered(
+    spark: SparkSession, path: str, columns: Sequence[str], key: str | None = None, file_bytes: int = 256 << 20, files: int | None = None, **options: str
+) -> str:
+    """Rewrite a table along a Z-order curve over ``columns``; returns the new folder.
+
+    Each file, and each row group in it, covers a small box of the columns, so a predicate on any of them reads
+    few: their least and largest values rule out the rest. ``key`` gets a bloom filter, which rules out
+    row groups in a lookup by value. The curve's ranges are cut by Spark, so files are of like size.
+    """
+    table = spark.read.parquet(path)
+    wanted = files or max(1, -(-fragmentation(table).first()["bytes"] // file_bytes))
+    placed = table.withColumn("_place", curve(table, columns))
+    laid = placed.repartitionByRange(wanted, "_place").sortWithinPartitions("_place").drop("_place")
+    target = f"{path.rstrip('/')}__{uuid.uuid4().hex}"
+    writer = laid.write.mode("errorifexists").options(**options)
+    if key is not None:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
+    writer.parquet(target)
+    return target
+
+
+def save_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None) -> None:
+    """Catalog table dealt into buckets by the key and sorted in each: tables of as many buckets join without a shuffle.
+
+    ``path`` makes it an external table.
+    """
+    # Dealt as the buckets are, so that a bucket is one file and not one for each task.
+    _save(df.repartition(buckets, key), table, key, buckets, path)
+
+
+def _save(df: DataFrame, table: str, key: str, buckets: int, path: str | None) -> None:
+    writer = df.write.bucketBy(buckets, key).sortBy(key).mode("overwrite").format("parquet")
+    (writer if path is None else writer.option("path", path)).saveAsTable(table)
+
+
+def merged_bucketed(spark: SparkSession, base: str, new: DataFrame, key: str, replace: bool = False) -> tuple[DataFrame, list[str], int]:
+    """The merge of ``merge_bucketed`` as a frame, with the names added and the base's number of buckets."""
+    found = [r["data_type"] for r in spark.sql(f"DESCRIBE EXTENDED {base}").where("col_name = 'Num Buckets'").collect()]
+    if not found:
+        raise ValueError(f"{base} is not bucketed; see save_bucketed")
+    buckets = int(found[0])
+    rows = new.where(F.col(key).isNotNull())
+    if rows.groupBy(key).count().where("count > 1").limit(1).count():
+        raise ValueError(f"{key} repeats in the new columns")
+    # Said outright, lest a small side be broadcast or the base read across its buckets.
+    merged, names = merge_columns(spark.table(base).hint("merge"), rows.repartition(buckets, key), key, replace)
+    return merged, names, buckets
+
+
+def merge_bucketed(spark: SparkSession, base: str, new: DataFrame, key: str, target: str, replace: bool = False, path: str | None = None) -> list[str]:
+    """``merge_columns`` of a bucketed table and new columns, saved as another bucketed table; returns the names added.
+
+    Only the new columns are shuffled, into the base's buckets; the base and what is written stay as they
+    are dealt. Keys that repeat in ``new`` would multiply rows and are refused; null keys get no columns.
+    """
+    merged, names, buckets = merged_bucketed(spark, base, new, key, replace)
+    _save(merged, target, key, buckets, path)
+    return names
+
+
 def register(
     spark: SparkSession, database: str, path: str, name: str | None = None, columns: Sequence[str] | None = None
 ) -> str:

@@ -1,4 +1,6 @@
-from hypothesis import given, settings, strategies as st
+import random
+
+from hypothesis import HealthCheck, given, settings, strategies as st
 
 from callscope.operators import alignment as A
 from callscope.operators.aggregates import asr_summary
@@ -41,6 +43,22 @@ def test_equals_the_full_table(a, b):
     assert A.edit_runs(a, b) == slow(a, b)
 
 
+@settings(max_examples=300, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(texts, texts)
+def test_narrow_bands_and_few_kept_columns(monkeypatch, a, b):
+    monkeypatch.setattr(A, "_ROOM", 0)
+    monkeypatch.setattr(A, "_KEPT_BITS", 20)
+    assert A.edit_runs(a, b) == slow(a, b)
+
+
+def test_similar_texts_equal_the_full_table():
+    r = random.Random(7)
+    for _ in range(60):
+        a = "".join(r.choices("abcdefgh ", k=r.randrange(150, 260)))
+        b = "".join(c if r.random() > 0.1 else r.choice(["", c + "x", "y"]) for c in a)
+        assert A.edit_runs(a, b) == slow(a, b)
+
+
 def test_a_filter_does_not_align_twice(spark):
     df = spark.createDataFrame([("abc", "abd")], "a string, b string")
     text = A.align(df, "a", "b").where("sub_count > 0")._jdf.queryExecution().executedPlan().toString()

@@ -35,6 +35,7 @@ def test_pair_counts():
 
     row, pair, count = pair_counts(pa.array(["aaa", None, "", "x", "😀é"]))
     assert row.tolist() == [0, 3, 4] and count.tolist() == [2, 1, 1]
+    assert [len(x) for x in pair_counts(pa.array(["", None, "  "[:0]]))] == [0, 0, 0] and [len(x) for x in pair_counts(pa.array([], pa.string()))] == [0, 0, 0]
     assert pair.tolist() == [97 << 21 | 97, 120 << 21 | (1 << 21) - 1, 0x1F600 << 21 | 0xE9]
 
 
