@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from callscope.functions import text as X
 from callscope.functions.keywords import KeywordIndex, keyword_scores
 from callscope.operators import calls as C
+from callscope.schemas import MODEL_ANALYSIS
 from callscope.packs import TELECOM
 
 T = F.col("t")
@@ -185,9 +186,13 @@ def test_emotion_vote(one):
 
 def test_prompts(one):
     got = one(X.call_prompt(T), row=("你好",))
-    assert "通话内容：\n你好\n" in got and got.endswith("}") and '"key_entities": {"amount_yuan"' in got
+    assert got.endswith("The call:\n你好") and '{"amount_yuan"' in got and "{{" not in got
+    assert all(f"\n{name} (" in got for name in ("caller_intent", "switch_reason", "sentiment", "risk_level", "key_entities", "suggested_action", "summary"))
     got = one(X.quality_prompt(T, F.lit("")), row=("你好",))
-    assert got.endswith("通话转写：\n你好") and "情绪标签：NEUTRAL" in got and "价格敏感、套餐不匹配" in got
+    assert "The call:\n你好\n" in got and "heard as NEUTRAL" in got and "价格敏感、套餐不匹配" in got
+    assert all(f"\n{f.name}: " in got for f in MODEL_ANALYSIS.fields)
+    own = one(X.call_prompt(T, "a {{b}} {transcript} c"), row=(None,))
+    assert own == "a {b}  c"
 
 
 def test_agreement(spark):
