@@ -190,13 +190,26 @@ def agreement(
     """Field-wise equality of two analyses of the same calls, their number and its band."""
     left = ours.select(key, *[F.col(f).alias(f"_a_{f}") for f in fields])
     right = model.select(key, *[F.col(f).alias(f"_b_{f}") for f in fields])
+    return _compared(left.join(right, key), key, fields)
+
+
+def compare_packs(
+    df: DataFrame, id: str, text: str, ours: CallPack, other: CallPack, fields: tuple[str, ...] = AGREEMENT_FIELDS
+) -> DataFrame:
+    """``agreement`` of two packs on the same texts: both score a text in one pass, and nothing is joined."""
+    first = analyze_calls(df.select(id, text), id, text, ours, rules=None).select(id, text, *[F.col(f).alias(f"_a_{f}") for f in fields])
+    second = analyze_calls(first, id, text, other, rules=None)
+    return _compared(second.select(id, *[f"_a_{f}" for f in fields], *[F.col(f).alias(f"_b_{f}") for f in fields]), id, fields)
+
+
+def _compared(both: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
     same = {
         f"{f}_same": F.coalesce(
             F.col(f"_a_{f}").cast("string") == F.col(f"_b_{f}").cast("string"), F.lit(False)
         )
         for f in fields
     }
-    joined = left.join(right, key).select(key, *[c.alias(n) for n, c in same.items()])
+    joined = both.select(key, *[c.alias(n) for n, c in same.items()])
     matches = sum((F.col(n).cast("int") for n in same), F.lit(0))
     band = F.when(F.col("matches") >= 4, "high").when(F.col("matches") >= 2, "partial").otherwise("low")
     return joined.withColumn("matches", matches).withColumn("band", band)

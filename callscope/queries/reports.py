@@ -148,9 +148,7 @@ scored AS (SELECT *, {" + ".join(f"{f}_same::INT" for f in C.AGREEMENT_FIELDS)}
 
 def _agreement(spark, d):
     docs = scan(spark, d, "documents", "doc_id", "text")
-    ours = C.analyze_calls(docs, "doc_id", "text", fx.PACK, rules=None)
-    model = C.analyze_calls(docs, "doc_id", "text", fx.OTHER_PACK, rules=None)
-    return C.agreement(ours, model, "doc_id")
+    return C.compare_packs(docs, "doc_id", "text", fx.PACK, fx.OTHER_PACK)
 
 
 @query("agreement_score", f"""{AGREE} SELECT *, CASE WHEN matches >= 4 THEN 'high' WHEN matches >= 2 THEN 'partial' ELSE 'low' END AS band FROM scored""")

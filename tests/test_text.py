@@ -203,3 +203,14 @@ def test_agreement(spark):
     got = {r["call_id"]: (r["matches"], r["band"]) for r in scored.collect()}
     assert got == {"1": (4, "high"), "2": (2, "partial"), "3": (1, "low")}
     assert C.agreement_rates(scored).first()["switch_reason_rate"] == pytest.approx(2 / 3)
+
+
+def test_two_packs_in_one_pass(spark):
+    import dataclasses
+
+    other = dataclasses.replace(TELECOM, intents={k: v[:1] for k, v in TELECOM.intents.items()})
+    df = spark.createDataFrame([(g[0], g[1]) for g in GOLDEN] + [("n", None)], "call_id string, transcript string")
+    joined = C.agreement(C.analyze_calls(df, rules=None), C.analyze_calls(df, pack=other, rules=None))
+    once = C.compare_packs(df, "call_id", "transcript", TELECOM, other)
+    assert sorted(once.collect()) == sorted(joined.collect())
+    assert "Join" not in once._jdf.queryExecution().executedPlan().toString()
