@@ -122,6 +122,10 @@ def blob_lookup(df: DataFrame, key: str, value: object, blob: str = "image_blob"
     return bytes(row["b"]), row["m"] or DEFAULT_MIME
 
 
+#: Blobs that an exporting worker holds at once.
+_BLOBS = 16
+
+
 def export_name(key: Column) -> Column:
     """File name of an id: the id where it is a short plain name, else ``h_`` and its SHA-256, with its ending if that is plain.
 
@@ -175,7 +179,14 @@ def export_blobs(df: DataFrame, ids: DataFrame, folder: str, key: str = "doc_id"
     rows = wanted.select(F.col(key).alias("key"), export_name(F.col(key)).alias("name"), F.col(blob).alias("content"), F.length(blob).cast("bigint").alias("size"))
     base = folder.rstrip("/")
     done = rows.mapInArrow(write, f"key {kind}, name string, size bigint")
-    done.write.mode("overwrite").parquet(f"{base}__list")
+    # Blobs may be large: a worker holds a few of them at once, not the thousands of rows of a usual batch.
+    setting, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    usual = conf.get(setting)
+    conf.set(setting, str(_BLOBS))
+    try:
+        done.write.mode("overwrite").parquet(f"{base}__list")
+    finally:
+        conf.set(setting, usual)
     return read_export(df.sparkSession, base, key)
 
 
