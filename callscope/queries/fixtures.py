@@ -183,6 +183,15 @@ def exact(value: str, mapping, default: str) -> str:
     return f"CASE {value} {cases} ELSE '{default}' END"
 
 
+#: What stands for personal data in a redacted text, and the characters it replaced.
+_REDACTED = {"[ID_REDACTED]": 18, "[PHONE_REDACTED]": 11}
+
+
+def spoken_length(redacted: str) -> int:
+    """Characters of a text before it was redacted: the models below see it only after, SQL only before."""
+    return len(redacted) + sum(redacted.count(mark) * (length - len(mark)) for mark, length in _REDACTED.items())
+
+
 def analysis_sql(source: str, key: str, text: str, pack: CallPack = PACK, name: str = "analysed") -> str:
     """CTEs that end in one with the columns of a full call analysis."""
     intents = ", ".join(f"{hits(f'lower({text})', w)} AS i{n}" for n, w in enumerate(pack.intents.values()))

@@ -187,7 +187,7 @@ def _answering():
     def answer(texts):
         out = []
         for text in texts:
-            if len(text) < 400:
+            if fx.spoken_length(text) < 400:
                 raise ValueError("too short")
             if "quement" in text:
                 out.append("I cannot say.")

@@ -174,7 +174,7 @@ def call_batch_job(spark, d):
 
 def _short_model():
     def answer(texts):
-        return ['{"caller_intent": "close", "sentiment": null}' if len(t) % 2 else "no" for t in texts]
+        return ['{"caller_intent": "close", "sentiment": null}' if fx.spoken_length(t) % 2 else "no" for t in texts]
 
     return answer
 
