@@ -11,17 +11,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_dir
+from ..session import scratch_dir, small_batches
 
 #: Bytes of text that are worked on at once inside a task; one longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Hand texts to Python some megabytes at a time; ten thousand rows, Spark's default, may be a hundred."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-
-
 def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{folder}/documents.parquet").select(*(columns or ("doc_id", "text")))

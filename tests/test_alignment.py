@@ -86,3 +86,17 @@ def test_long_text_is_aligned_whole(spark):
     r = A.align(df, "a", "b").first()
     assert (r["match_count"], r["sub_count"], r["ins_count"], r["del_count"]) == (len(b) - b.count("3"), b.count("3"), 0, a.count("c"))
     assert "".join(s["original"] for s in r["diff_segments"]) == a
+
+
+def test_a_task_holds_few_alignments():
+    """A batch comes back in blocks of bounded text, and whole."""
+    import pyarrow as pa
+
+    a = ["abcdefgh" * 500, None, "", "x" * 300_000] * 40
+    b = [t and t.replace("c", "").replace("e", "3") for t in a]
+    parts = list(A._aligned(pa.array(a), pa.array(b), True))
+    size = lambda part: sum(len(s["original"]) + len(s["transcribed"]) for r in part.to_pylist() for s in r["diff_segments"])
+    assert sum(map(len, parts)) == len(a) and len(parts) > 40
+    assert all(len(p) == 1 or size(p) <= A._BLOCK for p in parts)
+    rows = [r for p in parts for r in p.to_pylist()]
+    assert ["".join(s["transcribed"] for s in r["diff_segments"]) for r in rows] == [t or "" for t in b]
