@@ -17,6 +17,7 @@ from ..functions.jsontext import rescue_json
 from ..functions.text import redact
 from ..packs import TELECOM_REASONS, TELECOM_RULES, ReasonPack, RulePack
 from ..schemas import struct
+from ..session import small_batches
 
 CALL_ANSWER = struct(
     "caller_intent string, switch_reason string, sentiment string, sentiment_score string, summary string, "
@@ -24,6 +25,10 @@ CALL_ANSWER = struct(
 )
 
 
+#: Answers that a task holds before it hands them on.
+_ANSWERS = 256
+
+
 def map_model(
     df: DataFrame, factory: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: T.StructType | str
 ) -> DataFrame:
@@ -71,7 +76,11 @@ def call_model(
             rows: list[tuple] = []
             for start in range(0, len(columns[0]), micro_batch):
                 rows += guarded(model, [c[start : start + micro_batch] for c in columns])
-            yield pd.DataFrame(rows, columns=["value", "error"])
+                if len(rows) >= _ANSWERS:
+                    yield pd.DataFrame(rows, columns=["value", "error"])
+                    rows = []
+            if rows or not columns[0]:
+                yield pd.DataFrame(rows, columns=["value", "error"])
 
     def run_single(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield from run((series,) for series in batches)
@@ -114,6 +123,7 @@ def enrich(
     stay in the result, ``summary_chars`` the length of summaries by rule. ``ledger`` takes the place of
     the call: it gets the frame and the name of the text and adds ``_call`` (see ``ledger.answered``).
     """
+    small_batches(df.sparkSession)
     base = df.select(id, *keep, redact(F.coalesce(F.col(text), F.lit(""))).alias("transcript_redacted"))
     if partitions is not None:
         base = base.repartition(partitions)

@@ -68,6 +68,16 @@ def test_enrich(spark):
     assert not any(r["model_used"] for r in ruled.collect())
 
 
+def test_model_hands_answers_on_in_small_parts(spark):
+    """A task holds a few hundred answers, not a batch of ten thousand; every row keeps its own."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    call = M.call_model([F.col("t")], lambda: lambda texts: [t + "!" for t in texts], micro_batch=7)
+    df = spark.range(3000).coalesce(1).select(F.col("id").cast("string").alias("t"))
+    assert all(r["v"] == r["t"] + "!" for r in df.select("t", call["value"].alias("v")).collect())
+    M.enrich(df, "t", "t", _model)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
+
+
 def test_map_with_errors(spark):
     df = spark.createDataFrame([(1, 2), (1, 0)], "a int, b int")
     got = M.map_with_errors(df, ["a", "b"], lambda a, b: a / b, "double").collect()
