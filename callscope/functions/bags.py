@@ -7,7 +7,7 @@ numbers, equal pairs of a text meet in one sort, and a pair is hashed once a blo
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,9 @@ _ALONE = (1 << 21) - 1  # no code point: stands second where a text is a single
 _PAIR = (1 << 42) - 1
 _SEED = 42  # of Spark's xxhash64
 
+#: Hash of pairs of code points, as arrays; the second of a text that is a single character is 0.
+PairHash = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
 
 def cleaned(text: Column, noise: str = BIGRAM_NOISE) -> Column:
     return F.regexp_replace(text, f"(?U)[{noise}]+", "")
@@ -32,10 +35,13 @@ def _number(pair: str) -> int:
     return ord(pair[0]) << 21 | (ord(pair[1]) if len(pair) > 1 else _ALONE)
 
 
-def _bucket(number: int, dim: int) -> int:
+def _pair_text(number: int) -> str:
     second = number & _ALONE
-    pair = chr(number >> 21) + ("" if second == _ALONE else chr(second))
-    h = xxhash.xxh64_intdigest(pair.encode(), _SEED)
+    return chr(number >> 21) + ("" if second == _ALONE else chr(second))
+
+
+def _bucket(number: int, dim: int) -> int:
+    h = xxhash.xxh64_intdigest(_pair_text(number).encode(), _SEED)
     return (h - (1 << 64) if h >> 63 else h) % dim
 
 
@@ -63,12 +69,15 @@ def _blocks(texts: pa.Array) -> Iterator[pa.Array]:
 
 
 class _Buckets:
-    """Hash buckets of pairs, remembered by the worker."""
+    """Hash buckets of pairs: by a hash of arrays, or by xxhash64 and then remembered by the worker."""
 
-    def __init__(self, dim: int) -> None:
-        self.dim, self.known = dim, {}
+    def __init__(self, dim: int, hashed: PairHash | None = None) -> None:
+        self.dim, self.known, self.hashed = dim, {}, hashed
 
     def of(self, pairs: np.ndarray) -> np.ndarray:
+        if self.hashed is not None:
+            second = pairs & _ALONE
+            return self.hashed(pairs >> 21, np.where(second == _ALONE, 0, second)) % self.dim
         different, back = np.unique(pairs, return_inverse=True)
         if len(self.known) > 1_000_000:
             self.known.clear()
@@ -85,24 +94,50 @@ def _bag(buckets: _Buckets, row: np.ndarray, pair: np.ndarray, count: np.ndarray
     return np.bincount(row * buckets.dim + buckets.of(pair), count, rows * buckets.dim).astype(float).reshape(rows, buckets.dim)
 
 
-def bigram_bag(text: Column, dim: int) -> Column:
-    """Unit vector of bigram counts per ``xxhash64`` bucket: ``hashed_bag(bigrams(text), dim)``."""
+def _unit(bag: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((bag * bag).sum(axis=1, keepdims=True))
+    return np.divide(bag, norm, out=bag, where=norm > 0)
+
+
+def _vectors(bag: np.ndarray) -> pa.ListArray:
+    rows, dim = bag.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * dim), pa.array(bag.ravel()))
+
+
+def bigram_bag(text: Column, dim: int, hashed: PairHash | None = None) -> Column:
+    """Unit vector of bigram counts per bucket, by ``xxhash64`` or ``hashed``: ``hashed_bag(bigrams(text), dim)``."""
 
     @arrow_udf("array<double>")
     def bags(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        buckets = _Buckets(dim)
+        buckets = _Buckets(dim, hashed)
         for batch in batches:
-            parts = [np.zeros((0, dim))]
             for block in _blocks(batch):
-                bag = _bag(buckets, *pair_counts(block), len(block))
-                norm = np.sqrt((bag * bag).sum(axis=1, keepdims=True))
-                parts.append(np.divide(bag, norm, out=bag, where=norm > 0))
-            yield pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * dim), pa.array(np.concatenate(parts).ravel()))
+                yield _vectors(_unit(_bag(buckets, *pair_counts(block), len(block))))
 
     return bags(cleaned(text))
 
 
-def bigram_match(text: Column, wanted: Sequence[str], counts: Sequence[float], dim: int) -> Column:
+def bigram_shares(text: Column, dim: int, hashed: PairHash | None = None) -> Column:
+    """``struct<bag, pairs>``: the bag and, of every different bigram of the text, ``bigram, share``, its bucket's part in the bag."""
+
+    @arrow_udf("struct<bag:array<double>,pairs:array<struct<bigram:string,share:double>>>")
+    def shares(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        buckets = _Buckets(dim, hashed)
+        for batch in batches:
+            for block in _blocks(batch):
+                row, pair, count = pair_counts(block)
+                bag = _unit(_bag(buckets, row, pair, count, len(block)))
+                different, back = np.unique(pair, return_inverse=True)
+                names = pa.array([_pair_text(p) for p in different.tolist()], pa.string()).take(pa.array(back))
+                share = bag[row, buckets.of(pair)]
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(block)))]).astype(np.int32)
+                pairs = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([names, pa.array(share)], ["bigram", "share"]))
+                yield pa.StructArray.from_arrays([_vectors(bag), pairs], ["bag", "pairs"])
+
+    return shares(cleaned(text))
+
+
+def bigram_match(text: Column, wanted: Sequence[str], counts: Sequence[float], dim: int, hashed: PairHash | None = None) -> Column:
     """``struct<size, common, cosine>`` of a text with a query: different bigrams of the text, those
     among ``wanted``, and the cosine of the hashed bags, ``counts`` being the query's."""
     asked = np.array(sorted(map(_number, wanted)), np.int64)
@@ -110,7 +145,7 @@ def bigram_match(text: Column, wanted: Sequence[str], counts: Sequence[float], d
 
     @arrow_udf("struct<size:int,common:int,cosine:double>")
     def match(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        buckets = _Buckets(dim)
+        buckets = _Buckets(dim, hashed)
         for batch in batches:
             size, common, cosine = [], [], []
             for block in _blocks(batch):

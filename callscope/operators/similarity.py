@@ -10,10 +10,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import vectors as V
-from ..functions.bags import bigram_bag, bigram_match
+from ..functions.bags import PairHash, bigram_match, bigram_shares
 from ..functions.base import blank_to_null, constant, let, strip
 from ..functions.text import bigrams
-from ..session import stored
+from ..session import small_batches, stored
 
 SEARCH_DIM = 256
 
@@ -22,15 +22,23 @@ def search_text(summary: Column, transcript: Column) -> Column:
     return F.coalesce(blank_to_null(strip(summary)), strip(transcript), F.lit(""))
 
 
+def _in_batches(hasher: V.Hasher) -> tuple[bool, PairHash | None]:
+    """Whether a hash is known in Arrow batches as well: the default, or one that has its twin in ``pairs``."""
+    twin = getattr(hasher, "pairs", None)
+    return hasher is F.xxhash64 or twin is not None, twin
+
+
 def bigram_scores(
     df: DataFrame, query: str, text: Column, dim: int = SEARCH_DIM, hasher: V.Hasher = F.xxhash64
 ) -> DataFrame:
     """Add ``_jaccard`` and ``_similarity`` of a text to the query; both 0 without a common bigram.
 
     Bigrams are counted in Arrow batches; another hash than the default is a column function and
-    keeps the work in column functions, which are several times slower.
+    keeps the work in column functions, which are several times slower, unless its attribute ``pairs`` gives
+    the same hash of arrays of code points (``bags.PairHash``).
     """
     spark = df.sparkSession
+    small_batches(spark)
     asked = spark.range(1).select(bigrams(F.lit(query)).alias("b"), V.buckets(bigrams(F.lit(query)), dim, hasher).alias("n")).first()
     wanted = sorted(set(asked["b"]))
     if not wanted:
@@ -38,8 +46,9 @@ def bigram_scores(
     counts = [0.0] * dim
     for bucket in asked["n"]:
         counts[bucket] += 1.0
-    if hasher is F.xxhash64:
-        matched = df.withColumn("_match", bigram_match(text, wanted, counts, dim))
+    fast, twin = _in_batches(hasher)
+    if fast:
+        matched = df.withColumn("_match", bigram_match(text, wanted, counts, dim, twin))
         share = F.col("_match.common") / (F.col("_match.size") + len(wanted) - F.col("_match.common"))
         both = F.when(F.col("_match.common") > 0, F.lit(0.85) * share + F.lit(0.15) * F.col("_match.cosine")).otherwise(F.lit(0.0))
         return matched.withColumns({"_jaccard": share, "_similarity": both}).drop("_match")
@@ -104,9 +113,16 @@ def build_postings(df: DataFrame, path: str, key: str, text: Column, dim: int =
     possible score. Rows are ranged over band, bucket, bigram and key, so that a hot bigram is many
     files. ``texts`` has the whole bags in folders by hash of the key, with a bloom filter on it.
     """
-    bag = bigram_bag(text, dim) if hasher is F.xxhash64 else V.hashed_bag(bigrams(text), dim, hasher)
-    rows = stored(df.select(key, F.array_distinct(bigrams(text)).alias("_b"), bag.alias("bag")).where(F.size("_b") > 0), "posting-rows")
-    sized = rows.withColumn("size", F.size("_b")).withColumn("band", F.floor(F.log2("size") * _BANDS).cast("int"))
+    small_batches(df.sparkSession)
+    fast, twin = _in_batches(hasher)
+    if fast:
+        whole = df.select(key, bigram_shares(text, dim, twin).alias("_s")).select(key, "_s.bag", "_s.pairs")
+    else:
+        bags = df.select(key, F.array_distinct(bigrams(text)).alias("_b"), V.hashed_bag(bigrams(text), dim, hasher).alias("bag"))
+        share = lambda b: F.element_at("bag", F.pmod(hasher(b), F.lit(dim)).cast("int") + 1)
+        whole = bags.select(key, "bag", F.transform("_b", lambda b: F.struct(b.alias("bigram"), share(b).alias("share"))).alias("pairs"))
+    rows = stored(whole.withColumn("size", F.size("pairs")), "posting-rows")
+    sized = rows.where("size > 0").withColumn("band", F.floor(F.log2("size") * _BANDS).cast("int"))
     bands = sized.groupBy("band").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.count("*").alias("texts"), F.sum("size").alias("postings"), F.max(key).alias("last_key"))
     found = bands.agg(F.coalesce(F.sum("texts"), F.lit(0)), F.coalesce(F.sum("postings"), F.lit(0))).first()
     parts, buckets = _folders(found[0], TEXTS_A_FOLDER), _folders(found[1], POSTINGS_A_FOLDER)
@@ -114,10 +130,11 @@ def build_postings(df: DataFrame, path: str, key: str, text: Column, dim: int =
 
     texts = sized.select(key, "size", "bag", _by_key(key, parts).alias("part"))
     texts.repartitionByRange("part", key).sortWithinPartitions("part", key).write.partitionBy("part").option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(f"{path}/texts")
-    share = F.element_at("bag", F.pmod(hasher(F.col("bigram")), F.lit(dim)).cast("int") + 1)
-    postings = sized.select(key, "size", "band", "bag", F.explode("_b").alias("bigram"))
-    postings = postings.select(key, "size", "band", "bigram", share.alias("share"), F.pmod(F.xxhash64("bigram"), F.lit(buckets)).cast("int").alias("bucket"))
-    postings.repartitionByRange("band", "bucket", "bigram", key).write.partitionBy("band", "bucket").parquet(f"{path}/postings")
+    # The bag stays behind: only a bigram's own share goes with it.
+    postings = sized.select(key, "size", "band", F.inline("pairs"))
+    postings = postings.withColumn("bucket", F.pmod(F.xxhash64("bigram"), F.lit(buckets)).cast("int"))
+    order = ("band", "bucket", "bigram", key)
+    postings.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("band", "bucket").parquet(f"{path}/postings")
 
 
 @dataclass(frozen=True)

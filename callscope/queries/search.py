@@ -241,6 +241,9 @@ def _letter_hash(token):
     return F.ascii(F.substring(token, 1, 1)) * 31 + F.ascii(F.substring(token, 2, 1))
 
 
+_letter_hash.pairs = lambda first, second: first * 31 + second
+
+
 BUCKET = "(unicode(substr(x, 1, 1)) * 31 + unicode(substr(x, 2, 1))) % 256"
 SCORED = f"""WITH t AS (SELECT doc_id, {CLEAN} AS c FROM documents), g AS (SELECT doc_id, {BIGRAMS} AS b FROM t),
 asked AS (SELECT {CLEAN.replace('text', "'" + SEARCH_FOR + "'", 1)} AS c), qb AS (SELECT {BIGRAMS} AS b FROM asked),

@@ -50,6 +50,31 @@ def test_scan_and_slow_path_agree(spark, query):
         assert a[i] == pytest.approx(b[i], abs=1e-12)
 
 
+def test_a_hash_with_a_twin_stays_in_batches(spark):
+    from callscope.queries.search import _letter_hash
+
+    df = texts(spark, 150)
+    slow = lambda c: _letter_hash(c)  # noqa: E731  without the twin
+    fast = N.bigram_scores(df, "the quick x", F.col("t"), hasher=_letter_hash)
+    assert "ArrowEvalPython" in fast._jdf.queryExecution().executedPlan().toString()
+    scores = lambda rows: {r["call_id"]: (r["_jaccard"], r["_similarity"]) for r in rows.collect()}
+    a, b = scores(fast), scores(N.bigram_scores(df, "the quick x", F.col("t"), hasher=slow))
+    assert a.keys() == b.keys() and all(a[i] == pytest.approx(b[i], abs=1e-12) for i in a)
+
+
+def test_postings_are_alike_by_either_way(spark):
+    from callscope.queries.search import _letter_hash
+
+    found = []
+    for hasher in (_letter_hash, lambda c: _letter_hash(c)):
+        path = scratch_dir(spark, "posting-ways")
+        N.build_postings(texts(spark, 60), path, "call_id", F.col("t"), hasher=hasher)
+        rows = spark.read.parquet(f"{path}/postings").select("call_id", "size", "band", "bucket", "bigram", F.round("share", 9)).collect()
+        bags = spark.read.parquet(f"{path}/texts").select("call_id", "size", F.transform("bag", lambda x: F.round(x, 9))).collect()
+        found.append((sorted(map(tuple, rows)), sorted(map(tuple, bags))))
+    assert found[0] == found[1] and found[0][0]
+
+
 @pytest.fixture(scope="module")
 def postings(spark):
     path = scratch_dir(spark, "posting-test")
