@@ -46,11 +46,15 @@ def answered(
     """
     spark = df.sparkSession
     keyed = df.withColumn("_hash", F.sha2(F.col(text).cast("binary"), 256))
-    different = keyed.where(F.col("_hash").isNotNull()).groupBy("_hash").agg(F.first(text).alias("_text"), F.count("*").alias("_n"))
-    different = stored(different, "ledger-texts")
+    hashed = keyed.where(F.col("_hash").isNotNull())
+    different = stored(hashed.groupBy("_hash").agg(F.count("*").alias("_n")), "ledger-hashes")
     # What this batch wrote in an earlier, failed try does not count: it is written again.
     before = read_ledger(spark, path, version, returns).where(F.col("batch") != batch).select("text_hash")
-    unseen = different.join(before.distinct(), different["_hash"] == before["text_hash"], "left_anti").select("_hash", "_text")
+    missing = stored(different.join(before.distinct(), different["_hash"] == before["text_hash"], "left_anti").select("_hash"), "ledger-missing")
+    # Texts are fetched for what is asked only, and dealt at most once, after each task has dropped its repeats.
+    texts = hashed.select("_hash", F.col(text).alias("_text"))
+    once = lambda rows: rows.groupBy("_hash").agg(F.first("_text").alias("_text"))
+    unseen = once(texts.join(F.broadcast(missing), "_hash", "left_semi")) if missing.count() <= _FEW else once(texts).join(missing, "_hash", "left_semi")
     if partitions is not None:
         unseen = unseen.repartition(partitions)
     asked = stored(unseen.select(F.col("_hash").alias("text_hash"), call_model([F.col("_text")], factory, returns, micro_batch).alias("_call")), "ledger-asked")

@@ -228,8 +228,8 @@ def model_ledger(spark, d):
     run("first")
     out = run("second")
     again = read_ledger(spark, path, "v1").agg(F.count_if(F.col("batch") == "second").alias("asked_again"))
-    return out.crossJoin(F.broadcast(again)).select(
-        "asked_again", "doc_id", "model_used", "model_error", "downgrade_related", "primary_reason", "confidence", "text_emotion", "emotion_score"
+    return out.select(
+        F.coalesce(again.scalar(), F.lit(0).cast("bigint")).alias("asked_again"), "doc_id", "model_used", "model_error", "downgrade_related", "primary_reason", "confidence", "text_emotion", "emotion_score"
     )
 
 

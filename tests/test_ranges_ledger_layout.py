@@ -94,6 +94,22 @@ def test_ledger_with_hot_texts(spark, tmp_path):
     assert L.answered(df.limit(0), "t", lambda: _answers, str(tmp_path / "l"), "v", "b0").collect() == []
 
 
+def test_ledger_stores_hashes_not_texts(spark, tmp_path, monkeypatch):
+    """Both ways to the texts that are asked give the same rows, and neither writes a text."""
+    written, store = [], L.stored
+    monkeypatch.setattr(L, "stored", lambda df, label: (written.extend(df.columns), store(df, label))[1])
+    df = spark.createDataFrame([(i, f"t{'x' * (i % 7)}") for i in range(60)] + [(500, None)], "id int, t string").repartition(4)
+    rows = []
+    for few in (0, 1000):
+        monkeypatch.setattr(L, "_FEW", few)
+        path = str(tmp_path / f"l{few}")
+        for batch in ("b1", "b2"):
+            rows.append(sorted((r["id"], r["_call"] and r["_call"]["value"]) for r in L.answered(df, "t", lambda: _answers, path, "v", batch).collect()))
+        assert L.read_ledger(spark, path, "v").count() == 7
+    assert all(r == rows[0] for r in rows) and len(rows[0]) == 61 and dict(rows[0])[6] == "7"
+    assert "_text" not in written and "t" not in written
+
+
 def test_enrich_with_a_ledger_gives_the_same_rows(spark, tmp_path):
     df = spark.createDataFrame([("a", "x" * 30), ("b", "y"), ("c", None)], "doc_id string, t string")
     model = lambda: lambda texts: ['{"caller_intent": "投诉", "sentiment": "negative"}' if len(t) > 5 else "" for t in texts]
