@@ -31,8 +31,10 @@ from .ranks import bucket_count, running
 
 CAPACITY = 4096
 END = 2
-#: Encoded words that a worker remembers; it starts anew beyond.
-REMEMBERED = 600_000
+#: Bytes of encoded words that a worker remembers; it starts anew beyond.
+REMEMBERED = 48 << 20
+#: What a word takes besides its characters and ids: two objects and its place in the table.
+_ENTRY = 160
 _MARK = "\x00"
 
 
@@ -65,6 +67,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.held = 0
         self.mark = self._ids([_MARK])[0]
 
     @classmethod
@@ -90,6 +93,7 @@ class Encoder:
                 continue
             self.known.update(zip(part, (made[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(made)]))))
         self.known.update(zip(odd, self._ids(odd)))
+        self.held += sum(_ENTRY + len(w) + len(self.known[w]) for w in words)
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, the closing one last."""
@@ -98,8 +102,8 @@ class Encoder:
         different = dictionary.to_pylist()
         new = [w for w in different if w not in self.known]
         if new:
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
+            if self.held > REMEMBERED:
+                self.known, self.held = {}, 0
                 new = different
             self._learn(new)
         made = list(map(self.known.__getitem__, different))
@@ -124,7 +128,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of_worker(tokenizer)
-        for batch in blocks(batches, "_text", 4 << 20):
+        # Small blocks: the arrays of one take some thirty times its bytes.
+        for batch in blocks(batches, "_text"):
             rows: list[tuple[int, int, int, int, int]] = []
             for k, ids in enumerate(encoder.encode(texts_of(batch, "_text"))):
                 for start in range(0, len(ids), capacity):

@@ -210,3 +210,19 @@ def test_near_duplicates_without_ids(spark):
     groups = [x for x in out if x[1] and x[1].startswith("v")]
     assert len(groups) == 1 and groups[0][0] is None
     assert [x for x in out if x not in groups] == sorted([(5, near), (7, rows[8][1]), (7, rows[9][1]), (8, "x"), (None, ""), (None, ""), (9, None)], key=repr)
+
+
+def test_an_encoder_forgets_by_bytes(monkeypatch):
+    """Long words fill the memory of a worker as well as many; ids stay the same when it starts anew."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    from callscope.llm import packing as P
+
+    texts = [[f"{'w' * 400}{k} same words" for k in range(n, n + 20)] for n in (0, 20, 40, 0)]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    free, bound = P.Encoder(path), P.Encoder(path)
+    wanted = [[ids.tolist() for ids in free.encode(pa.array(t))] for t in texts]
+    monkeypatch.setattr(P, "REMEMBERED", 4000)
+    assert [[ids.tolist() for ids in bound.encode(pa.array(t))] for t in texts] == wanted
+    assert len(bound.known) <= 22 < len(free.known)
