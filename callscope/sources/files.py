@@ -199,6 +199,12 @@ def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+def few_listing_tasks(spark: SparkSession) -> None:
+    """List many paths in some tasks per core; Spark's default is a task for each path, up to ten thousand."""
+    setting, most = "spark.sql.sources.parallelPartitionDiscovery.parallelism", max(32, 4 * spark.sparkContext.defaultParallelism)
+    spark.conf.set(setting, str(min(most, int(spark.conf.get(setting)))))
+
+
 def attach_stream(
     spark: SparkSession, manifest: DataFrame, folder: str, on: str, sink: str, checkpoint: str, trigger: dict | None = None, most_files: int | None = None
 ):
@@ -206,10 +212,12 @@ def attach_stream(
 
     ``on`` holds names of files in that folder. ``most_files`` bounds those of one batch.
 
-    Each batch writes the files that arrived: contents of those that the manifest names, and the paths of
-    the others, which a later manifest may name. Batches overwrite their own folder, so one that is repeated
-    changes nothing. A manifest row whose file has not come yet waits without any state: it has no arrival.
+    Each batch writes the files that arrived: contents of those that the manifest names, and as ``waiting``
+    the contents of the others, which a later manifest may name. Batches overwrite their own folder, so one that
+    is repeated changes nothing. A manifest row whose file has not come yet waits without any state: it has no arrival.
     """
+    # The stream's source lists a batch's files one by one, and once more when a stream goes on.
+    few_listing_tasks(spark)
     schema = "path string, modificationTime timestamp, length bigint, content binary"
     reader = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).schema(schema)
     files = (reader if most_files is None else reader.option("maxFilesPerTrigger", most_files)).load(folder)
@@ -217,7 +225,8 @@ def attach_stream(
     def write(batch: DataFrame, batch_id: int) -> None:
         named = manifest.select(F.col(on).alias("path")).where(F.col(on).isNotNull()).distinct().withColumn("_named", F.lit(True))
         rows = batch.withColumn("path", file_name(F.col("path"))).join(named, "path", "left")
-        rows = rows.select("path", "modificationTime", "length", F.when(F.col("_named"), F.col("content")).alias("content"))
+        content = F.col("content")
+        rows = rows.select("path", "modificationTime", "length", F.when(F.col("_named"), content).alias("content"), F.when(F.col("_named").isNull(), content).alias("waiting"))
         rows.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/batch_id={batch_id}")
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
@@ -226,12 +235,16 @@ def attach_stream(
 def read_attached(spark: SparkSession, manifest: DataFrame, folder: str, on: str, sink: str, **how) -> DataFrame:
     """``attach_blobs`` of the manifest and the files that have arrived by now, the newest of each path.
 
-    Contents of files that no manifest named when they came are read from ``folder``.
+    Contents are as they came, also of files that no manifest named then. Only a sink that holds files without
+    any contents, as earlier versions wrote them, has those read from ``folder``.
     """
-    arrived = spark.read.schema("path string, modificationTime timestamp, length bigint, content binary, batch_id int").parquet(sink)
-    newest = arrived.groupBy("path").agg(F.max_by(F.struct("content"), F.struct("modificationTime", "batch_id")).alias("_c")).select("path", F.col("_c.content").alias("content"))
+    arrived = spark.read.schema("path string, modificationTime timestamp, length bigint, content binary, waiting binary, batch_id int").parquet(sink)
     asked = manifest.select(F.col(on).alias("path")).where(F.col(on).isNotNull()).distinct()
-    known = newest.where("content is not null")
-    unnamed = newest.where("content is null").select("path").join(asked, "path", "left_semi")
+    came = arrived.join(asked, "path", "left_semi").withColumn("content", F.coalesce("content", "waiting"))
+    newest = came.groupBy("path").agg(F.max_by(F.struct("content"), F.struct("modificationTime", "batch_id")).alias("_c")).select("path", F.col("_c.content").alias("content"))
+    bare = arrived.where("content is null and waiting is null").select("path")
+    if bare.isEmpty():
+        return attach_blobs(manifest, newest, on, **how)
+    unnamed = newest.where("content is null").select("path")
     late = read_files(spark, folder).withColumn("path", file_name(F.col("path"))).join(unnamed, "path", "left_semi")
-    return attach_blobs(manifest, known.unionByName(late), on, **how)
+    return attach_blobs(manifest, newest.where("content is not null").unionByName(late), on, **how)

@@ -253,6 +253,27 @@ def test_files_that_arrive_in_batches(spark, tmp_path):
     assert S.read_attached(spark, manifest, folder, "file", sink, missing="drop").count() == 5
 
 
+def test_late_names_need_no_second_reading(spark, tmp_path):
+    folder, sink, state = (str(tmp_path / x) for x in ("in", "sink", "state"))
+    (tmp_path / "in").mkdir()
+    manifest = spark.createDataFrame([(i, f"f{i}.jpg") for i in range(200)], "doc_id int, file string")
+    for i in range(199):
+        (tmp_path / "in" / f"f{i}.jpg").write_bytes(b"v%d" % i)
+    query = S.attach_stream(spark, manifest.where("doc_id >= 100"), folder, "file", sink, state)
+    query.awaitTermination()
+    status = spark.sparkContext.statusTracker()
+    tasks = [status.getStageInfo(s).numTasks for j in status.getJobIdsForGroup(str(query.runId)) for s in status.getJobInfo(j).stageIds if status.getStageInfo(s)]
+    assert tasks and max(tasks) < 199  # no task for each file
+    for i in range(50):
+        (tmp_path / "in" / f"f{i}.jpg").unlink()
+    got = {r["doc_id"]: r["image_blob"] for r in S.read_attached(spark, manifest, folder, "file", sink).collect()}
+    assert got == {**{i: bytearray(b"v%d" % i) for i in range(199)}, 199: None}
+    old = str(tmp_path / "old")  # as earlier versions wrote it
+    spark.read.parquet(sink).drop("waiting").write.partitionBy("batch_id").parquet(old)
+    got = {r["doc_id"]: r["image_blob"] for r in S.read_attached(spark, manifest, folder, "file", old).collect()}
+    assert got == {**dict.fromkeys(range(50)), **{i: bytearray(b"v%d" % i) for i in range(50, 199)}, 199: None}
+
+
 # Streams
 
 
