@@ -31,7 +31,7 @@ from .ranks import bucket_count, running
 
 CAPACITY = 4096
 END = 2
-#: Bytes of encoded words that a worker remembers; it starts anew beyond.
+#: Bytes of encoded words that a worker remembers; the half that was not met for longest goes first.
 REMEMBERED = 48 << 20
 #: What a word takes besides its characters and ids: two objects and its place in the table.
 _ENTRY = 160
@@ -66,7 +66,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Words met lately, those met before them, and the bytes of the former.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
         self.mark = self._ids([_MARK])[0]
 
@@ -81,8 +83,8 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if _MARK not in w]
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        plain, found = [w for w in words if _MARK not in w], {}
         # Many words go through at once, with a mark between that no other word can give.
         parts = [plain[k : k + 1000] for k in range(0, len(plain), 1000)]
         odd = [w for w in words if _MARK in w]
@@ -91,24 +93,33 @@ class Encoder:
             if len(self.mark) != 4 or len(cuts) != len(part) - 1:
                 odd += part
                 continue
-            self.known.update(zip(part, (made[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(made)]))))
-        self.known.update(zip(odd, self._ids(odd)))
-        self.held += sum(_ENTRY + len(w) + len(self.known[w]) for w in words)
+            found.update(zip(part, (made[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(made)]))))
+        found.update(zip(odd, self._ids(odd)))
+        return found
+
+    def _made(self, words: list[str]) -> list[bytes]:
+        """The ids of different words, remembered or new."""
+        made = list(map(self.known.get, words))
+        gaps = [k for k, m in enumerate(made) if m is None]
+        if gaps:
+            lost = [words[k] for k in gaps]
+            found = {w: self.older[w] for w in lost if w in self.older}
+            found.update(self._learn([w for w in lost if w not in found]))
+            if 2 * self.held > REMEMBERED:
+                self.older, self.known, self.held = self.known, {}, 0
+            self.known.update(found)
+            self.held += _ENTRY * len(found) + sum(map(len, found)) + sum(map(len, found.values()))
+            for k, w in zip(gaps, lost):
+                made[k] = found[w]
+        return made
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, the closing one last."""
         words, owner = words_of(spaced(texts))
         codes, dictionary = codes_of(words)
-        different = dictionary.to_pylist()
-        new = [w for w in different if w not in self.known]
-        if new:
-            if self.held > REMEMBERED:
-                self.known, self.held = {}, 0
-                new = different
-            self._learn(new)
-        made = list(map(self.known.__getitem__, different))
+        made = self._made(dictionary.to_numpy(zero_copy_only=False).tolist())
         flat = np.frombuffer(b"".join(made), "<u4")
-        size = np.fromiter((len(m) // 4 for m in made), np.int64, len(made))
+        size = np.fromiter(map(len, made), np.int64, len(made)) // 4
         start = np.cumsum(size) - size
         lengths = size[codes]
         total = np.cumsum(lengths)

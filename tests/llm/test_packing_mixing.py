@@ -226,3 +226,19 @@ def test_an_encoder_forgets_by_bytes(monkeypatch):
     monkeypatch.setattr(P, "REMEMBERED", 4000)
     assert [[ids.tolist() for ids in bound.encode(pa.array(t))] for t in texts] == wanted
     assert len(bound.known) <= 22 < len(free.known)
+
+
+def test_an_encoder_keeps_the_words_that_recur(monkeypatch):
+    """What is forgotten to make room are words not met lately: those of every block are encoded once."""
+    from callscope.llm import packing as P
+
+    learned = Counter()
+    learn = P.Encoder._learn
+    monkeypatch.setattr(P.Encoder, "_learn", lambda self, words: learned.update(words) or learn(self, words))
+    monkeypatch.setattr(P, "REMEMBERED", 4000)
+    encoder = P.Encoder(VOCABULARY)
+    for n in range(0, 200, 20):
+        texts = [f"{'w' * 400}{k} same words" for k in range(n, n + 20)]
+        assert [ids.tolist() for ids in encoder.encode(pa.array(texts))] == plain_ids(texts)
+        assert len(encoder.known) + len(encoder.older) <= 44
+    assert set(learned.values()) == {1} and len(learned) == 202
